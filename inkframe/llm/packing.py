@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -146,7 +147,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
         groups = _final(group_pieces, count, last_pieces)
         last = groups == 1
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("row_no", "piece", F.lit(number)), F.lit(groups)))
-        run = functools.partial(_run_group, capacity=capacity, most_gap=capacity if last else closed_gap, number=number)
+        run = _packer(capacity, capacity if last else closed_gap, number)
         packed = common.stage(dealt.groupBy("grp").applyInArrow(run, schema), "packed")
         left = 0 if last else packed.filter(~F.col("done")).count()
         if left > 0.8 * count:  # the round closed little: the next would not either
@@ -156,8 +157,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return functools.reduce(DataFrame.unionByName, done)
 
 
-def _run_group(rows: pa.Table, capacity: int, most_gap: int, number: int) -> pa.Table:
-    return _pack_group(rows, capacity, most_gap, number)
+def _packer(capacity: int, most_gap: int, number: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        return _pack_group(rows, capacity, most_gap, number)
+
+    return run
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
