@@ -140,7 +140,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     """cut: row_no, piece, length (1 to capacity). Returns row_no, piece, sequence_id, offset for every row."""
     schema = "row_no long, piece int, length long, sequence_id long, offset long, done boolean"
     full = cut.filter(F.col("length") == capacity)
-    full = full.select("row_no", "piece", (F.lit(-1) - F.col("row_no") * 2**20 - F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = full.select("row_no", "piece", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.filter(F.col("length") < capacity).select("row_no", "piece", "length")
     done, number, count = [full], 0, rest.count()
     while count:

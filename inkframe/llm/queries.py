@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import cuckoo_dedup, packing, piece_codec, secret_scans, simhash
+from inkframe.llm import cuckoo_dedup, packing, piece_codec, quality_rules, secret_scans, simhash
 from inkframe.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scans": op7_secret_scans,
     "op8_sentencepiece": op8_sentencepiece,
@@ -38,7 +43,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+_RULES = ("symbol", "upper", "dup_line", "any")
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM documents),
+        grams AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+        f AS (
+            SELECT d.doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS n_upper,
+                   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+            FROM d LEFT JOIN covered USING (doc_id)),
+        g AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars AS symbol,
+                   100 * n_upper > 30 * word_chars AS upper, 100 * n_dup_lines > 50 * n_lines AS dup_line FROM f),
+        e AS (SELECT *, base_failed OR symbol OR upper OR dup_line AS "any" FROM g),
+        h AS (SELECT host, count(*) AS n, {", ".join(f'sum("{r}"::INT) AS n_{r}' for r in _RULES)} FROM e GROUP BY host),
+        m AS (SELECT sum(n) AS docs, count(*) AS hosts, {", ".join(f'sum(n_{r}) / sum(n) AS m_{r}' for r in _RULES)} FROM h),
+        v AS (SELECT {", ".join(f'sum(n * (n_{r} / n - m_{r}) ** 2) / any_value(docs) AS v_{r}' for r in _RULES)} FROM h, m),
+        k AS (SELECT *, {", ".join(f'CASE WHEN m_{r} * (1 - m_{r}) > 0 THEN 1 / least(greatest((v_{r} - m_{r} * (1 - m_{r}) * hosts / docs) / (m_{r} * (1 - m_{r})), 1e-4), 0.5) - 1 ELSE 1 / 1e-4 - 1 END AS k_{r}' for r in _RULES)} FROM m, v),
+        r AS (SELECT host, {", ".join(f'(n_{r} + m_{r} * k_{r}) / (n + k_{r}) AS r_{r}, m_{r}' for r in _RULES)} FROM h, k)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND r_any < 0.8 AND {" AND ".join(f'NOT ("{r}" AND r_{r} >= 0.5 * m_{r})' for r in _RULES[:3])} AS kept
+        FROM e JOIN r USING (host)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
