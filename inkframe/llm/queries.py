@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import cuckoo_dedup, packing, piece_codec, quality_rules, secret_scans, simhash
+from inkframe.llm import cuckoo_dedup, packing, piece_codec, quality_rules, secret_scans, sharding, simhash
 from inkframe.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_sampled_splitters": op5_sampled_splitters,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scans": op7_secret_scans,
     "op8_sentencepiece": op8_sentencepiece,
@@ -74,6 +79,27 @@ ORACLE_SQL: dict[str, str] = {
                NOT base_failed AND r_any < 0.8 AND {" AND ".join(f'NOT ("{r}" AND r_{r} >= 0.5 * m_{r})' for r in _RULES[:3])} AS kept
         FROM e JOIN r USING (host)
     """,
+    # CRC-32 has no function in DuckDB: it is folded over the bytes, bit by bit, with the polynomial 0xEDB88320
+    "op5_sampled_splitters": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 16 AS size,
+                   ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+        table256 AS (
+            SELECT list(c ORDER BY i) AS crc FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        hexed AS (SELECT doc_id, hex(encode(t)) AS x, t FROM d),
+        crcs AS (
+            SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda p: ('0x' || substr(x, p, 2))::BIGINT)),
+                       lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM hexed, table256),
+        line AS (
+            SELECT *, sum(size) OVER (ORDER BY h, doc_id) - size AS start, sum(size) OVER () AS total,
+                   sum(size) OVER (PARTITION BY h) AS group_size FROM d),
+        grouped AS (SELECT *, min(start) OVER (PARTITION BY h) AS group_start FROM line),
+        mid AS (SELECT *, CASE WHEN group_size * 4000 <= total THEN 2 * group_start + group_size ELSE 2 * start + size END AS middle FROM grouped),
+        placed AS (SELECT *, least(39, floor(middle * 40 / (2 * total)))::INT AS shard FROM mid)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot,
+               NULL::INT AS grown_shard FROM placed JOIN crcs USING (doc_id)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
