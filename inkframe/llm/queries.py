@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import cuckoo_dedup, packing, piece_codec, quality_rules, secret_scans, sharding, simhash
+from inkframe.llm import cuckoo_dedup, nbsvm, packing, piece_codec, quality_rules, secret_scans, sharding, simhash, warc
 from inkframe.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_nbsvm": op3_nbsvm,
+    "op4_warc": op4_warc,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scans": op7_secret_scans,
@@ -79,6 +89,12 @@ ORACLE_SQL: dict[str, str] = {
                NOT base_failed AND r_any < 0.8 AND {" AND ".join(f'NOT ("{r}" AND r_{r} >= 0.5 * m_{r})' for r in _RULES[:3])} AS kept
         FROM e JOIN r USING (host)
     """,
+    "op4_warc": """
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+               CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+        FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
+    """,
     # CRC-32 has no function in DuckDB: it is folded over the bytes, bit by bit, with the polynomial 0xEDB88320
     "op5_sampled_splitters": """
         WITH d AS (
