@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import cuckoo_dedup, nbsvm, packing, piece_codec, quality_rules, secret_scans, sharding, simhash, warc
+from inkframe.llm import brown_lm, cuckoo_dedup, nbsvm, packing, piece_codec, quality_rules, secret_scans, sharding, simhash, warc
 from inkframe.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_brown_lm": op2_brown_lm,
     "op3_nbsvm": op3_nbsvm,
     "op4_warc": op4_warc,
     "op5_sampled_splitters": op5_sampled_splitters,
