@@ -1,10 +1,20 @@
-"""A corpus pipeline of five stages; each works on all rows that its predecessor kept."""
+"""A corpus pipeline of five stages; each works on all rows that its predecessor kept.
+
+Quality rules, exact dedup and near-dedup drop rows, secret scans rewrite texts; these four return the columns of
+documents. The last stage packs what is left into training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkframe.llm import common, cuckoo_dedup, packing, quality_rules, secret_scans, simhash
 
-from inkframe.llm import common, cuckoo_dedup, simhash
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules reject go."""
+    return quality_rules.kept_documents(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +27,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
-STAGES = [("exact_dedup", exact_copies), ("simhash_near_dedup", near_copies)]
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret becomes [SECRET]; n_chars follows the text where it changed."""
+    mine = docs.withColumn("__before", F.length("text"))
+    clean = secret_scans.redact(mine)
+    return clean.withColumn("n_chars", (F.col("n_chars") - F.col("__before") + F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document: the sequence that it is in, and its place there."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", good_quality),
+    ("exact_dedup", exact_copies),
+    ("simhash_near_dedup", near_copies),
+    ("secret_scans", without_secrets),
+    ("best_fit_packing", packed),
+]
 
 #: Tokenizing and fingerprinting have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
