@@ -136,18 +136,31 @@ def diagnostic_stage(stage: Column, code: Column) -> Column:
 # quality metrics ----------------------------------------------------------------------------------------------------
 
 
+def _let(value: Column, fn) -> Column:
+    """fn of value, with value computed once: a lambda's argument is not computed again where it is used."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
 def array_spread(values: Column) -> Column:
     """Population standard deviation of an array."""
-    return F.sqrt(F.aggregate(F.transform(values, lambda x: F.pow(x - _mean(values), 2)), F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+    def spread(v: Column) -> Column:
+        return _let(_mean(v), lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)))
+
+    return _let(values, spread)
 
 
 def variation(values: Column, empty: float = 0.0) -> Column:
     """Standard deviation over mean: empty for no values, 1 if the mean is not positive."""
-    return F.when(F.size(values) <= 0, F.lit(empty)).when(_mean(values) <= 0, F.lit(1.0)).otherwise(array_spread(values) / _mean(values))
+
+    def ratio(v: Column) -> Column:
+        return _let(F.when(F.size(v) > 0, _mean(v)), lambda m: F.when(F.size(v) <= 0, F.lit(empty)).when(m <= 0, F.lit(1.0)).otherwise(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)) / m))
+
+    return _let(values, ratio)
 
 
 def _pairs(points: Column) -> Column:
@@ -158,7 +171,7 @@ def _pairs(points: Column) -> Column:
 def line_smoothness_error(points: Column) -> Column:
     """Spread of the segments' slopes dy / length; 0 for fewer than three points or two segments."""
     slopes = F.transform(F.filter(_pairs(points), lambda p: F.hypot(p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]) > 0), lambda p: (p["b"]["y"] - p["a"]["y"]) / F.hypot(p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]))
-    return F.when((F.size(points) < 3) | (F.size(slopes) < 2), F.lit(0.0)).otherwise(array_spread(slopes))
+    return F.when(F.size(points) < 3, F.lit(0.0)).otherwise(_let(slopes, lambda v: F.when(F.size(v) < 2, F.lit(0.0)).otherwise(array_spread(v))))
 
 
 def spacing_error(midpoints: Column) -> Column:
@@ -192,7 +205,7 @@ def perspective_error(quads: Column) -> Column:
     """quads: array of corner arrays. Variation of top width over bottom width; 0 for fewer than two usable quads."""
     ratio = lambda q: F.try_divide(F.hypot(q[1]["x"] - q[0]["x"], q[1]["y"] - q[0]["y"]), F.hypot(q[2]["x"] - q[3]["x"], q[2]["y"] - q[3]["y"]))
     ratios = F.filter(F.transform(quads, ratio), lambda x: x.isNotNull())
-    return F.when(F.size(ratios) < 2, F.lit(0.0)).otherwise(variation(ratios))
+    return _let(ratios, lambda v: F.when(F.size(v) < 2, F.lit(0.0)).otherwise(variation(v)))
 
 
 def cutout_error(is_cutout: Column, smoothness: Column, width_variance: Column) -> Column:
