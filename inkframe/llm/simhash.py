@@ -56,12 +56,12 @@ def fingerprints(texts: list[bytes]) -> list[int]:
         some = np.flatnonzero(sizes)
         if len(todo) == 1 and sizes[0] > CHUNK:
             for start in range(0, sizes[0], CHUNK):
-                counts[0] += _bit_counts(np.array(todo[0][start : start + CHUNK], np.uint64)).sum(axis=0)
+                counts[0] += _bit_counts(np.array(todo[0][start : start + CHUNK], np.uint64)).sum(axis=0, dtype=np.int64)
         elif len(some):
             bits = _bit_counts(np.concatenate([np.array(todo[i], np.uint64) for i in some]))
             starts = np.concatenate([[0], np.cumsum(sizes[some])])
             for k, i in enumerate(some):
-                counts[i] = bits[starts[k] : starts[k + 1]].sum(axis=0, dtype=np.int32)
+                counts[i] = bits[starts[k] : starts[k + 1]].sum(axis=0, dtype=np.int64)
         set_bits = counts * 2 > sizes[:, None]
         out.extend(int(x) for x in (set_bits * _WEIGHTS).sum(axis=1, dtype=np.uint64))
         todo.clear()
