@@ -107,7 +107,9 @@ def test_transitions_and_emissions_are_distributions(documents):
 
 def test_exchange_raises_the_likelihood():
     draw = np.random.default_rng(0)
-    counts = draw.poisson(3, (20, 20)).astype(float)
+    walk = draw.integers(0, 20, 3000)  # a closed walk: every unit is left as often as it is entered
+    counts = np.zeros((20, 20))
+    np.add.at(counts, (walk, np.roll(walk, -1)), 1)
     classes = np.arange(20) % 4
     hot = np.zeros((20, brown_lm.CLASSES + 1))
     hot[np.arange(20), classes] = 1
