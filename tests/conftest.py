@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))  # the repository
 from inkframe.session import local_session
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -33,11 +33,12 @@ def data():
 def canonical(frame):
     """Rows as sorted tuples of comparable values, columns by name."""
     import numpy as np
+    import pandas as pd
 
     def plain(v):
         if isinstance(v, (list, np.ndarray)):
             return str([plain(x) for x in v])
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "None"
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
