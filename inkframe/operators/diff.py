@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,19 +58,12 @@ def family_status(baseline: DataFrame, current: DataFrame, *keys: str) -> DataFr
 
 
 def greedy_matches(pairs: DataFrame, *keys: str, left: str, right: str, score: str) -> DataFrame:
-    """One-to-one matches per group, taken by (score descending, left, right). A group's candidate pairs fit a task."""
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([score, left, right], ascending=[False, True, True])
-        used_left, used_right, rows = set(), set(), []
-        for i, (a, b) in enumerate(zip(group[left], group[right], strict=True)):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                rows.append(i)
-        return group.iloc[rows]
-
-    return pairs.groupBy(*keys).applyInPandas(match, pairs.schema)
+    """One-to-one matches per group, taken by (score descending, left, right): a fold over the group's sorted candidates, which fit a row."""
+    row = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"), F.struct(*pairs.columns).alias("row"))
+    groups = pairs.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.array_sort(F.collect_list(row)).alias("p"))
+    taken = lambda acc, x: F.exists(acc, lambda t: (t["l"] == x["l"]) | (t["r"] == x["r"]))
+    matched = F.aggregate("p", F.filter("p", lambda x: F.lit(False)), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return groups.select(F.explode(matched).alias("m")).select("m.row.*")
 
 
 def sweep_rank(runs: DataFrame, *keys: str, editability: str = "editability_score", l1: str = "raster_l1_error", id_col: str = "id") -> DataFrame:

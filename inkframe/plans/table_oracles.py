@@ -12,8 +12,8 @@ _P = f"{_E}, dist AS (SELECT e.vec_id, e.label, cen.label AS predicted, sqrt(sum
 _ACC = f"{_P}, acc AS (SELECT label, count(*) AS n, count(*) FILTER (label = predicted) AS correct, count(*) FILTER (label = predicted) / count(*) AS accuracy FROM p GROUP BY label)"
 _R = """r AS (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS diagnostics, CASE WHEN quality = 0 THEN 0.2 WHEN doc_id % 3 = 0 THEN NULL ELSE 0.9 END AS editability, (n_chars % 100 / 100)::DOUBLE AS l1, quality, toxic
     FROM documents JOIN labels USING (doc_id))"""
-_S = """b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS t FROM orders WHERE o_orderkey % 7 <> 2),
-    n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS t FROM orders WHERE o_orderkey % 7 <> 1)"""
+_S = """b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS t FROM orders WHERE o_orderpriority <> '1-URGENT'),
+    n AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p, CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 10 ELSE o_totalprice END AS t FROM orders WHERE o_orderstatus <> 'P')"""
 _IOU = """greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"""
 
 ORACLE = {
@@ -74,15 +74,15 @@ ORACLE = {
             concat_ws(',', CASE WHEN worst < 0 THEN 'metric_dropped' END, CASE WHEN best < 0 THEN 'no_metric_improved' END, CASE WHEN best = 0 AND worst = 0 THEN 'unchanged' END) AS reasons FROM g""",
     "harvest_rejections": f"WITH {_R} SELECT CASE WHEN diagnostics > 0 THEN 'too_many_run_diagnostics' WHEN coalesce(editability, 1) < 0.5 THEN 'editability_score_too_low' WHEN l1 > 0.6 THEN 'raster_l1_error_too_high' ELSE 'accepted' END AS reason, count(*) AS n FROM r GROUP BY 1",
     "review_queue": f"WITH {_R} SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY l1 DESC, doc_id) AS ordinal, 'pending' AS decision FROM r WHERE diagnostics = 0",
-    "apply_review": f"""WITH {_R}, x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND toxic = 1 THEN 'reject' WHEN doc_id % 2 = 0 AND quality = 1 THEN 'accept' ELSE 'pending' END AS decision FROM r)
-        SELECT decision, CASE WHEN decision = 'accept' AND doc_id % 4 = 0 THEN 'circle' ELSE 'rect' END AS kind, count(*) AS n FROM x GROUP BY ALL""",
+    "apply_review": f"""WITH {_R}, x AS (SELECT doc_id, l1, CASE WHEN lang = 'de' THEN 'pending' WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'pending' END AS decision FROM r)
+        SELECT decision, CASE WHEN decision = 'accept' AND l1 > 0.5 THEN 'circle' ELSE 'rect' END AS kind, count(*) AS n FROM x GROUP BY ALL""",
     "issue_counts": f"WITH {_R} SELECT lang, issue, count(*) AS n FROM (SELECT lang, 'toxic' AS issue FROM r WHERE toxic = 1 UNION ALL SELECT lang, 'low_quality' FROM r WHERE quality = 0 UNION ALL SELECT lang, 'blurred' FROM r WHERE l1 > 0.6) GROUP BY ALL",
     "promotion_decision": """WITH g AS (SELECT l_orderkey AS case_id, l_quantity > 5 AS ok, l_returnflag = 'R' AS red, l_linenumber = 7 AS missing FROM lineitem),
         c AS (SELECT case_id, count(*) AS gates, count(*) FILTER (NOT ok AND red) AS red, count(*) FILTER (NOT ok AND NOT g.red) AS yellow, bool_or(missing) AS missing FROM g GROUP BY case_id)
         SELECT case_id, gates, red, yellow, CASE WHEN missing THEN 'deferred' WHEN red > 0 THEN 'rejected' WHEN yellow > 0 THEN 'deferred' ELSE 'promoted' END AS state, CASE WHEN red > 0 THEN 0 WHEN yellow > 0 THEN 1 ELSE 2 END AS sort_key FROM c""",
     "anchor_state_priority": """WITH s AS (SELECT l_orderkey, min(CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 WHEN l_tax > 0.04 THEN 3 ELSE 4 END) AS k FROM lineitem GROUP BY l_orderkey)
         SELECT ['promoted', 'rejected', 'deferred', 'fallback'][k] AS state, count(*) AS n FROM s GROUP BY k""",
-    "expectation_check": """WITH e AS (SELECT o_custkey, o_orderpriority AS kind, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS needed, CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS mx FROM orders WHERE o_orderkey % 3 = 0),
+    "expectation_check": """WITH e AS (SELECT o_custkey, o_orderpriority AS kind, o_orderkey AS ord, (sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey))::BIGINT AS needed, CASE WHEN o_totalprice > 150000 THEN 2 END AS mx FROM orders),
         t AS (SELECT o_custkey, o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY ALL)
         SELECT o_custkey, kind, ord, needed, n, NOT coalesce(n < needed OR n > mx, false) AS ok, CASE WHEN n < needed THEN 'shortfall' WHEN n > mx THEN 'excess' ELSE '' END AS reason FROM e JOIN t USING (o_custkey, kind)""",
     "region_gates": f"""WITH {_A}, b AS (SELECT * FROM a WHERE line = 1), h AS (SELECT b.run_id, b.anchor_index AS region_id, {_IOU} AS i, (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) AS s FROM b JOIN a ON a.run_id = b.run_id AND a.line > 1),
@@ -92,8 +92,8 @@ ORACLE = {
             FROM b FULL JOIN n ON b.k = n.k)
         SELECT CASE WHEN c IN ('added', 'removed') THEN c WHEN c = '' THEN 'same' ELSE 'changed' END AS status, CASE WHEN c IN ('added', 'removed') THEN '' ELSE c END AS changed_fields, count(*) AS n FROM f GROUP BY ALL""",
     "numeric_path_deltas": f"WITH {_S} SELECT b.k AS o_orderkey, 'o_totalprice' AS path, round(n.t - b.t, 4) AS delta FROM b JOIN n ON b.k = n.k WHERE n.t <> b.t",
-    "baseline_drift": """WITH f AS (SELECT c_custkey AS id, round(c_acctbal / 10000, 4) AS l1, round(c_acctbal / 20000, 4) AS iou FROM customer), b AS (SELECT * FROM f WHERE id % 17 <> 0),
-        n AS (SELECT id, l1 + CASE id % 4 WHEN 0 THEN 0.01 WHEN 1 THEN -0.01 ELSE 0.001 END AS l1, iou + CASE WHEN id % 6 = 0 THEN -0.05 ELSE 0 END AS iou FROM f WHERE id % 13 <> 0),
+    "baseline_drift": """WITH f AS (SELECT c_custkey AS id, c_nationkey AS k, c_mktsegment AS s, round(c_acctbal / 10000, 4) AS l1, round(c_acctbal / 20000, 4) AS iou FROM customer), b AS (SELECT * FROM f WHERE k <> 4),
+        n AS (SELECT id, l1 + CASE s WHEN 'BUILDING' THEN 0.01 WHEN 'MACHINERY' THEN -0.01 ELSE 0.001 END AS l1, iou + CASE WHEN s = 'AUTOMOBILE' THEN -0.05 ELSE 0 END AS iou FROM f WHERE k <> 3),
         t AS (SELECT id, 'l1' AS metric, n.l1 - b.l1 AS delta, n.l1 - b.l1 AS worse FROM b JOIN n USING (id) UNION ALL SELECT id, 'bbox_iou', n.iou - b.iou, b.iou - n.iou FROM b JOIN n USING (id))
         SELECT id, metric, round(delta, 6)::DOUBLE AS delta, CASE WHEN worse > 0.002 THEN 'regression' ELSE 'improvement' END AS finding FROM t WHERE abs(worse) > 0.002
         UNION ALL SELECT coalesce(b.id, n.id), '', NULL, CASE WHEN b.id IS NULL THEN 'added' ELSE 'removed' END FROM b FULL JOIN n ON b.id = n.id WHERE b.id IS NULL OR n.id IS NULL""",

@@ -249,7 +249,8 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
 
 def apply_review(spark: SparkSession, d: str) -> DataFrame:
     q = review.review_queue(_runs(spark, d).select("lang", "doc_id", F.lit("rect").alias("kind")), "lang", order=[F.col("doc_id")])
-    decisions = table(spark, d, "labels").filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("unsure").alias("decision"), F.when(F.col("doc_id") % 4 == 0, "circle").alias("corrected_kind"))
+    reviewed = _runs(spark, d).filter("lang <> 'de'")
+    decisions = reviewed.select("doc_id", F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("unsure").alias("decision"), F.when(F.col("l1") > 0.5, "circle").alias("corrected_kind"))
     return review.apply_review(q, decisions, "doc_id").groupBy("decision", "kind").agg(F.count("*").alias("n"))
 
 
@@ -274,7 +275,7 @@ def anchor_state_priority(spark: SparkSession, d: str) -> DataFrame:
 def expectation_check(spark: SparkSession, d: str) -> DataFrame:
     """Repeated expectations per customer and priority add up; what the customer's orders really hold is checked."""
     o = table(spark, d, "orders")
-    e = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("ord"), F.lit(1).alias("min_count"), F.when(F.col("o_orderkey") % 2 == 0, 2).alias("max_count"))
+    e = o.select("o_custkey", F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("min_count"), F.when(F.col("o_totalprice") > 150_000, 2).alias("max_count"))
     needed = review.cumulative_minimum(e, "o_custkey", selector="kind")
     actual = o.groupBy("o_custkey", F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"))
     return review.check_counts(needed, actual, "o_custkey", "kind").select("o_custkey", "kind", "ord", "needed", "n", "ok", F.coalesce("reason", F.lit("")).alias("reason"))
@@ -293,10 +294,11 @@ def region_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Before: the orders that were not urgent. After: those not pending, low-priority prices raised, large finished ones renamed."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    k = F.col("o_orderkey")
-    after = o.filter(k % 7 != 1).withColumn("o_totalprice", F.when(k % 5 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))).withColumn("o_orderstatus", F.when(k % 11 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return o.filter(k % 7 != 2), after
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    after = o.filter(status != "P").withColumns({"o_totalprice": F.when(F.col("o_orderpriority") == "5-LOW", price + 10).otherwise(price), "o_orderstatus": F.when((status == "F") & (price > 200_000), "X").otherwise(status)})
+    return o.filter("o_orderpriority <> '1-URGENT'"), after
 
 
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -311,9 +313,11 @@ def numeric_path_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline_drift(spark: SparkSession, d: str) -> DataFrame:
-    base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") / 10000, 4).alias("l1"), F.round(F.col("c_acctbal") / 20000, 4).alias("bbox_iou"))
-    now = base.filter("id % 13 <> 0").withColumn("l1", F.col("l1") + F.when(F.col("id") % 4 == 0, 0.01).when(F.col("id") % 4 == 1, -0.01).otherwise(0.001)).withColumn("bbox_iou", F.col("bbox_iou") + F.when(F.col("id") % 6 == 0, -0.05).otherwise(0.0))
-    out = diff.baseline_drift(base.filter("id % 17 <> 0"), now, "id", ["l1", "bbox_iou"], rising=("bbox_iou",))
+    """A nation's customers are new, another's are gone; by segment, errors rise, fall or stay within the tolerance."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment", F.round(F.col("c_acctbal") / 10000, 4).alias("l1"), F.round(F.col("c_acctbal") / 20000, 4).alias("bbox_iou"))
+    segment = F.col("c_mktsegment")
+    now = c.filter("c_nationkey <> 3").withColumn("l1", F.col("l1") + F.when(segment == "BUILDING", 0.01).when(segment == "MACHINERY", -0.01).otherwise(0.001)).withColumn("bbox_iou", F.col("bbox_iou") + F.when(segment == "AUTOMOBILE", -0.05).otherwise(0.0))
+    out = diff.baseline_drift(c.filter("c_nationkey <> 4"), now, "id", ["l1", "bbox_iou"], rising=("bbox_iou",))
     return out.select("id", "metric", F.round("delta", 6).alias("delta"), "finding")
 
 
@@ -324,7 +328,7 @@ def family_baseline_status(spark: SparkSession, d: str) -> DataFrame:
 
 def iou_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """Scene boxes against the next scene's, by inclusive-bounds IoU of at least 0.5."""
-    a = anchors(spark, d).filter("line <= 5").withColumns({c: F.col(c).cast("int") for c in ("min_x", "min_y", "max_x", "max_y")})
+    a = anchors(spark, d).withColumns({c: F.col(c).cast("int") for c in ("min_x", "min_y", "max_x", "max_y")})
     cols = ("min_x", "min_y", "max_x", "max_y")
     b = a.select((F.col("run_id") - 1).alias("run_id"), F.col("anchor_index").alias("after_id"), *[F.col(c).alias(f"b_{c}") for c in cols])
     iou = S.pixel_bounds_iou(tuple(F.col(c) for c in cols), tuple(F.col(f"b_{c}") for c in cols))
