@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +78,29 @@ def bounded(batch: pa.RecordBatch, most_bytes: int = 8_000_000) -> Iterator[pa.R
         yield batch.slice(start, rows)
 
 
+class Remembered:
+    """What has been made of keys: at most two generations of `most` entries. A full generation becomes the older one, and
+    what is used again moves on to the newer, so frequent keys stay and rare ones go."""
+
+    def __init__(self, most: int, longest: int = 64) -> None:
+        self.most, self.longest = most, longest
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def of(self, keys: set, make: Callable[[list], Iterable]) -> dict:
+        """A table with all keys in it; make gives the values of those that are in neither generation."""
+        if len(self.now) > self.most:
+            self.before, self.now = {k: v for k, v in self.now.items() if len(k) <= self.longest}, {}
+        now, before, new = self.now, self.before, []
+        for key in keys.difference(now):
+            if (had := before.get(key)) is not None:
+                now[key] = had
+            else:
+                new.append(key)
+        now.update(zip(new, make(new), strict=True))
+        return now
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

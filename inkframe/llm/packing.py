@@ -10,8 +10,9 @@ or a round frees too little. So the waste is that of a few groups, not of all.
 from __future__ import annotations
 
 import functools
+import unicodedata
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -29,35 +30,51 @@ GROUP_PIECES = 3_000
 LAST_GROUP_PIECES = 12_000
 #: Bins with at most this gap are final in any round.
 CLOSED_GAP = 8
-#: Words in a task's table of tokenized words; a full table is emptied. Longer words are not kept.
+#: Words in each of the two generations of a task's table of tokenized words.
 MOST_WORDS = 200_000
-LONGEST_KEPT = 64
 
 
 class WordTable:
     """word -> its ids, as little-endian 32-bit bytes.
 
     The tokenizer's rules neither look nor merge across ASCII white space (white space is dropped before its pre-tokenizer's
-    matches, and no match holds any), so a text's ids are those of its words, in order.
+    matches, and no match holds any), so a text's ids are those of its words, in order. It lowers case, so lowering ASCII
+    letters first changes nothing. A word that ends in ASCII signs after a letter or digit falls apart there, so the ids of
+    its stem, which more words share, and of the signs are looked up.
     """
 
     def __init__(self, path: str) -> None:
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = common.Remembered(MOST_WORDS)
+
+    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
+        for got in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
+            yield np.array(got.ids, "<u4").tobytes()
+
+    def _from_parts(self, words: list[bytes]) -> Iterator[bytes]:
+        cut = [stem_length(w) for w in words]
+        parts = {w[:k] for w, k in zip(words, cut, strict=True)} | {w[k:] for w, k in zip(words, cut, strict=True)}
+        known = self.known.of(parts, self._encode)
+        return (known[w[:k]] + known[w[k:]] for w, k in zip(words, cut, strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        words = [text.split() for text in texts]
-        new = list(set().union(*words).difference(known))
-        for word, got in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-        out = [b"".join([known[w] for w in row]) for row in words]
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del known[word]
-        return out
+        words = [text.lower().split() for text in texts]
+        known = self.known.of(set().union(*words), self._from_parts)
+        return [b"".join([known[w] for w in row]) for row in words]
+
+
+#: Fixed value: ASCII signs that, after a letter or digit, begin a match of their own. The apostrophe is not among them.
+SIGNS = b".,;:!?*#$%&|"
+
+
+def stem_length(word: bytes) -> int:
+    """Where a word may be cut: before its last signs if a letter or an ASCII digit precedes them, else at its end."""
+    stem = word.rstrip(SIGNS)
+    if not stem or len(stem) == len(word):
+        return len(word)
+    # as the tokenizer's normaliser leaves the last character: some letters become a letter and a mark
+    last = unicodedata.normalize("NFC", stem[-4:].decode(errors="ignore")[-1:]).lower()[-1:]
+    return len(stem) if last.isalpha() or stem[-1:].isdigit() else len(word)
 
 
 @functools.cache
