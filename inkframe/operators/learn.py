@@ -90,10 +90,16 @@ def positional_split(df: DataFrame, order: str, val: int, test: int) -> DataFram
     return df.withColumn("split", split)
 
 
-def training_gate(deltas: DataFrame, train_delta: Column, *, least_train: int = 1, least_best: float = 0.0, most_drop: float = 0.0) -> DataFrame:
-    """deltas (metric, delta) and train_delta (a number): decision reject > manual_review > accept, with reasons."""
+def training_gate(deltas: DataFrame, train_delta: Column, *, least_train: int = 1, least_best: float = 0.0, most_drop: float = 0.0, allow_unchanged: bool = False) -> DataFrame:
+    """deltas (metric, delta) and train_delta (a number): best, worst, status, decision reject > manual_review > accept, reasons.
+
+    The status is improved, regressed, mixed or unchanged; insufficient without deltas.
+    """
     one = deltas.agg(F.max("delta").alias("best"), F.min("delta").alias("worst"))
-    reasons = F.array_compact(F.array(F.when(train_delta < least_train, "too_few_added_examples"), F.when(F.col("worst") < -most_drop, "metric_dropped"), F.when(F.col("best") < least_best, "no_metric_improved"), F.when((F.col("best") == 0) & (F.col("worst") == 0), "unchanged")))
-    decision = F.when((train_delta < least_train) | (F.col("worst") < -most_drop), "reject").when(F.size(reasons) > 0, "manual_review").otherwise("accept")
-    verdict = F.when((F.col("best") > 0) & (F.col("worst") < 0), "mixed").when(F.col("best") > 0, "improved").when(F.col("worst") < 0, "regressed").otherwise("unchanged")
-    return one.select("best", "worst", verdict.alias("verdict"), decision.alias("decision"), F.concat_ws(",", reasons).alias("reasons"))
+    best, worst = F.col("best"), F.col("worst")
+    status = F.when(best.isNull(), "insufficient").when((best > 0) & (worst < 0), "mixed").when(best > 0, "improved").when(worst < 0, "regressed").otherwise("unchanged")
+    rejects = [("train_examples_delta_below_min", train_delta.isNull() | (train_delta < least_train)), ("best_accuracy_delta_below_min", best < least_best), ("worst_accuracy_delta_below_tolerance", worst < -most_drop), ("comparison_status_regressed", status == "regressed")]
+    reviews = [("missing_best_accuracy_delta", best.isNull()), ("missing_worst_accuracy_delta", worst.isNull()), ("comparison_status_mixed", status == "mixed"), ("comparison_status_unchanged", (status == "unchanged") & F.lit(not allow_unchanged)), ("comparison_status_insufficient", status == "insufficient")]
+    named = lambda checks: F.array_compact(F.array(*[F.when(test, name) for name, test in checks]))
+    decision = F.when(F.size(named(rejects)) > 0, "reject").when(F.size(named(reviews)) > 0, "manual_review").otherwise("accept")
+    return one.select("best", "worst", status.alias("status"), decision.alias("decision"), F.array_join(F.concat(named(rejects), named(reviews)), ",").alias("reasons"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
-from inkframe.operators import fit, raster, scene
+from inkframe.operators import fit, raster, render, scene
 from inkframe.sources.tables import table
 
 SIDE = 8
@@ -158,10 +158,35 @@ def column_mean_smoothness(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("image_id", F.round(S.line_smoothness_error(F.col("points")), 6).alias("line_smoothness_error"))
 
 
+def _disc(spark: SparkSession, d: str) -> DataFrame:
+    """Each raster's ink as the disc of its bounds."""
+    box = raster.component_geometry(ink(spark, d), "image_id")
+    w, h = F.col("max_x") - F.col("min_x") + 1, F.col("max_y") - F.col("min_y") + 1
+    return box.select("image_id", F.lit("ellipse").alias("kind"), F.lit(0).alias("anchor_index"), F.lit("#000000").alias("color"), "area", ((F.col("min_x") + F.col("max_x")) / 2).alias("cx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("cy"), (w / 2).alias("rx"), (h / 2).alias("ry"), F.lit(1.0).alias("width"), "min_x", "min_y", "max_x", "max_y")
+
+
+def render_error(spark: SparkSession, d: str) -> DataFrame:
+    """The ellipse of the bounds against the ink: pixels of one side over those of either."""
+    drawn = render.render(_disc(spark, d), "image_id", width=SIDE, height=SIDE)
+    return _rounded(render.coverage_error(ink(spark, d), drawn, "image_id"), "coverage_error")
+
+
+def outline_lengths(spark: SparkSession, d: str) -> DataFrame:
+    labelled = raster.connected_components(ink(spark, d), "image_id")
+    return render.trace_outline(labelled, "image_id", "component_id").groupBy("image_id", "component_id").agg(F.count("*").alias("steps"))
+
+
+def refined_circles(spark: SparkSession, d: str) -> DataFrame:
+    """Least-squares circles after four rounds of coordinate descent."""
+    p = ink(spark, d)
+    start = fit.kasa_circle(p, "image_id").filter("r > 0")
+    return _rounded(render.refine_circles(p, start, "image_id"), "cx", "cy", "r", "error")
+
+
 QUERIES = {f.__name__: f for f in (
     component_geometry, row_spans, boundary_pixels, projection_bands, connected_components_8, interior_gaps, gap_components, kasa_circle_fit, principal_axis,
     rect_fill_error, extreme_quad, ink_features, raster_fidelity, nearest_palette, modal_color, best_candidate, image_best_candidate, circular_smoothing,
-    tolerant_palette, dominant_palette, contact_pairs, svg_elements, boundary_roundness, column_mean_smoothness,
+    tolerant_palette, dominant_palette, contact_pairs, svg_elements, boundary_roundness, column_mean_smoothness, render_error, outline_lengths, refined_circles,
 )}
 
 _PX = "px AS (SELECT vec_id AS image_id, i::INT AS idx, (i % 8)::INT AS x, (i // 8)::INT AS y, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)), ink AS (SELECT image_id, idx, x, y FROM px WHERE v > 0)"
@@ -233,6 +258,9 @@ ORACLE = {
             FROM a JOIN a b ON a.image_id = b.image_id AND a.i < b.i AND a.color <> b.color)
         SELECT image_id, i AS anchor_index, j AS anchor_index_2, CASE WHEN inter > 0 THEN 'overlapping' ELSE 'touching' END AS relation, round(gap, 6) AS bounds_gap,
             round(CASE WHEN areas - inter > 0 THEN inter / (areas - inter) ELSE 0 END, 6)::DOUBLE AS bounds_iou FROM p WHERE gap <= 1 OR inter > 0""",
+    "render_error": f"""WITH {_PX}, b AS (SELECT image_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM ink GROUP BY image_id),
+        s AS (SELECT px.image_id, v > 0 AS i, x BETWEEN a AND b AND y BETWEEN c AND d AND sqrt(((x - (a + b) / 2) / ((b - a + 1) / 2)) ** 2 + ((y - (c + d) / 2) / ((d - c + 1) / 2)) ** 2) <= 1 AS o FROM px JOIN b USING (image_id))
+        SELECT image_id, round(count(*) FILTER (i <> o) / count(*) FILTER (i OR o), 6) AS coverage_error FROM s GROUP BY image_id""",
     "svg_elements": "SELECT element, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS element FROM pages) GROUP BY element",
     "column_mean_smoothness": f"""WITH {_PX}, m AS (SELECT image_id, x::DOUBLE AS x, avg(y) AS y FROM ink GROUP BY image_id, x),
         d AS (SELECT image_id, x, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM m WINDOW w AS (PARTITION BY image_id ORDER BY x))

@@ -69,9 +69,10 @@ ORACLE = {
     "softmax_step": f"WITH {_E} SELECT k::INT AS label, pos, round(-0.001 * avg(v * (0.1 - (label = k)::INT)), 9) AS weight FROM e, range(10) r(k) GROUP BY k, pos",
     "positional_split": "WITH d AS (SELECT lang, row_number() OVER (ORDER BY doc_id DESC) AS k FROM documents) SELECT CASE WHEN k <= 30 THEN 'test' WHEN k <= 50 THEN 'val' ELSE 'train' END AS split, lang, count(*) AS n FROM d GROUP BY ALL",
     "training_gate": f"""WITH {_ACC}, g AS (SELECT max(round(accuracy - 0.5, 6)) AS best, min(round(accuracy - 0.5, 6)) AS worst FROM acc)
-        SELECT best, worst, CASE WHEN best > 0 AND worst < 0 THEN 'mixed' WHEN best > 0 THEN 'improved' WHEN worst < 0 THEN 'regressed' ELSE 'unchanged' END AS verdict,
-            CASE WHEN worst < 0 THEN 'reject' WHEN best < 0 OR (best = 0 AND worst = 0) THEN 'manual_review' ELSE 'accept' END AS decision,
-            concat_ws(',', CASE WHEN worst < 0 THEN 'metric_dropped' END, CASE WHEN best < 0 THEN 'no_metric_improved' END, CASE WHEN best = 0 AND worst = 0 THEN 'unchanged' END) AS reasons FROM g""",
+        SELECT best, worst, CASE WHEN best > 0 AND worst < 0 THEN 'mixed' WHEN best > 0 THEN 'improved' WHEN worst < 0 THEN 'regressed' ELSE 'unchanged' END AS status,
+            CASE WHEN best < 0 OR worst < 0 THEN 'reject' WHEN best = 0 AND worst = 0 THEN 'manual_review' ELSE 'accept' END AS decision,
+            concat_ws(',', CASE WHEN best < 0 THEN 'best_accuracy_delta_below_min' END, CASE WHEN worst < 0 THEN 'worst_accuracy_delta_below_tolerance' END, CASE WHEN worst < 0 AND best <= 0 THEN 'comparison_status_regressed' END,
+                CASE WHEN best > 0 AND worst < 0 THEN 'comparison_status_mixed' END, CASE WHEN best = 0 AND worst = 0 THEN 'comparison_status_unchanged' END) AS reasons FROM g""",
     "harvest_rejections": f"WITH {_R} SELECT CASE WHEN diagnostics > 0 THEN 'too_many_run_diagnostics' WHEN coalesce(editability, 1) < 0.5 THEN 'editability_score_too_low' WHEN l1 > 0.6 THEN 'raster_l1_error_too_high' ELSE 'accepted' END AS reason, count(*) AS n FROM r GROUP BY 1",
     "review_queue": f"WITH {_R} SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY l1 DESC, doc_id) AS ordinal, 'pending' AS decision FROM r WHERE diagnostics = 0",
     "apply_review": f"""WITH {_R}, x AS (SELECT doc_id, l1, CASE WHEN lang = 'de' THEN 'pending' WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'pending' END AS decision FROM r)
@@ -88,6 +89,15 @@ ORACLE = {
     "region_gates": f"""WITH {_A}, b AS (SELECT * FROM a WHERE line = 1), h AS (SELECT b.run_id, b.anchor_index AS region_id, {_IOU} AS i, (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) AS s FROM b JOIN a ON a.run_id = b.run_id AND a.line > 1),
         q AS (SELECT run_id, region_id, CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END AS iou FROM h), g AS (SELECT run_id, region_id, count(*) FILTER (iou >= 0.1) AS matched, max(iou) AS best_iou FROM q GROUP BY ALL)
         SELECT b.run_id, b.anchor_index AS region_id, coalesce(matched, 0) AS matched, round(best_iou, 6) AS best_iou, coalesce(matched, 0) >= 1 AS ok FROM b LEFT JOIN g ON b.run_id = g.run_id AND b.anchor_index = g.region_id""",
+    "proposal_summary": f"""WITH {_A}, s AS (SELECT parameter_count > 45 AS late, CASE WHEN weight <= 2000 THEN 'missing_anchor_summary' WHEN raster_error > 0.08 THEN 'anchor_quality_error_too_high' WHEN node_count <= 1 THEN 'anchor_not_reserved' ELSE 'geometry_gate_passed' END AS r FROM a)
+        SELECT CASE WHEN late THEN 'deferred' ELSE 'proposed' END AS status, CASE WHEN late OR r <> 'geometry_gate_passed' THEN 'rejected' ELSE 'accepted' END AS downstream_status, CASE WHEN late THEN '' ELSE r END AS reason, count(*) AS n FROM s GROUP BY ALL""",
+    "case_failures": f"""WITH {_A}, f AS (SELECT 'fallback_path' AS category, 'kind' AS metric FROM a WHERE kind = 'cubic_path' AND color <> 'O' UNION ALL SELECT 'visual_drift', 'size' FROM a WHERE node_count >= 4
+            UNION ALL SELECT 'visual_drift', 'raster_l1_error' FROM a WHERE raster_error > 0.05 UNION ALL SELECT 'visual_drift', 'raster_edge_error' FROM a WHERE quality_error > 0.04
+            UNION ALL SELECT 'visual_drift', 'raster_alpha_error' FROM a WHERE parameter_count <= 2 UNION ALL SELECT 'geometry_drift', 'bbox_iou' FROM a WHERE parameter_count / 50 < 0.5)
+        SELECT category, metric, count(*) AS n FROM f GROUP BY ALL""",
+    "tile_grids": """WITH t AS (SELECT DISTINCT p_brand, p_partkey % 5 AS x, p_size // 10 AS y FROM part)
+        SELECT p_brand, count(*) AS tiles, count(DISTINCT y)::INT AS rows, count(DISTINCT x)::INT AS columns, round(count(*) / (count(DISTINCT x) * count(DISTINCT y)), 6) AS occupancy FROM t GROUP BY p_brand
+        HAVING count(*) >= 4 AND count(DISTINCT x) >= 2 AND count(DISTINCT y) >= 2 AND count(*) / (count(DISTINCT x) * count(DISTINCT y)) >= 0.6""",
     "snapshot_diff": f"""WITH {_S}, f AS (SELECT CASE WHEN b.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE concat_ws(',', CASE WHEN b.s IS DISTINCT FROM n.s THEN 'o_orderstatus' END, CASE WHEN b.p IS DISTINCT FROM n.p THEN 'o_orderpriority' END, CASE WHEN b.t IS DISTINCT FROM n.t THEN 'o_totalprice' END) END AS c
             FROM b FULL JOIN n ON b.k = n.k)
         SELECT CASE WHEN c IN ('added', 'removed') THEN c WHEN c = '' THEN 'same' ELSE 'changed' END AS status, CASE WHEN c IN ('added', 'removed') THEN '' ELSE c END AS changed_fields, count(*) AS n FROM f GROUP BY ALL""",

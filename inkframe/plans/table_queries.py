@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
-from inkframe.operators import diff, fit, learn, raster, review, scene
+from inkframe.operators import diff, fit, learn, proposals, raster, review, scene
 from inkframe.sources.tables import table
 
 
@@ -290,6 +290,31 @@ def region_gates(spark: SparkSession, d: str) -> DataFrame:
     return _round(review.region_gates(regions, a.filter("line > 1").select("run_id", *cols), iou, "run_id"), "best_iou")
 
 
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
+    a = anchors(spark, d)
+    state = proposals.initial_status(F.col("parameter_count"), 45)
+    return a.select("run_id", "anchor_index", F.when(F.col("weight") > 2000, F.col("kind")).alias("anchor_kind"), F.create_map(F.lit("raster_error"), F.col("raster_error"), F.lit("width"), F.col("weight")).alias("anchor_metrics"), (F.col("node_count") > 1).alias("anchor_reserved"), state.alias("s")).select("*", "s.*").drop("s")
+
+
+def proposal_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals by status and reason after the geometry gate."""
+    out = proposals.gate_proposals(_proposals(spark, d), 0.08, True)
+    return out.groupBy("status", "downstream_status", F.coalesce("downstream_decision_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def case_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of line items as quality cases, per category and metric."""
+    a = anchors(spark, d)
+    c = a.select(F.concat_ws("/", "run_id", "anchor_index").alias("case_id"), (F.col("node_count") < 4).alias("size_match"), F.col("raster_error").alias("raster_l1_error"), F.col("quality_error").alias("raster_edge_error"), F.when(F.col("parameter_count") > 2, 0.0).alias("raster_alpha_error"), F.lit(0.05).alias("max_raster_l1_error"), F.lit(0.04).alias("max_raster_edge_error"), F.lit(0.1).alias("max_raster_alpha_error"), (F.col("kind") == "cubic_path").cast("int").alias("fallback_count"), (F.col("color") == "O").alias("allow_cubic_path"), (F.col("parameter_count") / 50).alias("bbox_iou"), F.lit(0.5).alias("min_bbox_iou"))
+    return proposals.case_failures(c).groupBy("category", "metric").agg(F.count("*").alias("n"))
+
+
+def tile_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Grids among the parts of a brand and type group, placed by key and size."""
+    t = table(spark, d, "part").select("p_brand", (F.col("p_partkey") % 5 * 10).cast("double").alias("x"), (F.floor(F.col("p_size") / 10) * 10).cast("double").alias("y"), F.lit(8.0).alias("w"), F.lit(8.0).alias("h")).distinct()
+    return _round(proposals.tile_grid(t, "p_brand"), "occupancy")
+
+
 # comparison ---------------------------------------------------------------------------------------------------------
 
 
@@ -345,6 +370,6 @@ QUERIES = {f.__name__: f for f in (
     diagnostic_stage_counts, run_summary, json_path_values, palette_summary, layer_index, scene_metrics, editability_components, quality_metric_summary, metric_error_sums, cv_metrics, best_anchor,
     top_contributors, equivalence_dedup, same_color_merge_plan, merge_exact_rects, parallel_groups, scene_contacts, occluded_groups, text_like_groups, group_context, coordinate_clusters, cluster_axis,
     spacing_error, class_centroids, feature_importance, predict_nearest, confusion, label_accuracy, standardize_features, ranking_eval, multilabel_exact_match, softmax_step, positional_split, training_gate,
-    harvest_rejections, review_queue, apply_review, issue_counts, promotion_decision, anchor_state_priority, expectation_check, region_gates, snapshot_diff, numeric_path_deltas, baseline_drift,
+    harvest_rejections, review_queue, apply_review, issue_counts, promotion_decision, anchor_state_priority, expectation_check, region_gates, proposal_summary, case_failures, tile_grids, snapshot_diff, numeric_path_deltas, baseline_drift,
     family_baseline_status, iou_greedy_match, sweep_rank,
 )}

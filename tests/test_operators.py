@@ -185,3 +185,38 @@ def test_stream_matches_batch(spark, tmp_path, data):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("stages").collect()} == {tuple(r) for r in windowed_stage_counts(events).collect()}
+
+
+def test_outline_and_render(spark):
+    from inkframe.operators import render
+
+    m = mask(spark, ["###", "###", "###"])
+    walk = [(r.x, r.y) for r in render.trace_outline(m, "image_id").orderBy("ord").collect()]
+    assert walk[0] == (0, 0) and sorted(walk) == sorted({(x, y) for x in range(3) for y in range(3)} - {(1, 1)})
+    assert [(r.x, r.y) for r in render.trace_outline(mask(spark, ["#"]), "image_id").collect()] == [(0, 0)]
+    shapes = spark.createDataFrame([("m", 0, "rect", "#111111", 0.0, 0.0, 2.0, 2.0), ("m", 1, "rect", "#222222", 2.0, 2.0, 9.0, 9.0)], "image_id string, anchor_index int, kind string, color string, min_x double, min_y double, max_x double, max_y double")
+    shapes = shapes.withColumns({c: F.lit(1.0) for c in ("cx", "cy", "rx", "ry", "width")})
+    drawn = {(r.x, r.y): r.color for r in render.render(shapes, "image_id", width=4, height=4).collect()}
+    assert drawn[2, 2] == "#222222" and drawn[0, 0] == "#111111" and len(drawn) == 9 + 4 - 1
+
+
+def test_refinement_never_gets_worse(spark):
+    from inkframe.operators import render
+
+    ink = spark.createDataFrame([(0, x, y) for x in range(9) for y in range(9) if math.hypot(x - 4, y - 4) <= 3], "k int, x int, y int")
+    start = spark.createDataFrame([(0, 5.0, 4.0, 2.0)], "k int, cx double, cy double, r double")
+    one_round, more = (render.refine_circles(ink, start, "k", rounds=n).first() for n in (1, 6))
+    assert more.error <= one_round.error and abs(more.cx - 4) <= 0.5
+
+
+def test_gates_and_features(spark):
+    from inkframe.operators import proposals
+
+    p = spark.createDataFrame([("pending", None, None, True), ("pending", "rect", {"a_error": 0.5}, True), ("pending", "rect", {"x": 9.0}, False), ("pending", "rect", {"x": 9.0}, True), ("rejected", None, None, True)], "downstream_status string, anchor_kind string, anchor_metrics map<string,double>, anchor_reserved boolean")
+    got = [(r.downstream_status, r.downstream_decision_reason) for r in proposals.gate_proposals(p, 0.1, True).collect()]
+    assert got == [("rejected", "missing_anchor_summary"), ("rejected", "anchor_quality_error_too_high"), ("rejected", "anchor_not_reserved"), ("accepted", "geometry_gate_passed"), ("rejected", None)]
+    schema = "node_count int, parameter_count int, circle struct<cx:double,cy:double,r:double>, stroke struct<centerline:array<struct<x:double,y:double>>,width_samples:array<double>>, quad struct<corners:array<struct<x:double,y:double>>>, metrics map<string,double>, group_kinds array<string>"
+    a = spark.createDataFrame([(1, 3, (0.0, 0.0, 7.0), None, None, {"quad_subtype_code": 2.0}, ["perspective_grid", "other"]), (2, 5, None, ([(0.0, 0.0), (3.0, 4.0)], [2.0, 4.0]), None, None, None)], schema)
+    first, second = (r.features for r in proposals.anchor_features(a).collect())
+    assert len(first) == len(proposals.FEATURE_NAMES) and first[:4] == [1, 3, 1, 7] and first[10:13] == [2, 2, 1]
+    assert second[4:7] == [1, 3, 5] and second[11] == 0
