@@ -10,6 +10,8 @@ or a round frees too little. So the waste is that of a few groups, not of all.
 from __future__ import annotations
 
 import functools
+import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,12 +46,14 @@ class WordTable:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core, not the machine's
         self.model = Tokenizer.from_file(path)
         self.known = common.Remembered(MOST_WORDS)
 
     def _encode(self, words: list[bytes]) -> Iterator[bytes]:
         for got in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
-            yield np.array(got.ids, "<u4").tobytes()
+            ids = got.ids
+            yield struct.pack(f"<{len(ids)}I", *ids)
 
     def _from_parts(self, words: list[bytes]) -> Iterator[bytes]:
         cut = [stem_length(w) for w in words]
