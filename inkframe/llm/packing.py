@@ -62,11 +62,14 @@ class WordTable:
         return (known[w[:k]] + known[w[k:]] for w, k in zip(words, cut, strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        words = [text.lower().split() for text in texts]
+        # a special token's mark is matched before case is lowered, so such texts are left as they are
+        words = [(text if SPECIAL in text else text.lower()).split() for text in texts]
         known = self.known.of(set().union(*words), self._from_parts)
         return [b"".join([known[w] for w in row]) for row in words]
 
 
+#: Fixed value: how the tokenizer's special tokens begin.
+SPECIAL = b"<|"
 #: Fixed value: ASCII signs that, after a letter or digit, begin a match of their own. The apostrophe is not among them.
 SIGNS = b".,;:!?*#$%&|"
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -178,6 +179,9 @@ def test_hot_group_is_subdivided(spark):
 
 def test_ids_are_the_tokenizers(odd_texts):
     table, tokenizer = packing.WordTable(WORDS), Tokenizer.from_file(WORDS)
+    draw = random.Random(4)
+    signs = [*"abcXYZ'.,;:!?*#$%&|\" \n\t-_0159éÉßİक़Σσ日本😀́ﬁÅ²½…\x1c\xa0", "'s", "'ll ", "ABC", "<|endoftext|>", "<|ENDOFTEXT|>."]
+    odd_texts = [*odd_texts, *("".join(draw.choices(signs, k=draw.randrange(24))) for _ in range(3000))]
     got = table.texts([(t or "").encode() for t in odd_texts])
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd_texts]
 
