@@ -111,3 +111,40 @@ def top_k(df: DataFrame, *keys: str, k: int, order: list[Column]) -> DataFrame:
     """The first k rows of each group by order, with rank from 1; Spark limits each group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+#: The ring's largest aspect, the arc's least and largest span in radians and its densest box.
+RING_ASPECT, ARC_LEAST, ARC_MOST, ARC_DENSITY = 0.18, 0.3, 5.9, 0.55
+
+
+def ring_fit(pixels: DataFrame, *keys: str) -> DataFrame:
+    """Ring about the centroid per group: radius, width, area error, and whether the ring's gates hold."""
+    box = pixels.groupBy(*keys).agg(F.count("*").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    d = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    far = pixels.join(box, [*keys]).groupBy(*keys).agg((F.max(d) + 0.5).alias("outer"), F.greatest(F.min(d) - 0.5, F.lit(0.0)).alias("inner"))
+    full = F.lit(3.141592653589793) * (F.col("outer") * F.col("outer") - F.col("inner") * F.col("inner"))
+    out = box.join(far, [*keys]).withColumn("area_error", F.abs(F.col("area") - full) / full)
+    aspect = 1 - F.least("w", "h") / F.greatest("w", "h")
+    ok = (F.greatest("w", "h") >= 6) & (aspect <= RING_ASPECT) & (F.col("inner") / F.col("outer") >= RING_INNER) & (F.col("area_error") <= RING_AREA)
+    return out.select(*keys, "cx", "cy", ((F.col("inner") + F.col("outer")) / 2).alias("r"), (F.col("outer") - F.col("inner")).alias("width"), "area_error", ok.alias("is_ring"))
+
+
+def arc_fit(pixels: DataFrame, *keys: str) -> DataFrame:
+    """Least-squares circle with the arc's span: the full turn less the widest gap between the pixels' angles."""
+    circle = kasa_circle(pixels, *keys).filter("r > 0")
+    at = pixels.join(circle, [*keys]).select(*keys, "cx", "cy", "r", "x", "y", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("a"))
+    turn = 6.283185307179586
+    w = Window.partitionBy(*keys).orderBy("a")
+    step = at.withColumn("gap", F.col("a") - F.lag("a").over(w))
+    g = step.groupBy(*keys).agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("r").alias("r"), F.count("*").alias("n"), F.greatest(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(turn) - (F.max("a") - F.min("a"))).alias("gap"), ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).alias("box"))
+    span, density = F.lit(turn) - F.col("gap"), F.col("n") / F.col("box")
+    return g.select(*keys, "cx", "cy", "r", span.alias("span"), density.alias("density"), ((density <= ARC_DENSITY) & (span >= ARC_LEAST) & (span <= ARC_MOST)).alias("is_arc"))
+
+
+def stroke_profile(pixels: DataFrame, *keys: str) -> DataFrame:
+    """A stroke read column by column: mean width, its variation, and the bow of the centreline from its chord over its length."""
+    columns = pixels.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count("*").alias("width"))
+    ends = columns.groupBy(*keys).agg(F.min_by("y", "x").alias("y0"), F.max_by("y", "x").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    off = F.abs(F.col("y") - (F.col("y0") + F.coalesce(F.try_divide((F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")), F.col("x1") - F.col("x0")), F.lit(0.0))))
+    length = F.greatest(F.hypot(F.first("x1") - F.first("x0"), F.first("y1") - F.first("y0")), F.lit(1.0))
+    return columns.join(ends, [*keys]).groupBy(*keys).agg(F.avg("width").alias("mean_width"), (F.stddev_pop("width") / F.avg("width")).alias("stroke_width_variance"), (F.max(off) / length).alias("bow"))

@@ -183,10 +183,23 @@ def refined_circles(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(render.refine_circles(p, start, "image_id"), "cx", "cy", "r", "error")
 
 
+def ring_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fit.ring_fit(ink(spark, d), "image_id"), "cx", "cy", "r", "width", "area_error")
+
+
+def arc_fit(spark: SparkSession, d: str) -> DataFrame:
+    out = fit.arc_fit(ink(spark, d), "image_id")
+    return _rounded(out.select("image_id", "span", "density", "is_arc"), "span", "density", digits=5)
+
+
+def stroke_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fit.stroke_profile(ink(spark, d), "image_id"), "mean_width", "stroke_width_variance", "bow")
+
+
 QUERIES = {f.__name__: f for f in (
     component_geometry, row_spans, boundary_pixels, projection_bands, connected_components_8, interior_gaps, gap_components, kasa_circle_fit, principal_axis,
     rect_fill_error, extreme_quad, ink_features, raster_fidelity, nearest_palette, modal_color, best_candidate, image_best_candidate, circular_smoothing,
-    tolerant_palette, dominant_palette, contact_pairs, svg_elements, boundary_roundness, column_mean_smoothness, render_error, outline_lengths, refined_circles,
+    tolerant_palette, dominant_palette, contact_pairs, svg_elements, boundary_roundness, column_mean_smoothness, render_error, outline_lengths, refined_circles, ring_fit, arc_fit, stroke_profile,
 )}
 
 _PX = "px AS (SELECT vec_id AS image_id, i::INT AS idx, (i % 8)::INT AS x, (i // 8)::INT AS y, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)), ink AS (SELECT image_id, idx, x, y FROM px WHERE v > 0)"
@@ -258,6 +271,14 @@ ORACLE = {
             FROM a JOIN a b ON a.image_id = b.image_id AND a.i < b.i AND a.color <> b.color)
         SELECT image_id, i AS anchor_index, j AS anchor_index_2, CASE WHEN inter > 0 THEN 'overlapping' ELSE 'touching' END AS relation, round(gap, 6) AS bounds_gap,
             round(CASE WHEN areas - inter > 0 THEN inter / (areas - inter) ELSE 0 END, 6)::DOUBLE AS bounds_iou FROM p WHERE gap <= 1 OR inter > 0""",
+    "ring_fit": f"""WITH {_PX}, b AS (SELECT image_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM ink GROUP BY image_id),
+        f AS (SELECT image_id, max(sqrt((x-cx)**2 + (y-cy)**2)) + 0.5 AS o, greatest(min(sqrt((x-cx)**2 + (y-cy)**2)) - 0.5, 0) AS i FROM ink JOIN b USING (image_id) GROUP BY image_id),
+        e AS (SELECT *, abs(area - pi()*(o*o-i*i)) / (pi()*(o*o-i*i)) AS er FROM b JOIN f USING (image_id))
+        SELECT image_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round((i+o)/2, 6) AS r, round(o-i, 6) AS width, round(er, 6) AS area_error, greatest(w, h) >= 6 AND 1 - least(w, h)/greatest(w, h) <= 0.18 AND i/o >= 0.25 AND er <= 0.45 AS is_ring FROM e""",
+    "stroke_profile": f"""WITH {_PX}, c AS (SELECT image_id, x, avg(y) AS y, count(*) AS w FROM ink GROUP BY image_id, x),
+        e AS (SELECT image_id, arg_min(y, x) AS y0, arg_max(y, x) AS y1, min(x) AS x0, max(x) AS x1 FROM c GROUP BY image_id),
+        o AS (SELECT image_id, w, abs(y - (y0 + coalesce((y1-y0)*(x-x0)/nullif(x1-x0, 0), 0))) AS off, greatest(sqrt((x1-x0)**2 + (y1-y0)**2), 1) AS len FROM c JOIN e USING (image_id))
+        SELECT image_id, round(avg(w), 6) AS mean_width, round(stddev_pop(w)/avg(w), 6) AS stroke_width_variance, round(max(off)/any_value(len), 6) AS bow FROM o GROUP BY image_id""",
     "render_error": f"""WITH {_PX}, b AS (SELECT image_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM ink GROUP BY image_id),
         s AS (SELECT px.image_id, v > 0 AS i, x BETWEEN a AND b AND y BETWEEN c AND d AND sqrt(((x - (a + b) / 2) / ((b - a + 1) / 2)) ** 2 + ((y - (c + d) / 2) / ((d - c + 1) / 2)) ** 2) <= 1 AS o FROM px JOIN b USING (image_id))
         SELECT image_id, round(count(*) FILTER (i <> o) / count(*) FILTER (i OR o), 6) AS coverage_error FROM s GROUP BY image_id""",
