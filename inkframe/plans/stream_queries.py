@@ -12,11 +12,11 @@ def windowed_stages(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the stream: day windows of diagnostic stages."""
     e = table(spark, d, "events")
     coded = e.replace({"click": "fit_circle", "view": "palette_quantized", "error": "arc_fit_failed", "signup": "export_svg"}, subset=["event_type"])
-    return windowed_stage_counts(coded).selectExpr("CAST(window_start AS DATE) AS day", "stage", "n")
+    return windowed_stage_counts(coded).selectExpr("date_format(window_start, 'yyyy-MM-dd') AS day", "stage", "n")
 
 
 QUERIES = {"windowed_stages": windowed_stages}
 ORACLE = {
-    "windowed_stages": """SELECT ts::DATE AS day, CASE event_type WHEN 'click' THEN 'fitting' WHEN 'view' THEN 'palette' WHEN 'error' THEN 'fitting' WHEN 'signup' THEN 'export' ELSE 'unknown' END AS stage, count(*) AS n
+    "windowed_stages": """SELECT strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'click' THEN 'fitting' WHEN 'view' THEN 'palette' WHEN 'error' THEN 'fitting' WHEN 'signup' THEN 'export' ELSE 'unknown' END AS stage, count(*) AS n
         FROM events GROUP BY ALL""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_A = """a AS (SELECT l_orderkey AS run_id, l_linenumber::BIGINT * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS anchor_index, l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 'circle' WHEN 'N' THEN 'rect' ELSE 'cubic_path' END AS kind, l_linestatus AS color,
+_A = """a AS (SELECT l_orderkey AS run_id, l_linenumber::BIGINT * 100000000000000000 + l_partkey * 10000000000 + l_suppkey * 1000 + l_quantity::BIGINT AS anchor_index, l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 'circle' WHEN 'N' THEN 'rect' ELSE 'cubic_path' END AS kind, l_linestatus AS color,
     l_discount AS raster_error, l_tax AS quality_error, l_quantity::INT AS parameter_count, l_linenumber % 4 + 1 AS node_count, l_extendedprice AS weight, (l_partkey % 100)::DOUBLE AS x0, (l_suppkey % 100)::DOUBLE AS y0,
     (l_partkey % 100 + l_quantity)::DOUBLE AS x1, (l_suppkey % 100 + l_quantity / 2)::DOUBLE AS y1 FROM lineitem)"""
 _MERGE = """m AS (SELECT run_id, color, count(*) AS fragments, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum((x1-x0)*(y1-y0)) AS fragment_area FROM a GROUP BY run_id, color HAVING count(*) > 1),

@@ -19,7 +19,7 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "circle").when(F.col("l_returnflag") == "N", "rect").otherwise("cubic_path")
     x, y = F.col("l_partkey") % 100, F.col("l_suppkey") % 100
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber").cast("long") * 10**15 + F.col("l_partkey") * 10**7 + F.col("l_suppkey")).alias("anchor_index"), F.col("l_linenumber").alias("line"), kind.alias("kind"), F.col("l_linestatus").alias("color"), F.col("l_discount").alias("raster_error"), F.col("l_tax").alias("quality_error"),
+        F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber").cast("long") * 10**17 + F.col("l_partkey") * 10**10 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")).alias("anchor_index"), F.col("l_linenumber").alias("line"), kind.alias("kind"), F.col("l_linestatus").alias("color"), F.col("l_discount").alias("raster_error"), F.col("l_tax").alias("quality_error"),
         F.col("l_quantity").cast("int").alias("parameter_count"), (F.col("l_linenumber") % 4 + 1).alias("node_count"), F.col("l_extendedprice").alias("weight"),
         x.cast("double").alias("min_x"), y.cast("double").alias("min_y"), (x + F.col("l_quantity")).cast("double").alias("max_x"), (y + F.col("l_quantity") / 2).cast("double").alias("max_y"),
     )
