@@ -172,3 +172,20 @@ def circular_smoothing(df: DataFrame, *keys: str, value: str, ordinal: str, size
     w = Window.partitionBy(*keys).orderBy("__o").rowsBetween(-window, window)
     out = wrapped.withColumn("smoothed", F.when(F.col("__p"), F.col("__v")).otherwise(F.avg("__v").over(w))).filter(F.col("__shift") == 0)
     return out.select(*keys, F.col("__o").alias(ordinal), F.col("__v").alias(value), "smoothed")
+
+
+def promote_occluded(anchors: DataFrame, *keys: str, covered: float = 0.6, box_share: float = 0.04) -> DataFrame:
+    """Mergeable same-colour rectangular fragments become one rectangle if what hides the rest of it is there: anchors of other
+    colours that cover at least `covered` of the hidden area, or `box_share` of the box if nothing is hidden.
+
+    Returns (keys, color, fragments, hidden_area, cover_area, promoted) per group of fragments; cover areas of several occluders add up.
+    """
+    cols = ("min_x", "min_y", "max_x", "max_y")
+    box = tuple(F.col(c) for c in cols)
+    rects = anchors.groupBy(*keys, "color").agg(F.min(F.col("kind").isin("rect", "quad")).alias("__rects"))
+    plan = merge_plan(anchors, *keys, "color").filter("auto_merge_allowed").join(rects, [*keys, "color"]).filter("__rects")
+    other = anchors.select(*keys, F.col("color").alias("__other"), *[F.col(c).alias(f"o_{c}") for c in cols])
+    over = plan.join(other, [*keys]).filter(F.col("color") != F.col("__other")).withColumn("__cover", S.bounds_intersection(box, tuple(F.col(f"o_{c}") for c in cols))).filter("__cover > 0")
+    out = over.groupBy(*keys, "color").agg(F.first("fragments").alias("fragments"), F.first("combined_area").alias("__box"), F.first(F.greatest(F.col("combined_area") - F.col("fragment_area"), F.lit(0.0))).alias("hidden_area"), F.sum("__cover").alias("cover_area"))
+    enough = F.when(F.col("hidden_area") > 0, F.col("cover_area") >= covered * F.col("hidden_area")).otherwise(F.col("cover_area") >= box_share * F.col("__box"))
+    return out.select(*keys, "color", "fragments", "hidden_area", "cover_area", enough.alias("promoted"))

@@ -220,3 +220,9 @@ def test_gates_and_features(spark):
     first, second = (r.features for r in proposals.anchor_features(a).collect())
     assert len(first) == len(proposals.FEATURE_NAMES) and first[:4] == [1, 3, 1, 7] and first[10:13] == [2, 2, 1]
     assert second[4:7] == [1, 3, 5] and second[11] == 0
+
+
+def test_promotion_of_occluded_rects(spark):
+    rows = [(1, "rect", "red", 0, 0, 4, 10), (1, "rect", "red", 6, 0, 10, 10), (1, "circle", "blue", 4, 0, 6, 9), (2, "rect", "red", 0, 0, 4, 10), (2, "rect", "red", 6, 0, 10, 10), (2, "rect", "blue", 4, 0, 5, 1), (3, "cubic_path", "red", 0, 0, 4, 10), (3, "rect", "red", 6, 0, 10, 10), (3, "rect", "blue", 4, 0, 6, 10)]
+    df = spark.createDataFrame([(k, n, c, *map(float, b)) for k, n, c, *b in rows], "run int, kind string, color string, min_x double, min_y double, max_x double, max_y double")
+    assert {r.run: (r.hidden_area, r.promoted) for r in scene.promote_occluded(df, "run").collect()} == {1: (20.0, True), 2: (20.0, False)}
