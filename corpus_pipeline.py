@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm import common, cuckoo_dedup, packing, quality_rules, secret_scans, simhash
+from inkframe.llm import common, cuckoo_dedup, near_texts, packing, quality_rules, secret_scans
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of texts with 0.8 or more of their five-word shingles in common, the row with the smallest doc_id stays."""
+    return near_texts.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
