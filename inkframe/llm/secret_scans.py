@@ -1,8 +1,10 @@
 """Secret scans: three patterns, and a token-efficiency test for random strings that no pattern names.
 
-A random string falls into many short tokens of a byte-pair vocabulary: it has few characters per token. Strings that
-are random but no secret (digests of known lengths, UUIDs) and identifiers (words and numbers joined by _ - . /) are
-left out of that test; what the patterns find stays.
+A random string falls into many short tokens of a byte-pair vocabulary: it has few characters per token. A string is
+tested as a whole, and where that finds nothing, its parts between separators and its runs of short tokens are, so that
+a path or a name before a secret does not hide it. Strings that are random but no secret (digests of known lengths,
+UUIDs), numbers, and identifiers of words that the vocabulary knows are left out of that test; what the patterns find
+stays.
 """
 
 from __future__ import annotations
@@ -37,6 +39,12 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words (lower, upper or capitalised, a few digits after them at most) and numbers joined by separators.
 IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)(?:[/_.=+-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+))*[/_.=+-]*")
 CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
+#: The words of an identifier, of which those over SHORT_WORD letters must have CHARS_PER_TOKEN themselves.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SHORT_WORD = 2
+SEPARATORS = "/_.=+-"
+PART = re.compile(r"[A-Za-z0-9]+")
+LEAST = 20
 CHARS_PER_TOKEN = 2.0
 #: Longer strings are encoded in pieces of this length.
 PIECE = 4096
@@ -54,10 +62,72 @@ def chars_per_token(text: str, path: str) -> float:
     return len(text) / max(1, sum(len(encode(text[i : i + PIECE])) for i in range(0, len(text), PIECE)))
 
 
-def is_known(text: str) -> bool:
-    """A digest of a known length, a UUID or an identifier."""
+def is_plain(text: str) -> bool:
+    """A digest of a known length, a UUID or a number."""
+    return bool(len(text) in DIGEST_LENGTHS and DIGEST.fullmatch(text) or UUID.fullmatch(text) or (text.isascii() and text.isdigit()))
+
+
+def is_known(text: str, path: str, most: float = CHARS_PER_TOKEN) -> bool:
+    """A digest of a known length, a UUID, a number, or an identifier whose words have `most` characters per token each."""
     bare = text.strip("=.-_/+")
-    return bool(len(bare) in DIGEST_LENGTHS and DIGEST.fullmatch(bare) or UUID.fullmatch(bare) or IDENTIFIER.fullmatch(bare) or CAMEL.fullmatch(bare))
+    if is_plain(bare):
+        return True
+    if not (IDENTIFIER.fullmatch(bare) or CAMEL.fullmatch(bare)):
+        return False
+    return all(chars_per_token(w, path) >= most for w in WORD.findall(bare) if len(w) > SHORT_WORD)
+
+
+def dense_runs(text: str, path: str, most: float = CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """(start, end) of what has under `most` characters per token over LEAST characters or a few more, widened to whole
+    parts. Separators do not count; digests, UUIDs and numbers in it end a run."""
+    plain = [m.span() for m in UUID.finditer(text)] + [m.span() for m in PART.finditer(text) if is_plain(m[0])]
+    in_plain = bytearray(len(text))
+    for a, b in plain:
+        in_plain[a:b] = b"\1" * (b - a)
+    encoding, at = _encoding(path), 0
+    tokens: list[tuple[int, int]] = []  # of one stretch: (start, characters that count)
+    found: list[tuple[int, int]] = []
+
+    def close() -> None:
+        first = held = 0
+        for i, (_, size) in enumerate(tokens):
+            held += size
+            while held - tokens[first][1] >= LEAST:
+                held -= tokens[first][1]
+                first += 1
+            if held >= LEAST and held < most * (i + 1 - first):
+                # a long token at an end is not the run's, unless it is of a part of the run
+                a, b = first, i
+                while a < b and tokens[a][1] > most:
+                    a += 1
+                while b > a and tokens[b][1] > most:
+                    b -= 1
+                found.append((tokens[a][0], tokens[b][0] + 1))
+        tokens.clear()
+
+    for start in range(0, len(text), PIECE):
+        for token in encoding.encode_ordinary(text[start : start + PIECE]):
+            end = at + len(encoding.decode_single_token_bytes(token))
+            if any(in_plain[at:end]):
+                close()
+            else:
+                place = next((k for k in range(at, end) if text[k] not in SEPARATORS), None)
+                if place is not None:
+                    tokens.append((place, sum(c not in SEPARATORS for c in text[at:end])))
+            at = end
+    close()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and b <= out[-1][1]:
+            continue
+        while a > 0 and text[a - 1] not in SEPARATORS:
+            a -= 1
+        while b < len(text) and text[b] not in SEPARATORS:
+            b += 1
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,8 +143,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def token_spans(text: str, path: str, most: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """Strings with fewer characters per token than most, without known digests and identifiers."""
-    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if not is_known(m[0]) and chars_per_token(m[0], path) < most]
+    """Strings with fewer characters per token than most, without known digests and identifiers: whole runs of the
+    candidates' characters, or else the parts and dense runs of them that are so."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        if chars_per_token(m[0], path) < most and not is_known(m[0], path, most):
+            found.append((m.start(), 3, m.end()))
+            continue
+        runs = dense_runs(m[0], path, most)
+        for p in PART.finditer(m[0]):
+            if len(p[0]) >= LEAST and chars_per_token(p[0], path) < most and not is_known(p[0], path, most) and not any(a < p.end() and p.start() < b for a, b in runs):
+                runs.append(p.span())
+        found += [(m.start() + a, 3, m.start() + b) for a, b in sorted(runs)]
+    return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
