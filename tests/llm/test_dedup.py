@@ -119,6 +119,41 @@ def test_links_reach_all_pairs_within_two_bits(spark):
     assert len(set(want)) == len(set(mine)) == len(set(zip(want, mine, strict=True)))
 
 
+def test_links_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    draw, marks = random.Random(8), []
+    for _ in range(4):
+        mark = draw.getrandbits(64)
+        for _ in range(120):  # bursts around one mark: most share a whole segment
+            marks.append(mark ^ sum(1 << draw.randrange(64) for _ in range(draw.randrange(4))) % 2**64)
+    marks = list(dict.fromkeys(marks))
+    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
+    frame = spark.createDataFrame([(m,) for m in signed], "fp long")
+    assert simhash.bucket_pairs(simhash.segment_table(frame)).filter("a_n > 3 or b_n > 3").count()
+    edges = simhash.links(frame)
+    assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 2 for r in edges.collect())
+    found = {r.node: r.root for r in components.components(edges).collect()}
+    want, mine = brute_components(marks), [found.get(s, s) for s in signed]
+    assert len(set(want)) == len(set(mine)) == len(set(zip(want, mine, strict=True)))
+
+
+def test_complete_distances_are_verified(spark):
+    # the first segments agree, or differ in one bit; the second ones differ in 1, 2, 3 and 30 bits
+    marks = [5, 5 ^ 1 << 40, 4 ^ 3 << 50, 5 ^ 7 << 33, 4 ^ (2**30 - 1) << 33]
+    frame = spark.createDataFrame([(m,) for m in marks], "fp long")
+    candidates = [(a, b) for i, a in enumerate(marks) for b in marks[:i]]
+    near = {(max(a, b), min(a, b)) for a, b in candidates if (a ^ b).bit_count() <= 2}
+    assert len(near) < len(candidates) and {(r.u, r.v) for r in simhash.links(frame).collect()} == near
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    text = " ".join(words(4000, 3, 5000))
+    other = " ".join(words(300, 12, 5000))
+    data = [(5, text), (7, text + " "), (7, other), (None, text + "  "), (5, text + "\t")]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert len(kept) == 2 and (7, other) in kept and any(i == 5 for i, _ in kept)
+
+
 def test_near_groups(spark, odd, empty):
     text = " ".join(words(4000, 3, 5000))
     near = text.replace(" ", "  ", 3)
