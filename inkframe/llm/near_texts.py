@@ -1,12 +1,17 @@
 """Near copies by word shingles: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Pairs are found by prefix filtering (Chaudhuri et al., 2006), which leaves none out. All shingles have one order; a set
-of n, whose similar sets share at least 0.8 n with it, shares one of its first n - ceil(0.8 n) + 1 with each of them. The
-order is by hash, with shingles that are frequent in a sample last, so that common passages are seldom looked up; the
-sample has no influence on what is found. Under a shingle all are held against the smallest and the largest row first,
-and then, of different components only, those outside the shingle's largest component against all. Each pair's
-similarity is verified on its texts, after signatures (parity bitmaps, Sandes et al., 2020) have shown most of those that
-are not similar.
+First come the candidates of the SimHash index (fingerprints of the same shingles within 2 bits), each verified on its
+texts. At a similarity of 0.8 fingerprints differ in ten bits on average, which no set of small Hamming balls reaches, so
+the index alone can't give the whole result. What it leaves is found by prefix filtering (Chaudhuri et al., 2006), which
+leaves none out: all shingles have one order; a set of n, whose similar sets share at least 0.8 n with it, shares one of
+its first n - ceil(0.8 n) + 1 with each of them. The order is by hash, with shingles that are frequent in a sample last,
+so that common passages are seldom looked up; the sample has no influence on what is found. Under a shingle all are held
+against the smallest and the largest row first, and then, of different components only, those outside the shingle's
+largest component against all.
+
+Signatures (parity bitmaps, Sandes et al., 2020) of as many bits as a set has shingles, or more, show nearly all pairs
+that are not similar before their texts are fetched. Texts are fetched through a bitmap of the rows that take part, of a
+fixed size: what it leaves out takes no part in the shuffle, and what it lets through by chance the join drops.
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ from collections.abc import Iterable
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm import common
+from inkframe.llm import common, simhash
 from inkframe.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -30,7 +36,10 @@ SIMILARITY = Fraction(4, 5)
 SAMPLE = 20_000
 LEAST_COUNT = 8
 MOST_FREQUENT = 200_000
-SIGNATURE_BITS = 512
+#: A signature has a power of two of bits, LEAST_BITS or as many as the set has shingles.
+LEAST_BITS = 512
+#: Bits of the bitmap of rows.
+BITMAP_BITS = 1 << 24
 _FACTOR, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -94,9 +103,22 @@ def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """SIGNATURE_BITS parities: as many bits as two signatures differ in, or more, are shingles of one set only."""
-    parity = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % SIGNATURE_BITS, minlength=SIGNATURE_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+    """Parities of the set's shingles by their hash: as many bits as two signatures differ in, or more, are shingles of one set only."""
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
+    parity = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(a: F.Column, b: F.Column) -> F.Column:
+    """The bits in which two signatures differ; the longer one is folded onto the length of the other."""
+
+    def folded(x: F.Column, to: F.Column) -> F.Column:
+        # bit k of a signature of half the length is the parity of bits k and k + half
+        return F.when(F.size(x) > to, F.zip_with(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    size = F.least(F.size(a), F.size(b))
+    differ = F.zip_with(folded(a, size), folded(b, size), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(differ, F.lit(0), lambda acc, x: acc + x)
 
 
 def prefixes(rows: DataFrame, width: int, least: Fraction) -> DataFrame:
@@ -117,15 +139,36 @@ def possible(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (u, v) without those that sizes and signatures show not to be similar; none that is similar is left out."""
     end = lambda e: marks.select(F.col("row").alias(f"__{e}"), F.col("n").alias(f"{e}_n"), F.col("signature").alias(f"{e}_s"))
     both = pairs.join(end("u"), F.col("u") == F.col("__u")).join(end("v"), F.col("v") == F.col("__v"))
-    apart = sum((F.bit_count(F.col("u_s")[k].bitwiseXOR(F.col("v_s")[k])) for k in range(SIGNATURE_BITS // 64)), F.lit(0))
+    # sets of similar sizes only, so signatures are of one length or one is twice as long
+    both = both.filter(F.least("u_n", "v_n") * least.denominator >= F.greatest("u_n", "v_n") * least.numerator)
+    apart, n = _apart(F.col("u_s"), F.col("v_s")), F.col("u_n") + F.col("v_n")
     # both / (n - both) >= least, where n is the sum of the sizes and both is (n - apart) / 2 at most
-    n = F.col("u_n") + F.col("v_n")
     return both.filter((n - apart) * least.denominator >= (n + apart) * least.numerator).select("u", "v")
 
 
+def through_bitmap(ids: DataFrame, row_col: str = "row") -> F.Column:
+    """A filter by row_col: true for all rows in ids (column row), and by chance for a few others. Ids of any number make
+    a bitmap of BITMAP_BITS, which is all that is sent."""
+    place = lambda column: F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    words = ids.select(place("row").alias("place")).groupBy(F.floor(F.col("place") / 64).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    held = np.zeros(BITMAP_BITS // 64, np.int64)
+    held[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    sent = ids.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return passes(place(row_col))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """Those of the distinct pairs (u, v) of row numbers whose texts are similar."""
-    text = lambda end: rows.select(F.col("row").alias(f"__{end}"), F.col("text").alias(f"{end}_text"))
+    """Those of the distinct, staged pairs (u, v) of row numbers whose texts are similar."""
+    taking_part = pairs.select(F.explode(F.array("u", "v")).alias("row"))
+    texts = common.stage(rows.filter(through_bitmap(taking_part)).select("row", "text"), "texts")
+    text = lambda end: texts.select(F.col("row").alias(f"__{end}"), F.col("text").alias(f"{end}_text"))
     both = pairs.join(text("u"), F.col("u") == F.col("__u")).join(text("v"), F.col("v") == F.col("__v")).select("u", "v", "u_text", "v_text")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,7 +183,20 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, least: Fraction) ->
         good = pa.array([similar(a, b, least) for a, b in zip(sets("u"), sets("v"), strict=True)], pa.bool_())
         return batch.select(["u", "v"]).filter(good)
 
-    return common.map_batches(both, check, "u long, v long")
+    found = common.stage(common.map_batches(both, check, "u long, v long"), "near")
+    common.drop_staged(rows.sparkSession, texts)
+    return found
+
+
+def simhash_candidates(rows: DataFrame, width: int) -> DataFrame:
+    """(u, v): pairs of rows whose fingerprints are equal or linked in the SimHash index, enough to connect all that are."""
+    marks = common.stage(simhash.with_fingerprint(rows, "row", "text", width), "fingerprints")
+    firsts = common.stage(marks.groupBy("fp").agg(F.min("doc").alias("first")), "firsts")
+    alike = marks.join(firsts.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).filter("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v"))
+    edges = simhash.links(firsts.select("fp")).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    row = lambda end: firsts.select(F.col("fp").alias(f"fp_{end}"), F.col("first").alias(f"row_{end}"))
+    linked = edges.join(row("a"), F.col("a") == F.col("fp_a")).join(row("b"), F.col("b") == F.col("fp_b"))
+    return alike.unionByName(linked.select(F.greatest("row_a", "row_b").alias("u"), F.least("row_a", "row_b").alias("v")))
 
 
 def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
@@ -152,7 +208,8 @@ def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILAR
     members = common.stage(keys.join(shared, F.col("key") == F.col("of")).select("key", "row", "n", "first", "last"), "members")
     ends = members.filter("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
     ends = ends.unionByName(members.filter("row <> last and row <> first").select(F.col("last").alias("u"), F.col("row").alias("v")))
-    near = common.stage(verified(common.stage(possible(ends.distinct(), marks, least), "possible"), rows, width, least), "near")
+    pairs = ends.unionByName(simhash_candidates(rows, width)).distinct()
+    near = verified(common.stage(possible(pairs, marks, least), "possible"), rows, width, least)
 
     roots = components(near)
     mine = members.join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
@@ -182,5 +239,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = roots.join(numbered.select("__row", F.col(id_col).alias("id")), F.col("node") == F.col("__row")).select("root", "node", "id")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
     stay = ids.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.node").alias("kept"))
-    gone = roots.join(stay, F.col("node") == F.col("kept"), "left_anti").select("node")
-    return numbered.join(gone, F.col("__row") == F.col("node"), "left_anti").select(*docs.columns)
+    gone = common.stage(roots.join(stay, F.col("node") == F.col("kept"), "left_anti").select(F.col("node").alias("row")), "gone")
+    # only what the bitmap lets through is looked up; all others go past the shuffle
+    asked = through_bitmap(gone, "__row")
+    looked_up = numbered.filter(asked).join(gone, F.col("__row") == gone["row"], "left_anti")
+    return numbered.filter(~asked).unionByName(looked_up).select(*docs.columns)

@@ -47,13 +47,15 @@ def _repeat_words(windows: F.Column) -> F.Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_bind(ordered, covered))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id_col, host, row_no, the base counts and flags of the rules) per row of docs; null texts have no words."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
+    """(__id, host, the base counts and flags of the rules) per row of docs; null texts have no words. carry: __doc, the whole row, too."""
     text = common.text_or_empty(text_col)
-    df = docs.select(F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("t"))
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("__doc")] if carry else []
+    df = docs.select(F.col(id_col).alias("__id"), *whole, F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("t"))
     df = df.withColumn("words", F.filter(F.split("t", common.GAP), lambda w: w != "")).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.select(
-        id_col,
+        "__id",
+        *(["__doc"] if carry else []),
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -102,6 +104,16 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return out
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: bool = False) -> DataFrame:
+    """measure(), with each row's verdict in kept; what the hosts are joined to is staged, so no text is measured twice."""
+    measured = common.stage(measure(docs, id_col, text_col, host_col, carry), "measured")
+    hosts = host_rates(measured)
+    fails = lambda r: F.col(f"failed_{r}") & (F.col(f"rate_{r}") >= HOST_CLEAN * F.col(f"mean_{r}"))
+    verdict = ~F.col("base_failed") & (F.col("rate_any") < HOST_REJECTED) & ~fails("symbol") & ~fails("upper") & ~fails("dup_line")
+    slim = hosts.select(F.col("host").alias("of"), *[f"{k}_{r}" for r in ("symbol", "upper", "dup_line") for k in ("rate", "mean")], "rate_any")
+    return measured.join(slim, F.col("host") == F.col("of"), "left").withColumn("kept", verdict)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
@@ -109,16 +121,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     than the corpus. Null and empty texts fail as short. Documents without a host (null) share the host ''. An empty
     table gives no rows; other columns are not read. Repeated rows are judged each.
     """
-    measured = common.stage(measure(docs, id_col, text_col, host_col), "measured")
-    hosts = host_rates(measured)
-    fails = lambda r: F.col(f"failed_{r}") & (F.col(f"rate_{r}") >= HOST_CLEAN * F.col(f"mean_{r}"))
-    verdict = ~F.col("base_failed") & (F.col("rate_any") < HOST_REJECTED) & ~fails("symbol") & ~fails("upper") & ~fails("dup_line")
-    slim = hosts.select(F.col("host").alias("of"), *[f"{k}_{r}" for r in ("symbol", "upper", "dup_line") for k in ("rate", "mean")], "rate_any")
-    return measured.join(slim, F.col("host") == F.col("of"), "left").select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
+    judged = _judged(docs, id_col, text_col, host_col)
+    return judged.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Rows that share an id go only if all that share it are rejected."""
-    verdicts = judge(docs, id_col, text_col, host_col).groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("__kept"))
-    gone = verdicts.filter(~F.col("__kept")).select("__id")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that are kept, with all their columns, each by its own verdict: ids play no part, and may be repeated or null."""
+    return _judged(docs, id_col, text_col, host_col, carry=True).filter("kept").select("__doc.*")

@@ -3,6 +3,8 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: The quality rules whose rates hosts have.
+HOST_RULES = ("symbol", "upper", "dup_line", "any")
 #: Names that the operators use inside.
 CLASHES = ("row_no", "doc", "fp", "digest", "host", "words", "label", "score", "kept", "h", "d", "range", "shard", "piece", "sequence_id", "spans", "t", "of")
 
