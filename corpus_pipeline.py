@@ -23,7 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with 0.8 or more of their five-word shingles in common, the row with the smallest doc_id stays."""
+    """Of each group of texts with 0.8 or more of their five-word shingles in common, the row with the smallest doc_id stays.
+    The SimHash index finds the nearest copies, prefix filtering the others; an exact check follows both."""
     return near_texts.one_of_each(docs)
 
 
