@@ -94,16 +94,100 @@ def test_language_model(odd, empty, monkeypatch, documents):
     assert held.score.sum() > held.base_score.sum()
 
 
+def train_on(texts, spark):
+    from inkframe.llm import common
+
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    return brown_lm.train_model(train, common.stage(brown_lm.count_words(train), "words"))
+
+
 def test_transitions_and_emissions_are_distributions(documents):
     train = documents.filter("doc_id % 3 = 0").select("text")
     from inkframe.llm import common
 
-    model = brown_lm.train_model(train, common.stage(brown_lm.count_words(train), "words"))
-    assert np.allclose((10**model.transitions).sum(axis=1), 1)
-    own = model.classes[model.units]
-    top = np.bincount(own, model.counts + 0.1, brown_lm.CLASSES)
+    model, rest = brown_lm.train_model(train, common.stage(brown_lm.count_words(train), "words"))
+    assert np.allclose((10 ** model.transitions[:, : brown_lm.SIDE]).sum(axis=1), 1)
+    top = np.bincount(model.classes, model.counts + 0.1, brown_lm.CLASSES)
     share = top / 10 ** model.emission_below[: brown_lm.CLASSES]
-    assert (share <= 1 + 1e-9).all() and share.max() > 0.5
+    assert (share <= 1 + 1e-9).all() and share.max() > 0.5 and rest.count() == 0
+
+
+def test_every_word_has_a_class_of_its_own(spark, documents, monkeypatch):
+    """Of all tiers of words: counts, classes and scores against brute force over the model's own classes."""
+    monkeypatch.setattr(brown_lm, "OWN_WORDS", 200)
+    monkeypatch.setattr(brown_lm, "SENT_WORDS", 900)
+    docs = documents.limit(120)
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in docs.collect()}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    model, rest = train_on([" ".join(w.decode() for w in t) for i, t in texts.items() if not held[i]], spark)
+    tail = {bytes(r.word): (r.c, r["class"]) for r in rest.collect()}
+    counts = Counter(w for i, t in texts.items() if not held[i] for w in t)
+    sent = {w: (int(model.counts[k]), int(model.classes[k])) for w, k in model.words.items()}
+    assert len(sent) <= 900 and not set(sent) & set(tail) and {w: c for w, (c, _) in (sent | tail).items()} == counts
+    table = sent | tail
+    below = model.emission_below
+    # class bigrams of all neighbours but two words of the tail
+    matrix = np.zeros((brown_lm.SIDE, brown_lm.SIDE))
+    for i, t in texts.items():
+        if not held[i]:
+            path = [brown_lm.END_CLASS, *[table[w][1] for w in t], brown_lm.END_CLASS]
+            cold = [False, *[w in tail for w in t], False]
+            for k in range(len(path) - 1):
+                if not (cold[k] and cold[k + 1]):
+                    matrix[path[k], path[k + 1]] += 1
+    want = np.log10((matrix + 0.5) / (matrix.sum(axis=1, keepdims=True) + 0.5 * brown_lm.SIDE))
+    assert np.allclose(want, model.transitions[:-1, :-1])
+    # all words, and one unseen one, have a probability of 1 in sum after any class
+    for a in range(brown_lm.SIDE + 1):
+        seen = sum(10 ** (model.transitions[a, k] - below[k]) * (c + 0.1) for c, k in table.values())
+        assert seen + 10 ** model.transitions[a, -1] + 10 ** model.transitions[a, brown_lm.END_CLASS] == pytest.approx(1)
+    out = {r.doc_id: r for r in brown_lm.score_texts(docs).collect()}
+    for i, t in texts.items():
+        at = [table.get(w, (0, brown_lm.UNSEEN)) for w in t]
+        path = [brown_lm.END_CLASS, *[c for _, c in at], brown_lm.END_CLASS]
+        score = sum(model.transitions[a, b] for a, b in zip(path[:-1], path[1:], strict=True)) + sum(math.log10(c + 0.1) - below[k] for c, k in at if c)
+        assert out[i].score == pytest.approx(score, abs=1e-6) and out[i].n_known == sum(c > 0 for c, _ in at) + 1
+
+
+def test_exchange_ends_where_no_word_gains():
+    draw = np.random.default_rng(4)
+    # four kinds of words, each followed by the next kind
+    walk = [int(draw.integers(0, 10)) * 4 + k % 4 for k in range(6000)]
+    counts = np.zeros((41, 41))
+    np.add.at(counts, (walk, walk[1:] + [40]), 1)
+    counts[40, walk[0]] += 1
+    classes, matrix = brown_lm.exchange(counts)
+    hot = np.zeros((41, brown_lm.SIDE))
+    hot[np.arange(41), classes] = 1
+    assert np.allclose(hot.T @ counts @ hot, matrix)
+    prior = lambda h: sum(math.lgamma(n + 1) for n in h[:40, : brown_lm.CLASSES].sum(axis=0))
+    best = brown_lm.likelihood(matrix) + prior(hot)
+    for u in range(40):
+        for to in range(brown_lm.CLASSES):
+            other = hot.copy()
+            other[u] = 0
+            other[u, to] = 1
+            assert brown_lm.likelihood(other.T @ counts @ other) + prior(other) <= best + 1e-4
+
+
+def test_placing_is_the_best_insertion():
+    draw = np.random.default_rng(6)
+    matrix = np.zeros((brown_lm.SIDE, brown_lm.SIDE))
+    matrix[:8, :8] = draw.integers(1, 500, (8, 8))
+    left, right = np.zeros((3, brown_lm.SIDE)), np.zeros((3, brown_lm.SIDE))
+    left[:, :8], right[:, :8] = draw.integers(0, 20, (3, 8)), draw.integers(0, 20, (3, 8))
+    both = np.concatenate([left, right], axis=1)
+    w, k = np.nonzero(both)
+    types = draw.integers(0, 50, brown_lm.CLASSES)
+    got = brown_lm.choose(w, k, both[w, k], 3, matrix, np.full(3, -1), types)
+    for i in range(3):
+        def gain(c, i=i):
+            # each side's share of the likelihood: what is beside itself apart
+            f = brown_lm._xlogx
+            rise = (f(matrix[c] + right[i]) - f(matrix[c])).sum() + (f(matrix[:, c] + left[i]) - f(matrix[:, c])).sum()
+            return math.log(types[c] + 1) + rise - f(matrix[c].sum() + right[i].sum()) + f(matrix[c].sum()) - f(matrix[:, c].sum() + left[i].sum()) + f(matrix[:, c].sum())
+
+        assert got[i] == max(range(brown_lm.CLASSES), key=gain)
 
 
 def test_exchange_raises_the_likelihood():
