@@ -5,9 +5,11 @@ texts. At a similarity of 0.8 fingerprints differ in ten bits on average, which
 the index alone can't give the whole result. What it leaves is found by prefix filtering (Chaudhuri et al., 2006), which
 leaves none out: all shingles have one order; a set of n, whose similar sets share at least 0.8 n with it, shares one of
 its first n - ceil(0.8 n) + 1 with each of them. The order is by hash, with shingles that are frequent in a sample last,
-so that common passages are seldom looked up; the sample has no influence on what is found. Under a shingle all are held
-against the smallest and the largest row first, and then, of different components only, those outside the shingle's
-largest component against all.
+so that common passages are seldom looked up; the sample has no influence on what is found. Each row is held against the
+smallest and the largest of all rows that share a shingle of its prefix first, which joins most groups of copies. Then,
+of different components under a shingle only, those outside the shingle's largest component are held against all: that
+comparison looks at signatures and grows with the square of the components under a shingle, but gives out only the
+pairs that may be similar.
 
 Signatures (parity bitmaps, Sandes et al., 2020) of as many bits as a set has shingles, or more, show nearly all pairs
 that are not similar before their texts are fetched. Texts are fetched through a bitmap of the rows that take part, of a
@@ -139,11 +141,17 @@ def possible(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (u, v) without those that sizes and signatures show not to be similar; none that is similar is left out."""
     end = lambda e: marks.select(F.col("row").alias(f"__{e}"), F.col("n").alias(f"{e}_n"), F.col("signature").alias(f"{e}_s"))
     both = pairs.join(end("u"), F.col("u") == F.col("__u")).join(end("v"), F.col("v") == F.col("__v"))
-    # sets of similar sizes only, so signatures are of one length or one is twice as long
-    both = both.filter(F.least("u_n", "v_n") * least.denominator >= F.greatest("u_n", "v_n") * least.numerator)
-    apart, n = _apart(F.col("u_s"), F.col("v_s")), F.col("u_n") + F.col("v_n")
-    # both / (n - both) >= least, where n is the sum of the sizes and both is (n - apart) / 2 at most
-    return both.filter((n - apart) * least.denominator >= (n + apart) * least.numerator).select("u", "v")
+    return both.filter(_may_be_similar("u", "v", least)).select("u", "v")
+
+
+def _may_be_similar(u: str, v: str, least: Fraction) -> F.Column:
+    """By sizes (<end>_n) and signatures (<end>_s); false only for sets that are not similar."""
+    u_n, v_n = F.col(f"{u}_n"), F.col(f"{v}_n")
+    apart, n = _apart(F.col(f"{u}_s"), F.col(f"{v}_s")), u_n + v_n
+    # both / (n - both) >= least, where n is the sum of the sizes and both is (n - apart) / 2 at most; signatures of sets
+    # of similar sizes are of one length, or one is twice as long
+    fits = F.least(u_n, v_n) * least.denominator >= F.greatest(u_n, v_n) * least.numerator
+    return F.when(fits, (n - apart) * least.denominator >= (n + apart) * least.numerator).otherwise(False)
 
 
 def through_bitmap(ids: DataFrame, row_col: str = "row") -> F.Column:
@@ -206,26 +214,26 @@ def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILAR
     keys = marks.select("row", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").withColumnRenamed("key", "of")
     members = common.stage(keys.join(shared, F.col("key") == F.col("of")).select("key", "row", "n", "first", "last"), "members")
-    ends = members.filter("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
-    ends = ends.unionByName(members.filter("row <> last and row <> first").select(F.col("last").alias("u"), F.col("row").alias("v")))
-    pairs = ends.unionByName(simhash_candidates(rows, width)).distinct()
+    ends = members.groupBy("row").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    pairs = ends.filter("first < row").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    pairs = pairs.unionByName(ends.filter("row < last").select(F.col("last").alias("u"), F.col("row").alias("v"))).unionByName(simhash_candidates(rows, width)).distinct()
     near = verified(common.stage(possible(pairs, marks, least), "possible"), rows, width, least)
 
     roots = components(near)
-    mine = members.join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
+    mine = members.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     mine = common.stage(mine, "rooted")
     common.drop_staged(spark, members)
     # the component with the most rows under a key
     sizes = mine.groupBy("key", "root").agg(F.count("*").alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("of"), F.col("m.root").alias("main"))
-    split = common.stage(mine.join(most, F.col("key") == F.col("of")).drop("of"), "split")
+    split = mine.join(most, F.col("key") == F.col("of")).drop("of").join(marks.select(F.col("row").alias("of"), "n", "signature"), F.col("row") == F.col("of"))
+    split = common.stage(split.select("key", "row", "root", "main", "n", "signature"), "split")
     common.drop_staged(spark, mine)
-    a = split.filter("root <> main and row <> first and row <> last").select("key", F.col("row").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-    b = split.filter("row <> first and row <> last").select(F.col("key").alias("of"), F.col("row").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"), (F.col("root") != F.col("main")).alias("small"))
-    fits = F.least("a_n", "b_n") * least.denominator >= F.greatest("a_n", "b_n") * least.numerator
-    met = a.join(b, (F.col("key") == F.col("of")) & (F.col("a_root") != F.col("b_root")) & (~F.col("small") | (F.col("a") > F.col("b"))) & fits)
-    pairs = met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    return near.unionByName(verified(common.stage(possible(pairs, marks, least), "possible"), rows, width, least))
+    side = lambda e: split.select(F.col("key").alias(f"key_{e}"), F.col("row").alias(e), F.col("root").alias(f"{e}_root"), (F.col("root") != F.col("main")).alias(f"{e}_small"), F.col("n").alias(f"{e}_n"), F.col("signature").alias(f"{e}_s"))
+    apart = (F.col("key_u") == F.col("key_v")) & (F.col("u_root") != F.col("v_root")) & (~F.col("v_small") | (F.col("u") > F.col("v")))
+    met = side("u").filter("u_small").join(side("v"), apart & _may_be_similar("u", "v", least))
+    pairs = common.stage(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "possible")
+    return near.unionByName(verified(pairs, rows, width, least))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
