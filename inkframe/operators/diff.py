@@ -23,11 +23,27 @@ def numeric_deltas(before: DataFrame, after: DataFrame, key: str, fields: list[s
 
 
 def flatten_json(df: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, path, value) of the numbers in a JSON text, objects nested up to two levels; booleans are not numbers."""
-    maps = df.select(key, F.explode(F.from_json(document, "map<string,string>")).alias("path", "text"))
-    inner = maps.select(key, "path", "text", F.explode_outer(F.from_json("text", "map<string,string>")).alias("sub", "subtext"))
-    leaf = inner.select(key, F.when(F.col("sub").isNull(), F.col("path")).otherwise(F.concat_ws(".", "path", "sub")).alias("path"), F.coalesce("subtext", "text").alias("text"))
-    return leaf.select(key, "path", F.expr("try_cast(text AS double)").alias("value")).filter(F.col("value").isNotNull())
+    """(key, path, value) of the numbers in a JSON text, at any depth; the path's steps are joined by dots.
+
+    A step of an object is the field's name, one of a list the item's id, or its place from 0 without one. Strings, even
+    of digits, and booleans are no numbers; null and malformed texts give no rows. Each level is one explode, and the
+    levels end where no object or list is left.
+    """
+    kind = lambda c: F.schema_of_variant(c)
+    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v")).filter("v is not null")
+    found = None
+    while True:
+        nested = F.lower(kind(F.col("v"))).rlike("^(object|array)")
+        number = F.lower(kind(F.col("v"))).rlike("^(bigint|double|float|decimal)")
+        leaves = level.filter(number).select(key, "path", F.col("v").cast("double").alias("value"))
+        found = leaves if found is None else found.unionByName(leaves)
+        inner = level.filter(nested)
+        if inner.isEmpty():
+            return found
+        items = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        named = F.coalesce(F.col("key"), F.try_variant_get("value", "$.id", "string"), F.col("pos").cast("string")) if key != "key" else None
+        step = named
+        level = items.select(level[key], F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), F.col("value").alias("v"))
 
 
 def baseline_drift(baseline: DataFrame, current: DataFrame, key: str, metrics: list[str], rising: tuple[str, ...] = (), tolerance: float = 0.002) -> DataFrame:

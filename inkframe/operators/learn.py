@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from inkframe.operators.raster import nearest_of
@@ -74,20 +74,27 @@ def softmax_step(examples: DataFrame, weights: list[list[float]], labels: list,
 
 
 def positional_split(df: DataFrame, order: str, val: int, test: int) -> DataFrame:
-    """split by position in order: first train, then val rows, then test rows at the end.
+    """split by position in order: first train, then val rows, then test rows at the end. Of rows with equal order, which
+    are next to each other, those of the smaller row hash come first, so that the counts hold with ties; null comes first.
 
-    The position comes from the number of rows: the last val + test rows are found by a top-k, not by a sort of all.
+    Only the two rows at which a part begins come to the driver, found by a top-k over two numbers a row.
     """
-    tail = df.select(F.col(order).alias("__o")).orderBy(F.desc(order)).limit(val + test)
-    edges = tail.agg(F.sort_array(F.collect_list("__o"), asc=False).alias("o")).first()["o"]
-    first_test = edges[test - 1] if test and len(edges) >= test else None
-    first_val = edges[min(val + test, len(edges)) - 1] if val and len(edges) > test else None
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    place = F.struct(F.col(order).isNotNull().alias("some"), F.col(order).alias("o"), tie.alias("t"), F.monotonically_increasing_id().alias("n"))
+    numbered = df.withColumn("__place", place)
+    tail = numbered.select("__place").orderBy(F.desc("__place")).limit(val + test)
+    edges = tail.agg(F.count("*").alias("n"), F.min("__place").alias("val")).first()
     split = F.lit("train")
-    if first_val is not None:
-        split = F.when(F.col(order) >= first_val, "val").otherwise(split)
-    if first_test is not None:
-        split = F.when(F.col(order) >= first_test, "test").otherwise(split)
-    return df.withColumn("split", split)
+    if edges["n"]:
+        split = F.when(F.col("__place") >= _place(edges["val"], df, order), "val").otherwise(split) if val else split
+        if test:
+            first = numbered.select("__place").orderBy(F.desc("__place")).limit(test).agg(F.min("__place").alias("p")).first()["p"]
+            split = F.when(F.col("__place") >= _place(first, df, order), "test").otherwise(split)
+    return numbered.withColumn("split", split).drop("__place")
+
+
+def _place(row: Row, df: DataFrame, order: str) -> Column:
+    return F.struct(F.lit(row["some"]).alias("some"), F.lit(row["o"]).cast(df.schema[order].dataType).alias("o"), F.lit(row["t"]).alias("t"), F.lit(row["n"]).alias("n"))
 
 
 def training_gate(deltas: DataFrame, train_delta: Column, *, least_train: int = 1, least_best: float = 0.0, most_drop: float = 0.0, allow_unchanged: bool = False) -> DataFrame:

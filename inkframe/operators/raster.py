@@ -68,25 +68,34 @@ def coordinate_clusters(df: DataFrame, *keys: str, value: str) -> DataFrame:
 
 
 def _label8(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Component numbers by 8-neighbourhood, in order of each one's first pixel in raster order."""
+    """Component numbers by 8-neighbourhood, in order of each one's first pixel in raster order.
+
+    Each pixel takes the least number around it and then its number's own number, for all pixels at once, until nothing changes."""
     order = np.lexsort((xs, ys))
-    at = {(int(xs[i]), int(ys[i])): int(i) for i in order}
-    label = np.full(len(xs), -1)
-    found = 0
-    for i in order:
-        if label[i] >= 0:
-            continue
-        label[i], todo = found, [int(i)]
-        while todo:
-            k = todo.pop()
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    j = at.get((int(xs[k]) + dx, int(ys[k]) + dy))
-                    if j is not None and label[j] < 0:
-                        label[j] = found
-                        todo.append(j)
-        found += 1
-    return label
+    x, y = xs[order].astype(np.int64), ys[order].astype(np.int64)
+    width = int(x.max() - x.min()) + 3
+    place = (y - y.min()) * width + (x - x.min())  # ascending, as order is
+    ends = []
+    for step in (1, width - 1, width, width + 1):
+        at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        there = np.flatnonzero(place[at] == place + step)
+        ends.append((there, at[there]))
+    u, v = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+    root = np.arange(len(x))
+    while True:
+        least = np.minimum(root[u], root[v])
+        after = root.copy()
+        np.minimum.at(after, root[u], least)
+        np.minimum.at(after, root[v], least)
+        while (jumped := after[after]).tolist() != after.tolist():
+            after = jumped
+        if np.array_equal(after, root):
+            break
+        root = after
+    number = np.unique(root, return_inverse=True)[1]
+    out = np.empty(len(x), int)
+    out[order] = number
+    return out
 
 
 def connected_components(pixels: DataFrame, *keys: str, min_area: int = 1) -> DataFrame:
@@ -109,24 +118,48 @@ def connected_components(pixels: DataFrame, *keys: str, min_area: int = 1) -> Da
     return slim.groupBy(*keys).applyInPandas(label, f"{kinds}, component_id int")
 
 
-def connected_components_wide(pixels: DataFrame, *keys: str, rounds: int = 200) -> DataFrame:
-    """(keys, x, y, root): 8-connected components of masks too large for a task, by spreading the smallest pixel number.
+def _settled(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage: a checkpoint where the session names a folder for it, else a cached frame (local use)."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+
+
+def connected_components_wide(pixels: DataFrame, *keys: str, rounds: int = 60) -> DataFrame:
+    """(keys, x, y, root): 8-connected components of masks too large for a task; root is the first pixel in raster order.
 
-    Each round is an aggregate over the pixels' neighbourhoods and one jump; it ends when nothing changes.
+    Runs of a row are found by a window first, and runs of neighbouring rows that touch are edges. Large-star and
+    small-star steps (Kiveris et al., 2014) contract the edges to stars, in rounds that grow with the logarithm of a
+    component's size. If they have not settled within rounds, an error is raised; unfinished labels are never returned.
     """
-    spark = pixels.sparkSession
-    number = F.xxhash64(*[F.col(k).cast("string") for k in keys]) if keys else F.lit(0)
-    now = pixels.select(*keys, "x", "y", F.struct("y", "x").alias("root"), number.alias("__k"))
+    slim = pixels.select(*keys, "x", "y").distinct()
+    row = Window.partitionBy(*keys, "y").orderBy("x")
+    marked = slim.withColumn("island", F.col("x") - F.row_number().over(row))
+    runs = _settled(marked.groupBy(*keys, "y", "island").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("node", F.struct("y", F.col("a").alias("x"))))
+    below = runs.select(*keys, (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("u"))
+    touch = runs.join(below, [*keys, "y"]).filter((F.col("a2") <= F.col("b") + 1) & (F.col("a") <= F.col("b2") + 1))
+    edges = _settled(touch.select(*keys, "u", F.col("node").alias("v")))
+
+    def contracted(around: DataFrame, inward: bool) -> DataFrame:
+        least = around.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        met = around.join(least, [*keys, "u"])
+        if inward:
+            out = met.select(*keys, F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        else:
+            out = met.filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        return out.filter("u <> v").distinct()
+
+    before = None
     for _ in range(rounds):
-        now = now.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else now.cache()
-        around = now.select(*keys, F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x"), "y", "root").withColumn("y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
-        least = around.groupBy(*keys, "x", "y").agg(F.min("root").alias("least"))
-        after = now.join(least, [*keys, "x", "y"]).select(*keys, "x", "y", F.col("least").alias("root"), "__k", (F.col("root") != F.col("least")).alias("__moved"))
-        moved = after.filter("__moved").limit(1).count()
-        now = after.drop("__moved")
-        if not moved:
+        outward = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = _settled(contracted(_settled(contracted(outward, False)), True))
+        mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first()
+        if mark == before:
             break
-    return now.drop("__k")
+        before = mark
+    else:
+        raise RuntimeError(f"components did not settle within {rounds} rounds")
+    roots = edges.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
+    named = runs.join(roots, [*keys, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return named.select(*keys, F.explode(F.sequence("a", "b")).alias("x"), "y", "root")
 
 
 def bounded_components(pixels: DataFrame, *keys: str, min_area: int = 1, max_area: int) -> tuple[DataFrame, DataFrame]:
@@ -225,44 +258,60 @@ def tolerant_buckets(pixels: DataFrame, tolerance: float, background: tuple[int,
     return ink.join(table, ["image_id", "r", "g", "b"]).withColumn("bucket", F.struct(F.col("br").alias("r"), F.col("bg").alias("g"), F.col("bb").alias("b"))).drop("br", "bg", "bb")
 
 
-#: Fixed values of the palette search.
-CELL_SHIFT, BLEND_DISTANCE, BLEND_BACKGROUND = 4, 24.0, 96.0
+#: Fixed values of the palette search: colours of one cell agree in all but the low CELL_SHIFT bits of each channel; a
+#: colour needs LEAST_PIXELS and a LEAST_SHARE-th of all pixels; it keeps LEAST_SEPARATION from others, or twice the
+#: tolerance. Colours within BLEND_DISTANCE of the line between two others are blends of them, unless they cover
+#: LARGE_TIMES the least count and a LARGE_SHARE-th of all, are not grey (channels over GREY_SPREAD apart), and lie
+#: within BLEND_BACKGROUND of the background.
+CELL_SHIFT, LEAST_PIXELS, LEAST_SHARE, LEAST_SEPARATION = 4, 16, 500, 48.0
+BLEND_DISTANCE, BLEND_BACKGROUND, LARGE_TIMES, LARGE_SHARE, GREY_SPREAD = 24.0, 96.0, 4, 200, 8
+
+
+def _line_distance(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least distance of each point to any of the segments from starts to ends; infinite without segments."""
+    if not len(starts):
+        return np.full(len(points), np.inf)
+    way = ends - starts
+    length = (way * way).sum(axis=1)
+    along = np.einsum("psk,sk->ps", points[:, None] - starts, way) / np.where(length > 0, length, 1.0)
+    foot = starts + np.clip(along, 0.0, 1.0)[..., None] * way
+    return np.linalg.norm(points[:, None] - foot, axis=2).min(axis=1)
 
 
 def dominant_palette(pixels: DataFrame, background: tuple[int, int, int], max_colors: int, tolerance: float = 0.0) -> DataFrame:
-    """(image_id, ord, r, g, b): well-separated dominant colours. Cells of 16 steps are counted in Spark; the greedy choice
-    runs over an image's cells, at most 4096."""
+    """(image_id, ord, r, g, b): well-separated dominant colours, most pixels first.
+
+    Cells of 16 steps are counted in Spark, where also the cells that can never be chosen go: too few pixels, too near the
+    background. What is left of an image, at most 500 cells, is eliminated in rounds: the first of what remains is
+    taken, and all that are too near it, or now are blends, are dropped at once.
+    """
     cell = [F.shiftright(F.col(c), CELL_SHIFT) for c in "rgb"]
     colors = pixels.groupBy("image_id", F.struct(*cell).alias("cell"), "r", "g", "b").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    cells = colors.groupBy("image_id", "cell").agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("first"))).alias("color"), F.sum("n").alias("n"), F.min("first").alias("first")).select("image_id", "color.r", "color.g", "color.b", "n", "first")
-    separation, back = max(48.0, 2 * tolerance), np.array(background, float)
-
-    def near_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-        d = b - a
-        t = min(1.0, max(0.0, float((p - a) @ d / (d @ d)))) if d @ d > 0 else 0.0
-        return float(np.linalg.norm(p - a - t * d))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "first"], ascending=[False, True])
-        total = int(group["n"].sum())
-        least = max(16, total // 500)
-        large, chosen = max(4 * least, total // 200), []
-        for r, g, b, n in group[["r", "g", "b", "n"]].itertuples(index=False):
-            color = np.array([r, g, b], float)
-            if n < least or len(chosen) >= max_colors:
-                break
-            if np.linalg.norm(color - back) <= tolerance or any(np.linalg.norm(color - c) < separation for c in chosen):
-                continue
-            palette = [back, *chosen]
-            blend = any(near_segment(color, a, c) < BLEND_DISTANCE for i, a in enumerate(palette) for c in palette[i + 1 :])
-            if blend and (n < large or max(r, g, b) - min(r, g, b) <= 8 or np.linalg.norm(color - back) > BLEND_BACKGROUND):
-                continue
-            chosen.append(color)
-        rows = [(group["image_id"].iloc[0], k, *map(int, c)) for k, c in enumerate(chosen)]
-        return pd.DataFrame(rows, columns=["image_id", "ord", "r", "g", "b"])
+    cells = colors.groupBy("image_id", "cell").agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("first"))).alias("color"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    totals = cells.groupBy("image_id").agg(F.sum("n").alias("total"))
+    least = F.greatest(F.lit(LEAST_PIXELS), F.floor(F.col("total") / LEAST_SHARE))
+    large = F.greatest(LARGE_TIMES * least, F.floor(F.col("total") / LARGE_SHARE))
+    rgb = tuple(F.col(f"color.{c}") for c in "rgb")
+    far = S.color_distance(rgb, tuple(F.lit(v) for v in background))
+    grey = F.greatest(*rgb) - F.least(*rgb) <= GREY_SPREAD
+    fits = cells.join(totals, "image_id").filter((F.col("n") >= least) & (far > tolerance))
+    # whether a colour is taken although it is a blend
+    fits = fits.select("image_id", "color.*", "n", "first", ((F.col("n") >= large) & ~grey & (far <= BLEND_BACKGROUND)).alias("own"))
+    separation, back = max(LEAST_SEPARATION, 2 * tolerance), np.array([background], float)
+
+    def eliminate(group: pd.DataFrame) -> pd.DataFrame:
+        left = group.sort_values(["n", "first"], ascending=[False, True])
+        points, own = left[["r", "g", "b"]].to_numpy(float), left["own"].to_numpy()
+        ends = back
+        while len(points) and len(ends) <= max_colors:
+            taken, points, own = points[:1], points[1:], own[1:]
+            stay = (np.linalg.norm(points - taken, axis=1) >= separation) & (own | (_line_distance(points, ends, np.repeat(taken, len(ends), axis=0)) >= BLEND_DISTANCE))
+            ends, points, own = np.concatenate([ends, taken]), points[stay], own[stay]
+        found = ends[1:].astype(int)
+        return pd.DataFrame({"image_id": [group["image_id"].iloc[0]] * len(found), "ord": range(len(found)), "r": found[:, 0], "g": found[:, 1], "b": found[:, 2]})
 
     kind = pixels.schema["image_id"].dataType.simpleString()
-    return cells.groupBy("image_id").applyInPandas(choose, f"image_id {kind}, ord int, r int, g int, b int")
+    return fits.groupBy("image_id").applyInPandas(eliminate, f"image_id {kind}, ord int, r int, g int, b int")
 
 
 def nearest_of(points: DataFrame, refs: DataFrame, point_key: str, vector: str, ref_key: str, ref_vector: str, bound: int = 4096) -> DataFrame:

@@ -71,7 +71,8 @@ def merge_plan(anchors: DataFrame, *keys: str, allowed: float = 0.55) -> DataFra
 
 
 def merge_exact_rects(rects: DataFrame, *keys: str, tolerance: float = 1e-6) -> DataFrame:
-    """Same-coloured rectangles that tile their union exactly become one; all others stay."""
+    """Same-coloured rectangles whose areas add up to that of their union's bounds become one; all others stay. Distinct rectangles
+    that do not overlap tile it then; overlaps that make up for a hole are not told apart."""
     b = tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y"))
     plan = merge_plan(rects, *keys, allowed=0.0).filter(F.abs(F.col("fragment_area") - F.col("combined_area")) <= tolerance)
     merged = plan.select(*keys, "min_x", "min_y", "max_x", "max_y", F.col("fragments").alias("merged_from"))

@@ -352,7 +352,7 @@ def family_baseline_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def iou_greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Scene boxes against the next scene's, by inclusive-bounds IoU of at least 0.5."""
+    """Scene boxes against the next scene's, by inclusive-bounds IoU of at least 0.2."""
     a = anchors(spark, d).withColumns({c: F.col(c).cast("int") for c in ("min_x", "min_y", "max_x", "max_y")})
     cols = ("min_x", "min_y", "max_x", "max_y")
     b = a.select((F.col("run_id") - 1).alias("run_id"), F.col("anchor_index").alias("after_id"), *[F.col(c).alias(f"b_{c}") for c in cols])

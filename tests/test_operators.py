@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,46 @@ def test_promotion_of_occluded_rects(spark):
     rows = [(1, "rect", "red", 0, 0, 4, 10), (1, "rect", "red", 6, 0, 10, 10), (1, "circle", "blue", 4, 0, 6, 9), (2, "rect", "red", 0, 0, 4, 10), (2, "rect", "red", 6, 0, 10, 10), (2, "rect", "blue", 4, 0, 5, 1), (3, "cubic_path", "red", 0, 0, 4, 10), (3, "rect", "red", 6, 0, 10, 10), (3, "rect", "blue", 4, 0, 6, 10)]
     df = spark.createDataFrame([(k, n, c, *map(float, b)) for k, n, c, *b in rows], "run int, kind string, color string, min_x double, min_y double, max_x double, max_y double")
     assert {r.run: (r.hidden_area, r.promoted) for r in scene.promote_occluded(df, "run").collect()} == {1: (20.0, True), 2: (20.0, False)}
+
+
+def test_long_line_is_one_wide_component(spark):
+    line = [(0, i, 0) for i in range(400)] + [(0, 399, i) for i in range(400)] + [(0, 0, 5), (0, 1, 6), (1, 0, 0), (1, 2, 0)]
+    out = raster.connected_components_wide(spark.createDataFrame(line, "image_id int, x int, y int"), "image_id")
+    sizes = sorted((r["image_id"], r["count"]) for r in out.groupBy("image_id", "root").count().collect())
+    assert sizes == [(0, 2), (0, 799), (1, 1), (1, 1)]
+    assert raster.connected_components_wide(spark.createDataFrame([], "image_id int, x int, y int"), "image_id").count() == 0
+
+
+def test_labels_match_a_walk():
+    draw = np.random.default_rng(2)
+    for share in (0.2, 0.4, 0.6):
+        ys, xs = np.nonzero(draw.random((23, 31)) < share)
+        turn = draw.permutation(len(xs))
+        xs, ys = xs[turn], ys[turn]
+        todo, parts = set(zip(xs.tolist(), ys.tolist(), strict=True)), []
+        for first in sorted(todo, key=lambda p: (p[1], p[0])):
+            if first in todo:
+                part, stack = set(), [first]
+                while stack:
+                    p = stack.pop()
+                    if p in todo:
+                        todo.discard(p)
+                        part.add(p)
+                        stack += [(p[0] + i, p[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+                parts.append(part)
+        want = {p: k for k, part in enumerate(parts) for p in part}
+        assert raster._label8(xs, ys).tolist() == [want[p] for p in zip(xs.tolist(), ys.tolist(), strict=True)]
+
+
+def test_json_numbers_at_any_depth(spark):
+    texts = ['{"a": {"b": {"c": 1}}, "s": "5", "t": true, "n": null}', '{"a": [1, {"id": "x", "v": 2.5}, {"v": [3]}]}', "not json", None, "{}", "[4]"]
+    out = diff.flatten_json(spark.createDataFrame(list(enumerate(texts)), "id int, doc string"), "id", "doc")
+    assert sorted((r.id, r.path, r.value) for r in out.collect()) == [(0, "a.b.c", 1.0), (1, "a.0", 1.0), (1, "a.2.v.0", 3.0), (1, "a.x.v", 2.5), (5, "0", 4.0)]
+
+
+def test_split_counts_hold_with_ties(spark):
+    rows = [(i // 2, f"r{i}") for i in range(10)] + [(None, "none")]
+    out = learn.positional_split(spark.createDataFrame(rows, "o int, name string"), "o", 1, 1)
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 9, "val": 1, "test": 1}
+    top = {r.split: r.o for r in out.filter("split <> 'train'").collect()}
+    assert top == {"val": 4, "test": 4}
