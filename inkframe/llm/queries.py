@@ -102,7 +102,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     # CRC-32 has no function in DuckDB: it is folded over the bytes, bit by bit, with the polynomial 0xEDB88320
     "op5_sampled_splitters": """
-        WITH d AS (
+        WITH RECURSIVE d AS (
             SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 16 AS size,
                    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
         table256 AS (
@@ -112,12 +112,20 @@ ORACLE_SQL: dict[str, str] = {
         crcs AS (
             SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda p: ('0x' || substr(x, p, 2))::BIGINT)),
                        lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM hexed, table256),
-        line AS (
-            SELECT *, sum(size) OVER (ORDER BY h, doc_id) - size AS start, sum(size) OVER () AS total,
-                   sum(size) OVER (PARTITION BY h) AS group_size FROM d),
-        grouped AS (SELECT *, min(start) OVER (PARTITION BY h) AS group_start FROM line),
-        mid AS (SELECT *, CASE WHEN group_size * 4000 <= total THEN 2 * group_start + group_size ELSE 2 * start + size END AS middle FROM grouped),
-        placed AS (SELECT *, least(39, floor(middle * 40 / (2 * total)))::INT AS shard FROM mid)
+        big AS (
+            SELECT h, g, row_number() OVER (ORDER BY g DESC, h) AS k, total FROM (SELECT h, sum(size)::BIGINT AS g, count(*) AS n FROM d GROUP BY h), (SELECT sum(size)::BIGINT AS total FROM d)
+            WHERE n > 1 AND g * 4000 > total),
+        put AS (
+            SELECT 0::BIGINT AS k, NULL::BIGINT AS h, NULL::BIGINT AS home, list_transform(range(40), lambda x: 0::BIGINT) AS loads
+            UNION ALL
+            SELECT k, h, CASE WHEN fits THEN pos - 1 END, list_transform(loads, lambda v, i: v + CASE WHEN fits AND i = pos THEN g ELSE 0 END)
+            FROM (SELECT big.k, big.h, g, loads, list_position(loads, list_min(loads))::BIGINT AS pos, (list_min(loads) + g) * 40 <= total AS fits FROM put JOIN big ON big.k = put.k + 1)),
+        rooms AS (SELECT i AS shard, (SELECT sum(size) FROM d) - 40 * loads[i + 1] AS room FROM (SELECT loads FROM put ORDER BY k DESC LIMIT 1), range(40) r(i)),
+        ends AS (SELECT list(e ORDER BY shard) AS ends FROM (SELECT shard, sum(room) OVER (ORDER BY shard) AS e FROM rooms) WHERE shard < 39),
+        homed AS (SELECT d.*, big.h IS NOT NULL AS large, home, CASE WHEN home IS NULL THEN size ELSE 0 END AS line FROM d LEFT JOIN big USING (h) LEFT JOIN put USING (h)),
+        line AS (SELECT *, sum(line) OVER (ORDER BY h, doc_id) - line AS start, sum(size) OVER (PARTITION BY h) AS group_size FROM homed),
+        mid AS (SELECT *, CASE WHEN large THEN 2 * start + size ELSE 2 * min(start) OVER (PARTITION BY h) + group_size END AS middle FROM line),
+        placed AS (SELECT *, coalesce(home, len(list_filter(ends, lambda e: 2 * e <= middle * 40)))::INT AS shard FROM mid, ends)
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot,
                NULL::INT AS grown_shard FROM placed JOIN crcs USING (doc_id)
     """,

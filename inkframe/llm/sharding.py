@@ -2,16 +2,20 @@
 
 Rows are ordered by (hash of the text, id), so equal texts are neighbours. A size-weighted sample of the keys gives
 quantile boundaries; rows are range-partitioned by them; ranges that turn out overfull are sampled again and
-subdivided, a hot group of equal texts by id. Only then are ranges sorted, each in a task of its own. The ranges'
-exact sizes place every row on one line of bytes, and that line is cut into the shards: the sample decides how evenly
-the work is dealt, never where a row ends up.
+subdivided, a hot group of equal texts by id. Only then are ranges sorted, each in a task of its own. Large groups of
+equal texts get a shard first, each whole. The ranges' exact sizes place every other row on one line of bytes, and that
+line is cut into what room the shards have left: the sample decides how evenly the work is dealt, never where a row
+ends up.
 
-The driver sees the samples, the splitters and a line per range: their number follows rows / ROWS_PER_RANGE.
+The driver sees the samples, the splitters, a line per range and the large groups: their number follows rows / ROWS_PER_RANGE.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm import common
@@ -24,7 +28,7 @@ RANGES_PER_SHARD = 8
 OVERSAMPLE = 8
 #: A range with more than this many times its share is subdivided.
 OVERFULL = 2
-#: Equal texts stay in one shard if they make up at most this share of it; larger groups are cut by id.
+#: Groups of equal texts with more than a GROUP_SHARE-th of a shard's bytes are placed before the line is cut.
 GROUP_SHARE = 100
 MOST_ROUNDS = 12
 _LEAST = -(2**63)
@@ -42,7 +46,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.conv(F.substring(F.md5(common.text_or_empty(text_col).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("d"),
         F.monotonically_increasing_id().alias("row_no"),
-    ).withColumn("size", F.col("bytes") + 16)
+    ).withColumn("size", F.col("bytes") + 16).withColumn("line", F.col("size"))
 
 
 def _sample(rows: DataFrame, bytes_per_key: float, number: int) -> DataFrame:
@@ -82,7 +86,7 @@ def _with_range(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
 
 
 def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[list[Splitter], list]:
-    """Splitters under which no range is overfull, and the ranges' (range, rows, bytes), in order."""
+    """Splitters under which no range is overfull, and the ranges' sizes, in order."""
     share = total / ranges
     per_key = share / OVERSAMPLE
     first = _quantiles([tuple(r) for r in _sample(rows, per_key, 0).select("h", "d", "size").collect()], per_key, share)
@@ -90,7 +94,7 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[list[Splitter]
     for number in range(1, MOST_ROUNDS + 1):
         splitters = sorted(found)
         ranged = _with_range(rows, splitters)
-        sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("d").alias("d0"), F.max("d").alias("d1")).orderBy("range").collect()
+        sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("line").alias("line"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("d").alias("d0"), F.max("d").alias("d1")).orderBy("range").collect()
         over = {r["range"]: r for r in sizes if r["size"] > OVERFULL * share and (r["h0"], r["d0"]) != (r["h1"], r["d1"]) and r["n"] > 1}
         if not over or number == MOST_ROUNDS:
             break
@@ -106,41 +110,70 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> tuple[list[Splitter]
     return splitters, sizes
 
 
-def _longs(values: list[int]) -> F.Column:
-    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+def _rows(spark: SparkSession, values: list[tuple], names: str) -> DataFrame:
+    """A small table of whole numbers; names as in 'h long, home int'."""
+    columns = [n.split()[0] for n in names.split(", ")]
+    schema = f"array<struct<{', '.join(n.replace(' ', ':') for n in names.split(', '))}>>"
+    data = json.dumps([dict(zip(columns, v, strict=True)) for v in values])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(data), schema)))
+
+
+def place_groups(groups: list[tuple[int, int]], shards: int, total: int) -> tuple[dict[int, int], list[int]]:
+    """(hash -> shard, bytes in each shard) for groups (hash, bytes): the largest first, each in the shard with the fewest bytes,
+    if the shard's equal share of the total has room for it. Groups without room are left out."""
+    heap, homes, loads = [(0, s) for s in range(shards)], {}, [0] * shards
+    for h, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        load, s = heap[0]
+        if (load + size) * shards <= total:
+            heapq.heapreplace(heap, (load + size, s))
+            homes[h], loads[s] = s, load + size
+    return homes, loads
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot, grown_shard.
 
-    Law bytes: in the order of (hash of the text, id), a row goes to the shard in which the middle of its bytes falls.
-    Equal texts that make up at most a GROUP_SHARE-th of a shard go where their common middle falls. Slots count a
-    shard's rows from 0 in that order; ties of repeated rows are in any order. Null texts count as empty, null ids
-    come first. An empty table gives no rows; other columns are not read.
+    Law bytes. Equal texts stay in one shard, unless their group has no room in the emptiest one when it is placed. Groups of
+    over a GROUP_SHARE-th of a shard are placed first, see place_groups(). All other rows form a line in the order of (hash
+    of the text, id), cut where the shards are full; a group goes where its middle falls, the rows of a group without room
+    where their own middles fall. Slots count a shard's rows from 0 in that order; ties of repeated rows are in any order. Null
+    texts count as empty, null ids come first. An empty table gives no rows; other columns are not read.
     """
+    spark = docs.sparkSession
     rows = common.stage(_keyed(docs, id_col, text_col), "keyed")
     counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     total, ranges = max(1, counts["size"]), max(RANGES_PER_SHARD * shards, -(-counts["n"] // ROWS_PER_RANGE))
+    # groups over a limit-th of all bytes, fewer than limit; smaller ones never fill a range, so no splitter cuts them
+    limit = max(GROUP_SHARE * shards, ranges)
+    groups = rows.groupBy("h").agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("size") * limit > total))
+    large = [(r["h"], r["size"]) for r in groups.collect()]
+    homes, loads = place_groups(large, shards, total)
+    known = _rows(spark, [(h, homes.get(h)) for h, _ in large], "h long, home int").withColumn("large", F.lit(True))
+    rows = rows.join(F.broadcast(known), "h", "left").withColumn("line", F.when(F.col("home").isNull(), F.col("size")).otherwise(0))
+
     splitters, sizes = _splitters(rows, total, ranges)
-    bytes_before, rows_before, b, n = [0] * (len(splitters) + 1), [0] * (len(splitters) + 1), 0, 0
-    lines = {r["range"]: r for r in sizes}
-    for i in range(len(splitters) + 1):
-        bytes_before[i], rows_before[i] = b, n
-        if i in lines:
-            b, n = b + lines[i]["size"], n + lines[i]["n"]
-    cut = [h for h, d in splitters if d > _LEAST]
+    before, b = [], 0
+    for r in sizes:
+        before.append((r["range"], b))
+        b += r["line"]
     ordered = Window.partitionBy("range").orderBy("h", "d", "row_no")
     group = Window.partitionBy("range", "h")
-    out = _with_range(rows, splitters)
-    out = out.withColumn("start", F.sum("size").over(ordered) - F.col("size") + F.get(_longs(bytes_before), F.col("range")))
-    out = out.withColumn("rank", F.row_number().over(ordered) - 1 + F.get(_longs(rows_before), F.col("range")))
+    out = _with_range(rows, splitters).join(F.broadcast(_rows(spark, before, "range int, before long")), "range")
+    out = out.withColumn("start", F.sum("line").over(ordered) - F.col("line") + F.col("before"))
     out = out.withColumns({"group_size": F.sum("size").over(group), "group_start": F.min("start").over(group)})
-    small = F.col("group_size") * max(GROUP_SHARE * shards, ranges) <= total
-    if cut:
-        small &= ~F.col("h").isin(cut)
-    middle = F.when(small, 2 * F.col("group_start") + F.col("group_size")).otherwise(2 * F.col("start") + F.col("size"))
-    out = out.withColumn("shard", F.least(F.floor(middle * shards / F.lit(2 * total)), F.lit(shards - 1)).cast("int"))
-    placed = common.stage(out.select("doc", "size", "text_crc32", "shard", "rank"), "placed")
-    first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
-    slot = F.col("rank") - F.get(_longs([first.get(s, 0) for s in range(shards)]), F.col("shard"))
-    return placed.select(F.col("doc").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    middle = F.when(F.col("large"), 2 * F.col("start") + F.col("size")).otherwise(2 * F.col("group_start") + F.col("group_size"))
+    # shard s ends where the room of the shards up to it is used up; all in bytes times shards, to stay with whole numbers
+    ends, room = [], 0
+    for load in loads[:-1]:
+        room += total - load * shards
+        ends.append(F.lit(2 * room))
+    cut = F.size(F.filter(F.array(*ends), lambda end: end <= middle * shards)) if ends else F.lit(0)
+    out = out.withColumn("shard", F.coalesce("home", cut).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("range", "shard").orderBy("h", "d", "row_no")) - 1
+    placed = common.stage(out.select("doc", "size", "text_crc32", "range", "shard", nth.alias("nth")), "placed")
+    # a line per range and shard that meet: fewer than ranges + shards + large groups
+    met = placed.groupBy("range", "shard").agg(F.count("*").alias("n"))
+    first = met.select("range", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("first"))
+    slot = (F.col("nth") + F.col("first")).cast("long")
+    done = placed.join(F.broadcast(first), ["range", "shard"])
+    return done.select(F.col("doc").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -258,6 +258,26 @@ def test_hot_group_is_subdivided(spark):
     check_shards(docs.select("doc_id", "text").toPandas(), sharding.shard(docs, shards=10).toPandas(), 10)
 
 
+def test_groups_stay_whole(spark):
+    """Copies of every size up to a shard, against a plain placing; only the group that no shard has room for is cut."""
+    draw = random.Random(2)
+    texts = [" ".join(words(30, 1000 + i)) for i in range(400)]
+    texts += [f"group {g} " + "x" * draw.randrange(200) for g in range(60) for _ in range(draw.choice([2, 3, 10, 60]))]
+    texts += ["hot text"] * 2500
+    draw.shuffle(texts)
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    out = sharding.shard(docs, shards=8).toPandas()
+    plain = docs.select("doc_id", "text").toPandas()
+    check_shards(plain, out, 8)
+    share = out["size"].sum() / 8
+    parts = out.merge(plain, on="doc_id").groupby("text").agg(size=("size", "sum"), shards=("shard", "nunique"))
+    assert (parts[parts["size"] <= share].shards == 1).all() and parts.shards.max() > 1
+    used = out.groupby("shard")["size"].sum()
+    assert used.max() - used.min() <= share / 50 + 2 * out["size"].max()
+    homes, loads = sharding.place_groups([(1, 5), (2, 5), (3, 4), (4, 7)], 2, 20)
+    assert homes == {4: 0, 1: 1, 2: 1} and loads == [7, 10]
+
+
 # packing
 
 
