@@ -4,7 +4,8 @@ The writer names one response for each payload and makes revisit records of the
 archives of a bounded size in the shared folder, under names that no other attempt uses; the table of written
 archives, itself a committed Spark table, says which of them count, so a retried or lost task leaves no doubles.
 The reader goes through an archive front to back with bounded memory: it inflates a chunk at a time, frames records
-by Content-Length, and verifies each block against the record's digests.
+by Content-Length, and verifies each block against the record's digests. Revisits are then joined to the responses that
+they name, and what they say of the payload is verified there.
 """
 
 from __future__ import annotations
@@ -43,6 +44,25 @@ class WarcError(ValueError):
     """An archive that breaks the format, or a block that does not match its digest."""
 
 
+#: Digest algorithms by their WARC name, with their length in bytes. Others are not verified.
+ALGORITHMS = {"sha1": 20, "sha256": 32, "sha512": 64, "md5": 16}
+
+
+def parse_digest(labelled: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a digest in Base32 or hex; None if there is none, or of an algorithm that is not known."""
+    name, _, value = (labelled or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ALGORITHMS:
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * ALGORITHMS[name] else base64.b32decode(value.upper().rstrip("=") + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError as e:
+        raise WarcError(f"not a digest: {labelled!r}") from e
+    if len(raw) != ALGORITHMS[name]:
+        raise WarcError(f"not a digest: {labelled!r}")
+    return name, raw
+
+
 def _sha(data: bytes) -> str:
     return "sha256:" + base64.b32encode(hashlib.sha256(data).digest()).decode().rstrip("=")
 
@@ -64,7 +84,6 @@ def write_record(record_type: str, page_id: int | None, url: str | None, payload
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
         "X-Page-Id": "" if page_id is None else str(page_id),
-        "X-Payload-Length": str(len(payload)),
     }
     if record_type == REVISIT:
         head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, _sha(payload)), "X-Refers-To-Page-Id": str(refers_to)}
@@ -84,7 +103,10 @@ def _members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
             while not inflate.eof:
                 if not held and not (held := stream.read(CHUNK)):
                     raise WarcError("the archive ends within a record")
-                out = inflate.decompress(held, CHUNK)
+                try:
+                    out = inflate.decompress(held, CHUNK)
+                except zlib.error as e:
+                    raise WarcError(f"a gzip member is damaged: {e}") from e
                 held = inflate.unconsumed_tail
                 if out:
                     yield out
@@ -94,7 +116,8 @@ def _members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
 
 
 def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, in order; lengths and digests are verified."""
+    """(headers, block) of each record, in order. Header names are in lower case, as their case has no meaning; folded lines are
+    joined. Lengths are verified, and block digests where there are any. All damage is a WarcError."""
     for member in _members(stream):
         data = bytearray()
         while (end := data.find(b"\r\n\r\n")) < 0:
@@ -102,13 +125,11 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             if not part or len(data) > MOST_HEADER:
                 raise WarcError("no end of the WARC header")
             data += part
-        version, *lines = bytes(data[:end]).decode().split("\r\n")
-        if not version.startswith("WARC/1."):
-            raise WarcError(f"not a WARC record: {version[:40]!r}")
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-        length = int(head["Content-Length"])
+        head = parse_headers(bytes(data[:end]))
+        length = int(head["content-length"])
         del data[: end + 4]
-        digest, size, block = hashlib.sha256(), 0, bytearray()
+        size, block, claimed = 0, bytearray(), parse_digest(head.get("warc-block-digest"))
+        digest = hashlib.new(claimed[0] if claimed else "sha256")
         for part in _chain(bytes(data), member):
             mine = part[: max(0, length - size)]
             digest.update(mine)
@@ -116,8 +137,8 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             size += len(mine)
         if bytes(block[length:]) != b"\r\n\r\n":
             raise WarcError(f"the record is framed as {length} bytes, {len(block)} were found")
-        if "sha256:" + base64.b32encode(digest.digest()).decode().rstrip("=") != head["WARC-Block-Digest"]:
-            raise WarcError(f"the block of {head['WARC-Record-ID']} does not match its digest")
+        if claimed and digest.digest() != claimed[1]:
+            raise WarcError(f"the block of {head.get('warc-record-id')} does not match its digest")
         yield head, bytes(block[:length])
 
 
@@ -127,21 +148,61 @@ def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
     yield from rest
 
 
+def parse_headers(data: bytes) -> dict[str, str]:
+    """The named fields of a WARC header, names in lower case; the first line is checked, and that there is a length."""
+    version, *lines = data.decode(errors="replace").split("\r\n")
+    if not version.startswith("WARC/"):
+        raise WarcError(f"not a WARC record: {version[:40]!r}")
+    head: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            head[name] = f"{head[name]} {line.strip()}"
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            head[name := name.strip().lower()] = value.strip()
+        else:
+            raise WarcError(f"not a header field: {line[:40]!r}")
+    if not head.get("content-length", "").isdecimal():
+        raise WarcError(f"no Content-Length: {head.get('content-length')!r}")
+    return head
+
+
+def _http_length(block: bytes) -> int | None:
+    """The Content-Length of an HTTP head."""
+    for line in block.split(b"\r\n\r\n", 1)[0].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.lstrip("-").isdecimal() else None
+
+
 def page_of(head: dict[str, str], block: bytes) -> dict:
-    """What a record says of its page; a response's payload is verified against its digest too."""
-    revisit = head["WARC-Type"] == REVISIT
-    digest = base64.b32decode((x := head["WARC-Payload-Digest"].removeprefix("sha256:")) + "=" * (-len(x) % 8)).hex()
-    payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
-    if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
-        raise WarcError(f"the payload of {head['WARC-Record-ID']} does not match its digest")
+    """What a record says of its page; a response's payload is verified against its digest too, if it has one.
+
+    Archives of other writers have no page_id (null). A revisit's payload_bytes are those of its HTTP head, and payload_digest
+    is null where the record names none by SHA-256; resolve_revisits() gets both from the response.
+    """
+    kind, claimed = head.get("warc-type", ""), parse_digest(head.get("warc-payload-digest"))
+    revisit, parts = kind == REVISIT, block.split(b"\r\n\r\n", 1)
+    payload = None if revisit else parts[1] if len(parts) > 1 else block
+    if payload is not None and claimed and hashlib.new(claimed[0], payload).digest() != claimed[1]:
+        raise WarcError(f"the payload of {head.get('warc-record-id')} does not match its digest")
+    known = claimed[1].hex() if claimed and claimed[0] == "sha256" else None
     return {
-        "page_id": int(head["X-Page-Id"]) if head["X-Page-Id"] else None,
-        "url": head["WARC-Target-URI"],
+        "page_id": _number(head.get("x-page-id")),
+        "url": head.get("warc-target-uri"),
         "payload": payload,
-        "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(payload),
-        "payload_digest": digest,
-        "record_type": head["WARC-Type"],
-        "refers_to": int(head["X-Refers-To-Page-Id"]) if revisit else None,
+        "payload_bytes": _http_length(block) if revisit else len(payload),
+        "payload_digest": known if revisit else known or hashlib.sha256(payload).hexdigest(),
+        "record_type": kind,
+        "refers_to": _number(head.get("x-refers-to-page-id")) if revisit else None,
+        "record_id": head.get("warc-record-id"),
+        "refers_to_record": head.get("warc-refers-to") if revisit else None,
     }
 
 
@@ -199,8 +260,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The pages in archives (column path), a row per record: page_id, url, payload (null: revisit), payload_bytes,
-    payload_digest, record_type, refers_to. Archives are dealt to tasks, and each is read in order."""
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    payload_digest, record_type, refers_to, record_id, refers_to_record. Archives are dealt to tasks, and each is read in order."""
+    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string())]
     schema = pa.schema([f for f in fields if payloads or f[0] != "payload"])
 
     def rows(pages: list[dict]) -> pa.RecordBatch:
@@ -222,7 +283,30 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield rows(held)
 
     dealt = archives.select("path").repartition(max(1, archives.count()))
-    return dealt.mapInArrow(read, "page_id long, url string, " + "payload binary, " * payloads + "payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt.mapInArrow(read, "page_id long, url string, " + "payload binary, " * payloads + "payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string")
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """records, as read_archives() gives them, with each revisit's refers_to, payload_bytes and payload_digest from the response that
+    its WARC-Refers-To names.
+
+    What the revisit says itself must agree, or the job fails. A revisit whose response is not among the records keeps what
+    it says, and refers_to null. Of responses with one record id, the smallest page_id counts.
+    """
+    of = records.filter((F.col("record_type") == RESPONSE) & F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("refers_to_record"))
+    of = of.agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("of"))
+    own = F.col("refers_to_record").isNull()
+    # only revisits take part in the join
+    met = records.filter(~own).join(of, "refers_to_record", "left")
+    differs = lambda c, o: F.col(c).isNotNull() & F.col("of").isNotNull() & (F.col(c) != F.col(f"of.{o}"))
+    wrong = differs("payload_bytes", "payload_bytes") | differs("payload_digest", "payload_digest") | differs("refers_to", "page_id")
+    fail = F.raise_error(F.concat(F.lit("the revisit "), F.coalesce("record_id", F.lit("?")), F.lit(" does not match its response")))
+    met = met.withColumns({
+        "refers_to": F.when(wrong, fail.cast("long")).otherwise(F.col("of.page_id")),
+        "payload_bytes": F.coalesce("of.payload_bytes", "payload_bytes"),
+        "payload_digest": F.coalesce("of.payload_digest", "payload_digest"),
+    })
+    return records.filter(own).unionByName(met.select(records.columns))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -232,4 +316,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", p
     no rows. Other columns are not read.
     """
     folder = common.fresh_path(spark, "warc")
-    return read_archives(write_archives(pages, folder, id_col, payload_col, url_col), payloads=False).drop("url")
+    records = read_archives(write_archives(pages, folder, id_col, payload_col, url_col), payloads=False).drop("url")
+    return resolve_revisits(common.stage(records, "records")).drop("record_id", "refers_to_record")

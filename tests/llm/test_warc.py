@@ -59,3 +59,42 @@ def test_archives_keep_payloads_and_roll_over(spark, tmp_path, monkeypatch):
     archives = warc.write_archives(df, f"file://{tmp_path}/w")
     back = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(archives).collect()}
     assert back == {i: "text %d " % i * 40 for i in range(50)} and archives.agg({"n_records": "sum"}).first()[0] == 50
+
+
+def member(head, block):
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_records_of_other_writers():
+    block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    sha1 = hashlib.sha1(b"hello")
+    heads = [
+        ["WARC/1.0", "warc-type: response", "content-LENGTH:  %d" % len(block), "WARC-Payload-Digest: sha1:" + warc.base64.b32encode(sha1.digest()).decode()],
+        ["WARC/1.0", "WARC-Type: response", "Content-Length: %d" % len(block), "WARC-Block-Digest: SHA-1:" + hashlib.sha1(block).hexdigest(), "X-Long: a", " folded"],
+        ["WARC/1.1", "WARC-Type: response", "Content-Length: %d" % len(block), "WARC-Block-Digest: blake9:abc"],
+    ]
+    found = list(warc.read_records(io.BytesIO(b"".join(member(h, block) for h in heads))))
+    assert found[1][0]["x-long"] == "a folded"
+    for page in (warc.page_of(*f) for f in found):
+        assert page["payload"] == b"hello" and page["page_id"] is None and page["payload_digest"] == hashlib.sha256(b"hello").hexdigest()
+    for head in (["WARC/1.1", "WARC-Type: response"], ["WARC/1.1", "Content-Length: x"], ["HTTP/1.1 200 OK", "Content-Length: 1"], ["WARC/1.1", "no field", "Content-Length: 1"], ["WARC/1.1", f"Content-Length: {len(block)}", "WARC-Block-Digest: sha1:%%"], ["WARC/1.1", f"Content-Length: {len(block)}", "WARC-Block-Digest: sha1:" + "0" * 40]):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(member(head, block))))
+    record = bytearray(warc.write_record(warc.RESPONSE, 1, "u", bytes(range(256)) * 20))
+    record[40:80] = b"\xff" * 40
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(bytes(record))))
+    with pytest.raises(warc.WarcError, match="payload"):
+        warc.page_of({"warc-type": "response", "warc-payload-digest": "sha1:" + "0" * 40}, block)
+
+
+def test_revisits_follow_their_record(spark):
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string"
+    resolve = lambda rows: {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()}
+    response, alone = (3, 500, "d", "response", None, "a", None), (9, None, "e", "revisit", 4, "c", "elsewhere")
+    out = resolve([response, response, (5, None, None, "revisit", None, "b", "a"), alone])
+    assert len(out) == 3 and (out["b"].refers_to, out["b"].payload_bytes, out["b"].payload_digest) == (3, 500, "d")
+    assert (out["c"].refers_to, out["c"].payload_bytes, out["c"].payload_digest) == (None, None, "e")
+    for wrong in ((5, 501, "d", "revisit", 3, "b", "a"), (5, 500, "x", "revisit", 3, "b", "a"), (5, 500, "d", "revisit", 4, "b", "a")):
+        with pytest.raises(Exception, match="does not match its response"):
+            resolve([response, wrong])
