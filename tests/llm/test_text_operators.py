@@ -229,6 +229,38 @@ def test_held_out_labels_change_nothing(spark, data, documents):
     assert (a == b).all()
 
 
+def test_ratios_and_hinge_loss_against_plain_solvers():
+    """Log-count ratios by counting in dicts; the descent's end point by projected gradient steps on the whole dual problem."""
+    texts = [" ".join(words(12, i)) + (" good fine" if i % 3 else " bad") for i in range(60)] + ["", "good", "bad bad"]
+    labels = np.array([int(bool(i % 3)) for i in range(60)] + [0, 1, 0])
+    found = [nbsvm.features(t.encode()) for t in texts]
+    ratios = nbsvm.log_count_ratios(found, labels)
+    seen = [{}, {}]
+    for row, label in zip(found, labels, strict=True):
+        for f in row.tolist():
+            seen[label][f] = seen[label].get(f, 0) + 1
+    sums = [sum(side.values()) + nbsvm.FEATURES for side in seen]
+    for f in {f for side in seen for f in side}:
+        p, q = (seen[1].get(f, 0) + 1) / sums[1], (seen[0].get(f, 0) + 1) / sums[0]
+        many = seen[1].get(f, 0) + seen[0].get(f, 0) >= nbsvm.LEAST_ROWS_OF_FEATURE
+        assert abs(ratios[f] - (np.log(p / q) if many else 0)) < 1e-5
+    weights, bias = nbsvm.dual_coordinate_descent(found, labels, ratios, epochs=400)
+    names = sorted({f for row in found for f in row.tolist()})
+    x = np.array([[float(ratios[f]) * (f in row) for f in names] for row in (set(r.tolist()) for r in found)])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.hstack([np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), np.ones((len(x), 1))])
+    y = np.where(labels == 1, 1.0, -1.0)
+    most = np.where(labels == 1, len(y) / (2 * (labels == 1).sum()), len(y) / (2 * (labels == 0).sum()))
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(30_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, most)
+    plain = (alpha * y) @ x
+    assert abs(bias - plain[-1]) < 1e-3 and np.abs(weights[names] - plain[:-1]).max() < 1e-3
+    loss = 0.5 * plain @ plain + (most * np.maximum(0, 1 - y * (x @ plain))).sum()
+    assert abs(loss - (alpha.sum() - 0.5 * plain @ plain)) < 1e-3  # no gap between the problem and its dual
+
+
 # sharding
 
 
