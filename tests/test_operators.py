@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
-from inkframe.operators import diff, fit, learn, raster, review, scene
+from inkframe.operators import diff, fit, gates, learn, raster, review, scene
 from inkframe.sources import scenes
 
 
@@ -270,3 +270,41 @@ def test_split_counts_hold_with_ties(spark):
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 9, "val": 1, "test": 1}
     top = {r.split: r.o for r in out.filter("split <> 'train'").collect()}
     assert top == {"val": 4, "test": 4}
+
+
+# gates and summaries ------------------------------------------------------------------------------------------------
+
+
+def test_region_checks_edges(spark):
+    schema = "s int, region_id int, min_x double, min_y double, max_x double, max_y double, expected_kinds array<string>, forbidden_kinds array<string>, min_iou double, min_coverage double, min_count int, max_count int"
+    regions = spark.createDataFrame([(1, 1, 0.0, 0.0, 200.0, 200.0, None, None, None, 0.5, 1, None), (1, 2, None, 0.0, 1.0, 1.0, None, None, None, None, 0, None), (1, 3, 0.0, 0.0, 10.0, 10.0, ["rect"], ["arc"], None, None, 1, 1), (2, 4, 0.0, 0.0, 1.0, 1.0, [], None, None, None, 1, None)], schema)
+    anchors = spark.createDataFrame([(1, "rect", 0.0, 0.0, 10.0, 10.0), (1, "arc", 150.0, 150.0, 260.0, 260.0), (1, None, 1.0, 1.0, 9.0, 9.0), (1, "rect", None, 0.0, 1.0, 1.0), (3, "rect", 0.0, 0.0, 1.0, 1.0)], "s int, kind string, min_x double, min_y double, max_x double, max_y double")
+    out = {r.region_id: r for r in gates.region_checks(regions, anchors, "s").collect()}
+    assert (out[1].selected, out[1].ok) == (2, True) and out[2].reason == "region bounds are invalid"
+    assert (out[3].selected, out[3].matching, out[3].ok) == (2, 1, True) and out[4].reason == "matching anchors in region: 0 < 1"
+    assert gates.region_checks(regions.limit(0), anchors, "s").count() == 0
+    assert gates.region_checks(regions, anchors.limit(0), "s").count() == 4
+
+
+def test_regressions_and_deltas_edges(spark):
+    s = "k int, component string, score double"
+    current = spark.createDataFrame([(1, "a", 0.5), (1, "b", None), (2, "a", 0.1), (3, "a", 0.9), (4, "a", 0.0)], s)
+    baseline = spark.createDataFrame([(1, "a", 0.56), (1, "b", 0.1), (2, "a", None), (3, "a", 0.95), (4, "z", 0.5)], s)
+    out = {r.k: (r.status, r.regressed) for r in gates.component_regressions(current, baseline, "k").collect()}
+    assert out == {1: ("failed", ["a"]), 2: ("missing_baseline_scores", []), 3: ("passed", []), 4: ("missing_comparable_scores", [])}
+    r = "item_id int, region_id int, v int"
+    deltas = gates.region_deltas(spark.createDataFrame([(1, 1, 5), (1, 2, None), (2, 1, 1)], r), spark.createDataFrame([(1, 2, None), (1, 3, 1), (3, 1, 1)], r), ["v"])
+    assert sorted((x.region_id, x.status) for x in deltas.collect()) == [(1, "removed"), (3, "added")]
+    t = gates.readiness(spark.createDataFrame([], "case_id int, missing_fields array<string>")).first()
+    assert (t.cases, t.templates, t.waiting_templates) == (0, 0, 0)
+
+
+def test_axis_clusters_and_targets(spark):
+    count = lambda values, tolerance: spark.range(1).select(gates.axis_clusters(F.array(*map(F.lit, values)).cast("array<double>"), F.lit(tolerance))).first()[0]
+    assert count([], 1.0) == 0 and count([3.0], 1.0) == 1 and count([0.0, 1.0, 2.0, 9.0], 1.0) == 3 and count([5.0, 5.0, 0.0], 1.0) == 2
+    e = spark.createDataFrame([([0.0, 0.0], ["a", "all"]), ([1.0, 1.0], ["all"]), ([4.0, 4.0], ["all"])], "features array<double>, targets array<string>")
+    c = gates.target_centroids(e)
+    assert {r.target: r.negative for r in c.collect()} == {"a": [2.5, 2.5], "all": None}
+    assert [r.predicted for r in gates.predict_targets(e, c).orderBy("features").collect()] == [["a", "all"], ["a", "all"], ["all"]]
+    with pytest.raises(ValueError, match="at most 1"):
+        gates.predict_targets(e, c, most=1)
