@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.operators.gates import BOUNDS, over_cells
+from inkframe.operators.raster import _settled
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Per key: status added, removed, changed or same, and the changed fields."""
@@ -73,13 +78,42 @@ def family_status(baseline: DataFrame, current: DataFrame, *keys: str) -> DataFr
     return b.join(c, [*keys], "full").select(*keys, status.alias("status"))
 
 
+def box_pairs(left: DataFrame, right: DataFrame, *keys: str, cell: int = 64) -> DataFrame:
+    """Rows of left (keys, bounds, ...) with those of right (keys, b_ bounds, ...) whose boxes, bounds included, overlap.
+
+    Boxes meet in the cells of a grid, and a pair counts in the cell of its overlap's lower corner, so no scene makes all pairs.
+    """
+    theirs = tuple(f"b_{c}" for c in BOUNDS)
+    met = over_cells(left, BOUNDS, cell).join(over_cells(right, theirs, cell), [*keys, "cell_x", "cell_y"])
+    low = [F.greatest(BOUNDS[k], theirs[k]) for k in (0, 1)]
+    owner = (F.col("cell_x") == F.floor(low[0] / cell)) & (F.col("cell_y") == F.floor(low[1] / cell))
+    overlap = (low[0] <= F.least(BOUNDS[2], theirs[2])) & (low[1] <= F.least(BOUNDS[3], theirs[3]))
+    return met.filter(owner & overlap).drop("cell_x", "cell_y")
+
+
 def greedy_matches(pairs: DataFrame, *keys: str, left: str, right: str, score: str) -> DataFrame:
-    """One-to-one matches per group, taken by (score descending, left, right): a fold over the group's sorted candidates, which fit a row."""
-    row = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"), F.struct(*pairs.columns).alias("row"))
-    groups = pairs.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.array_sort(F.collect_list(row)).alias("p"))
-    taken = lambda acc, x: F.exists(acc, lambda t: (t["l"] == x["l"]) | (t["r"] == x["r"]))
-    matched = F.aggregate("p", F.filter("p", lambda x: F.lit(False)), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(F.explode(matched).alias("m")).select("m.row.*")
+    """One-to-one matches per group: of all pairs the best by (score descending, left, right), then the best of what it leaves, and so on.
+
+    In rounds: a pair that is the best of both its ends is taken, and what shares an end with it goes, until no pair is left. That
+    takes the same pairs as going through them one by one. Pairs with a null key, end or score match nothing; of repeated pairs the
+    best counts.
+    """
+    on = [*keys, left, right]
+    rest_of = [c for c in pairs.columns if c not in (*on, score)]
+    once = pairs.dropna(subset=[*on, score]).groupBy(*on).agg(F.max(F.struct(score, *rest_of)).alias("__m")).select(*on, "__m.*")
+    open_pairs, taken = _settled(once), []
+    order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+    while not open_pairs.isEmpty():
+        best = lambda end: open_pairs.groupBy(*keys, end).agg(F.min(order).alias("m")).select(*keys, F.col("m.l").alias(left), F.col("m.r").alias(right))  # noqa: B023, E731
+        found = _settled(best(left).join(best(right), on))
+        taken.append(found)
+        still = _settled(open_pairs.join(found.select(*keys, left), [*keys, left], "left_anti").join(found.select(*keys, right), [*keys, right], "left_anti"))
+        still.count()
+        open_pairs.unpersist()
+        open_pairs = still
+    if not taken:
+        return pairs.limit(0)
+    return once.join(functools.reduce(DataFrame.unionByName, taken), on).select(pairs.columns)
 
 
 def sweep_rank(runs: DataFrame, *keys: str, editability: str = "editability_score", l1: str = "raster_l1_error", id_col: str = "id") -> DataFrame:

@@ -14,7 +14,8 @@ LEAST_REGION_IOU, MOST_REGRESSION = 0.1, 0.05
 ACCEPTING, REFUSING = ("accepted", "corrected"), ("rejected", "deferred")
 
 
-def _cells(df: DataFrame, box: tuple[str, ...], cell: float) -> DataFrame:
+def over_cells(df: DataFrame, box: tuple[str, ...], cell: float) -> DataFrame:
+    """A row per cell (cell_x, cell_y) of a grid that the box of a row reaches into."""
     at = lambda c: F.floor(F.col(c) / cell)
     return df.withColumn("cell_x", F.explode(F.sequence(at(box[0]), at(box[2])))).withColumn("cell_y", F.explode(F.sequence(at(box[1]), at(box[3]))))
 
@@ -29,8 +30,8 @@ def region_checks(regions: DataFrame, anchors: DataFrame, *keys: str, cell: floa
     """
     r, a = tuple(F.col(c) for c in BOUNDS), tuple(F.col(f"a_{c}") for c in BOUNDS)
     valid = F.coalesce((r[0] <= r[2]) & (r[1] <= r[3]), F.lit(False))
-    mine = _cells(regions.filter(valid).select(*keys, "region_id", *BOUNDS, "expected_kinds", "forbidden_kinds", "min_iou", "min_coverage"), BOUNDS, cell)
-    other = _cells(anchors.filter(F.coalesce((r[0] <= r[2]) & (r[1] <= r[3]), F.lit(False))).select(*keys, "kind", *[F.col(c).alias(f"a_{c}") for c in BOUNDS]), tuple(f"a_{c}" for c in BOUNDS), cell)
+    mine = over_cells(regions.filter(valid).select(*keys, "region_id", *BOUNDS, "expected_kinds", "forbidden_kinds", "min_iou", "min_coverage"), BOUNDS, cell)
+    other = over_cells(anchors.filter(F.coalesce((r[0] <= r[2]) & (r[1] <= r[3]), F.lit(False))).select(*keys, "kind", *[F.col(c).alias(f"a_{c}") for c in BOUNDS]), tuple(f"a_{c}" for c in BOUNDS), cell)
     owner = (F.col("cell_x") == F.floor(F.greatest(r[0], a[0]) / cell)) & (F.col("cell_y") == F.floor(F.greatest(r[1], a[1]) / cell))
     iou, inter = S.bounds_iou(r, a), S.bounds_intersection(r, a)
     least = F.coalesce("min_iou", F.when(F.col("min_coverage").isNull(), LEAST_REGION_IOU).otherwise(0.0))

@@ -209,6 +209,10 @@ _CC = f"""RECURSIVE {_PX},
     lab AS (SELECT image_id, x, y, min(root) AS root FROM reach GROUP BY ALL),
     comp AS (SELECT image_id, root, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM lab GROUP BY ALL),
     numbered AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY area DESC, root) - 1)::INT AS component_id FROM comp)"""
+_KASA = """s AS (SELECT image_id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, sum(x*x)::DOUBLE AS sxx, sum(y*y)::DOUBLE AS syy, sum(x*y)::DOUBLE AS sxy,
+            sum(x*(x*x+y*y))::DOUBLE AS sxz, sum(y*(x*x+y*y))::DOUBLE AS syz FROM ink GROUP BY image_id),
+        m AS (SELECT *, n*sxx - sx*sx AS a, n*sxy - sx*sy AS b, n*syy - sy*sy AS c, (n*sxz - sx*(sxx+syy))/2 AS d, (n*syz - sy*(sxx+syy))/2 AS e FROM s),
+        q AS (SELECT *, CASE WHEN abs(a*c-b*b) > 1e-9 THEN (d*c-b*e)/(a*c-b*b) END AS cx, CASE WHEN abs(a*c-b*b) > 1e-9 THEN (a*e-b*d)/(a*c-b*b) END AS cy FROM m)"""
 _CANDIDATES = """
     boxes AS (SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h FROM src),
     g AS (SELECT *, 1 - area / (w * h) AS fill, greatest(w, h) AS lo, least(w, h) AS sh, pi() * ((w + h) / 4) ** 2 AS disc, pi() / 4 * w * h AS oval FROM boxes),
@@ -231,10 +235,19 @@ ORACLE = {
     "connected_components_8": f"WITH {_CC} SELECT image_id, component_id, area, min_x, min_y, max_x, max_y FROM numbered",
     "interior_gaps": f"""WITH {_PX}, b AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ink GROUP BY image_id)
         SELECT px.image_id, count(*) AS gap_cells FROM px JOIN b ON px.image_id = b.image_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WHERE v <= 0 GROUP BY px.image_id""",
-    "kasa_circle_fit": f"""WITH {_PX}, s AS (SELECT image_id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, sum(x*x)::DOUBLE AS sxx, sum(y*y)::DOUBLE AS syy, sum(x*y)::DOUBLE AS sxy,
-            sum(x*(x*x+y*y))::DOUBLE AS sxz, sum(y*(x*x+y*y))::DOUBLE AS syz FROM ink GROUP BY image_id),
-        m AS (SELECT *, n*sxx - sx*sx AS a, n*sxy - sx*sy AS b, n*syy - sy*sy AS c, (n*sxz - sx*(sxx+syy))/2 AS d, (n*syz - sy*(sxx+syy))/2 AS e FROM s),
-        q AS (SELECT *, CASE WHEN abs(a*c-b*b) > 1e-9 THEN (d*c-b*e)/(a*c-b*b) END AS cx, CASE WHEN abs(a*c-b*b) > 1e-9 THEN (a*e-b*d)/(a*c-b*b) END AS cy FROM m)
+    "gap_components": f"""WITH RECURSIVE {_PX}, b AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ink GROUP BY image_id),
+        gap AS (SELECT px.image_id, idx, x, y, x IN (x0, x1) OR y IN (y0, y1) AS edge FROM px JOIN b ON px.image_id = b.image_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WHERE v <= 0),
+        reach AS (SELECT image_id, x, y, edge, idx AS root FROM gap
+              UNION SELECT n.image_id, n.x, n.y, n.edge, r.root FROM reach r JOIN gap n ON n.image_id = r.image_id AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 AND n.idx > r.root),
+        lab AS (SELECT image_id, x, y, edge, min(root) AS root FROM reach GROUP BY ALL),
+        comp AS (SELECT image_id, root, count(*) AS area, NOT bool_or(edge) AS sealed FROM lab GROUP BY ALL)
+        SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY area DESC, root) - 1)::INT AS gap_id, area, sealed FROM comp""",
+    "boundary_roundness": f"""WITH {_PX}, {_KASA},
+        c AS (SELECT image_id, cx, cy, sqrt((sxx+syy-2*cx*sx-2*cy*sy)/n + cx*cx + cy*cy) AS r FROM q),
+        e AS (SELECT image_id, x, y FROM ink a WHERE (SELECT count(*) FROM ink b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1) < 4),
+        d AS (SELECT e.image_id, r, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS dist FROM e JOIN c ON e.image_id = c.image_id WHERE r > 0)
+        SELECT image_id, round(stddev_pop(dist) / any_value(r), 6) AS roundness_error, round(avg(abs(dist - r)) / any_value(r), 6) AS mean_residual FROM d GROUP BY image_id""",
+    "kasa_circle_fit": f"""WITH {_PX}, {_KASA}
         SELECT image_id, n::BIGINT AS n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt((sxx+syy-2*cx*sx-2*cy*sy)/n + cx*cx + cy*cy), 6) AS r FROM q""",
     "principal_axis": f"""WITH {_PX}, c AS (SELECT image_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy, covar_pop(x, x) AS sxx, covar_pop(y, y) AS syy, covar_pop(x, y) AS sxy FROM ink GROUP BY image_id),
         a AS (SELECT *, cos(atan2(2*sxy, sxx-syy)/2) AS ax, sin(atan2(2*sxy, sxx-syy)/2) AS ay FROM c),

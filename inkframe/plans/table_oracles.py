@@ -17,6 +17,19 @@ _S = """b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p,
 _IOU = """greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"""
 
 ORACLE = {
+    "cluster_axis": """WITH g AS (SELECT p_brand, list_sort(list(p_size::DOUBLE)) AS vs FROM part GROUP BY p_brand),
+        f AS (SELECT p_brand, vs, list_reduce(list_transform(vs, lambda v: {'v': v, 'mean': v, 'n': 1, 'k': 0, 'out': [0]}),
+            lambda s, x: CASE WHEN abs(x.v - s.mean) <= 4 THEN {'v': x.v, 'mean': s.mean + (x.v - s.mean) / (s.n + 1), 'n': s.n + 1, 'k': s.k, 'out': list_append(s.out, s.k)}
+                ELSE {'v': x.v, 'mean': x.v, 'n': 1, 'k': s.k + 1, 'out': list_append(s.out, s.k + 1)} END).out AS ks FROM g)
+        SELECT p_brand, v::INT AS p_size, count(*) AS n, max(k) AS cluster FROM (SELECT p_brand, unnest(vs) AS v, unnest(ks) AS k FROM f) GROUP BY ALL""",
+    "iou_greedy_match": f"""WITH {_A}, i AS (SELECT run_id, anchor_index, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1 FROM a),
+        q AS (SELECT a.run_id, a.anchor_index AS before_id, b.anchor_index AS after_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1, 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1, 0) AS inter,
+            (a.x1 - a.x0 + 1) * (a.y1 - a.y0 + 1) + (b.x1 - b.x0 + 1) * (b.y1 - b.y0 + 1) AS total FROM i a JOIN i b ON b.run_id = a.run_id + 1),
+        p AS (SELECT run_id, before_id, after_id, round(inter / (total - inter), 6) AS iou FROM q WHERE round(inter / (total - inter), 6) >= 0.2),
+        g AS (SELECT run_id, list({{'b': before_id, 'a': after_id, 'bs': [before_id], 'as': [after_id], 'out': [{{'b': before_id, 'a': after_id, 'iou': iou}}]}} ORDER BY iou DESC, before_id, after_id) AS ps FROM p GROUP BY run_id),
+        f AS (SELECT run_id, unnest(list_reduce(ps, lambda s, x: CASE WHEN list_contains(s.bs, x.b) OR list_contains(s['as'], x.a) THEN s
+            ELSE {{'b': s.b, 'a': s.a, 'bs': list_append(s.bs, x.b), 'as': list_append(s['as'], x.a), 'out': list_concat(s.out, x.out)}} END).out) AS m FROM g)
+        SELECT run_id, m.b AS before_id, m.a AS after_id, m.iou AS iou FROM f""",
     "diagnostic_stage_counts": """WITH c AS (SELECT CASE event_type WHEN 'click' THEN 'fitting' WHEN 'view' THEN 'palette' WHEN 'error' THEN 'fitting' WHEN 'signup' THEN 'export' ELSE 'unknown' END AS by_code, event_id % 10 AS m FROM events)
         SELECT CASE m WHEN 0 THEN 'unknown' WHEN 1 THEN 'scoring' WHEN 2 THEN 'unknown' ELSE by_code END AS stage, count(*) AS n FROM c GROUP BY 1""",
     "run_summary": "SELECT user_id AS run, count(*) AS diagnostics, count(DISTINCT event_type) AS codes, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value FROM events GROUP BY user_id",

@@ -357,7 +357,8 @@ def iou_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     cols = ("min_x", "min_y", "max_x", "max_y")
     b = a.select((F.col("run_id") - 1).alias("run_id"), F.col("anchor_index").alias("after_id"), *[F.col(c).alias(f"b_{c}") for c in cols])
     iou = S.pixel_bounds_iou(tuple(F.col(c) for c in cols), tuple(F.col(f"b_{c}") for c in cols))
-    pairs = a.select("run_id", F.col("anchor_index").alias("before_id"), *cols).join(b, "run_id").select("run_id", "before_id", "after_id", F.round(iou, 6).alias("iou")).filter("iou >= 0.2")
+    met = diff.box_pairs(a.select("run_id", F.col("anchor_index").alias("before_id"), *cols), b, "run_id")
+    pairs = met.select("run_id", "before_id", "after_id", F.round(iou, 6).alias("iou")).filter("iou >= 0.2")
     return diff.greedy_matches(pairs, "run_id", left="before_id", right="after_id", score="iou")
 
 

@@ -308,3 +308,17 @@ def test_axis_clusters_and_targets(spark):
     assert [r.predicted for r in gates.predict_targets(e, c).orderBy("features").collect()] == [["a", "all"], ["a", "all"], ["all"]]
     with pytest.raises(ValueError, match="at most 1"):
         gates.predict_targets(e, c, most=1)
+
+
+def test_greedy_rounds_against_one_by_one(spark):
+    """Many ties, a hot end, nulls and repeated pairs: the rounds take what going through the sorted pairs takes."""
+    draw = np.random.default_rng(3)
+    rows = [(int(k), int(0 if hot else l), int(r), float(s) / 4) for k, l, r, s, hot in zip(draw.integers(0, 3, 600), draw.integers(0, 25, 600), draw.integers(0, 25, 600), draw.integers(0, 5, 600), draw.random(600) < 0.3, strict=True)]
+    df = spark.createDataFrame([*rows, (1, None, 2, 1.0), (1, 3, None, 1.0), (1, 90, 90, None)], "k int, l int, r int, iou double")
+    taken = set()
+    for k, l, r, s in sorted(set(rows), key=lambda x: (x[0], -x[3], x[1], x[2])):
+        if not any(t[0] == k and (t[1] == l or t[2] == r) for t in taken):
+            taken.add((k, l, r, s))
+    out = [tuple(x) for x in diff.greedy_matches(df, "k", left="l", right="r", score="iou").collect()]
+    assert len(out) == len(taken) and set(out) == taken
+    assert diff.greedy_matches(df.limit(0), "k", left="l", right="r", score="iou").count() == 0
