@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
+from inkframe.operators.gates import BOUNDS, over_cells
 
 
 def value_counts(df: DataFrame, *keys: str, value: str | Column, name: str = "value") -> DataFrame:
@@ -81,9 +82,9 @@ def merge_exact_rects(rects: DataFrame, *keys: str, tolerance: float = 1e-6) ->
 
 
 def first_of_each(df: DataFrame, key: Column, *keys: str, ordinal: str = "anchor_index") -> DataFrame:
-    """Keeps the first row per equivalence key; a null key is its own."""
+    """Keeps the first row per equivalence key; a null key is its own, and such rows are spread by their ordinal, not sorted in one task."""
     keyed = df.withColumn("__key", key)
-    w = Window.partitionBy(*keys, "__key").orderBy(ordinal)
+    w = Window.partitionBy(*keys, "__key", F.when(F.col("__key").isNull(), F.col(ordinal))).orderBy(ordinal)
     return keyed.withColumn("__n", F.row_number().over(w)).filter((F.col("__n") == 1) | F.col("__key").isNull()).drop("__key", "__n")
 
 
@@ -99,7 +100,7 @@ def parallel_groups(strokes: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("parallel_spacing_error", error).drop("mean_step", "spread")
 
 
-def contact_pairs(anchors: DataFrame, *keys: str, gap: float = 1.0, cell: float = 16.0) -> DataFrame:
+def contact_pairs(anchors: DataFrame, *keys: str, gap: float = 1.0, cell: float = 64.0) -> DataFrame:
     """Pairs i < j of different colours whose boxes overlap or are at most gap apart.
 
     Boxes, grown by gap, are spread over a grid; only boxes of one cell meet, and a pair counts in the cell that holds the
@@ -119,12 +120,20 @@ def contact_pairs(anchors: DataFrame, *keys: str, gap: float = 1.0, cell: float
     return near.select(*keys, "anchor_index", "anchor_index_2", F.when(inter > 0, "overlapping").otherwise("touching").alias("relation"), apart.alias("bounds_gap"), S.bounds_iou(first, second).alias("bounds_iou"))
 
 
+def _occluders(plan: DataFrame, anchors: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame:
+    """plan (keys, color, bounds, ...) with the anchors of other colours whose boxes (o_ bounds) overlap its box; found by grid cell."""
+    theirs = tuple(f"o_{c}" for c in BOUNDS)
+    other = anchors.select(*keys, F.col("color").alias("other_color"), *[F.col(c).alias(f"o_{c}") for c in BOUNDS])
+    met = over_cells(plan, BOUNDS, cell).join(over_cells(other, theirs, cell), [*keys, "cell_x", "cell_y"])
+    owner = (F.col("cell_x") == F.floor(F.greatest(BOUNDS[0], theirs[0]) / cell)) & (F.col("cell_y") == F.floor(F.greatest(BOUNDS[1], theirs[1]) / cell))
+    inter = S.bounds_intersection(tuple(F.col(c) for c in BOUNDS), tuple(F.col(c) for c in theirs))
+    return met.filter(owner & (F.col("color") != F.col("other_color"))).withColumn("cover", inter).filter("cover > 0").drop("cell_x", "cell_y")
+
+
 def occluded_groups(anchors: DataFrame, *keys: str) -> DataFrame:
     """Mergeable same-colour fragments with anchors of another colour over their union: fragment and occluder counts, hidden area."""
     plan = merge_plan(anchors, *keys, "color").filter(F.col("auto_merge_allowed") & (F.col("fragment_area") < F.col("combined_area")))
-    cols = ("min_x", "min_y", "max_x", "max_y")
-    other = anchors.select(*keys, F.col("color").alias("other_color"), *[F.col(c).alias(f"o_{c}") for c in cols])
-    over = plan.join(other, [*keys]).filter((F.col("color") != F.col("other_color")) & (S.bounds_intersection(tuple(F.col(c) for c in cols), tuple(F.col(f"o_{c}") for c in cols)) > 0))
+    over = _occluders(plan, anchors, *keys)
     return over.groupBy(*keys, "color").agg(F.first("fragments").alias("fragments"), F.count("*").alias("occluders"), F.first(F.col("combined_area") - F.col("fragment_area")).alias("hidden_area"))
 
 
@@ -181,12 +190,9 @@ def promote_occluded(anchors: DataFrame, *keys: str, covered: float = 0.6, box_s
 
     Returns (keys, color, fragments, hidden_area, cover_area, promoted) per group of fragments; cover areas of several occluders add up.
     """
-    cols = ("min_x", "min_y", "max_x", "max_y")
-    box = tuple(F.col(c) for c in cols)
     rects = anchors.groupBy(*keys, "color").agg(F.min(F.col("kind").isin("rect", "quad")).alias("__rects"))
     plan = merge_plan(anchors, *keys, "color").filter("auto_merge_allowed").join(rects, [*keys, "color"]).filter("__rects")
-    other = anchors.select(*keys, F.col("color").alias("__other"), *[F.col(c).alias(f"o_{c}") for c in cols])
-    over = plan.join(other, [*keys]).filter(F.col("color") != F.col("__other")).withColumn("__cover", S.bounds_intersection(box, tuple(F.col(f"o_{c}") for c in cols))).filter("__cover > 0")
-    out = over.groupBy(*keys, "color").agg(F.first("fragments").alias("fragments"), F.first("combined_area").alias("__box"), F.first(F.greatest(F.col("combined_area") - F.col("fragment_area"), F.lit(0.0))).alias("hidden_area"), F.sum("__cover").alias("cover_area"))
+    over = _occluders(plan, anchors, *keys)
+    out = over.groupBy(*keys, "color").agg(F.first("fragments").alias("fragments"), F.first("combined_area").alias("__box"), F.first(F.greatest(F.col("combined_area") - F.col("fragment_area"), F.lit(0.0))).alias("hidden_area"), F.sum("cover").alias("cover_area"))
     enough = F.when(F.col("hidden_area") > 0, F.col("cover_area") >= covered * F.col("hidden_area")).otherwise(F.col("cover_area") >= box_share * F.col("__box"))
     return out.select(*keys, "color", "fragments", "hidden_area", "cover_area", enough.alias("promoted"))
