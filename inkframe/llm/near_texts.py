@@ -6,8 +6,8 @@ the index alone can't give the whole result. What it leaves is found by prefix f
 leaves none out: all shingles have one order; a set of n, whose similar sets share at least 0.8 n with it, shares one of
 its first n - ceil(0.8 n) + 1 with each of them. The order is by hash, with shingles that are frequent in a sample last,
 so that common passages are seldom looked up; the sample has no influence on what is found. Each row is held against the
-smallest and the largest of all rows that share a shingle of its prefix first, which joins most groups of copies. Then,
-of different components under a shingle only, those outside the shingle's largest component are held against all: that
+smallest and the largest of all rows that share a shingle of its prefix first, and then, in a few turns, against some
+chosen by hash from other components, which joins most groups of copies. Last, of different components under a shingle only, those outside the shingle's largest component are held against all: that
 comparison looks at signatures and grows with the square of the components under a shingle, but gives out only the
 pairs that may be similar.
 
@@ -42,6 +42,9 @@ MOST_FREQUENT = 200_000
 LEAST_BITS = 512
 #: Bits of the bitmap of rows.
 BITMAP_BITS = 1 << 24
+#: Turns in which rows are held against PIVOTS others each, before all that is left is compared.
+TURNS = 2
+PIVOTS = 16
 _FACTOR, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -207,31 +210,57 @@ def simhash_candidates(rows: DataFrame, width: int) -> DataFrame:
     return alike.unionByName(linked.select(F.greatest("row_a", "row_b").alias("u"), F.least("row_a", "row_b").alias("v")))
 
 
+def rooted(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, row, at, root): the members of keys whose rows are of two components or more, by the edges near."""
+    roots = components(near)
+    mine = members.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", "at", F.coalesce("root", "row").alias("root"))
+    mixed = mine.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(F.col("key").alias("of"))
+    return common.stage(mine.join(mixed, F.col("key") == F.col("of"), "left_semi"), "rooted")
+
+
+def pivot_pairs(mine: DataFrame, turn: int) -> DataFrame:
+    """Each row with a few rows of other components that share a key with it: for each of PIVOTS hashes the one whose hash is
+    the smallest. Keys that share rows mostly have the same pivots, so a row has about PIVOTS pairs, whatever its keys hold."""
+    hashes = range(turn * PIVOTS, turn * PIVOTS + PIVOTS)
+    pivot = lambda k: F.struct(F.xxhash64("row", F.lit(k)).alias("h"), "row", "root")
+    of_key = mine.groupBy("key").agg(*(F.min(pivot(k)).alias(f"p{k}") for k in hashes)).withColumnRenamed("key", "of")
+    met = mine.join(of_key, F.col("key") == F.col("of"))
+    other = lambda k: F.min(F.when(F.col(f"p{k}.root") != F.col("root"), F.col(f"p{k}"))).alias(f"p{k}")
+    best = met.groupBy("row").agg(*(other(k) for k in hashes)).select("row", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.row") for k in hashes)))).alias("pivot"))
+    return best.filter("pivot is not null").select(F.greatest("row", "pivot").alias("u"), F.least("row", "pivot").alias("v")).distinct()
+
+
 def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
     """rows: row, text, staged. Edges (u, v) between similar texts, enough to connect all such pairs."""
     spark = rows.sparkSession
     marks = common.stage(prefixes(rows, width, least), "prefixes")
-    keys = marks.select("row", "n", F.explode("keys").alias("key"))
+    keys = marks.select("row", F.posexplode("keys").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").withColumnRenamed("key", "of")
-    members = common.stage(keys.join(shared, F.col("key") == F.col("of")).select("key", "row", "n", "first", "last"), "members")
+    members = common.stage(keys.join(shared, F.col("key") == F.col("of")).select("key", "row", "at", "first", "last"), "members")
     ends = members.groupBy("row").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     pairs = ends.filter("first < row").select(F.col("row").alias("u"), F.col("first").alias("v"))
     pairs = pairs.unionByName(ends.filter("row < last").select(F.col("last").alias("u"), F.col("row").alias("v"))).unionByName(simhash_candidates(rows, width)).distinct()
     near = verified(common.stage(possible(pairs, marks, least), "possible"), rows, width, least)
 
-    roots = components(near)
-    mine = members.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-    mine = common.stage(mine, "rooted")
+    mine = rooted(members, near)
     common.drop_staged(spark, members)
+    for turn in range(TURNS):
+        more = verified(common.stage(possible(pivot_pairs(mine, turn), marks, least), "possible"), rows, width, least)
+        near, before = common.stage(near.unionByName(more), "near"), mine
+        mine = rooted(before.select("key", "row", "at"), near)
+        common.drop_staged(spark, before)
     # the component with the most rows under a key
     sizes = mine.groupBy("key", "root").agg(F.count("*").alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("of"), F.col("m.root").alias("main"))
     split = mine.join(most, F.col("key") == F.col("of")).drop("of").join(marks.select(F.col("row").alias("of"), "n", "signature"), F.col("row") == F.col("of"))
-    split = common.stage(split.select("key", "row", "root", "main", "n", "signature"), "split")
+    split = common.stage(split.select("key", "row", "at", "root", "main", "n", "signature"), "split")
     common.drop_staged(spark, mine)
-    side = lambda e: split.select(F.col("key").alias(f"key_{e}"), F.col("row").alias(e), F.col("root").alias(f"{e}_root"), (F.col("root") != F.col("main")).alias(f"{e}_small"), F.col("n").alias(f"{e}_n"), F.col("signature").alias(f"{e}_s"))
+    side = lambda e: split.select(F.col("key").alias(f"key_{e}"), F.col("row").alias(e), F.col("root").alias(f"{e}_root"), (F.col("root") != F.col("main")).alias(f"{e}_small"), F.col("at").alias(f"{e}_at"), F.col("n").alias(f"{e}_n"), F.col("signature").alias(f"{e}_s"))
+    # at the first shingle of the order that both have, what follows in each set must hold all that they share
+    rest = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
+    first = rest * (least.numerator + least.denominator) >= (F.col("u_n") + F.col("v_n")) * least.numerator
     apart = (F.col("key_u") == F.col("key_v")) & (F.col("u_root") != F.col("v_root")) & (~F.col("v_small") | (F.col("u") > F.col("v")))
-    met = side("u").filter("u_small").join(side("v"), apart & _may_be_similar("u", "v", least))
+    met = side("u").filter("u_small").join(side("v"), apart & first & _may_be_similar("u", "v", least))
     pairs = common.stage(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "possible")
     return near.unionByName(verified(pairs, rows, width, least))
 

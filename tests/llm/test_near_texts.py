@@ -55,6 +55,9 @@ def test_stage_drops_all_near_copies(spark, data, monkeypatch):
     # whatever the frequent shingles are, the groups are the same
     monkeypatch.setattr(near_texts, "MOST_FREQUENT", 3)
     assert sorted(r.doc_id for r in near_texts.one_of_each(docs).collect()) == kept
+    # without the turns, the last comparison finds the rest alone
+    monkeypatch.setattr(near_texts, "TURNS", 0)
+    assert sorted(r.doc_id for r in near_texts.one_of_each(docs).collect()) == kept
 
 
 def test_near_copy_of_ordinary_length(spark, data):
