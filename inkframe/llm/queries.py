@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkframe.llm import brown_lm, cuckoo_dedup, nbsvm, packing, piece_codec, quality_rules, secret_scans, sharding, simhash, warc
+from inkframe.llm import brown_lm, chat_format, cross_align, cuckoo_dedup, nbsvm, packing, piece_codec, quality_rules, secret_scans, sharding, simhash, turn_repair, warc
 from inkframe.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.round_trip(chat_format.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.link_statistics(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_brown_lm": op2_brown_lm,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op11_chat_format": op11_chat_format,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_cross_align": op13_cross_align,
 }
 
 _RULES = ("symbol", "upper", "dup_line", "any")
@@ -129,6 +144,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot,
                NULL::INT AS grown_shard FROM placed JOIN crcs USING (doc_id)
     """,
+    "op11_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+        t AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS begins FROM c),
+        m AS (
+            SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|NEXT\]|ROLE\]|/ROLE\]|TEXT\])', '\1\2\\\3', 'g'))
+                      + CASE WHEN NOT begins THEN 6 WHEN role = 'system' THEN 18 WHEN role = 'user' THEN 15 WHEN role = 'assistant' THEN 7
+                             ELSE 19 + length(regexp_replace(role, '([<\[])(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|NEXT\]|ROLE\]|/ROLE\]|TEXT\])', '\1\2\\\3', 'g')) END AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars, sum(begins::INT)::BIGINT AS n_blocks
+        FROM m GROUP BY conv_id
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
