@@ -32,7 +32,11 @@ MARK = "▁"
 #: A run of white space and what follows it; a run that begins otherwise than with a space or a newline stays inside.
 CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 #: Chunks in each of the two generations of a task's table.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 100_000
+#: New chunks that are encoded at once.
+BLOCK = 1_000
+#: A batch's links are held at once, at some hundred bytes of memory for a byte of text.
+BATCH_BYTES = 2_000_000
 #: Longer chunks are not remembered.
 LONGEST_KEPT = 64
 #: A table of pair counts of up to so many rows (each of 20 bytes) is sent to the executors; a larger one is joined by shuffle.
@@ -62,6 +66,7 @@ class Aligner:
         self.b_bytes = [bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(MARK, " ").encode() for i in range(b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_text, self.b_text = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
         self.by_chunk = cuts_at_space(a_path) and marks_start_pieces(b)
         self.known = common.Remembered(MOST_CHUNKS)
 
@@ -71,55 +76,70 @@ class Aligner:
         shape = [("\n" + c, lead) if c == " " else (c[1:], 0) if c[0] == " " else (c, lead - 1) for c in chunks]
         return [ids[k:] for ids, (_, k) in zip(self.b.encode([x for x, _ in shape], num_threads=1), shape, strict=True)]
 
-    def align(self, chunks: list[str]) -> Iterator[tuple | None]:
-        """Aligns the chunks side by side on one line of bytes, where each chunk's end is an end of both sides."""
-        if not chunks:
-            return iter(())
-        a_ids = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b_ids = self._b_ids(chunks)
-        raw = [c.encode() for c in chunks]
-        same = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a_ids, b_ids, raw, strict=True)]
-        good_a, good_b = ([x for x, s in zip(ids, same, strict=True) if s] for ids in (a_ids, b_ids))
-        return self._lined_up(good_a, good_b, same)
-
-    def _lined_up(self, a_ids: list[list[int]], b_ids: list[list[int]], same: list[bool]) -> Iterator[tuple | None]:
-        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
+    def align(self, chunks: list[str]) -> list[tuple | None]:
+        """Chunks that end in no white space are encoded many at once, as a text of those chunks; then all lie side by side
+        on one line of bytes, where each chunk's end is an end of both sides."""
+        out: list[tuple | None] = [None] * len(chunks)
+        joined = [i for i, c in enumerate(chunks) if self.by_chunk and not c[-1].isspace() and MARK not in c]
+        blocks = [joined[k : k + BLOCK] for k in range(0, len(joined), BLOCK)]
+        alone = sorted(set(range(len(chunks))).difference(joined))
+        alone += self._encoded(chunks, blocks, out)
+        self._encoded(chunks, [[i] for i in alone], out)
+        return out
+
+    def _encoded(self, chunks: list[str], blocks: list[list[int]], out: list[tuple | None]) -> list[int]:
+        """Fills in what the blocks' chunks are; returns the chunks of blocks whose bytes differ."""
+        if not blocks:
+            return []
+        texts = ["".join([chunks[i] for i in block]) for block in blocks]
+        a_ids = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b_ids = self._b_ids(texts)
+        good, bad = [], []
+        for k, text in enumerate(texts):
+            same = b"".join([self.a_bytes[i] for i in a_ids[k]]) == text.encode() == b"".join([self.b_bytes[i] for i in b_ids[k]])
+            (good if same else bad).append(k)
+        held = [i for k in good for i in blocks[k]]
+        if held:
+            a, b = (np.array([i for k in good for i in ids[k]], np.int64) for ids in (a_ids, b_ids))
+            for i, what in zip(held, self._lined_up(a, b, np.cumsum([len(chunks[i].encode()) for i in held])), strict=True):
+                out[i] = what
+        return [i for k in bad for i in blocks[k]]
+
+    def _lined_up(self, a: np.ndarray, b: np.ndarray, chunk_ends: np.ndarray) -> Iterator[tuple]:
         a_ends, b_ends = self.a_length[a].cumsum(), self.b_length[b].cumsum()
         of_a, of_b, closes = elementary_intervals(a_ends, b_ends)
-        keys = (a[of_a] * len(self.b_bytes) + b[of_b]).astype(np.int64)
+        keys = (a[of_a] * len(self.b_bytes) + b[of_b]).astype("<i8").tobytes()
         shut = np.flatnonzero(closes)
         a_stop, b_stop = (of_a[shut] + 1).tolist(), (of_b[shut] + 1).tolist()
-        a_text, b_text = a.astype(str).tolist(), b.astype(str).tolist()
-        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *a_stop[:-1]], a_stop, [0, *b_stop[:-1]], b_stop, strict=True)] if a_stop else []
-        # a chunk's last token of A closes its last group
-        last = np.cumsum([len(x) for x in a_ids])
-        to_group = np.searchsorted(np.array(a_stop), last) + 1
-        to_link = shut[to_group - 1] + 1 if len(last) else last
-        at, g, k = 0, 0, 0
-        for ok in same:
-            if not ok:
-                yield None
-                continue
-            g2, k2 = int(to_group[at]), int(to_link[at])
-            yield ";".join(groups[g:g2]), len(a_ids[at]), len(b_ids[at]), g2 - g, keys[k:k2].tobytes()
-            at, g, k = at + 1, g2, k2
+        a_text, b_text = [self.a_text[i] for i in a.tolist()], [self.b_text[i] for i in b.tolist()]
+        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *a_stop[:-1]], a_stop, [0, *b_stop[:-1]], b_stop, strict=True)]
+        # a chunk's end closes its last group
+        to_group = np.searchsorted(np.maximum.accumulate(a_ends[of_a[shut]]), chunk_ends) + 1
+        to_link = (8 * (shut[to_group - 1] + 1)).tolist()
+        n_a, n_b = (np.diff(np.searchsorted(ends, chunk_ends, side="right"), prepend=0).tolist() for ends in (a_ends, b_ends))
+        g = k = 0
+        for g2, k2, x, y in zip(to_group.tolist(), to_link, n_a, n_b, strict=True):
+            yield ";".join(groups[g:g2]), x, y, g2 - g, keys[k:k2]
+            g, k = g2, k2
 
     def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each text's groups; its tokens of A and B, groups and links; and (text, key, number) of its distinct links."""
         rows = [([" " + t] if not self.by_chunk else CHUNK.findall(" " + t)) if t else [] for t in texts]
-        known = self.known.of(set().union(*rows), self.align)
-        rows = [[] if any(known[c] is None for c in row) else row for row in rows]
-        groups = [";".join([known[c][0] for c in row]) for row in rows]
         number = {c: i for i, c in enumerate(set().union(*rows))}
-        flat = np.fromiter((number[c] for row in rows for c in row), np.int64)
-        of_text = np.repeat(np.arange(len(rows)), np.array([len(row) for row in rows], np.int64))
+        known = self.known.of(set(number), self.align)
         got = [known[c] for c in number]
+        if None in got:
+            rows = [[] if any(known[c] is None for c in row) else row for row in rows]
+            got = [x or ("", 0, 0, 0, b"") for x in got]
+        groups = [";".join([known[c][0] for c in row]) for row in rows]
+        flat = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(rows)), np.int64)
+        of_text = np.repeat(np.arange(len(rows)), np.array([len(row) for row in rows], np.int64))
         links = np.array([len(x[4]) // 8 for x in got], np.int64)
         sizes = np.array([x[1:4] for x in got], np.int64).reshape(-1, 3)
         sums = np.zeros((len(rows), 4), np.int64)
         for k in range(4):
             sums[:, k] = np.bincount(of_text, (links if k == 3 else sizes[:, k])[flat], len(rows))
-        keys = np.frombuffer(b"".join([x[4] for x in got]), np.int64)
+        keys = np.frombuffer(b"".join([x[4] for x in got]), "<i8")
         lengths = links[flat]
         place = np.arange(lengths.sum()) + np.repeat((links.cumsum() - links)[flat] - (lengths.cumsum() - lengths), lengths)
         span = len(self.a_bytes) * len(self.b_bytes)
@@ -171,7 +191,7 @@ def align_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts, and texts whose joined bytes differ from a space and the text (a literal U+2581), have no
     tokens: zeros, and an empty string in place of the groups or their digest. Repeated rows come each for itself; an
-    empty table gives no rows; other columns are not read. Memory is bounded by a batch, of 8 MB or one text.
+    empty table gives no rows; other columns are not read. Memory is bounded by a batch, of BATCH_BYTES or one text.
     """
     paths = _paths(a_path, b_path)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -186,7 +206,12 @@ def align_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row_no"), *(pa.array(sums[:, k]) for k in range(4)), pa.array(groups, pa.string()), pairs], names=["doc", "row_no", "n_a", "n_b", "n_groups", "n_links", last, "pairs"])
 
     slim = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).alias("text"))
-    out = common.map_batches(slim, one, f"doc {kind}, row_no long, n_a long, n_b long, n_groups long, n_links long, {last} string, {PAIRS}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(one, common.bounded(batch, BATCH_BYTES))
+
+    out = slim.mapInArrow(run, f"doc {kind}, row_no long, n_a long, n_b long, n_groups long, n_links long, {last} string, {PAIRS}")
     return out.withColumnRenamed("doc", id_col)
 
 
