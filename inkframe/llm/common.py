@@ -56,6 +56,14 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of df has it, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; batches are cut so that one holds a bounded amount of text."""
 

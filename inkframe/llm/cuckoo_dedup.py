@@ -202,14 +202,15 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs that stay, with all their columns, by the rule of exact_dedup(); of repeated rows, one stays."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row_no"))
     index = common.stage(build_index(common.stage(slim, "digests")), "live")
-    stay = index.select(F.col("keep_id").alias("__id"), F.col("digest").alias("__of"))
-    mine = docs.withColumn("__digest", digest(text_col))
-    out = mine.join(stay, (F.col("__digest") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    again = index.filter("same_id > 1").select(F.col("digest").alias("__of"))
+    mark, of, kept = (common.unused(docs, c) for c in ("__digest", "__of", "__id"))
+    stay = index.select(F.col("keep_id").alias(kept), F.col("digest").alias(of))
+    mine = docs.withColumn(mark, digest(text_col))
+    same = F.col(mark) == F.col(of)
+    out = mine.join(stay, same & F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")
+    again = index.filter("same_id > 1").select(F.col("digest").alias(of))
     if not again.isEmpty():  # rows repeated with id and text: one of each
-        same = F.col("__digest") == F.col("__of")
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["__digest"]))
-    return out.drop("__digest")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([mark]))
+    return out.drop(mark)
 
 
 def sha256_hex(text: str | None) -> str:

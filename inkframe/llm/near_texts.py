@@ -268,16 +268,18 @@ def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILAR
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
     """One row of docs, with all its columns, per component of similar texts: the one with the smallest id. A null id comes
     after all others; of rows with the same id, one stays. Null texts count as empty, and texts without words are similar."""
-    numbered = common.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    number = common.unused(docs, "__row")
+    numbered = common.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(number).alias("row"), F.col(text_col).alias("text"))
     found = components(links(rows, width, least))
     # the smallest row of a component has no edge to itself
     roots = common.stage(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "components")
-    ids = roots.join(numbered.select("__row", F.col(id_col).alias("id")), F.col("node") == F.col("__row")).select("root", "node", "id")
+    ids = roots.join(numbered.select(number, F.col(id_col).alias("id")), F.col("node") == F.col(number)).select("root", "node", "id")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
     stay = ids.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.node").alias("kept"))
     gone = common.stage(roots.join(stay, F.col("node") == F.col("kept"), "left_anti").select(F.col("node").alias("row")), "gone")
     # only what the bitmap lets through is looked up; all others go past the shuffle
-    asked = through_bitmap(gone, "__row")
-    looked_up = numbered.filter(asked).join(gone, F.col("__row") == gone["row"], "left_anti")
+    asked = through_bitmap(gone, number)
+    at = common.unused(numbered, "row")
+    looked_up = numbered.filter(asked).join(gone.withColumnRenamed("row", at), F.col(number) == F.col(at), "left_anti")
     return numbered.filter(~asked).unionByName(looked_up).select(*docs.columns)

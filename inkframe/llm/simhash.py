@@ -175,10 +175,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
     """One row of docs, with all its columns, per component of near_groups(): the one with the smallest id. A null id comes
     after all others; of rows with the same id, one stays. What stays is chosen by row, so rows that share an id and no text stay apart."""
-    numbered = common.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = common.stage(with_fingerprint(numbered, "__row", text_col, width), "fingerprints").join(numbered.select("__row", F.col(id_col).alias("id")), F.col("doc") == F.col("__row"))
+    number = common.unused(docs, "__row")
+    numbered = common.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = common.stage(with_fingerprint(numbered, number, text_col, width), "fingerprints").join(numbered.select(number, F.col(id_col).alias("id")), F.col("doc") == F.col(number))
     rows = common.stage(rows.select("fp", "id", F.col("doc").alias("row")), "identified")
     found = rows.join(_with_root(rows), F.col("fp") == F.col("of")).select("root", "id", "row")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.row").alias("stays"))
-    return numbered.join(stay, F.col("__row") == F.col("stays"), "left_semi").select(*docs.columns)
+    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.row").alias(common.unused(numbered, "stays")))
+    return numbered.join(stay, F.col(number) == F.col(stay.columns[0]), "left_semi").select(*docs.columns)

@@ -135,6 +135,8 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             digest.update(mine)
             block += part
             size += len(mine)
+            if len(block) > length + 4:  # more than the record's end: what else the member holds is not read
+                raise WarcError(f"the record is framed as {length} bytes, {len(block)} or more were found")
         if bytes(block[length:]) != b"\r\n\r\n":
             raise WarcError(f"the record is framed as {length} bytes, {len(block)} were found")
         if claimed and digest.digest() != claimed[1]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkframe.llm import common, secret_scans
+from inkframe.llm import common, cuckoo_dedup, near_texts, quality_rules, secret_scans, simhash
 
 from .conftest import HOST_RULES, SCHEMA, words
 from .test_near_texts import brute_roots
@@ -139,3 +139,16 @@ def test_stages_keep_the_columns(spark, data):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, data)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_columns_of_clashing_names(spark):
+    """Columns named as the stages name their own keep their values."""
+    names = ("__row", "__row_", "__id", "__of", "__digest", "__before", "row", "node", "gone", "stays", "id", "text_sha256")
+    rows = [(k, " ".join(words(120, 30 + k // 2, 5000)), "en", "a", 1, *range(-5 - k, -5 - k - len(names), -1)) for k in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} long" for c in names))
+    of = {r[0]: r[5:] for r in rows}
+    for stage in (cuckoo_dedup.kept_documents, near_texts.one_of_each, simhash.one_of_each, lambda d: corpus_pipeline.without_secrets(spark, d, ""), quality_rules.kept_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r[c] for c in names) == of[r.doc_id] for r in got)
