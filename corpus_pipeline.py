@@ -30,9 +30,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret becomes [SECRET]; n_chars follows the text where it changed."""
-    mine = docs.withColumn("__before", F.length("text"))
-    clean = secret_scans.redact(mine)
-    return clean.withColumn("n_chars", (F.col("n_chars") - F.col("__before") + F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    before = common.unused(docs, "__before")
+    clean = secret_scans.redact(docs.withColumn(before, F.length("text")))
+    return clean.withColumn("n_chars", (F.col("n_chars") - F.col(before) + F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
