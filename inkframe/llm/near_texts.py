@@ -178,7 +178,7 @@ def through_bitmap(ids: DataFrame, row_col: str = "row") -> F.Column:
 def verified(pairs: DataFrame, rows: DataFrame, width: int, least: Fraction) -> DataFrame:
     """Those of the distinct, staged pairs (u, v) of row numbers whose texts are similar."""
     taking_part = pairs.select(F.explode(F.array("u", "v")).alias("row"))
-    texts = common.stage(rows.filter(through_bitmap(taking_part)).select("row", "text"), "texts")
+    texts = common.stage(rows.filter(through_bitmap(taking_part)).select("row", "text"), "texts", "zstd")
     text = lambda end: texts.select(F.col("row").alias(f"__{end}"), F.col("text").alias(f"{end}_text"))
     both = pairs.join(text("u"), F.col("u") == F.col("__u")).join(text("v"), F.col("v") == F.col("__v")).select("u", "v", "u_text", "v_text")
 
@@ -269,7 +269,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of docs, with all its columns, per component of similar texts: the one with the smallest id. A null id comes
     after all others; of rows with the same id, one stays. Null texts count as empty, and texts without words are similar."""
     number = common.unused(docs, "__row")
-    numbered = common.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = common.stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered", "zstd")
     rows = numbered.select(F.col(number).alias("row"), F.col(text_col).alias("text"))
     found = components(links(rows, width, least))
     # the smallest row of a component has no edge to itself

@@ -106,7 +106,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: bool = False) -> DataFrame:
     """measure(), with each row's verdict in kept; what the hosts are joined to is staged, so no text is measured twice."""
-    measured = common.stage(measure(docs, id_col, text_col, host_col, carry), "measured")
+    measured = common.stage(measure(docs, id_col, text_col, host_col, carry), "measured", "zstd" if carry else "snappy")
     hosts = host_rates(measured)
     fails = lambda r: F.col(f"failed_{r}") & (F.col(f"rate_{r}") >= HOST_CLEAN * F.col(f"mean_{r}"))
     verdict = ~F.col("base_failed") & (F.col("rate_any") < HOST_REJECTED) & ~fails("symbol") & ~fails("upper") & ~fails("dup_line")
