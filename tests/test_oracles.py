@@ -2,10 +2,10 @@
 
 import pytest
 
-from inkframe.plans import gate_queries, raster_queries, stream_queries, table_oracles, table_queries
+from inkframe.plans import gate_queries, raster_queries, shape_queries, stream_queries, table_oracles, table_queries
 
-QUERIES = raster_queries.QUERIES | table_queries.QUERIES | gate_queries.QUERIES | stream_queries.QUERIES
-ORACLE = raster_queries.ORACLE | table_oracles.ORACLE | gate_queries.ORACLE | stream_queries.ORACLE
+QUERIES = raster_queries.QUERIES | table_queries.QUERIES | gate_queries.QUERIES | shape_queries.QUERIES | stream_queries.QUERIES
+ORACLE = raster_queries.ORACLE | table_oracles.ORACLE | gate_queries.ORACLE | shape_queries.ORACLE | stream_queries.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
