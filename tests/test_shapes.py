@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from inkframe.operators import curves
+from inkframe.operators import curves, fit, shapes
 
 OUTLINE = "name string, ord int, x double, y double"
 
@@ -67,3 +67,100 @@ def test_path_candidates(spark):
     assert got["c"].budget == 16 and got["s"].budget == 36 and got["s"].node_count == 4
     assert got["s"].raster_error == pytest.approx(0.35 + 32 * 0.035)
     assert curves.fit_segments(curves.outline_pieces(df.limit(0), "name"), "name").count() == 0
+
+
+def ink(spark, **shapes):
+    """Shapes as predicates over a 60 x 60 canvas."""
+    rows = [(n, x, y) for n, f in shapes.items() for x in range(60) for y in range(60) if f(x, y)]
+    return spark.createDataFrame(rows, "name string, x int, y int")
+
+
+def disc(r, cx=30, cy=30):
+    return lambda x, y: (x - cx) ** 2 + (y - cy) ** 2 <= r * r
+
+
+def oval(rx, ry, degrees=0.0):
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return lambda x, y: (((x - 30) * c + (y - 30) * s) / rx) ** 2 + (((y - 30) * c - (x - 30) * s) / ry) ** 2 <= 1
+
+
+def capsule(half, r, degrees=0.0):
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+
+    def inside(x, y):
+        u, v = (x - 30) * c + (y - 30) * s, (y - 30) * c - (x - 30) * s
+        return math.hypot(max(abs(u) - half, 0), v) <= r
+
+    return inside
+
+
+def by_name(df):
+    return {r.name: r for r in df.collect()}
+
+
+def test_ellipses(spark):
+    tilted = {f"tilt{a}": oval(22, 11, a) for a in (20, 45, 70, 110, 160)}
+    df = ink(spark, flat=oval(22.5, 12.5), small=oval(4, 3), disc=disc(20), bar=capsule(14, 8), tilted_bar=capsule(14, 8, 30), box=lambda x, y: 10 <= x < 50 and 20 <= y < 40, ring=lambda x, y: oval(24, 14)(x, y) and not oval(20, 10)(x, y), dot=lambda x, y: (x, y) == (3, 4), **tilted)
+    got = by_name(shapes.ellipse_fits(df, "name"))
+    assert {n for n, r in got.items() if r.fits} == {"flat", "ring", *tilted} and got["flat"].form == "aligned" and got["ring"].form == "ring"
+    for n in tilted:
+        a = float(n[4:])
+        assert got[n].form == "tilted" and abs(got[n].rx - 22) < 1 and abs(got[n].ry - 11) < 1
+        assert min(abs(math.degrees(got[n].rotation) - a + k) for k in (0, 180, -180)) < 2
+    assert 3 < got["ring"].stroke_width < 7
+
+
+def test_circles_and_their_gaps(spark):
+    lens = lambda x, y: disc(26, 14, 30)(x, y) and disc(26, 46, 30)(x, y)
+    cut = lambda x, y: disc(20)(x, y) and not (29 <= y <= 31 and 16 <= x <= 44)
+    df = ink(spark, disc=disc(20), cut=cut, lens=lens, box=lambda x, y: 15 <= x < 45 and 15 <= y < 45, open_cut=lambda x, y: disc(20)(x, y) and not (29 <= y <= 31 and x >= 30), dot=lambda x, y: (x, y) == (3, 4))
+    got = by_name(shapes.circle_fits(df, "name"))
+    assert got["disc"].fits and not got["disc"].refitted and got["cut"].fits and got["cut"].refitted
+    assert abs(got["cut"].r - 20) < 0.5 and (got["cut"].cx, got["cut"].cy) == (30, 30) and got["cut"].gap_area == 3 * 29
+    assert not got["lens"].fits and not got["box"].fits and not got["dot"].fits
+    edges = shapes.boundary_without_gaps(df.filter("name = 'cut'"), "name").collect()
+    assert all(r.gap_edge == (28 <= r.y <= 32 and 15 <= r.x <= 45) for r in edges)
+
+
+def test_quad_scan_lines(spark):
+    slanted = lambda x, y: 10 <= y <= 30 and 10 + (y - 10) / 2 <= x <= 40 + (y - 10) / 2
+    df = ink(spark, slanted=slanted, notched=lambda x, y: slanted(x, y) and not (20 <= y <= 24 and 25 <= x <= 29), line=lambda x, y: y == 3 and 3 <= x <= 20)
+    quads = fit.extreme_quad(df, "name")
+    got = by_name(shapes.quad_fill_error(df, quads, "name"))
+    assert got["slanted"].fill_error < 0.02 and got["notched"].missing - got["slanted"].missing == 25
+    assert got["line"].fill_error == 1.0 and got["line"].expected == 0
+    wide = [("slanted", [(0.0, 10.0), (59.0, 10.0), (59.0, 30.0), (0.0, 30.0)]), ("notched", [(0.0, 10.0), (59.0, 10.0), (0.0, 10.0), (59.0, 10.0)])]
+    own = spark.createDataFrame(wide, "name string, corners array<struct<x: double, y: double>>")
+    got = by_name(shapes.quad_fill_error(df, own, "name"))
+    area = sum(slanted(x, y) for x in range(60) for y in range(60))
+    assert (got["slanted"].expected, got["slanted"].missing, got["slanted"].extra) == (60 * 21, 60 * 21 - area, 0)
+    assert got["notched"].fill_error == 1.0  # no height
+
+
+def test_smooth_strokes(spark):
+    wave = lambda x, y: 4 <= x <= 56 and abs(y - 30 - 8 * math.sin(x / 9)) <= 1.6
+    df = ink(spark, wave=wave, bow=lambda x, y: 4 <= x <= 56 and abs(y - 10 - (x - 30) ** 2 / 40) <= 1.6, line=lambda x, y: 4 <= x <= 56 and 29 <= y <= 31, steep=lambda x, y: wave(y, x), disc=disc(20), bent=lambda x, y: disc(20)(x, y) and not disc(16)(x, y), dot=lambda x, y: (x, y) == (3, 4))
+    got = by_name(shapes.smooth_strokes(df, "name"))
+    assert {n for n, r in got.items() if r.fits} == {"wave", "bow", "steep"}
+    assert len(got["wave"].controls) == 7 and got["bow"].jitter < got["wave"].jitter and got["bow"].residual < 0.5
+    assert [(round(p.y), round(p.x)) for p in got["steep"].controls] == [(round(p.x), round(p.y)) for p in got["wave"].controls]
+
+
+def test_cutout_strokes(spark):
+    host = lambda x, y: 2 <= x <= 57 and 2 <= y <= 57
+    slits = {
+        "straight": lambda x, y: 20 <= y <= 21 and 10 <= x <= 45, "diagonal": lambda x, y: abs(x - y) <= 1 and 10 <= x <= 45, "bowed": lambda x, y: abs(y - 20 - (x - 30) ** 2 / 30) <= 1 and 12 <= x <= 48,
+        "winding": lambda x, y: abs(y - 30 - 6 * math.sin((x - 30) / 5)) <= 1.2 and 14 <= x <= 46, "hole": lambda x, y: disc(12)(x, y), "open": lambda x, y: 20 <= y <= 21 and x >= 30, "short": lambda x, y: (x, y) in ((30, 30), (31, 30)), "none": lambda x, y: False,
+    }
+    df = ink(spark, **{n: (lambda x, y, f=f: host(x, y) and not f(x, y)) for n, f in slits.items()})
+    got = by_name(shapes.cutout_strokes(df, "name"))
+    assert {n: r.form for n, r in got.items()} == {"straight": "straight", "diagonal": "straight", "bowed": "bowed", "winding": "winding"}
+    assert len(got["winding"].centerline) == 7 and got["straight"].stroke_width == 2.0
+    two = ink(spark, both=lambda x, y: host(x, y) and not slits["straight"](x, y) and not slits["hole"](x, y + 8) and not (50 <= y <= 51 and 10 <= x <= 40))
+    assert shapes.cutout_strokes(two, "name").count() == 2 - (1 if slits["hole"](30, 21 + 8) else 0)
+
+
+def test_no_pixels(spark):
+    none = ink(spark, dot=disc(1)).limit(0)
+    assert shapes.ellipse_fits(none, "name").count() == shapes.circle_fits(none, "name").count() == shapes.smooth_strokes(none, "name").count() == shapes.cutout_strokes(none, "name").count() == 0
+    assert shapes.quad_fill_error(none, fit.extreme_quad(none, "name"), "name").count() == 0
