@@ -34,21 +34,22 @@ def flatten_json(df: DataFrame, key: str, document: str) -> DataFrame:
     of digits, and booleans are no numbers; null and malformed texts give no rows. Each level is one explode, and the
     levels end where no object or list is left.
     """
+    if key in ("path", "value"):
+        raise ValueError(f"the key column may not be named {key}, as a column of the result is")
     kind = lambda c: F.schema_of_variant(c)
-    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("v")).filter("v is not null")
+    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("__v")).filter("__v is not null")
     found = None
     while True:
-        nested = F.lower(kind(F.col("v"))).rlike("^(object|array)")
-        number = F.lower(kind(F.col("v"))).rlike("^(bigint|double|float|decimal)")
-        leaves = level.filter(number).select(key, "path", F.col("v").cast("double").alias("value"))
+        nested = F.lower(kind(F.col("__v"))).rlike("^(object|array)")
+        number = F.lower(kind(F.col("__v"))).rlike("^(bigint|double|float|decimal)")
+        leaves = level.filter(number).select(key, "path", F.col("__v").cast("double").alias("value"))
         found = leaves if found is None else found.unionByName(leaves)
         inner = level.filter(nested)
         if inner.isEmpty():
             return found
-        items = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        named = F.coalesce(F.col("key"), F.try_variant_get("value", "$.id", "string"), F.col("pos").cast("string")) if key != "key" else None
-        step = named
-        level = items.select(level[key], F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), F.col("value").alias("v"))
+        items = inner.select(F.col(key).alias("__key"), "path", "__v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+        step = F.coalesce(F.col("key"), F.try_variant_get("value", "$.id", "string"), F.col("pos").cast("string"))
+        level = items.select(F.col("__key").alias(key), F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), F.col("value").alias("__v"))
 
 
 def baseline_drift(baseline: DataFrame, current: DataFrame, key: str, metrics: list[str], rising: tuple[str, ...] = (), tolerance: float = 0.002) -> DataFrame:
@@ -116,6 +117,40 @@ def greedy_matches(pairs: DataFrame, *keys: str, left: str, right: str, score: s
     return once.join(functools.reduce(DataFrame.unionByName, taken), on).select(pairs.columns)
 
 
+def ordered_matches(pairs: DataFrame, *keys: str, expected: str, order: str, actual: str, failures: str, score: str) -> DataFrame:
+    """(keys, expected, order, status, actual, failures, score): each group's expectations, in order, take the best actual that is left.
+
+    An expectation takes the actual without failures of the largest score (ties: the smallest actual) that no earlier one
+    took: status matched. Otherwise nothing is taken; actual is then the one with the fewest failures among those that no
+    earlier one took: status failed, or missing if there is none. Orders are unique in a group. Rows with a null among the
+    columns named match nothing.
+
+    In rounds: an expectation takes its best actual once no earlier open one could want it, which the first open one
+    of each group always may, so there are at most as many rounds as a group has expectations.
+    """
+    named = [*keys, expected, order, actual, failures, score]
+    once = _settled(pairs.select(named).dropna().dropDuplicates([*keys, expected, actual]))
+    rank = F.struct((-F.col(score)).alias("s"), F.col(actual).alias("a"))
+    open_pairs, taken = once.filter(F.col(failures) == 0), None
+    while not open_pairs.isEmpty():
+        best = open_pairs.groupBy(*keys, expected, order).agg(F.min(rank)["a"].alias(actual))
+        first = open_pairs.groupBy(*keys, actual).agg(F.min(order).alias(order))
+        found = best.join(first, [*keys, actual, order]).select(*keys, expected, order, actual)
+        taken = _settled(found if taken is None else taken.unionByName(found))
+        still = once.filter(F.col(failures) == 0).join(taken.select(*keys, expected), [*keys, expected], "left_anti").join(taken.select(*keys, actual), [*keys, actual], "left_anti")
+        open_pairs = _settled(still)
+    everyone = pairs.select(*keys, expected, order).dropna().distinct()
+    if taken is None:
+        taken = once.limit(0).select(*keys, expected, order, actual)
+    matched = taken.join(once, [*keys, expected, order, actual]).select(*named)
+    before = taken.select(*keys, F.col(actual).alias(actual), F.col(order).alias("__by"))
+    left = once.join(taken.select(*keys, expected), [*keys, expected], "left_anti").join(before, [*keys, actual], "left").filter(F.col("__by").isNull() | (F.col("__by") > F.col(order)))
+    near = left.groupBy(*keys, expected, order).agg(F.min_by(F.struct(actual, failures, score), F.struct(F.col(failures).alias("f"), (-F.col(score)).alias("s"), F.col(actual).alias("a"))).alias("__b")).select(*keys, expected, order, "__b.*")
+    rows = matched.withColumn("status", F.lit("matched")).unionByName(near.withColumn("status", F.lit("failed")))
+    out = everyone.join(rows, [*keys, expected, order], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    return out.select(*keys, expected, order, "status", actual, failures, score)
+
+
 def sweep_rank(runs: DataFrame, *keys: str, editability: str = "editability_score", l1: str = "raster_l1_error", id_col: str = "id") -> DataFrame:
     """Runs ranked by (editability descending, error, id); a missing or zero error counts as 1, a missing score as 0."""
     or_else = lambda c, v: F.when(F.col(c).isNull() | (F.col(c) == 0), F.lit(v)).otherwise(F.col(c))

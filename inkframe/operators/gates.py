@@ -20,33 +20,102 @@ def over_cells(df: DataFrame, box: tuple[str, ...], cell: float) -> DataFrame:
     return df.withColumn("cell_x", F.explode(F.sequence(at(box[0]), at(box[2])))).withColumn("cell_y", F.explode(F.sequence(at(box[1]), at(box[3]))))
 
 
-def region_checks(regions: DataFrame, anchors: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame:
-    """regions with selected, matching and forbidden anchor counts, best_iou, ok and reason.
+def _valid_box() -> Column:
+    x0, y0, x1, y1 = (F.col(c) for c in BOUNDS)
+    return F.coalesce((x0 <= x1) & (y0 <= y1), F.lit(False))
 
-    regions: (keys, region_id, bounds, expected_kinds, forbidden_kinds, min_iou, min_coverage, min_count, max_count); anchors:
-    (keys, kind, bounds). An anchor is selected if its box overlaps the region's by min_iou and by min_coverage of its own
-    area (null: no limit; min_iou null: 0.1, or 0 with a coverage). No expected kinds: all match. Bounds that are null or turned around
-    select nothing. Regions and anchors meet in the cells of a grid, a pair counts in the cell of its overlap's lower corner.
-    """
+
+def region_matches(regions: DataFrame, anchors: DataFrame, *keys: str, carry: tuple[str, ...] = (), cell: float = 64.0) -> DataFrame:
+    """(keys, region_id, expected_kinds, forbidden_kinds, kind, iou, carry): the anchors that each region selects, as in region_checks()."""
     r, a = tuple(F.col(c) for c in BOUNDS), tuple(F.col(f"a_{c}") for c in BOUNDS)
-    valid = F.coalesce((r[0] <= r[2]) & (r[1] <= r[3]), F.lit(False))
-    mine = over_cells(regions.filter(valid).select(*keys, "region_id", *BOUNDS, "expected_kinds", "forbidden_kinds", "min_iou", "min_coverage"), BOUNDS, cell)
-    other = over_cells(anchors.filter(F.coalesce((r[0] <= r[2]) & (r[1] <= r[3]), F.lit(False))).select(*keys, "kind", *[F.col(c).alias(f"a_{c}") for c in BOUNDS]), tuple(f"a_{c}" for c in BOUNDS), cell)
+    mine = over_cells(regions.filter(_valid_box()).select(*keys, "region_id", *BOUNDS, "expected_kinds", "forbidden_kinds", "min_iou", "min_coverage"), BOUNDS, cell)
+    other = over_cells(anchors.filter(_valid_box()).select(*keys, "kind", *carry, *[F.col(c).alias(f"a_{c}") for c in BOUNDS]), tuple(f"a_{c}" for c in BOUNDS), cell)
     owner = (F.col("cell_x") == F.floor(F.greatest(r[0], a[0]) / cell)) & (F.col("cell_y") == F.floor(F.greatest(r[1], a[1]) / cell))
     iou, inter = S.bounds_iou(r, a), S.bounds_intersection(r, a)
     least = F.coalesce("min_iou", F.when(F.col("min_coverage").isNull(), LEAST_REGION_IOU).otherwise(0.0))
     covered = F.col("min_coverage").isNull() | (F.coalesce(F.try_divide(inter, S.bounds_area(a)), F.lit(0.0)) >= F.col("min_coverage"))
     met = mine.join(other, [*keys, "cell_x", "cell_y"]).filter(owner & (inter > 0) & (iou >= least) & covered)
+    return met.select(*keys, "region_id", "expected_kinds", "forbidden_kinds", "kind", iou.alias("iou"), *carry)
+
+
+def region_checks(regions: DataFrame, anchors: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame:
+    """regions with selected, matching and forbidden anchor counts, best_iou, ok and reason.
+
+    regions: (keys, region_id, bounds, expected_kinds, forbidden_kinds, min_iou, min_coverage, min_count, max_count); anchors:
+    (keys, kind, bounds). An anchor is selected if its box overlaps the region's by min_iou and by min_coverage of its own
+    area (null: no limit; min_iou null: 0.1, or 0 with a coverage). No expected kinds: all match. Bounds that are null or turned around
+    select nothing; a null min_count is 1. Regions and anchors meet in the cells of a grid, a pair counts in the cell of its overlap's lower corner.
+    """
+    met, valid = region_matches(regions, anchors, *keys, cell=cell), _valid_box()
     fits = (F.coalesce(F.size("expected_kinds"), F.lit(0)) <= 0) | F.array_contains("expected_kinds", F.col("kind"))
     bad = F.coalesce(F.array_contains("forbidden_kinds", F.col("kind")), F.lit(False))
-    hits = met.groupBy(*keys, "region_id").agg(F.count("*").alias("selected"), F.count_if(fits).alias("matching"), F.count_if(bad).alias("forbidden"), F.max(iou).alias("best_iou"))
+    hits = met.groupBy(*keys, "region_id").agg(F.count("*").alias("selected"), F.count_if(fits).alias("matching"), F.count_if(bad).alias("forbidden"), F.max("iou").alias("best_iou"))
     out = regions.join(hits, [*keys, "region_id"], "left").fillna(0, ["selected", "matching", "forbidden"])
-    few, many = F.col("matching") < F.col("min_count"), F.coalesce(F.col("matching") > F.col("max_count"), F.lit(False))
-    text = lambda sign, limit: F.concat(F.lit("matching anchors in region: "), F.col("matching").cast("string"), F.lit(sign), F.col(limit).cast("string"))
+    few, many = F.col("matching") < F.coalesce("min_count", F.lit(1)), F.coalesce(F.col("matching") > F.col("max_count"), F.lit(False))
+    text = lambda sign, limit: F.concat(F.lit("matching anchors in region: "), F.col("matching").cast("string"), F.lit(sign), F.coalesce(limit, F.lit(1)).cast("string"))
     reason = F.when(~valid, "region bounds are invalid").when(F.col("forbidden") > 0, F.concat(F.lit("forbidden anchors in region: "), F.col("forbidden").cast("string"))).when(few, text(" < ", "min_count")).when(many, text(" > ", "max_count")).otherwise("passed")
     return out.withColumn("reason", reason).withColumn("ok", reason == "passed")
 
 
+#: The kinds that are closed whatever they say, and each limit of a region's topology with what it is held against.
+CLOSED_KINDS = ("circle", "ellipse", "rect", "rounded_rect", "quad", "stroke_circle")
+TOPOLOGY_LIMITS = (
+    ("min_closed_anchors", "closed_anchor_count"), ("max_closed_anchors", "closed_anchor_count"), ("min_open_anchors", "open_anchor_count"), ("max_open_anchors", "open_anchor_count"),
+    ("max_hole_count", "hole_count"), ("max_cutout_count", "cutout_count"), ("min_nested_contours", "nested_contour_count"), ("max_nested_contours", "nested_contour_count"), ("max_disconnected_components", "disconnected_component_count"),
+)
+
+
+def region_topology(regions: DataFrame, anchors: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame:
+    """regions with the contour counts of the anchors that they select, descriptors, and topology_failures in the limits' order.
+
+    anchors: as in region_checks(), with closed (null: open, unless the kind is always closed), hole_count (null or below 0: none) and
+    has_cutout. Limits that regions do not have as columns, or that are null, hold. required_descriptors and forbidden_descriptors
+    are lists of descriptors; null lists ask for nothing.
+    """
+    met = region_matches(regions, anchors, *keys, carry=("closed", "hole_count", "has_cutout"), cell=cell)
+    shut = F.col("kind").isin(*CLOSED_KINDS) | F.coalesce("closed", F.lit(False))
+    holes, cut = F.greatest(F.coalesce(F.col("hole_count").cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")), F.coalesce("has_cutout", F.lit(False))
+    n = met.groupBy(*keys, "region_id").agg(F.count("*").alias("selected_anchor_count"), F.count_if(F.coalesce(shut, F.lit(False))).alias("closed_anchor_count"), F.sum(holes).alias("hole_count"), F.count_if(cut).alias("cutout_count"))
+    counts = ("selected_anchor_count", "closed_anchor_count", "hole_count", "cutout_count")
+    out = regions.join(n, [*keys, "region_id"], "left").fillna(0, [*counts])
+    out = out.withColumns({"open_anchor_count": F.col("selected_anchor_count") - F.col("closed_anchor_count"), "disconnected_component_count": F.col("selected_anchor_count"), "nested_contour_count": F.col("hole_count") + F.col("cutout_count")})
+    all_of, some = F.col("selected_anchor_count"), lambda c: F.col(c) > 0
+    form = F.when(all_of == 0, "empty").when(F.col("closed_anchor_count") == all_of, "closed").when(F.col("closed_anchor_count") == 0, "open").otherwise("mixed_open_closed")
+    parts = F.when(all_of > 1, "multi_component").when(all_of == 1, "single_component")
+    descriptors = F.array_compact(F.array(form, parts, F.when(some("hole_count"), "holes"), F.when(some("cutout_count"), "cutouts"), F.when(some("nested_contour_count"), "nested_contours")))
+    out = out.withColumn("descriptors", descriptors)
+
+    def limit(name: str, count: str) -> Column:
+        sign = "<" if name.startswith("min") else ">"
+        broken = F.col(count) < F.col(name) if sign == "<" else F.col(count) > F.col(name)
+        return F.when(broken, F.concat(F.lit(f"{count} "), F.col(count).cast("string"), F.lit(f" {sign} "), F.col(name).cast("string")))
+
+    failures = F.array_compact(F.array(*[limit(name, count) for name, count in TOPOLOGY_LIMITS if name in regions.columns], F.lit(None).cast("string")))
+
+    def said(name: str, text: str, held: Column) -> Column:
+        wrong = F.filter(name, lambda x: F.array_contains("descriptors", x) == held)
+        return F.coalesce(F.transform(wrong, lambda x: F.concat(F.lit(f"{text} topology descriptor: "), x)), F.array().cast("array<string>"))
+
+    for name, text, held in (("required_descriptors", "missing", F.lit(False)), ("forbidden_descriptors", "forbidden", F.lit(True))):
+        if name in regions.columns:
+            failures = F.concat(failures, said(name, text, held))
+    return out.withColumn("topology_failures", failures)
+
+
+def region_results(regions: DataFrame, anchors: DataFrame, *keys: str, visual_failures: DataFrame | None = None, cell: float = 64.0) -> DataFrame:
+    """region_checks() with topology, and with the failures (keys, region_id, visual_failures) of regions' rasters: what a region fails by its
+    anchors comes first, then its topology, then its raster."""
+    checked = region_checks(regions, anchors, *keys, cell=cell)
+    more = region_topology(regions, anchors, *keys, cell=cell).select(*keys, "region_id", "descriptors", "topology_failures", "closed_anchor_count", "open_anchor_count", "hole_count", "cutout_count", "nested_contour_count")
+    out = checked.join(more, [*keys, "region_id"])
+    visual = F.lit(None).cast("array<string>")
+    if visual_failures is not None:
+        out, visual = out.join(visual_failures, [*keys, "region_id"], "left"), F.col("visual_failures")
+    first = F.col("reason") == "passed"
+    reason = F.when(first & (F.size("topology_failures") > 0), F.concat(F.lit("topology constraints failed: "), F.array_join("topology_failures", ", "))).when(first & (F.coalesce(F.size(visual), F.lit(0)) > 0), F.concat(F.lit("region visual thresholds failed: "), F.array_join(visual, ", "))).otherwise(F.col("reason"))
+    return out.withColumn("reason", reason).withColumn("ok", F.col("reason") == "passed")
+
+
 def group_checks(gates: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     """gates (keys, gate_id, kinds, min_count, max_count, min_members, max_members) with selected, best_members and failures, in order.
 

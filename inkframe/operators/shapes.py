@@ -1,4 +1,5 @@
-"""Fits per component beyond box statistics: ellipses, circles with cut-outs, quads by scan lines, smooth strokes, cut-out strokes.
+"""Fits per component beyond box statistics: ellipses, circles with cut-outs, quads by scan lines, smooth strokes, cut-out strokes,
+arcs; and all of them as candidates of one choice.
 
 Every fit is a chain of aggregates over a component's pixels, so components may share a key space of any size; the
 boundary and the gaps are pixel tables of their own. A component without a fit has a row whose `fits` is false.
@@ -293,3 +294,121 @@ def cutout_strokes(pixels: DataFrame, *keys: str, least_length: float = STROKE_L
     line = F.when(winding, seven).when(bowed, F.array(a, F.get("line", -farthest["i"]), b)).otherwise(F.array(a, b))
     form = F.when(winding, "winding").when(bowed, "bowed").otherwise("straight")
     return df.select(*keys, "gap_id", form.alias("form"), "path_length", "stroke_width", F.transform(line, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("centerline"))
+
+
+#: An arc's least and largest span, densest box, widest band over the radius, largest midpoint residual, and least bow.
+ARC_SPAN, ARC_DENSITY, ARC_BAND, ARC_RESIDUAL, ARC_BOW, ARC_TAPER, TAPER_BAND = (0.3, 5.9), 0.55, 0.9, 0.42, 0.1, 1.8, 4.0
+
+
+def _turned(angle: Column) -> Column:
+    """The angle within -pi and pi."""
+    return F.pmod(angle + PI, F.lit(2 * PI)) - PI
+
+
+def _ranked(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """df with each row's place (from 0) by value in its group, and the group's size n."""
+    return df.withColumns({"__k": F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
+
+
+def _tenths(value: str) -> tuple[Column, Column]:
+    """The values at a tenth and at nine tenths of the ranks."""
+    at = lambda share: F.max(F.when(F.col("__k") == F.least(F.floor(F.col("__n") * share), F.col("__n") - 1), F.col(value)))
+    return at(0.1), at(0.9)
+
+
+def arc_candidates(pixels: DataFrame, *keys: str) -> DataFrame:
+    """(keys, fits, cx, cy, r, span, stroke_width, midpoint_residual, taper, bow, raster_error): thin open bands along a circle.
+
+    A circle is fitted to all pixels, and its band is cut into bins by angle; on shallow arcs that circle is too small, so a second
+    one is fitted to the bins' middles, which lie on the stroke's centreline. Bands that leave it (parabolas), that taper
+    (crescents), that have a wide gap, or that hardly bow are no arcs. The width is the mean of two estimates, one too small
+    and one too large: area over length, and the spread of the distances. Round caps are taken off the span.
+    """
+    box = _box(pixels, *keys).select(*keys, "w", "h", "area")
+    may = (F.greatest("w", "h") - 1 >= STROKE_LENGTH) & (F.least("w", "h") >= 3) & (F.col("area") <= ARC_DENSITY * F.col("w") * F.col("h")) & (F.col("area") >= 8)
+    first = fit.kasa_circle(pixels, *keys).drop("n").join(box.filter(may), [*keys]).filter((F.col("r") >= 2) & (F.col("r") <= 4 * F.greatest("w", "h")))
+
+    def around(circles: DataFrame) -> DataFrame:
+        """Pixels with their distance d and angle a from the circle's centre, a against the mean angle."""
+        at = pixels.select(*keys, "x", "y").join(circles, [*keys])
+        at = at.withColumns({"d": F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), "t": F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))})
+        mean = at.groupBy(*keys).agg(F.atan2(F.sum(F.sin("t")), F.sum(F.cos("t"))).alias("mean"))
+        return raster._settled(at.join(mean, [*keys]).withColumn("a", _turned(F.col("t") - F.col("mean"))))
+
+    # each step is read several times below
+    pixels, first = raster._settled(pixels.select(*keys, "x", "y")), raster._settled(first)
+    at = around(first)
+    gap = F.col("a") - F.lag("a").over(Window.partitionBy(*keys).orderBy("a"))
+    lim = at.withColumn("gap", gap).groupBy(*keys).agg(F.min("d").alias("inner"), F.max("d").alias("outer"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"))
+    at = at.join(lim.drop("gap"), [*keys])
+    off = at.groupBy(*keys).agg(F.avg(F.abs(F.col("d") - (F.col("inner") + F.col("outer")) / 2)).alias("band_residual"))
+    band, span = F.greatest(F.col("outer") - F.col("inner"), F.lit(1.0)), F.col("a1") - F.col("a0")
+    held = first.join(lim, [*keys]).join(off, [*keys]).withColumn("band", band)
+    held = held.filter((F.col("band") <= ARC_BAND * F.col("r")) & (F.col("band_residual") <= F.col("band") * 0.5 + 0.5) & span.between(*ARC_SPAN) & (F.col("gap") <= F.greatest(F.lit(0.35), span * 0.2)))
+    held = raster._settled(held)
+    bins = F.greatest(F.lit(8), F.least(F.lit(48), F.floor(F.col("area") / 4)))
+    middles = at.join(held.select(*keys), [*keys], "left_semi").groupBy(*keys, F.floor(F.round((F.col("a") - F.col("a0")) / span * (bins - 1) + 0.5, 9)).alias("bin")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    middles = raster._settled(middles)
+    second = raster._settled(fit.kasa_circle(middles, *keys).filter((F.col("n") >= 5) & (F.col("r") >= 2)).drop("n"))
+    leaves = middles.join(second, [*keys]).groupBy(*keys).agg(F.avg(F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r"))).alias("midpoint_residual"))
+
+    at = around(second)
+    lim = at.groupBy(*keys).agg(F.min("a").alias("a0"), F.max("a").alias("a1"))
+    at = raster._settled(at.join(lim, [*keys]).filter(span > 0))
+    low, high = _tenths("d")
+    spread = _ranked(at, "d", *keys).groupBy(*keys).agg(low.alias("low"), high.alias("high"))
+    part = F.least(F.lit(7), F.greatest(F.lit(0), F.floor(F.round((F.col("a") - F.col("a0")) / span * 8, 9))))
+    eighths = _ranked(at.withColumn("part", part), "d", *keys, "part").groupBy(*keys, "part").agg(F.first("__n").alias("n"), low.alias("low"), high.alias("high")).filter("n >= 6")
+    wide = F.greatest(F.col("high") - F.col("low"), F.lit(0.5))
+    taper = eighths.groupBy(*keys).agg(F.when(F.count("*") >= 3, F.max(wide) / F.min(wide)).otherwise(1.0).alias("taper"))
+    df = held.drop("cx", "cy", "r", "a0", "a1").join(second, [*keys]).join(leaves, [*keys]).join(lim, [*keys]).join(spread, [*keys]).join(taper, [*keys], "left").withColumn("taper", F.coalesce("taper", F.lit(1.0)))
+    long = span.between(*ARC_SPAN)
+    df = df.withColumn("stroke_width", F.greatest((F.col("area") / F.greatest(span * F.col("r"), F.lit(1.0)) + (F.col("high") - F.col("low")) / 0.8 + 1) / 2, F.lit(1.0)))
+    df = raster._settled(df)
+    df = df.withColumn("cap", F.asin(F.least(F.lit(0.95), F.col("stroke_width") / 2 / F.greatest("r", F.lit(1.0)))))
+    ends = at.select(*keys, "a").join(df.select(*keys, "a0", "a1", "cap"), [*keys]).groupBy(*keys).agg(F.count_if(F.col("a") < F.col("a0") + F.col("cap")).alias("at_start"), F.count_if(F.col("a") > F.col("a1") - F.col("cap")).alias("at_end"))
+    full = F.greatest(F.col("cap") * F.col("r") * F.col("stroke_width"), F.lit(1.0))
+    capped = (F.col("cap") > 0.01) & (F.col("stroke_width") >= 4)
+    cut = lambda c: F.when(capped & (F.col(c) / full < 0.9), F.col("cap")).otherwise(0.0)
+    df = df.join(ends, [*keys]).withColumn("long", long).withColumns({"a0": F.col("a0") + cut("at_start"), "a1": F.col("a1") - cut("at_end")}).withColumn("span", span)
+    chord = 2 * F.col("r") * F.sin(F.col("span") / 2)
+    sagitta = F.col("r") * (1 - F.cos(F.col("span") / 2))
+    df = df.withColumns({"chord": chord, "sagitta": sagitta}).withColumn("bow", F.col("sagitta") / F.greatest("chord", F.lit(1.0)))
+    even = (F.col("band") < TAPER_BAND) | (F.col("taper") <= ARC_TAPER)
+    df = df.filter(F.col("long") & (F.col("span") >= ARC_SPAN[0]) & (F.col("midpoint_residual") <= ARC_RESIDUAL) & even & (F.col("chord") >= STROKE_LENGTH) & (F.col("sagitta") >= 1) & (F.col("bow") >= ARC_BOW))
+    names = ("cx", "cy", "r", "span", "stroke_width", "midpoint_residual", "taper", "bow")
+    df = df.select(*keys, *names, (F.col("band_residual") / F.greatest("band", F.lit(1.0)) * 0.1).alias("raster_error"))
+    return box.select(*keys).join(df, [*keys], "left").select(*keys, F.col("r").isNotNull().alias("fits"), *names, "raster_error")
+
+
+def primitive_candidates(pixels: DataFrame, *keys: str, paths: DataFrame | None = None) -> DataFrame:
+    """(keys, ord, kind, raster_error, node_count, parameter_count): for each component, every primitive that fits it, in a fixed
+    order, and the generic path, which always stands.
+
+    The fits' own gates decide; box statistics are left for rectangles and straight strokes. paths: (keys, raster_error, node_count,
+    parameter_count) of the outlines, as curves.path_candidates() makes them; without it the path has the fixed penalty and nodes.
+    """
+    pixels = raster._settled(pixels.select(*keys, "x", "y"))  # every fit reads them
+    box = fit.rect_fit(pixels, *keys).withColumns({"w": F.col("max_x") - F.col("min_x") + 1, "h": F.col("max_y") - F.col("min_y") + 1})
+    longer, shorter, fill = F.greatest("w", "h"), F.least("w", "h"), F.col("fill_error")
+    row = lambda place, kind, error, nodes, parameters: F.struct(F.lit(place).alias("ord"), kind.alias("kind"), F.round(error, 9).alias("raster_error"), F.lit(nodes).alias("node_count"), parameters.alias("parameter_count"))
+    ring = fit.ring_fit(pixels, *keys).filter("is_ring").select(*keys, row(0, F.lit("stroke_circle"), F.col("area_error"), 1, F.lit(4)).alias("c"))
+    discs = circle_fits(pixels, *keys).filter("fits").select(*keys, row(1, F.lit("circle"), F.col("raster_error"), 1, F.lit(3)).alias("c"))
+    form = F.col("form")
+    ovals = ellipse_fits(pixels, *keys).filter("fits").select(*keys, row(2, F.when(form == "ring", "stroke_ellipse").otherwise("ellipse"), F.col("raster_error"), 1, F.when(form == "aligned", 4).otherwise(5)).alias("c"))
+    straight = box.filter((longer >= STROKE_LENGTH) & (longer >= STROKE_RATIO * shorter)).select(*keys, row(3, F.lit("stroke_polyline"), fill, 2, F.lit(5)).alias("c"))
+    arcs = arc_candidates(pixels, *keys).filter("fits").select(*keys, row(4, F.lit("arc"), F.col("raster_error"), 3, F.lit(7)).alias("c"))
+    smooth = smooth_strokes(pixels, *keys).filter("fits").select(*keys, F.struct(F.lit(5).alias("ord"), F.lit("stroke_path").alias("kind"), F.round(F.col("residual") * 0.1, 9).alias("raster_error"), F.size("controls").alias("node_count"), (3 * F.size("controls")).alias("parameter_count")).alias("c"))
+    rects = box.filter(fill <= fit.RECT_FILL).select(*keys, row(6, F.lit("rect"), fill, 4, F.lit(4)).alias("c"))
+    rounded = box.filter((fill > 0) & (fill <= fit.ROUNDED_FILL) & (shorter >= 3)).select(*keys, row(7, F.lit("rounded_rect"), fill, 4, F.lit(5)).alias("c"))
+    dense = box.filter((shorter >= 3) & (fill <= 1 - fit.QUAD_FILL)).select(*keys)
+    corners = fit.extreme_quad(pixels.join(dense, [*keys], "left_semi"), *keys).filter("corners is not null")
+    quads = quad_fill_error(pixels, corners, *keys).filter(F.col("fill_error") <= fit.QUAD_ERROR).select(*keys, row(8, F.lit("quad"), F.col("fill_error"), 4, F.lit(8)).alias("c"))
+    spare = box.select(*keys, row(9, F.lit("cubic_path"), F.lit(fit.FALLBACK_PENALTY), fit.FALLBACK_NODES, F.lit(2 * fit.FALLBACK_NODES)).alias("c"))
+    if paths is not None:
+        own = paths.select(*keys, F.struct(F.lit(9).alias("ord"), F.lit("cubic_path").alias("kind"), F.round("raster_error", 9).alias("raster_error"), F.col("node_count").cast("int").alias("node_count"), F.col("parameter_count").cast("int").alias("parameter_count")).alias("o"))
+        spare = spare.join(own, [*keys], "left").select(*keys, F.coalesce("o", "c").alias("c"))
+    out = spare
+    for df in (ring, discs, ovals, straight, arcs, smooth, rects, rounded, quads):
+        out = out.unionByName(df)
+    return out.select(*keys, "c.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
-from inkframe.operators import gates, learn
+from inkframe.operators import diff, gates, learn
 from inkframe.plans.table_oracles import _A, _ACC
 from inkframe.plans.table_queries import _examples, _predictions, _round, anchors
 from inkframe.sources.tables import table
@@ -29,6 +29,32 @@ def region_checks(spark: SparkSession, d: str) -> DataFrame:
     return _round(gates.region_checks(r, a.filter("line > 1"), "run_id").select("run_id", "region_id", "selected", "matching", "forbidden", F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"), "ok", "reason"), "best_iou")
 
 
+def region_results(spark: SparkSession, d: str) -> DataFrame:
+    """The same regions with limits on contours; an anchor's parameters say whether it is closed and how many holes it has."""
+    a = anchors(spark, d).withColumns({"closed": F.when(F.col("parameter_count") % 3 != 1, F.col("parameter_count") % 3 == 0), "hole_count": F.col("parameter_count") % 4 - 1, "has_cutout": F.col("color") == "F"})
+    q = F.col("parameter_count")
+    r = a.filter("line = 1").select(
+        "run_id", F.col("anchor_index").alias("region_id"), *gates.BOUNDS, F.lit(None).cast("array<string>").alias("expected_kinds"), F.lit(None).cast("array<string>").alias("forbidden_kinds"), F.lit(0.02).alias("min_iou"), F.lit(None).cast("double").alias("min_coverage"),
+        F.when(q % 2 == 0, 0).alias("min_count"), F.lit(None).cast("int").alias("max_count"), F.when(q > 20, 1).alias("max_closed_anchors"), F.when(q % 2 == 0, 1).alias("min_open_anchors"), F.lit(2).alias("max_hole_count"), F.lit(1).alias("max_cutout_count"),
+        F.when(q % 5 == 0, 1).alias("min_nested_contours"), F.when(q % 7 == 0, F.array(F.lit("closed"), F.lit("holes"))).alias("required_descriptors"), F.when(q % 3 == 0, F.array(F.lit("cutouts"))).alias("forbidden_descriptors"),
+    )
+    visual = r.filter(F.col("region_id") % 4 == 0).select("run_id", "region_id", F.array(F.lit("l1 too large")).alias("visual_failures"))
+    out = gates.region_results(r, a.filter("line > 1"), "run_id", visual_failures=visual)
+    return out.select("run_id", "region_id", "selected", "closed_anchor_count", "open_anchor_count", "hole_count", "cutout_count", "nested_contour_count", F.array_join("descriptors", ",").alias("descriptors"), "ok", "reason")
+
+
+def ordered_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The anchors of a scene, in order, as expectations of the next scene's; another kind, another colour and a small IoU are failures."""
+    cols = gates.BOUNDS
+    a = anchors(spark, d).withColumns({c: F.col(c).cast("int") for c in cols})
+    b = a.select((F.col("run_id") - 1).alias("run_id"), F.col("anchor_index").alias("actual"), F.col("kind").alias("b_kind"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    iou = F.round(S.pixel_bounds_iou(tuple(F.col(c) for c in cols), tuple(F.col(f"b_{c}") for c in cols)), 6)
+    met = diff.box_pairs(a.select("run_id", F.col("anchor_index").alias("expected"), "kind", *cols), b, "run_id")
+    pairs = met.select("run_id", "expected", F.col("expected").alias("place"), "actual", iou.alias("iou"), (F.when(F.col("kind") != F.col("b_kind"), 1).otherwise(0) + F.when(iou < 0.2, 1).otherwise(0)).alias("failures"))
+    out = diff.ordered_matches(pairs, "run_id", expected="expected", order="place", actual="actual", failures="failures", score="iou")
+    return out.drop("place").fillna({"actual": -1, "failures": -1, "iou": -1.0})
+
+
 def group_checks(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of one kind and colour are a group; each scene has two gates."""
     groups = anchors(spark, d).groupBy("run_id", "kind", "color").agg(F.count("*").alias("members"))
@@ -125,7 +151,7 @@ def multi_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    region_checks, group_checks, applied_review_status, component_regressions, region_deltas, match_summary, transition_counts, accuracy_deltas, passing_cases,
+    region_checks, region_results, ordered_matches, group_checks, applied_review_status, component_regressions, region_deltas, match_summary, transition_counts, accuracy_deltas, passing_cases,
     case_family_summary, template_readiness, missing_review_fields, quad_grid_summary, scene_scoring, multi_targets,
 )}
 
@@ -144,6 +170,31 @@ ORACLE = {
         z AS (SELECT *, CASE WHEN x0 > x1 THEN 'region bounds are invalid' WHEN forbidden > 0 THEN 'forbidden anchors in region: ' || forbidden WHEN matching < least THEN 'matching anchors in region: ' || matching || ' < ' || least
             WHEN q > 25 AND matching > 1 THEN 'matching anchors in region: ' || matching || ' > 1' ELSE 'passed' END AS reason FROM o)
         SELECT run_id, region_id, selected, matching, forbidden, best_iou, reason = 'passed' AS ok, reason FROM z""",
+    "region_results": f"""WITH {_A}, r AS (SELECT run_id, anchor_index AS region_id, x0, y0, x1, y1, parameter_count AS q FROM a WHERE line = 1),
+        p AS (SELECT r.*, b.kind, b.parameter_count AS bq, b.color AS bc, greatest(least(r.x1, b.x1) - greatest(r.x0, b.x0), 0) * greatest(least(r.y1, b.y1) - greatest(r.y0, b.y0), 0) AS i, (r.x1 - r.x0) * (r.y1 - r.y0) AS ra, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba
+            FROM r JOIN a b ON b.run_id = r.run_id AND b.line > 1 WHERE r.x0 <= r.x1),
+        s AS (SELECT run_id, region_id, count(*) AS n, count(*) FILTER (kind IN ('circle', 'ellipse', 'rect', 'rounded_rect', 'quad', 'stroke_circle') OR bq % 3 = 0) AS c, sum(greatest(bq % 4 - 1, 0))::BIGINT AS h, count(*) FILTER (bc = 'F') AS cut FROM p WHERE i > 0 AND i / (ra + ba - i) >= 0.02 GROUP BY ALL),
+        o AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(c, 0) AS c, coalesce(h, 0)::BIGINT AS h, coalesce(cut, 0) AS cut FROM r LEFT JOIN s USING (run_id, region_id)),
+        e AS (SELECT *, list_filter([CASE WHEN n = 0 THEN 'empty' WHEN c = n THEN 'closed' WHEN c = 0 THEN 'open' ELSE 'mixed_open_closed' END, CASE WHEN n > 1 THEN 'multi_component' WHEN n = 1 THEN 'single_component' END,
+            CASE WHEN h > 0 THEN 'holes' END, CASE WHEN cut > 0 THEN 'cutouts' END, CASE WHEN h + cut > 0 THEN 'nested_contours' END], lambda z: z IS NOT NULL) AS ds FROM o),
+        f AS (SELECT *, list_filter([CASE WHEN q > 20 AND c > 1 THEN 'closed_anchor_count ' || c || ' > 1' END, CASE WHEN q % 2 = 0 AND n - c < 1 THEN 'open_anchor_count ' || (n - c) || ' < 1' END, CASE WHEN h > 2 THEN 'hole_count ' || h || ' > 2' END,
+            CASE WHEN cut > 1 THEN 'cutout_count ' || cut || ' > 1' END, CASE WHEN q % 5 = 0 AND h + cut < 1 THEN 'nested_contour_count ' || (h + cut) || ' < 1' END, CASE WHEN q % 7 = 0 AND NOT list_contains(ds, 'closed') THEN 'missing topology descriptor: closed' END,
+            CASE WHEN q % 7 = 0 AND NOT list_contains(ds, 'holes') THEN 'missing topology descriptor: holes' END, CASE WHEN q % 3 = 0 AND list_contains(ds, 'cutouts') THEN 'forbidden topology descriptor: cutouts' END], lambda z: z IS NOT NULL) AS fs FROM e),
+        z AS (SELECT *, CASE WHEN x0 > x1 OR y0 > y1 THEN 'region bounds are invalid' WHEN q % 2 = 1 AND n < 1 THEN 'matching anchors in region: ' || n || ' < 1' WHEN len(fs) > 0 THEN 'topology constraints failed: ' || array_to_string(fs, ', ')
+            WHEN region_id % 4 = 0 THEN 'region visual thresholds failed: l1 too large' ELSE 'passed' END AS reason FROM f)
+        SELECT run_id, region_id, n AS selected, c AS closed_anchor_count, n - c AS open_anchor_count, h AS hole_count, cut AS cutout_count, h + cut AS nested_contour_count, array_to_string(ds, ',') AS descriptors, reason = 'passed' AS ok, reason FROM z""",
+    "ordered_matches": f"""WITH RECURSIVE {_A}, i AS (SELECT run_id, anchor_index, kind, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1 FROM a),
+        t AS (SELECT a.run_id, a.anchor_index AS expected, b.anchor_index AS actual, a.kind <> b.kind AS other, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1, 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1, 0) AS inter,
+            (a.x1 - a.x0 + 1) * (a.y1 - a.y0 + 1) + (b.x1 - b.x0 + 1) * (b.y1 - b.y0 + 1) AS total FROM i a JOIN i b ON b.run_id = a.run_id + 1),
+        p AS (SELECT run_id, expected, actual, round(inter / (total - inter), 6) AS iou, other::INT + (round(inter / (total - inter), 6) < 0.2)::INT AS failures FROM t WHERE inter > 0),
+        e AS (SELECT run_id, expected, row_number() OVER (PARTITION BY run_id ORDER BY expected) AS k, list(actual ORDER BY iou DESC, actual) FILTER (failures = 0) AS choices FROM p GROUP BY run_id, expected),
+        r AS (SELECT DISTINCT run_id, 0::BIGINT AS k, []::BIGINT[] AS taken FROM e
+              UNION ALL SELECT e.run_id, e.k, list_append(taken, coalesce(list_filter(coalesce(choices, []), lambda c: NOT list_contains(taken, c))[1], -1)) FROM r JOIN e ON e.run_id = r.run_id AND e.k = r.k + 1),
+        m AS (SELECT e.run_id, e.expected, r.taken[-1] AS actual, r.taken[:-2] AS earlier FROM e JOIN r USING (run_id, k)),
+        left_over AS (SELECT m.run_id, m.expected, arg_min({{'a': p.actual, 'f': p.failures, 's': p.iou}}, {{'f': p.failures, 's': -p.iou, 'a': p.actual}}) AS b FROM m JOIN p ON p.run_id = m.run_id AND p.expected = m.expected AND NOT list_contains(earlier, p.actual) WHERE m.actual = -1 GROUP BY ALL)
+        SELECT m.run_id, m.expected, CASE WHEN m.actual <> -1 THEN 'matched' WHEN b IS NULL THEN 'missing' ELSE 'failed' END AS status, coalesce(CASE WHEN m.actual <> -1 THEN m.actual ELSE b.a END, -1) AS actual,
+               coalesce(CASE WHEN m.actual <> -1 THEN 0 ELSE b.f END, -1) AS failures, coalesce(CASE WHEN m.actual <> -1 THEN p.iou ELSE b.s END, -1) AS iou
+        FROM m LEFT JOIN left_over USING (run_id, expected) LEFT JOIN p ON p.run_id = m.run_id AND p.expected = m.expected AND p.actual = m.actual""",
     "group_checks": f"""WITH {_A}, g AS (SELECT run_id, kind, color, count(*) AS members FROM a GROUP BY ALL),
         w AS (SELECT o_orderkey AS run_id, 'any' AS gate_id, 1 AS lo, 3 AS hi, 2 AS mlo, NULL::INT AS mhi FROM orders UNION ALL SELECT o_orderkey, 'shapes', CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END, NULL, 1, 2 FROM orders),
         h AS (SELECT w.*, count(g.run_id) AS selected, coalesce(max(members), 0) AS best FROM w LEFT JOIN g ON g.run_id = w.run_id AND (gate_id = 'any' OR kind IN ('circle', 'rect')) GROUP BY ALL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkframe.functions import scalars as S
 from inkframe.operators import curves, fit, shapes
 from inkframe.plans.raster_queries import _rounded
 from inkframe.sources.tables import table
@@ -126,7 +127,7 @@ _SEGMENTS = f"""{_CORNERS},
     segments AS (SELECT image_id, lo, hi, ax, ay, cx, cy, dx, dy, bx, "by", error FROM rounds WHERE done)"""
 
 #: Which cells (x, y) of a 40 x 40 canvas are ink, by k (the shape) and p (its size), as SQL of both engines: a disc, an upright and a tilted
-#: ellipse, an elliptic ring, a disc with a slit, a slanted quad, a parabola's band, and a disc with a bent slit.
+#: ellipse, an elliptic ring, a disc with a slit, a slanted quad, a parabola's band, an arc, a box, a ring, a bar, and a disc with a bent slit.
 DRAWN = """CASE k
     WHEN 0 THEN (x - 20) * (x - 20) + (y - 20) * (y - 20) <= (10 + p) * (10 + p)
     WHEN 1 THEN (x - 20) * (x - 20) / 27225e-2 + (y - 20) * (y - 20) / ((95e-1 + p) * (95e-1 + p)) <= 1
@@ -135,19 +136,23 @@ DRAWN = """CASE k
     WHEN 4 THEN (x - 20) * (x - 20) + (y - 20) * (y - 20) <= (12 + p) * (12 + p) AND NOT (y BETWEEN 19 AND 21 AND x BETWEEN 12 - p AND 28 + p)
     WHEN 5 THEN y BETWEEN 8 AND 28 AND x >= 6 + (y - 8) * p / 4e0 AND x <= 24 + (y - 8) * p / 8e0
     WHEN 6 THEN x BETWEEN 4 AND 36 AND y - (32e0 - (x - 20) * (x - 20) / (20e0 + 8 * p)) BETWEEN -15e-1 AND 15e-1
+    WHEN 8 THEN y <= 22 AND (x - 20) * (x - 20) + (y - 26) * (y - 26) BETWEEN (125e-1 + p / 2e0) * (125e-1 + p / 2e0) AND (155e-1 + p / 2e0) * (155e-1 + p / 2e0)
+    WHEN 9 THEN x BETWEEN 5 AND 34 AND y BETWEEN 5 AND 30 + p
+    WHEN 10 THEN (x - 20) * (x - 20) + (y - 20) * (y - 20) BETWEEN (8 + p) * (8 + p) AND (13 + p) * (13 + p)
+    WHEN 11 THEN x BETWEEN 3 AND 36 AND y BETWEEN 18 AND 20 + p
     ELSE (x - 20) * (x - 20) + (y - 20) * (y - 20) <= 17 * 17 AND NOT (x BETWEEN 10 AND 30 AND y - (24e0 - (x - 20) * (x - 20) / (10e0 + 4 * p)) BETWEEN -1e0 AND 1e0)
     END"""
 
 
 def drawn(spark: SparkSession, d: str) -> DataFrame:
     """The ink of a shape for each customer."""
-    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.expr("cast(c_custkey % 8 AS int)").alias("k"), F.expr("cast(c_custkey div 8 % 5 AS int)").alias("p"))
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.expr("cast(c_custkey % 12 AS int)").alias("k"), F.expr("cast(c_custkey div 12 % 5 AS int)").alias("p"))
     cells = ids.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39))))
     return cells.filter(F.expr(DRAWN)).select("image_id", "x", "y")
 
 
 _INK = f"""ink AS MATERIALIZED (
-        SELECT image_id, x, y FROM (SELECT c_custkey AS image_id, (c_custkey % 8)::INT AS k, (c_custkey // 8 % 5)::INT AS p, x::INT AS x, y::INT AS y FROM customer, range(40) a(x), range(40) b(y)) WHERE {DRAWN})"""
+        SELECT image_id, x, y FROM (SELECT c_custkey AS image_id, (c_custkey % 12)::INT AS k, (c_custkey // 12 % 5)::INT AS p, x::INT AS x, y::INT AS y FROM customer, range(40) a(x), range(40) b(y)) WHERE {DRAWN})"""
 
 
 def ellipse_fits(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +181,18 @@ def cutout_strokes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out.select("image_id", "form", "path_length", "stroke_width", F.size("centerline").alias("n_points"), *flat), "path_length", "stroke_width")
 
 
-QUERIES = {"outline_corners": outline_corners, "bezier_outline": bezier_outline, "path_candidates": path_candidates, "ellipse_fits": ellipse_fits, "circle_fits": circle_fits, "quad_fill_error": quad_fill_error, "smooth_strokes": smooth_strokes, "cutout_strokes": cutout_strokes}
+def arc_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(shapes.arc_candidates(drawn(spark, d), "image_id"), "cx", "cy", "r", "span", "stroke_width", "midpoint_residual", "taper", "bow", "raster_error")
+
+
+def best_primitive(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all primitives that fit each drawn shape, by semantic score."""
+    scored = fit.with_semantic_score(shapes.primitive_candidates(drawn(spark, d), "image_id"))
+    found = fit.choose_best(scored, "image_id").select("image_id", "kind", "score")
+    return _rounded(found.join(scored.groupBy("image_id").agg(F.count("*").alias("n_candidates")), "image_id"), "score")
+
+
+QUERIES = {"outline_corners": outline_corners, "bezier_outline": bezier_outline, "path_candidates": path_candidates, "ellipse_fits": ellipse_fits, "circle_fits": circle_fits, "quad_fill_error": quad_fill_error, "smooth_strokes": smooth_strokes, "cutout_strokes": cutout_strokes, "arc_candidates": arc_candidates, "best_primitive": best_primitive}
 
 _BOX = "box AS (SELECT image_id, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, avg(x) AS mx, avg(y) AS my FROM ink GROUP BY image_id)"
 _EDGE = """edge AS MATERIALIZED (
@@ -314,6 +330,68 @@ _CUTOUTS = f"""WITH RECURSIVE {_INK}, {_GAPS}, {_lines("sealed", "image_id, root
            round(CASE form WHEN 'straight' THEN xb ELSE l.x END, 6) AS second_x, round(CASE form WHEN 'straight' THEN yb ELSE l.y END, 6) AS second_y, round(xb, 6) AS last_x, round(yb, 6) AS last_y
     FROM formed f JOIN line l ON l.image_id = f.image_id AND l.root = f.root AND l.i = CASE WHEN form <> 'winding' THEN far_i WHEN m <= 7 THEN 1 ELSE round_even((m - 1) / 6, 0) END"""
 
+def _kasa(points: str, out: str, most: str = "true") -> str:
+    """CTE: the least-squares circle of each image's points, and their number."""
+    return f"""
+    {out}_s AS (SELECT image_id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, sum(x * x)::DOUBLE AS sxx, sum(y * y)::DOUBLE AS syy, sum(x * y)::DOUBLE AS sxy, sum(x * (x * x + y * y))::DOUBLE AS sxz, sum(y * (x * x + y * y))::DOUBLE AS syz FROM {points} GROUP BY image_id),
+    {out}_m AS (SELECT *, n * sxx - sx * sx AS a, n * sxy - sx * sy AS b, n * syy - sy * sy AS c, (n * sxz - sx * (sxx + syy)) / 2 AS d, (n * syz - sy * (sxx + syy)) / 2 AS e FROM {out}_s),
+    {out}_k AS (SELECT *, (d * c - b * e) / (a * c - b * b) AS cx, (a * e - b * d) / (a * c - b * b) AS cy FROM {out}_m WHERE abs(a * c - b * b) > 1e-9),
+    {out} AS MATERIALIZED (SELECT * FROM (SELECT image_id, n, cx, cy, sqrt((sxx + syy - 2 * cx * sx - 2 * cy * sy) / n + cx * cx + cy * cy) AS r FROM {out}_k) WHERE {most})"""
+
+
+def _around(circles: str, out: str) -> str:
+    """CTE: the ink with distance d and angle a from the circle's centre, a against the mean angle."""
+    return f"""
+    {out}_t AS (SELECT i.*, c.* EXCLUDE (image_id), sqrt((x - cx)^2 + (y - cy)^2) AS d, atan2(y - cy, x - cx) AS t FROM ink i JOIN {circles} c USING (image_id)),
+    {out}_m AS (SELECT image_id, atan2(sum(sin(t)), sum(cos(t))) AS mean FROM {out}_t GROUP BY image_id),
+    {out} AS MATERIALIZED (SELECT *, t - mean + {_PI} - 2 * {_PI} * floor((t - mean + {_PI}) / (2 * {_PI})) - {_PI} AS a FROM {out}_t JOIN {out}_m USING (image_id))"""
+
+
+_ARCS = f"""WITH {_INK}, {_BOX}, {_kasa("ink", "k1")},
+    c1 AS MATERIALIZED (SELECT image_id, cx, cy, r, w, h, area FROM k1 JOIN box USING (image_id) WHERE greatest(w, h) - 1 >= 4 AND least(w, h) >= 3 AND area <= 0.55 * w * h AND area >= 8 AND r >= 2 AND r <= 4 * greatest(w, h)),
+    {_around("c1", "p1")},
+    l1 AS (SELECT image_id, min(d) AS inner_d, max(d) AS outer_d, min(a) AS a0, max(a) AS a1, coalesce(max(g), 0) AS gap FROM (SELECT *, a - lag(a) OVER (PARTITION BY image_id ORDER BY a) AS g FROM p1) GROUP BY image_id),
+    o1 AS (SELECT image_id, avg(abs(d - (inner_d + outer_d) / 2)) AS band_residual FROM p1 JOIN l1 USING (image_id) GROUP BY image_id),
+    held AS MATERIALIZED (SELECT * FROM (SELECT c1.image_id, area, r, a0, a1, gap, band_residual, greatest(outer_d - inner_d, 1) AS band FROM c1 JOIN l1 USING (image_id) JOIN o1 USING (image_id))
+             WHERE band <= 0.9 * r AND band_residual <= band * 0.5 + 0.5 AND a1 - a0 BETWEEN 0.3 AND 5.9 AND gap <= greatest(0.35, (a1 - a0) * 0.2)),
+    mids AS (SELECT image_id, floor(round((p.a - h.a0) / (h.a1 - h.a0) * (greatest(8, least(48, h.area // 4)) - 1) + 0.5, 9)) AS bin, avg(x) AS x, avg(y) AS y FROM p1 p JOIN held h USING (image_id) GROUP BY ALL),
+    {_kasa("mids", "c2", "n >= 5 AND r >= 2")},
+    leave AS (SELECT image_id, avg(abs(sqrt((x - cx)^2 + (y - cy)^2) - r)) AS midpoint_residual FROM mids JOIN c2 USING (image_id) GROUP BY image_id),
+    {_around("c2", "p2")},
+    l2 AS (SELECT image_id, min(a) AS a0, max(a) AS a1 FROM p2 GROUP BY image_id),
+    q2 AS MATERIALIZED (SELECT p.image_id, p.a, p.d, a0, a1, least(7, greatest(0, floor(round((p.a - a0) / (a1 - a0) * 8, 9)))) AS part FROM p2 p JOIN l2 USING (image_id) WHERE a1 > a0),
+    ten AS (SELECT image_id, max(CASE WHEN k = least(floor(n * 0.1), n - 1) THEN d END) AS low, max(CASE WHEN k = least(floor(n * 0.9), n - 1) THEN d END) AS high FROM (SELECT image_id, d, row_number() OVER (PARTITION BY image_id ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM q2) GROUP BY image_id),
+    eighth AS (SELECT image_id, part, any_value(n) AS n, max(CASE WHEN k = least(floor(n * 0.1), n - 1) THEN d END) AS low, max(CASE WHEN k = least(floor(n * 0.9), n - 1) THEN d END) AS high FROM (SELECT image_id, part, d, row_number() OVER (PARTITION BY image_id, part ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY image_id, part) AS n FROM q2) GROUP BY ALL HAVING any_value(n) >= 6),
+    tap AS (SELECT image_id, CASE WHEN count(*) >= 3 THEN max(greatest(high - low, 0.5)) / min(greatest(high - low, 0.5)) ELSE 1 END AS taper FROM eighth GROUP BY image_id),
+    j AS (SELECT h.image_id, h.area, h.band, h.band_residual, c2.cx, c2.cy, c2.r, midpoint_residual, l2.a0, l2.a1, coalesce(taper, 1) AS taper, greatest((h.area / greatest((l2.a1 - l2.a0) * c2.r, 1) + (high - low) / 0.8 + 1) / 2, 1) AS stroke_width
+          FROM held h JOIN c2 USING (image_id) JOIN leave USING (image_id) JOIN l2 USING (image_id) JOIN ten USING (image_id) LEFT JOIN tap USING (image_id)),
+    cap AS (SELECT *, asin(least(0.95, stroke_width / 2 / greatest(r, 1))) AS cap FROM j),
+    tips AS (SELECT c.image_id, count(*) FILTER (q.a < c.a0 + cap) AS at_start, count(*) FILTER (q.a > c.a1 - cap) AS at_end FROM q2 q JOIN cap c USING (image_id) GROUP BY c.image_id),
+    cut AS (SELECT *, a1 - a0 BETWEEN 0.3 AND 5.9 AS long, a1 - a0 - CASE WHEN cap > 0.01 AND stroke_width >= 4 AND at_start / greatest(cap * r * stroke_width, 1) < 0.9 THEN cap ELSE 0 END
+                       - CASE WHEN cap > 0.01 AND stroke_width >= 4 AND at_end / greatest(cap * r * stroke_width, 1) < 0.9 THEN cap ELSE 0 END AS span FROM cap JOIN tips USING (image_id)),
+    z AS (SELECT *, abs(2 * r * sin(span / 2)) AS chord, r * (1 - cos(span / 2)) AS sagitta FROM cut),
+    good AS (SELECT *, sagitta / greatest(chord, 1) AS bow FROM z WHERE long AND span >= 0.3 AND midpoint_residual <= 0.42 AND (band < 4 OR taper <= 1.8) AND chord >= 4 AND sagitta >= 1 AND sagitta / greatest(chord, 1) >= 0.1)
+    SELECT b.image_id, g.image_id IS NOT NULL AS fits, {", ".join(f"round({c}, 6) AS {c}" for c in ("cx", "cy", "r", "span", "stroke_width", "midpoint_residual", "taper", "bow"))}, round(band_residual / greatest(band, 1) * 0.1, 6) AS raster_error FROM box b LEFT JOIN good g USING (image_id)"""
+
+_BEST = f"""WITH RECURSIVE {_INK}, {_BOX},
+    fill AS (SELECT *, 1 - area / (w * h) AS fill_error, greatest(w, h) AS longer, least(w, h) AS shorter FROM box),
+    reach AS (SELECT image_id, max(sqrt((x - mx)^2 + (y - my)^2)) + 0.5 AS o, greatest(min(sqrt((x - mx)^2 + (y - my)^2)) - 0.5, 0) AS i FROM ink JOIN box USING (image_id) GROUP BY image_id),
+    rings AS (SELECT *, abs(area - {_PI} * (o * o - i * i)) / ({_PI} * (o * o - i * i)) AS e FROM fill JOIN reach USING (image_id)),
+    c AS (SELECT image_id, 0 AS ord, 'stroke_circle' AS kind, e::DOUBLE AS e, 1 AS nodes, 4 AS parameters FROM rings WHERE longer >= 6 AND 1 - shorter / longer <= 0.18 AND i / o >= 0.25 AND e <= 0.45
+        UNION ALL SELECT image_id, 1, 'circle', raster_error, 1, 3 FROM ({_CIRCLES}) WHERE fits
+        UNION ALL SELECT image_id, 2, CASE form WHEN 'ring' THEN 'stroke_ellipse' ELSE 'ellipse' END, raster_error, 1, CASE form WHEN 'aligned' THEN 4 ELSE 5 END FROM ({_ELLIPSES}) WHERE fits
+        UNION ALL SELECT image_id, 3, 'stroke_polyline', fill_error, 2, 5 FROM fill WHERE longer >= 4 AND longer >= 3 * shorter
+        UNION ALL SELECT image_id, 4, 'arc', raster_error, 3, 7 FROM ({_ARCS}) WHERE fits
+        UNION ALL SELECT image_id, 5, 'stroke_path', residual * 0.1, n_controls, 3 * n_controls FROM ({_STROKES.replace("round(coalesce(residual, 0), 6)", "coalesce(residual, 0)")}) WHERE fits
+        UNION ALL SELECT image_id, 6, 'rect', fill_error, 4, 4 FROM fill WHERE fill_error <= 0.08
+        UNION ALL SELECT image_id, 7, 'rounded_rect', fill_error, 4, 5 FROM fill WHERE fill_error > 0 AND fill_error <= 0.30 AND shorter >= 3
+        UNION ALL SELECT q.image_id, 8, 'quad', q.fill_error, 4, 8 FROM ({_QUADS}) q JOIN fill USING (image_id) WHERE shorter >= 3 AND fill.fill_error <= 0.65 AND q.fill_error <= 0.28 AND expected > 0
+        UNION ALL SELECT image_id, 9, 'cubic_path', 0.35, 16, 32 FROM fill),
+    s AS (SELECT *, e + 0.015 * nodes + 0.01 * parameters - CASE WHEN kind IN (@ROUND) THEN 0.35 WHEN kind IN (@SIMPLE) THEN 0.25 ELSE 0 END AS score, count(*) OVER (PARTITION BY image_id) AS n_candidates FROM c)
+    SELECT image_id, kind, round(score, 6) AS score, n_candidates FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score, ord) = 1"""
+for _name, _kinds in (("@ROUND", S.ROUND_KINDS), ("@SIMPLE", S.SIMPLE_KINDS)):
+    _BEST = _BEST.replace(_name, ", ".join(f"'{k}'" for k in _kinds))
+
 ORACLE = {
     "outline_corners": f"WITH {_CORNERS} SELECT image_id, len(corners)::INT AS n_corners, array_to_string(corners, ',') AS corners FROM corners",
     "bezier_outline": f"WITH RECURSIVE {_SEGMENTS} SELECT image_id, lo, hi, {', '.join(f'round("{c}", 4) AS "{c}"' for c in ('ax', 'ay', 'cx', 'cy', 'dx', 'dy', 'bx', 'by', 'error'))} FROM segments",
@@ -327,4 +405,6 @@ ORACLE = {
     "quad_fill_error": _QUADS,
     "smooth_strokes": _STROKES,
     "cutout_strokes": _CUTOUTS,
+    "arc_candidates": _ARCS,
+    "best_primitive": _BEST,
 }

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from inkframe.operators import curves, fit, shapes
+from inkframe.operators import curves, diff, fit, gates, shapes
 
 OUTLINE = "name string, ord int, x double, y double"
 
@@ -164,3 +164,87 @@ def test_no_pixels(spark):
     none = ink(spark, dot=disc(1)).limit(0)
     assert shapes.ellipse_fits(none, "name").count() == shapes.circle_fits(none, "name").count() == shapes.smooth_strokes(none, "name").count() == shapes.cutout_strokes(none, "name").count() == 0
     assert shapes.quad_fill_error(none, fit.extreme_quad(none, "name"), "name").count() == 0
+
+
+def test_arcs(spark):
+    def band(r, half, at, width=3.0, cy=30):
+        return lambda x, y: abs(math.hypot(x - 30, y - cy) - r) <= width / 2 and abs((math.degrees(math.atan2(y - cy, x - 30)) - at + 180) % 360 - 180) <= half
+
+    df = ink(spark, quarter=band(22, 45, -90, cy=40), half=band(20, 90, 90, cy=20), most=band(20, 140, 0), shallow=band(48, 25, -90, cy=60), ring=band(20, 180, 0), line=lambda x, y: 5 <= x <= 50 and 29 <= y <= 31, disc=disc(20), parabola=lambda x, y: 4 <= x <= 56 and abs(y - 50 + (x - 30) ** 2 / 18) <= 1.8, dot=lambda x, y: (x, y) == (3, 4))
+    got = by_name(shapes.arc_candidates(df, "name"))
+    assert {n for n, r in got.items() if r.fits} == {"quarter", "half", "most", "shallow"}
+    for n, r, cy, half in (("quarter", 22, 40, 45), ("half", 20, 20, 90), ("most", 20, 30, 140), ("shallow", 48, 60, 25)):
+        assert abs(got[n].r - r) < (2 if n == "shallow" else 1) and abs(got[n].cy - cy) < (2 if n == "shallow" else 1) and abs(math.degrees(got[n].span) - 2 * half) < 12
+        assert 2 <= got[n].stroke_width <= 4.5
+
+
+def test_best_of_all_candidates(spark):
+    arc = lambda x, y: abs(math.hypot(x - 30, y - 40) - 22) <= 1.5 and y <= 24
+    df = ink(
+        spark, circle=disc(20), stroke_circle=lambda x, y: disc(20)(x, y) and not disc(15)(x, y), ellipse=oval(22, 11, 30), stroke_ellipse=lambda x, y: oval(24, 14)(x, y) and not oval(20, 10)(x, y), rect=lambda x, y: 10 <= x < 50 and 20 <= y < 40,
+        stroke_polyline=lambda x, y: 5 <= x <= 50 and 29 <= y <= 31, arc=arc, stroke_path=lambda x, y: 4 <= x <= 56 and abs(y - 30 - 8 * math.sin(x / 9)) <= 1.6, quad=lambda x, y: 10 <= y <= 30 and 10 + (y - 10) / 2 <= x <= 40 + (y - 10) / 2, cubic_path=lambda x, y: 10 <= x <= 50 and 5 <= y <= 55 and (x <= 16 or y <= 11 or y >= 49 or (27 <= y <= 33 and x <= 35)),
+    )
+    best = fit.choose_best(fit.with_semantic_score(shapes.primitive_candidates(df, "name")), "name")
+    assert {r.name: r.kind for r in best.collect()} == {n: n for n in ("circle", "stroke_circle", "ellipse", "stroke_ellipse", "rect", "stroke_polyline", "arc", "stroke_path", "quad", "cubic_path")}
+    paths = spark.createDataFrame([("cubic_path", 0.7, 9, 18)], "name string, raster_error double, node_count int, parameter_count int")
+    own = shapes.primitive_candidates(df.filter("name in ('cubic_path', 'rect')"), "name", paths=paths).filter("kind = 'cubic_path'")
+    assert {r.name: (r.raster_error, r.node_count) for r in own.collect()} == {"cubic_path": (0.7, 9), "rect": (0.35, 16)}
+
+
+def ordered_fold(pairs):
+    """One expectation after the other."""
+    out, taken = {}, set()
+    for e in sorted({p[0] for p in pairs}):
+        left = sorted((f, -s, a) for x, a, f, s in pairs if x == e and a not in taken)
+        if not left:
+            out[e] = ("missing", None)
+        elif left[0][0] == 0:
+            out[e] = ("matched", left[0][2])
+            taken.add(left[0][2])
+        else:
+            out[e] = ("failed", left[0][2])
+    return out
+
+
+def test_ordered_matches(spark):
+    draw = np.random.default_rng(9)
+    groups = {g: list({(int(e), int(a)): (int(e), int(a), int(draw.integers(3)) // 2, round(float(draw.random()), 1)) for e, a in draw.integers(0, 6, (18, 2))}.values()) for g in range(40)}
+    groups[99] = [(e, a, 0, 1 - a / 10) for e in range(12) for a in range(12)]  # all want the same, in turn
+    rows = [(g, e, e, a, f, s) for g, pairs in groups.items() for e, a, f, s in pairs]
+    df = spark.createDataFrame([*rows, rows[0], (0, None, None, 1, 0, 0.5)], "g int, e int, place int, a int, f int, s double")
+    got = {}
+    for r in diff.ordered_matches(df, "g", expected="e", order="place", actual="a", failures="f", score="s").collect():
+        got.setdefault(r.g, {})[r.e] = (r.status, r.a)
+    assert got == {g: ordered_fold(pairs) for g, pairs in groups.items()}
+    assert diff.ordered_matches(df.limit(0), "g", expected="e", order="place", actual="a", failures="f", score="s").count() == 0
+
+
+REGION = "s int, region_id string, min_x double, min_y double, max_x double, max_y double, expected_kinds array<string>, forbidden_kinds array<string>, min_iou double, min_coverage double, min_count int, max_count int, max_closed_anchors int, max_hole_count int, required_descriptors array<string>"
+ANCHOR = "s int, kind string, min_x double, min_y double, max_x double, max_y double, closed boolean, hole_count int, has_cutout boolean"
+
+
+def test_region_topology(spark):
+    box = (0.0, 0.0, 10.0, 10.0)
+    regions = spark.createDataFrame([
+        (1, "all", *box, None, None, 0.01, None, None, None, 1, 1, ["open", "closed"]), (1, "far", 90.0, 90.0, 99.0, 99.0, None, None, None, None, None, None, None, None, None), (1, "none wanted", 90.0, 90.0, 99.0, 99.0, None, None, None, None, 0, None, None, None, ["empty"]),
+        (1, "turned", 5.0, 0.0, 1.0, 9.0, None, None, None, None, 0, None, None, None, None), (2, "one", *box, ["circle"], None, 0.01, None, None, None, None, None, ["single_component", "closed"]),
+    ], REGION)
+    anchors = spark.createDataFrame([
+        (1, "circle", 1.0, 1.0, 5.0, 5.0, None, None, None), (1, "cubic_path", 1.0, 1.0, 6.0, 6.0, True, 2, False), (1, "stroke_path", 2.0, 2.0, 8.0, 8.0, None, -3, True), (2, "circle", 0.0, 0.0, 9.0, 9.0, False, 0, False),
+    ], ANCHOR)
+    visual = spark.createDataFrame([(2, "one", ["l1 0.5 > 0.2"])], "s int, region_id string, visual_failures array<string>")
+    got = {r.region_id: r for r in gates.region_results(regions, anchors, "s", visual_failures=visual).collect()}
+    assert got["all"].descriptors == ["mixed_open_closed", "multi_component", "holes", "cutouts", "nested_contours"]
+    assert got["all"].topology_failures == ["closed_anchor_count 2 > 1", "hole_count 2 > 1", "missing topology descriptor: open", "missing topology descriptor: closed"]
+    assert got["all"].reason.startswith("topology constraints failed: closed_anchor_count 2 > 1, ")
+    assert got["far"].reason == "matching anchors in region: 0 < 1" and not got["far"].ok  # a null min_count is 1
+    assert got["none wanted"].ok and got["turned"].reason == "region bounds are invalid"
+    assert got["one"].reason == "region visual thresholds failed: l1 0.5 > 0.2" and got["one"].descriptors == ["closed", "single_component"]
+
+
+@pytest.mark.parametrize("key", ["key", "pos", "v", "id"])
+def test_json_keys_of_clashing_names(spark, key):
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"id": "x", "n": 2}]}}')], f"{key} int, doc string")
+    assert {(r[0], r.path, r.value) for r in diff.flatten_json(df, key, "doc").collect()} == {(1, "a.b.0", 1.0), (1, "a.b.x.n", 2.0)}
+    with pytest.raises(ValueError):
+        diff.flatten_json(df.withColumnRenamed(key, "value"), "value", "doc")
