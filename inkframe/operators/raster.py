@@ -119,8 +119,14 @@ def connected_components(pixels: DataFrame, *keys: str, min_area: int = 1) -> Da
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage: a checkpoint where the session names a folder for it, else a cached frame (local use)."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+    """df cut off from its lineage: a checkpoint in the folder that spark.checkpoint.dir names. Without it a cached frame, in local mode
+    only: on a cluster a lost executor would have to compute all steps before again."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return df.cache()
 
 
 def connected_components_wide(pixels: DataFrame, *keys: str, rounds: int = 60) -> DataFrame:
