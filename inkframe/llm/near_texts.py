@@ -114,6 +114,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded_short(mark: np.ndarray) -> np.ndarray:
+    """The signature folded to LEAST_BITS: parities of more bits each, so it differs in no more bits than the whole one."""
+    return np.bitwise_xor.reduce(mark.reshape(-1, LEAST_BITS // 64), axis=0)
+
+
 def _apart(a: F.Column, b: F.Column) -> F.Column:
     """The bits in which two signatures differ; the longer one is folded onto the length of the other."""
 
@@ -127,17 +132,18 @@ def _apart(a: F.Column, b: F.Column) -> F.Column:
 
 
 def prefixes(rows: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """(row, n, signature, keys): the size of each text's set, its signature, and its prefix."""
+    """(row, n, signature, short, keys): the size of each text's set, its signature, that folded to a fixed length, and its prefix."""
     frequent, rank = frequent_shingles(rows, width)
     sent = rows.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in common.text_bytes(batch.column("text"))]
         lists = lambda arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]), pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
-        marks, firsts = lists([signature(s) for s in sets]), lists([prefix(s, *sent.value, least) for s in sets])
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int32()), marks, firsts], names=["row", "n", "signature", "keys"])
+        whole = [signature(s) for s in sets]
+        marks, short, firsts = lists(whole), lists([folded_short(m) for m in whole]), lists([prefix(s, *sent.value, least) for s in sets])
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int32()), marks, short, firsts], names=["row", "n", "signature", "short", "keys"])
 
-    return common.map_batches(rows.select("row", "text"), keys, "row long, n int, signature array<long>, keys array<long>")
+    return common.map_batches(rows.select("row", "text"), keys, "row long, n int, signature array<long>, short array<long>, keys array<long>")
 
 
 def possible(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
@@ -233,10 +239,16 @@ def pivot_pairs(mine: DataFrame, turn: int) -> DataFrame:
 def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
     """rows: row, text, staged. Edges (u, v) between similar texts, enough to connect all such pairs."""
     spark = rows.sparkSession
-    marks = common.stage(prefixes(rows, width, least), "prefixes")
-    keys = marks.select("row", F.posexplode("keys").alias("at", "key"))
+    looked_up = common.stage(prefixes(rows, width, least), "prefixes")
+    keys = looked_up.select("row", F.posexplode("keys").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").withColumnRenamed("key", "of")
-    members = common.stage(keys.join(shared, F.col("key") == F.col("of")).select("key", "row", "at", "first", "last"), "members")
+    shared = common.stage(shared, "shared")
+    # most shingles are of one row only: they go no further than this filter
+    asked = keys.filter(through_bitmap(shared.select(F.col("of").alias("row")), "key"))
+    members = common.stage(asked.join(shared, F.col("key") == F.col("of")).select("key", "row", "at", "first", "last"), "members")
+    marks = common.stage(looked_up.select("row", "n", "signature", "short"), "marks")
+    common.drop_staged(spark, shared)
+    common.drop_staged(spark, looked_up)
     ends = members.groupBy("row").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     pairs = ends.filter("first < row").select(F.col("row").alias("u"), F.col("first").alias("v"))
     pairs = pairs.unionByName(ends.filter("row < last").select(F.col("last").alias("u"), F.col("row").alias("v"))).unionByName(simhash_candidates(rows, width)).distinct()
@@ -252,16 +264,19 @@ def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILAR
     # the component with the most rows under a key
     sizes = mine.groupBy("key", "root").agg(F.count("*").alias("c"))
     most = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("of"), F.col("m.root").alias("main"))
-    split = mine.join(most, F.col("key") == F.col("of")).drop("of").join(marks.select(F.col("row").alias("of"), "n", "signature"), F.col("row") == F.col("of"))
-    split = common.stage(split.select("key", "row", "at", "root", "main", "n", "signature"), "split")
+    # a row is here under each of its shingles, so only the short signature comes along: whole ones would grow with the square of a text
+    split = mine.join(most, F.col("key") == F.col("of")).drop("of").join(marks.select(F.col("row").alias("of"), "n", "short"), F.col("row") == F.col("of"))
+    split = common.stage(split.select("key", "row", "at", "root", "main", "n", "short").sortWithinPartitions("row"), "split")
     common.drop_staged(spark, mine)
-    side = lambda e: split.select(F.col("key").alias(f"key_{e}"), F.col("row").alias(e), F.col("root").alias(f"{e}_root"), (F.col("root") != F.col("main")).alias(f"{e}_small"), F.col("at").alias(f"{e}_at"), F.col("n").alias(f"{e}_n"), F.col("signature").alias(f"{e}_s"))
+    side = lambda e: split.select(F.col("key").alias(f"key_{e}"), F.col("row").alias(e), F.col("root").alias(f"{e}_root"), (F.col("root") != F.col("main")).alias(f"{e}_small"), F.col("at").alias(f"{e}_at"), F.col("n").alias(f"{e}_n"), F.col("short").alias(f"{e}_s"))
     # at the first shingle of the order that both have, what follows in each set must hold all that they share
     rest = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
     first = rest * (least.numerator + least.denominator) >= (F.col("u_n") + F.col("v_n")) * least.numerator
     apart = (F.col("key_u") == F.col("key_v")) & (F.col("u_root") != F.col("v_root")) & (~F.col("v_small") | (F.col("u") > F.col("v")))
     met = side("u").filter("u_small").join(side("v"), apart & first & _may_be_similar("u", "v", least))
-    pairs = common.stage(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "possible")
+    pairs = common.stage(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "met")
+    common.drop_staged(spark, split)
+    pairs = common.stage(possible(pairs, marks, least), "possible")
     return near.unionByName(verified(pairs, rows, width, least))
 
 
