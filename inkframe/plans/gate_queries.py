@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
-from inkframe.operators import diff, gates, learn
+from inkframe.operators import diff, expectations, gates, learn
 from inkframe.plans.table_oracles import _A, _ACC
 from inkframe.plans.table_queries import _examples, _predictions, _round, anchors
 from inkframe.sources.tables import table
@@ -55,6 +55,22 @@ def ordered_matches(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("place").fillna({"actual": -1, "failures": -1, "iou": -1.0})
 
 
+def expectation_results(spark: SparkSession, d: str) -> DataFrame:
+    """Each anchor is an expectation of its scene: by its parameters of a metric, of its kind at its place, of two kinds, or of groups (a line item is one, its status the kind)."""
+    a, q = anchors(spark, d), F.col("parameter_count")
+    o = table(spark, d, "orders")
+    metrics = o.select(F.col("o_orderkey").alias("run_id"), F.lit("price").alias("name"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 1000).alias("value"))
+    groups = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("kind"))
+    placed = lambda c: F.when((q % 4 == 1) & (q % 5 != 0), F.col(c))
+    e = a.select(
+        "run_id", F.col("anchor_index").alias("expectation_id"), F.col("line").alias("ord"), F.when(q % 4 == 0, F.when(q % 3 == 0, "depth").otherwise("price")).alias("metric"), F.when(q % 8 == 0, 100.0).alias("min_value"), F.lit(200.0).alias("max_value"),
+        F.when(q % 4 == 1, F.array("kind")).when(q % 4 == 2, F.array(F.lit("circle"), F.lit("rect"), F.lit("circle"))).alias("kinds"), F.when(q % 4 == 3, F.col("color")).alias("group_kind"), *[placed(c).alias(c) for c in gates.BOUNDS],
+        F.when(q % 3 != 0, 0.05).alias("min_iou"), F.when(q % 7 == 0, 0).when(q % 7 != 1, 2).alias("min_count"), F.when(q % 14 == 0, 0).when(q % 3 == 0, 3).alias("max_count"),
+    )
+    out = expectations.expectation_results(e, a, groups, metrics, "run_id").select("run_id", "expectation_id", "actual_value", "actual_count", "required", "ok", "reason", "missing_count", "excess_count", F.round("shortfall", 6).alias("shortfall"), F.round("excess", 6).alias("excess"))
+    return out.fillna(-1).fillna("")
+
+
 def group_checks(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of one kind and colour are a group; each scene has two gates."""
     groups = anchors(spark, d).groupBy("run_id", "kind", "color").agg(F.count("*").alias("members"))
@@ -151,7 +167,7 @@ def multi_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    region_checks, region_results, ordered_matches, group_checks, applied_review_status, component_regressions, region_deltas, match_summary, transition_counts, accuracy_deltas, passing_cases,
+    region_checks, region_results, ordered_matches, expectation_results, group_checks, applied_review_status, component_regressions, region_deltas, match_summary, transition_counts, accuracy_deltas, passing_cases,
     case_family_summary, template_readiness, missing_review_fields, quad_grid_summary, scene_scoring, multi_targets,
 )}
 
@@ -195,6 +211,19 @@ ORACLE = {
         SELECT m.run_id, m.expected, CASE WHEN m.actual <> -1 THEN 'matched' WHEN b IS NULL THEN 'missing' ELSE 'failed' END AS status, coalesce(CASE WHEN m.actual <> -1 THEN m.actual ELSE b.a END, -1) AS actual,
                coalesce(CASE WHEN m.actual <> -1 THEN 0 ELSE b.f END, -1) AS failures, coalesce(CASE WHEN m.actual <> -1 THEN p.iou ELSE b.s END, -1) AS iou
         FROM m LEFT JOIN left_over USING (run_id, expected) LEFT JOIN p ON p.run_id = m.run_id AND p.expected = m.expected AND p.actual = m.actual""",
+    "expectation_results": f"""WITH {_A}, e AS (SELECT *, anchor_index AS id, parameter_count AS q, q % 4 = 1 AND q % 5 <> 0 AS boxed, CASE WHEN q % 3 <> 0 THEN 0.05 ELSE 0 END AS iou, CASE WHEN q % 7 = 0 THEN 0 WHEN q % 7 <> 1 THEN 2 ELSE 1 END AS least,
+            CASE WHEN q % 14 = 0 THEN 0 WHEN q % 3 = 0 THEN 3 END AS most, CASE q % 4 WHEN 1 THEN kind WHEN 2 THEN 'circle, rect' WHEN 3 THEN color END AS what FROM a),
+        h AS (SELECT e.run_id, e.id, count(*) AS n FROM e JOIN a b USING (run_id) WHERE CASE e.q % 4 WHEN 1 THEN b.kind = e.kind AND (NOT boxed OR (b.x0 < b.x1 AND b.y0 < b.y1 AND
+            greatest(least(e.x1, b.x1) - greatest(e.x0, b.x0), 0) * greatest(least(e.y1, b.y1) - greatest(e.y0, b.y0), 0) >= iou * ((e.x1 - e.x0) * (e.y1 - e.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(least(e.x1, b.x1) - greatest(e.x0, b.x0), 0) * greatest(least(e.y1, b.y1) - greatest(e.y0, b.y0), 0))))
+            WHEN 2 THEN b.kind IN ('circle', 'rect') WHEN 3 THEN b.color = e.color ELSE false END GROUP BY ALL),
+        s AS (SELECT e.*, coalesce(h.n, 0) AS n, sum(least) OVER (PARTITION BY e.run_id, e.q % 4, what, iou, CASE WHEN boxed THEN [e.x0, e.y0, e.x1, e.y1] END ORDER BY line, e.id ROWS UNBOUNDED PRECEDING)::BIGINT AS required,
+            CASE WHEN q % 3 <> 0 AND o_orderstatus <> 'P' THEN (o_totalprice / 1000)::DOUBLE END AS v, CASE WHEN q % 8 = 0 THEN 100 END AS lo FROM e LEFT JOIN h USING (run_id, id) JOIN orders ON o_orderkey = e.run_id),
+        r AS (SELECT *, CASE WHEN q % 4 = 0 THEN CASE WHEN v IS NULL THEN 'missing_metric' WHEN v < lo THEN 'metric_below_min' WHEN v > 200 THEN 'metric_above_max' ELSE '' END
+            WHEN n < required THEN CASE WHEN q % 4 = 3 THEN 'insufficient_groups' WHEN required > least THEN 'insufficient_distinct_anchors' ELSE 'insufficient_anchors' END
+            WHEN n > most THEN CASE WHEN most = 0 AND least = 0 THEN 'forbidden_matches' ELSE 'too_many_matches' END ELSE '' END AS reason FROM s)
+        SELECT run_id, id AS expectation_id, CASE WHEN q % 4 = 0 THEN coalesce(v, -1) ELSE -1 END AS actual_value, CASE WHEN q % 4 = 0 THEN -1 ELSE n END AS actual_count, CASE WHEN q % 4 = 0 THEN -1 ELSE required END AS required, reason = '' AS ok, reason,
+            CASE WHEN reason LIKE 'insufficient%' THEN required - n ELSE -1 END AS missing_count, CASE WHEN reason IN ('forbidden_matches', 'too_many_matches') THEN n - most ELSE -1 END AS excess_count,
+            CASE WHEN reason = 'metric_below_min' THEN round(lo - v, 6) ELSE -1 END AS shortfall, CASE WHEN reason = 'metric_above_max' THEN round(v - 200, 6) ELSE -1 END AS excess FROM r""",
     "group_checks": f"""WITH {_A}, g AS (SELECT run_id, kind, color, count(*) AS members FROM a GROUP BY ALL),
         w AS (SELECT o_orderkey AS run_id, 'any' AS gate_id, 1 AS lo, 3 AS hi, 2 AS mlo, NULL::INT AS mhi FROM orders UNION ALL SELECT o_orderkey, 'shapes', CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END, NULL, 1, 2 FROM orders),
         h AS (SELECT w.*, count(g.run_id) AS selected, coalesce(max(members), 0) AS best FROM w LEFT JOIN g ON g.run_id = w.run_id AND (gate_id = 'any' OR kind IN ('circle', 'rect')) GROUP BY ALL),
