@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,10 @@ LEAST_BITS = 512
 #: Bits of the bitmap of rows.
 BITMAP_BITS = 1 << 24
 #: Turns in which rows are held against PIVOTS others each, before all that is left is compared.
-TURNS = 2
-PIVOTS = 16
+TURNS = 3
+PIVOTS = 8
+#: Shingles are counted in so many slices, one after the other: what that shuffles and spills at once is one slice.
+SLICES = 2
 _FACTOR, _MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -231,7 +234,8 @@ def pivot_pairs(mine: DataFrame, turn: int) -> DataFrame:
     pivot = lambda k: F.struct(F.xxhash64("row", F.lit(k)).alias("h"), "row", "root")
     of_key = mine.groupBy("key").agg(*(F.min(pivot(k)).alias(f"p{k}") for k in hashes)).withColumnRenamed("key", "of")
     met = mine.join(of_key, F.col("key") == F.col("of"))
-    other = lambda k: F.min(F.when(F.col(f"p{k}.root") != F.col("root"), F.col(f"p{k}"))).alias(f"p{k}")
+    # without its root, which nothing asks for any more: these structs are what is shuffled
+    other = lambda k: F.min(F.when(F.col(f"p{k}.root") != F.col("root"), F.struct(f"p{k}.h", f"p{k}.row"))).alias(f"p{k}")
     best = met.groupBy("row").agg(*(other(k) for k in hashes)).select("row", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.row") for k in hashes)))).alias("pivot"))
     return best.filter("pivot is not null").select(F.greatest("row", "pivot").alias("u"), F.least("row", "pivot").alias("v")).distinct()
 
@@ -241,8 +245,9 @@ def links(rows: DataFrame, width: int = SHINGLE_WORDS, least: Fraction = SIMILAR
     spark = rows.sparkSession
     looked_up = common.stage(prefixes(rows, width, least), "prefixes")
     keys = looked_up.select("row", F.posexplode("keys").alias("at", "key"))
-    shared = keys.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").withColumnRenamed("key", "of")
-    shared = common.stage(shared, "shared")
+    counted = lambda k: keys.filter(F.pmod("key", F.lit(SLICES)) == k).groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    slices = [common.stage(counted(k).filter("first < last").withColumnRenamed("key", "of"), "shared") for k in range(SLICES)]
+    shared = reduce(DataFrame.unionByName, slices)
     # most shingles are of one row only: they go no further than this filter
     asked = keys.filter(through_bitmap(shared.select(F.col("of").alias("row")), "key"))
     members = common.stage(asked.join(shared, F.col("key") == F.col("of")).select("key", "row", "at", "first", "last"), "members")
