@@ -269,3 +269,11 @@ def cubic_samples(segment: Column, steps: int = 8) -> Column:
 
 def arc_samples(cx: Column, cy: Column, r: Column, start: Column, end: Column, steps: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: arc_point(cx, cy, r, start + (end - start) * i / steps))
+
+
+def line_intersection(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The point (x, y) in which the lines through a, b and c, d meet; null for parallel lines, and if a point is null."""
+    ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
+    turn = ux * vy - uy * vx
+    along = ((c["x"] - a["x"]) * vy - (c["y"] - a["y"]) * vx) / turn
+    return F.when(F.abs(turn) >= 1e-9, F.struct((a["x"] + along * ux).alias("x"), (a["y"] + along * uy).alias("y")))

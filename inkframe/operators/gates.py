@@ -224,6 +224,22 @@ def quad_grid_summary(quads: DataFrame, *keys: str, share: float = 0.6) -> DataF
     return g.select(*keys, "quads", axis_clusters(F.col("ys"), limit("h")).alias("row_count"), axis_clusters(F.col("xs"), limit("w")).alias("column_count"))
 
 
+def vanishing_points(quads: DataFrame, *keys: str) -> DataFrame:
+    """(keys, horizontal, vertical): where the upper and lower edges of each quad meet, and its left and right edges; null for
+    parallel ones. corners go round from the upper left; quads without four corners are left out."""
+    corner = [F.get("corners", F.lit(k)) for k in range(4)]
+    meet = lambda a, b, c, d: S.line_intersection(corner[a], corner[b], corner[c], corner[d])
+    return quads.filter(F.size("corners") == 4).select(*keys, meet(0, 1, 3, 2).alias("horizontal"), meet(0, 3, 1, 2).alias("vertical"))
+
+
+def vanishing_lines(quads: DataFrame, *keys: str) -> DataFrame:
+    """Per scene: pairs of horizontal and of vertical edges, and how many of these pairs meet. Scenes without quads of four
+    corners have no row."""
+    found = vanishing_points(quads, *keys)
+    met = F.count("horizontal") + F.count("vertical")
+    return found.groupBy(*keys).agg(F.count("*").alias("horizontal_pairs"), F.count("*").alias("vertical_pairs"), met.alias("finite_intersections"))
+
+
 def scene_scoring(anchors: DataFrame, *keys: str, canvas: Column) -> DataFrame:
     """Per scene: simple shapes, the area of their boxes and its share of the canvas (at most 1), sum and mean of the shape
     bonus, and mean, least and largest semantic score (column score)."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
-from inkframe.operators import fit, raster, render, scene
+from inkframe.operators import fit, gates, raster, render, scene
 from inkframe.sources.tables import table
 
 SIDE = 8
@@ -69,6 +69,12 @@ def extreme_quad(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fit.extreme_quad(ink(spark, d), "image_id").select("image_id", "area", "quad_area"), "quad_area")
 
 
+def vanishing_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The images of one label are a scene, the extreme corners of each image a quad in it."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    return gates.vanishing_lines(fit.extreme_quad(ink(spark, d), "image_id").join(labels, "image_id"), "label")
+
+
 def ink_features(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(raster.ink_features(pixels(spark, d), F.col("value") > 0, SIDE, SIDE), "value")
 
@@ -198,7 +204,7 @@ def stroke_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     component_geometry, row_spans, boundary_pixels, projection_bands, connected_components_8, interior_gaps, gap_components, kasa_circle_fit, principal_axis,
-    rect_fill_error, extreme_quad, ink_features, raster_fidelity, nearest_palette, modal_color, best_candidate, image_best_candidate, circular_smoothing,
+    rect_fill_error, extreme_quad, vanishing_lines, ink_features, raster_fidelity, nearest_palette, modal_color, best_candidate, image_best_candidate, circular_smoothing,
     tolerant_palette, dominant_palette, contact_pairs, svg_elements, boundary_roundness, column_mean_smoothness, render_error, outline_lengths, refined_circles, ring_fit, arc_fit, stroke_profile,
 )}
 
@@ -257,6 +263,9 @@ ORACLE = {
     "extreme_quad": f"""WITH {_PX}, q AS (SELECT image_id, count(*) AS area,
             arg_min({{'x': x, 'y': y}}, (x+y)*100 + y) AS a, arg_min({{'x': x, 'y': y}}, (y-x)*100 + y) AS b, arg_min({{'x': x, 'y': y}}, (-x-y)*100 - y) AS c, arg_min({{'x': x, 'y': y}}, (x-y)*100 - y) AS d FROM ink GROUP BY image_id)
         SELECT image_id, area, CASE WHEN len(list_distinct([a, b, c, d])) = 4 THEN round(abs((a.x*b.y-b.x*a.y)+(b.x*c.y-c.x*b.y)+(c.x*d.y-d.x*c.y)+(d.x*a.y-a.x*d.y))/2, 6) END AS quad_area FROM q""",
+    "vanishing_lines": f"""WITH {_PX}, q AS (SELECT image_id, arg_min({{'x': x, 'y': y}}, (x+y)*100 + y) AS a, arg_min({{'x': x, 'y': y}}, (y-x)*100 + y) AS b, arg_min({{'x': x, 'y': y}}, (-x-y)*100 - y) AS c, arg_min({{'x': x, 'y': y}}, (x-y)*100 - y) AS d FROM ink GROUP BY image_id)
+        SELECT label, count(*) AS horizontal_pairs, count(*) AS vertical_pairs, count(*) FILTER ((b.x-a.x)*(c.y-d.y) <> (b.y-a.y)*(c.x-d.x)) + count(*) FILTER ((d.x-a.x)*(c.y-b.y) <> (d.y-a.y)*(c.x-b.x)) AS finite_intersections
+        FROM q JOIN embeddings e ON e.vec_id = image_id WHERE len(list_distinct([a, b, c, d])) = 4 GROUP BY label""",
     "ink_features": f"""WITH {_PX}, p AS (SELECT image_id, x, y, (v > 0)::INT AS ink, (y // 2) * 4 + x // 2 AS cell FROM px),
         o AS (SELECT image_id, avg(ink) AS ink_share, coalesce(sum((x+0.5)*ink)/nullif(sum(ink)*8, 0), 0.5)::DOUBLE AS center_x, coalesce(sum((y+0.5)*ink)/nullif(sum(ink)*8, 0), 0.5)::DOUBLE AS center_y,
             coalesce((max(x) FILTER (ink > 0) - min(x) FILTER (ink > 0) + 1)/8, 0)::DOUBLE AS box_w, coalesce((max(y) FILTER (ink > 0) - min(y) FILTER (ink > 0) + 1)/8, 0)::DOUBLE AS box_h FROM p GROUP BY image_id)
