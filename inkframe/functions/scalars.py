@@ -277,3 +277,40 @@ def line_intersection(a: Column, b: Column, c: Column, d: Column) -> Column:
     turn = ux * vy - uy * vx
     along = ((c["x"] - a["x"]) * vy - (c["y"] - a["y"]) * vx) / turn
     return F.when(F.abs(turn) >= 1e-9, F.struct((a["x"] + along * ux).alias("x"), (a["y"] + along * uy).alias("y")))
+
+
+def drawn_bounds(kind: Column) -> Column:
+    """(min_x, min_y, max_x, max_y) of an anchor as it is drawn, from its columns path, ellipse, circle, stroke and quad: of the
+    first of them, in this order, that is there and has points; zeros if none is. Outlined circles and ellipses are wider by
+    half the mean of the stroke's width samples (1 without any), strokes on all sides, but those of two points with butt caps
+    across only. Paths count by their points. Null points and samples are passed over."""
+    samples = F.filter("stroke.width_samples", lambda w: w.isNotNull())
+    half = F.when(F.size(samples) > 0, F.aggregate(samples, F.lit(0.0), lambda total, w: total + w) / F.size(samples)).otherwise(1.0) / 2
+    rim = lambda outlined: F.when(kind == outlined, half).otherwise(0.0)
+
+    def box(x0: Column, y0: Column, x1: Column, y1: Column, dx: Column, dy: Column) -> Column:
+        return F.struct((x0 - dx).alias("min_x"), (y0 - dy).alias("min_y"), (x1 + dx).alias("max_x"), (y1 + dy).alias("max_y"))
+
+    def around(points: Column, dx: Column, dy: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), dx, dy)
+
+    zero = F.lit(0.0)
+    line, corners, path = (F.filter(c, lambda p: p.isNotNull()) for c in ("stroke.centerline", "quad.corners", "path.points"))
+    ends = F.get(line, F.lit(0)), F.get(line, F.lit(1))
+    wide, high = F.abs(ends[1]["x"] - ends[0]["x"]), F.abs(ends[1]["y"] - ends[0]["y"])
+    length = F.sqrt(wide * wide + high * high)
+    flat = (F.col("stroke.cap_style") == "butt") & (F.size(line) == 2) & (length > 0)
+    turn = F.coalesce("ellipse.rotation", zero)
+    rx, ry = F.col("ellipse.rx") + rim("stroke_ellipse"), F.col("ellipse.ry") + rim("stroke_ellipse")
+    reach = lambda a, b: F.sqrt(F.pow(rx * a, F.lit(2.0)) + F.pow(ry * b, F.lit(2.0)))
+    r = F.col("circle.r") + rim("stroke_circle")
+    centre = lambda c: tuple(F.col(f"{c}.{k}") for k in ("cx", "cy", "cx", "cy"))
+    return (
+        F.when(F.size(path) > 0, around(path, zero, zero))
+        .when(F.col("ellipse").isNotNull(), box(*centre("ellipse"), reach(F.cos(turn), F.sin(turn)), reach(F.sin(turn), F.cos(turn))))
+        .when(F.col("circle").isNotNull(), box(*centre("circle"), r, r))
+        .when(F.size(line) > 0, around(line, F.when(flat, half * high / length).otherwise(half), F.when(flat, half * wide / length).otherwise(half)))
+        .when(F.size(corners) > 0, around(corners, zero, zero))
+        .otherwise(box(zero, zero, zero, zero, zero, zero))
+    )

@@ -75,6 +75,23 @@ def vanishing_lines(spark: SparkSession, d: str) -> DataFrame:
     return gates.vanishing_lines(fit.extreme_quad(ink(spark, d), "image_id").join(labels, "image_id"), "label")
 
 
+def drawn_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding is a drawn anchor, of one of eight forms by its id; its first numbers are the form's."""
+    v = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    points = [F.struct(v(k).alias("x"), v(k + 1).alias("y")) for k in (0, 2, 4, 6)]
+    form = F.col("vec_id") % 8
+    round_one = lambda *fields: F.struct(v(0).alias("cx"), v(1).alias("cy"), *fields)
+    a = table(spark, d, "embeddings").select(
+        "vec_id", F.get(F.array(*map(F.lit, ("ellipse", "stroke_ellipse", "circle", "stroke_circle", "stroke", "stroke", "quad", "cubic_path"))), form.cast("int")).alias("kind"),
+        F.when(form < 2, round_one(F.abs(v(2)).alias("rx"), F.abs(v(3)).alias("ry"), v(4).alias("rotation"))).alias("ellipse"),
+        F.when(form.isin(2, 3), round_one(F.abs(v(2)).alias("r"))).alias("circle"),
+        F.when(form.isin(1, 3, 4, 5), F.struct(F.when(form == 5, F.array(*points[:3])).otherwise(F.array(*points[:2])).alias("centerline"), F.array(F.abs(v(6)), F.abs(v(7))).alias("width_samples"), F.when(form == 4, "butt").otherwise("round").alias("cap_style"))).alias("stroke"),
+        F.when(form == 6, F.struct(F.array(*points).alias("corners"))).alias("quad"),
+        F.when(form == 7, F.struct(F.array(*points[:3]).alias("points"))).alias("path"),
+    )
+    return _rounded(a.select("vec_id", "kind", S.drawn_bounds(F.col("kind")).alias("b")).select("vec_id", "kind", "b.*"), "min_x", "min_y", "max_x", "max_y")
+
+
 def ink_features(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(raster.ink_features(pixels(spark, d), F.col("value") > 0, SIDE, SIDE), "value")
 
@@ -204,7 +221,7 @@ def stroke_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     component_geometry, row_spans, boundary_pixels, projection_bands, connected_components_8, interior_gaps, gap_components, kasa_circle_fit, principal_axis,
-    rect_fill_error, extreme_quad, vanishing_lines, ink_features, raster_fidelity, nearest_palette, modal_color, best_candidate, image_best_candidate, circular_smoothing,
+    rect_fill_error, extreme_quad, vanishing_lines, drawn_bounds, ink_features, raster_fidelity, nearest_palette, modal_color, best_candidate, image_best_candidate, circular_smoothing,
     tolerant_palette, dominant_palette, contact_pairs, svg_elements, boundary_roundness, column_mean_smoothness, render_error, outline_lengths, refined_circles, ring_fit, arc_fit, stroke_profile,
 )}
 
@@ -266,6 +283,13 @@ ORACLE = {
     "vanishing_lines": f"""WITH {_PX}, q AS (SELECT image_id, arg_min({{'x': x, 'y': y}}, (x+y)*100 + y) AS a, arg_min({{'x': x, 'y': y}}, (y-x)*100 + y) AS b, arg_min({{'x': x, 'y': y}}, (-x-y)*100 - y) AS c, arg_min({{'x': x, 'y': y}}, (x-y)*100 - y) AS d FROM ink GROUP BY image_id)
         SELECT label, count(*) AS horizontal_pairs, count(*) AS vertical_pairs, count(*) FILTER ((b.x-a.x)*(c.y-d.y) <> (b.y-a.y)*(c.x-d.x)) + count(*) FILTER ((d.x-a.x)*(c.y-b.y) <> (d.y-a.y)*(c.x-b.x)) AS finite_intersections
         FROM q JOIN embeddings e ON e.vec_id = image_id WHERE len(list_distinct([a, b, c, d])) = 4 GROUP BY label""",
+    "drawn_bounds": f"""WITH v AS (SELECT vec_id, vec_id % 8 AS k, {", ".join(f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(8))} FROM embeddings),
+        h AS (SELECT *, (abs(v6) + abs(v7)) / 2 / 2 AS half, sqrt((v2 - v0) * (v2 - v0) + (v3 - v1) * (v3 - v1)) AS len FROM v),
+        r AS (SELECT *, abs(v2) + CASE WHEN k IN (1, 3) THEN half ELSE 0 END AS rx, abs(v3) + CASE WHEN k = 1 THEN half ELSE 0 END AS ry FROM h),
+        b AS (SELECT vec_id, k, CASE WHEN k < 4 THEN [v0] WHEN k = 4 THEN [v0, v2] WHEN k = 6 THEN [v0, v2, v4, v6] ELSE [v0, v2, v4] END AS xs, CASE WHEN k < 4 THEN [v1] WHEN k = 4 THEN [v1, v3] WHEN k = 6 THEN [v1, v3, v5, v7] ELSE [v1, v3, v5] END AS ys,
+            CASE WHEN k < 2 THEN sqrt((rx * cos(v4)) ** 2 + (ry * sin(v4)) ** 2) WHEN k < 4 THEN rx WHEN k = 4 AND len > 0 THEN half * abs(v3 - v1) / len WHEN k < 6 THEN half ELSE 0 END AS dx,
+            CASE WHEN k < 2 THEN sqrt((rx * sin(v4)) ** 2 + (ry * cos(v4)) ** 2) WHEN k < 4 THEN rx WHEN k = 4 AND len > 0 THEN half * abs(v2 - v0) / len WHEN k < 6 THEN half ELSE 0 END AS dy FROM r)
+        SELECT vec_id, ['ellipse', 'stroke_ellipse', 'circle', 'stroke_circle', 'stroke', 'stroke', 'quad', 'cubic_path'][k + 1] AS kind, round(list_min(xs) - dx, 6) AS min_x, round(list_min(ys) - dy, 6) AS min_y, round(list_max(xs) + dx, 6) AS max_x, round(list_max(ys) + dy, 6) AS max_y FROM b""",
     "ink_features": f"""WITH {_PX}, p AS (SELECT image_id, x, y, (v > 0)::INT AS ink, (y // 2) * 4 + x // 2 AS cell FROM px),
         o AS (SELECT image_id, avg(ink) AS ink_share, coalesce(sum((x+0.5)*ink)/nullif(sum(ink)*8, 0), 0.5)::DOUBLE AS center_x, coalesce(sum((y+0.5)*ink)/nullif(sum(ink)*8, 0), 0.5)::DOUBLE AS center_y,
             coalesce((max(x) FILTER (ink > 0) - min(x) FILTER (ink > 0) + 1)/8, 0)::DOUBLE AS box_w, coalesce((max(y) FILTER (ink > 0) - min(y) FILTER (ink > 0) + 1)/8, 0)::DOUBLE AS box_h FROM p GROUP BY image_id)
