@@ -27,7 +27,7 @@ def kasa_circle(points: DataFrame, *keys: str, x: str = "x", y: str = "y") -> Da
 def circle_residual(points: DataFrame, circles: DataFrame, *keys: str) -> DataFrame:
     """Mean and largest distance of the points from their circle, over its radius."""
     d = F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r"))
-    return points.join(circles, [*keys]).groupBy(*keys).agg((F.avg(d) / F.first("r")).alias("mean_residual"), (F.max(d) / F.first("r")).alias("max_residual"))
+    return points.join(circles.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg((F.avg(d) / F.first("r")).alias("mean_residual"), (F.max(d) / F.first("r")).alias("max_residual"))
 
 
 def principal_axis(points: DataFrame, *keys: str) -> DataFrame:
@@ -37,8 +37,8 @@ def principal_axis(points: DataFrame, *keys: str) -> DataFrame:
     axes = center.withColumn("angle", angle).withColumns({"ax": F.cos("angle"), "ay": F.sin("angle")})
     along = (F.col("x") - F.col("cx")) * F.col("ax") + (F.col("y") - F.col("cy")) * F.col("ay")
     across = (F.col("y") - F.col("cy")) * F.col("ax") - (F.col("x") - F.col("cx")) * F.col("ay")
-    extent = points.join(axes, [*keys]).groupBy(*keys).agg((F.max(along) - F.min(along)).alias("length"), (F.max(across) - F.min(across)).alias("width"))
-    return axes.join(extent, [*keys]).select(*keys, "n", "cx", "cy", "ax", "ay", "length", "width")
+    extent = points.join(axes.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg((F.max(along) - F.min(along)).alias("length"), (F.max(across) - F.min(across)).alias("width"))
+    return axes.join(extent.hint("shuffle_hash"), [*keys]).select(*keys, "n", "cx", "cy", "ax", "ay", "length", "width")
 
 
 #: The detectors' thresholds.
@@ -121,9 +121,9 @@ def ring_fit(pixels: DataFrame, *keys: str) -> DataFrame:
     """Ring about the centroid per group: radius, width, area error, and whether the ring's gates hold."""
     box = pixels.groupBy(*keys).agg(F.count("*").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
     d = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-    far = pixels.join(box, [*keys]).groupBy(*keys).agg((F.max(d) + 0.5).alias("outer"), F.greatest(F.min(d) - 0.5, F.lit(0.0)).alias("inner"))
+    far = pixels.join(box.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg((F.max(d) + 0.5).alias("outer"), F.greatest(F.min(d) - 0.5, F.lit(0.0)).alias("inner"))
     full = F.lit(3.141592653589793) * (F.col("outer") * F.col("outer") - F.col("inner") * F.col("inner"))
-    out = box.join(far, [*keys]).withColumn("area_error", F.abs(F.col("area") - full) / full)
+    out = box.join(far.hint("shuffle_hash"), [*keys]).withColumn("area_error", F.abs(F.col("area") - full) / full)
     aspect = 1 - F.least("w", "h") / F.greatest("w", "h")
     ok = (F.greatest("w", "h") >= 6) & (aspect <= RING_ASPECT) & (F.col("inner") / F.col("outer") >= RING_INNER) & (F.col("area_error") <= RING_AREA)
     return out.select(*keys, "cx", "cy", ((F.col("inner") + F.col("outer")) / 2).alias("r"), (F.col("outer") - F.col("inner")).alias("width"), "area_error", ok.alias("is_ring"))
@@ -132,7 +132,7 @@ def ring_fit(pixels: DataFrame, *keys: str) -> DataFrame:
 def arc_fit(pixels: DataFrame, *keys: str) -> DataFrame:
     """Least-squares circle with the arc's span: the full turn less the widest gap between the pixels' angles."""
     circle = kasa_circle(pixels, *keys).filter("r > 0")
-    at = pixels.join(circle, [*keys]).select(*keys, "cx", "cy", "r", "x", "y", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("a"))
+    at = pixels.join(circle.hint("shuffle_hash"), [*keys]).select(*keys, "cx", "cy", "r", "x", "y", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("a"))
     turn = 6.283185307179586
     w = Window.partitionBy(*keys).orderBy("a")
     step = at.withColumn("gap", F.col("a") - F.lag("a").over(w))
@@ -147,4 +147,4 @@ def stroke_profile(pixels: DataFrame, *keys: str) -> DataFrame:
     ends = columns.groupBy(*keys).agg(F.min_by("y", "x").alias("y0"), F.max_by("y", "x").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     off = F.abs(F.col("y") - (F.col("y0") + F.coalesce(F.try_divide((F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")), F.col("x1") - F.col("x0")), F.lit(0.0))))
     length = F.greatest(F.hypot(F.first("x1") - F.first("x0"), F.first("y1") - F.first("y0")), F.lit(1.0))
-    return columns.join(ends, [*keys]).groupBy(*keys).agg(F.avg("width").alias("mean_width"), (F.stddev_pop("width") / F.avg("width")).alias("stroke_width_variance"), (F.max(off) / length).alias("bow"))
+    return columns.join(ends.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg(F.avg("width").alias("mean_width"), (F.stddev_pop("width") / F.avg("width")).alias("stroke_width_variance"), (F.max(off) / length).alias("bow"))

@@ -3,6 +3,8 @@ arcs; and all of them as candidates of one choice.
 
 Every fit is a chain of aggregates over a component's pixels, so components may share a key space of any size; the
 boundary and the gaps are pixel tables of their own. A component without a fit has a row whose `fits` is false.
+
+Joins name their method: Spark takes exploded pixels for no larger than the rows they come from and would broadcast them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,17 @@ def _box(pixels: DataFrame, *keys: str) -> DataFrame:
     return box.withColumns({"w": F.col("max_x") - F.col("min_x") + 1, "h": F.col("max_y") - F.col("min_y") + 1})
 
 
+def _packed(pixels: DataFrame, *keys: str, scalars: tuple[str, ...] = (), lists: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """One settled row per component: its scalars, and its pixels as lists. A step that many others read costs a few bytes a pixel so."""
+    held = pixels.groupBy(*keys).agg(*(F.first(c).alias(c) for c in scalars), F.collect_list(F.struct(*lists)).alias("__cells"))
+    return raster._settled(held.select(*keys, *scalars, *(F.col(f"__cells.{c}").alias(c) for c in lists)))
+
+
+def _unpacked(packed: DataFrame, *lists: str) -> DataFrame:
+    rest = [c for c in packed.columns if c not in lists]
+    return packed.select(*rest, F.explode(F.arrays_zip(*lists)).alias("__p")).select(*rest, *(f"__p.{c}" for c in lists))
+
+
 def ray_residuals(boundary: DataFrame, ovals: DataFrame, *keys: str) -> DataFrame:
     """(keys, residual, tail): the mean and the 95th percentile, by rank, of how far boundary pixels are from the ellipse along
     their ray from its centre. ovals: (keys, cx, cy, rx, ry, ct, st), ct and st the cosine and sine of its rotation."""
@@ -37,7 +50,7 @@ def ray_residuals(boundary: DataFrame, ovals: DataFrame, *keys: str) -> DataFram
     u, v = dx * F.col("ct") + dy * F.col("st"), dy * F.col("ct") - dx * F.col("st")
     d = F.sqrt(u * u + v * v)
     across = F.sqrt(F.col("ry") * u * F.col("ry") * u + F.col("rx") * v * F.col("rx") * v)
-    off = boundary.join(ovals, [*keys]).filter(d > 0).select(*keys, F.abs(d - F.col("rx") * F.col("ry") * d / across).alias("off"))
+    off = boundary.join(ovals.hint("shuffle_hash"), [*keys]).filter(d > 0).select(*keys, F.abs(d - F.col("rx") * F.col("ry") * d / across).alias("off"))
     order = Window.partitionBy(*keys).orderBy("off")
     ranked = off.withColumns({"__k": F.row_number().over(order) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
     at = F.least(F.col("__n") - 1, F.floor(F.col("__n") * 0.95))
@@ -55,37 +68,40 @@ def ellipse_fits(pixels: DataFrame, *keys: str) -> DataFrame:
     longer, shorter = F.greatest("w", "h"), F.least("w", "h")
     aspect = 1 - shorter / longer
     area = F.col("area").cast("double")
-    boundary = raster.boundary_pixels(pixels.select(*keys, "x", "y"), *keys)
     middle = {"cx": (F.col("min_x") + F.col("max_x")) / 2, "cy": (F.col("min_y") + F.col("max_y")) / 2, "rx": F.col("w") / 2, "ry": F.col("h") / 2}
     may = (shorter >= ELLIPSE_SIDE) & ~((longer <= 12) & (aspect < 0.15))
     upright = box.withColumns(middle).withColumns({"ct": F.lit(1.0), "st": F.lit(0.0), "aspect": aspect, "may": may})
-    upright = upright.withColumn("area_error", F.abs(area - PI * F.col("rx") * F.col("ry")) / (PI * F.col("rx") * F.col("ry")))
-    aligned = upright.join(ray_residuals(boundary, upright.select(*keys, "cx", "cy", "rx", "ry", "ct", "st"), *keys), [*keys], "left")
+    # what is one row per component is settled where several steps read it; pixels are read again
+    upright = raster._settled(upright.withColumn("area_error", F.abs(area - PI * F.col("rx") * F.col("ry")) / (PI * F.col("rx") * F.col("ry"))))
+    boundary = raster.boundary_pixels(pixels.select(*keys, "x", "y"), *keys)
+    aligned = upright.join(ray_residuals(boundary, upright.select(*keys, "cx", "cy", "rx", "ry", "ct", "st"), *keys).hint("shuffle_hash"), [*keys], "left")
     aligned = aligned.withColumn("ok", F.col("may") & (F.col("aspect") >= ELLIPSE_ASPECT) & (F.col("area_error") <= ELLIPSE_AREA) & (F.coalesce("residual", F.lit(0.0)) <= ELLIPSE_RESIDUAL))
+    aligned = raster._settled(aligned)
     left = aligned.filter("may and not ok").select(*keys, "area")
 
-    axis = fit.principal_axis(pixels.join(left.select(*keys), [*keys], "left_semi"), *keys).select(*keys, F.col("cx").alias("mx"), F.col("cy").alias("my"), "ax", "ay")
+    mine = pixels.select(*keys, "x", "y").join(left.select(*keys).hint("shuffle_hash"), [*keys], "left_semi")
+    axis = fit.principal_axis(mine, *keys).select(*keys, F.col("cx").alias("mx"), F.col("cy").alias("my"), "ax", "ay")
     tilt = F.atan2("ay", "ax")
     folded = F.when(tilt <= -PI / 2, tilt + PI).when(tilt > PI / 2, tilt - PI).otherwise(tilt)
-    axis = axis.withColumn("rotation", folded).withColumns({"ct": F.cos("rotation"), "st": F.sin("rotation")})
+    axis = raster._settled(axis.withColumn("rotation", folded).withColumns({"ct": F.cos("rotation"), "st": F.sin("rotation")}))
     along = (F.col("x") - F.col("mx")) * F.col("ct") + (F.col("y") - F.col("my")) * F.col("st")
     across = (F.col("y") - F.col("my")) * F.col("ct") - (F.col("x") - F.col("mx")) * F.col("st")
-    reach = pixels.join(axis, [*keys]).groupBy(*keys).agg(*(f(e).alias(n) for n, f, e in (("u0", F.min, along), ("u1", F.max, along), ("v0", F.min, across), ("v1", F.max, across))))
+    reach = pixels.join(axis.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg(*(f(e).alias(n) for n, f, e in (("u0", F.min, along), ("u1", F.max, along), ("v0", F.min, across), ("v1", F.max, across))))
     u, v = (F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2
-    tilted = axis.join(reach, [*keys]).join(left, [*keys]).withColumns({"rx": (F.col("u1") - F.col("u0")) / 2 + 0.5, "ry": (F.col("v1") - F.col("v0")) / 2 + 0.5, "cx": F.col("mx") + u * F.col("ct") - v * F.col("st"), "cy": F.col("my") + u * F.col("st") + v * F.col("ct")})
-    tilted = tilted.withColumn("area_error", F.abs(area - PI * F.col("rx") * F.col("ry")) / (PI * F.col("rx") * F.col("ry")))
-    tilted = tilted.join(ray_residuals(boundary, tilted.select(*keys, "cx", "cy", "rx", "ry", "ct", "st"), *keys), [*keys])
+    tilted = axis.join(reach.hint("shuffle_hash"), [*keys]).join(left.hint("shuffle_hash"), [*keys]).withColumns({"rx": (F.col("u1") - F.col("u0")) / 2 + 0.5, "ry": (F.col("v1") - F.col("v0")) / 2 + 0.5, "cx": F.col("mx") + u * F.col("ct") - v * F.col("st"), "cy": F.col("my") + u * F.col("st") + v * F.col("ct")})
+    tilted = raster._settled(tilted.withColumn("area_error", F.abs(area - PI * F.col("rx") * F.col("ry")) / (PI * F.col("rx") * F.col("ry"))))
+    tilted = tilted.join(ray_residuals(raster.boundary_pixels(mine, *keys), tilted.select(*keys, "cx", "cy", "rx", "ry", "ct", "st"), *keys).hint("shuffle_hash"), [*keys])
     turned = F.least(F.abs("rotation"), F.abs(F.abs("rotation") - PI / 2)) >= LEAST_TILT * PI / 180
     oval = (F.least("rx", "ry") >= TILTED_RADIUS) & (1 - F.least("rx", "ry") / F.greatest("rx", "ry") >= ELLIPSE_ASPECT)
     tilted = tilted.filter(turned & oval & (F.col("area_error") <= ELLIPSE_AREA) & (F.col("residual") <= TILTED_RESIDUAL) & (F.col("tail") <= TILTED_TAIL))
 
     reachable = upright.filter((shorter >= RING_SIDE) & (aspect >= RING_OVAL))
     d = F.sqrt(F.pow((F.col("x") - F.col("cx")) / F.col("rx"), 2) + F.pow((F.col("y") - F.col("cy")) / F.col("ry"), 2))
-    met = pixels.select(*keys, "x", "y").join(reachable.select(*keys, "cx", "cy", "rx", "ry"), [*keys]).withColumn("d", d)
+    met = pixels.select(*keys, "x", "y").join(reachable.select(*keys, "cx", "cy", "rx", "ry").hint("shuffle_hash"), [*keys]).withColumn("d", d)
     reach = met.groupBy(*keys).agg(F.min("d").alias("inner"), F.max("d").alias("outer"))
-    band = met.join(reach, [*keys]).groupBy(*keys).agg(F.avg(F.abs(F.col("d") - (F.col("inner") + F.col("outer")) / 2)).alias("band"), F.first("inner").alias("inner"), F.first("outer").alias("outer"))
+    band = met.join(reach.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg(F.avg(F.abs(F.col("d") - (F.col("inner") + F.col("outer")) / 2)).alias("band"), F.first("inner").alias("inner"), F.first("outer").alias("outer"))
     mean = (F.col("rx") + F.col("ry")) / 2
-    ring = reachable.drop("area_error").join(band, [*keys]).withColumn("stroke_width", F.greatest((F.col("outer") - F.col("inner")) * mean, F.lit(1.0)))
+    ring = reachable.drop("area_error").join(band.hint("shuffle_hash"), [*keys]).withColumn("stroke_width", F.greatest((F.col("outer") - F.col("inner")) * mean, F.lit(1.0)))
     full = PI * (F.col("rx") * F.col("ry") - (F.col("rx") - F.col("stroke_width")) * (F.col("ry") - F.col("stroke_width")))
     ring = ring.withColumn("area_error", F.when(full > 0, F.abs(area - full) / full))
     thin = (F.col("inner") >= RING_REACH[0]) & (F.col("outer") <= RING_REACH[1]) & (F.col("stroke_width") <= RING_STROKE * mean) & (F.col("band") * mean <= F.col("stroke_width") * 0.5 + 0.5)
@@ -98,7 +114,7 @@ def ellipse_fits(pixels: DataFrame, *keys: str) -> DataFrame:
     found = found.unionByName(row(tilted, 1, "tilted", F.col("rx"), F.col("ry"), F.col("rotation"), F.lit(0.0), F.col("residual"), filled))
     found = found.unionByName(row(ring, 2, "ring", F.col("rx") * mid, F.col("ry") * mid, F.lit(0.0), F.col("stroke_width"), F.col("band"), F.col("area_error") * 0.2 + F.col("band")))
     best = found.groupBy(*keys).agg(F.min("f").alias("f"))
-    return box.select(*keys).join(best, [*keys], "left").select(*keys, "f.form", F.col("f").isNotNull().alias("fits"), *[f"f.{c}" for c in ("cx", "cy", "rx", "ry", "rotation", "stroke_width", "residual", "area_error", "raster_error")])
+    return upright.select(*keys).join(best.hint("shuffle_hash"), [*keys], "left").select(*keys, "f.form", F.col("f").isNotNull().alias("fits"), *[f"f.{c}" for c in ("cx", "cy", "rx", "ry", "rotation", "stroke_width", "residual", "area_error", "raster_error")])
 
 
 def sealed_gaps(pixels: DataFrame, *keys: str, least: int = LEAST_GAP) -> DataFrame:
@@ -106,8 +122,8 @@ def sealed_gaps(pixels: DataFrame, *keys: str, least: int = LEAST_GAP) -> DataFr
     gaps = raster.connected_components(raster.interior_gaps(pixels, *keys), *keys, min_area=least).withColumnRenamed("component_id", "gap_id")
     box = raster.component_geometry(pixels, *keys).select(*keys, "min_x", "min_y", "max_x", "max_y")
     edge = (F.col("x") == F.col("min_x")) | (F.col("x") == F.col("max_x")) | (F.col("y") == F.col("min_y")) | (F.col("y") == F.col("max_y"))
-    open_gaps = gaps.join(box, [*keys]).filter(edge).select(*keys, "gap_id").distinct()
-    return gaps.join(open_gaps, [*keys, "gap_id"], "left_anti")
+    is_open = F.max(edge).over(Window.partitionBy(*keys, "gap_id"))
+    return gaps.join(box.hint("shuffle_hash"), [*keys]).withColumn("open", is_open).filter("not open").select(gaps.columns)
 
 
 def boundary_without_gaps(pixels: DataFrame, *keys: str, gaps: DataFrame | None = None) -> DataFrame:
@@ -115,13 +131,13 @@ def boundary_without_gaps(pixels: DataFrame, *keys: str, gaps: DataFrame | None
     held = sealed_gaps(pixels, *keys) if gaps is None else gaps
     around = held.select(*keys, F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x"), "y").select(*keys, "x", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y")).distinct()
     boundary = raster.boundary_pixels(pixels.select(*keys, "x", "y"), *keys)
-    return boundary.join(around.withColumn("gap_edge", F.lit(True)), [*keys, "x", "y"], "left").fillna(False, ["gap_edge"])
+    return boundary.join(around.withColumn("gap_edge", F.lit(True)).hint("merge"), [*keys, "x", "y"], "left").fillna(False, ["gap_edge"])
 
 
 def _residual(points: DataFrame, circles: DataFrame, *keys: str) -> DataFrame:
     """(keys, residual, spread): mean distance from the circle over its radius, and the deviation of the distances from the centre."""
     d = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-    return points.join(circles, [*keys]).groupBy(*keys).agg((F.avg(F.abs(d - F.col("r"))) / F.first("r")).alias("residual"), (F.stddev_pop(d) / F.first("r")).alias("spread"))
+    return points.join(circles.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg((F.avg(F.abs(d - F.col("r"))) / F.first("r")).alias("residual"), (F.stddev_pop(d) / F.first("r")).alias("spread"))
 
 
 def circle_fits(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -134,27 +150,29 @@ def circle_fits(pixels: DataFrame, *keys: str) -> DataFrame:
     box = _box(pixels, *keys)
     diameter = F.greatest("w", "h")
     aspect, full = F.abs(F.col("w") - F.col("h")) / diameter, PI * F.pow(diameter / 2, 2)
-    box = box.withColumns({"diameter": diameter, "aspect_error": aspect, "area_error": F.abs(F.col("area") - full) / full})
+    box = raster._settled(box.withColumns({"diameter": diameter, "aspect_error": aspect, "area_error": F.abs(F.col("area") - full) / full}))
     may = (F.col("diameter") >= DISC_DIAMETER) & (F.col("aspect_error") <= DISC_ASPECT) & (F.col("area_error") <= DISC_AREA)
     round_box = box.filter(may)
-    mine = pixels.select(*keys, "x", "y").join(round_box.select(*keys), [*keys], "left_semi")
-    gaps = sealed_gaps(mine, *keys)
-    edge = boundary_without_gaps(mine, *keys, gaps=gaps)
-    counts = edge.groupBy(*keys).agg(F.count("*").alias("n_edge"), F.count_if(~F.col("gap_edge")).alias("n_outer")).join(gaps.groupBy(*keys).agg(F.count("*").alias("gap_area")), [*keys], "left").fillna(0, ["gap_area"])
+    mine = pixels.select(*keys, "x", "y").join(round_box.select(*keys).hint("shuffle_hash"), [*keys], "left_semi")
+    gaps = _packed(sealed_gaps(mine, *keys), *keys)
+    sizes = gaps.select(*keys, F.size("x").cast("long").alias("gap_area"))
+    edge = _unpacked(_packed(boundary_without_gaps(mine, *keys, gaps=_unpacked(gaps, "x", "y")), *keys, lists=("x", "y", "gap_edge")), "x", "y", "gap_edge")
+    counts = edge.groupBy(*keys).agg(F.count("*").alias("n_edge"), F.count_if(~F.col("gap_edge")).alias("n_outer")).join(sizes.hint("shuffle_hash"), [*keys], "left").fillna(0, ["gap_area"])
 
     def fitted(points: DataFrame, tag: str) -> DataFrame:
         """The fitted circle, or one of the ink's area about its centroid, and that of the bounds, both with residual and spread."""
         spare = round_box.select(*keys, F.col("centroid_x"), F.col("centroid_y"), F.sqrt(F.col("area") / PI).alias("spare_r"))
-        kasa = fit.kasa_circle(points, *keys).join(spare, [*keys])
+        kasa = fit.kasa_circle(points, *keys).join(spare.hint("shuffle_hash"), [*keys])
         bad = F.coalesce(F.col("r").isNull() | F.isnan("r") | (F.col("r") <= 0) | (F.col("n") < 3), F.lit(True))
         free = kasa.select(*keys, *(F.when(bad, s).otherwise(F.col(c)).alias(c) for c, s in (("cx", F.col("centroid_x")), ("cy", F.col("centroid_y")), ("r", F.col("spare_r")))), bad.alias("bad"))
-        free = free.join(_residual(points, free, *keys), [*keys]).withColumn("residual", F.when(F.col("bad"), 0.0).otherwise(F.col("residual")))
+        free = raster._settled(free)
+        free = free.join(_residual(points, free, *keys).hint("shuffle_hash"), [*keys]).withColumn("residual", F.when(F.col("bad"), 0.0).otherwise(F.col("residual")))
         held = round_box.select(*keys, ((F.col("min_x") + F.col("max_x")) / 2).alias("cx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("cy"), F.greatest((F.col("diameter") - 1) / 2, F.lit(0.5)).alias("r"))
-        held = held.join(_residual(points, held, *keys), [*keys])
+        held = held.join(_residual(points, held, *keys).hint("shuffle_hash"), [*keys])
         parts = lambda df, name: df.select(*keys, F.struct("cx", "cy", "r", "residual", "spread").alias(f"{tag}_{name}"))
-        return parts(free, "free").join(parts(held, "box"), [*keys])
+        return parts(free, "free").join(parts(held, "box").hint("shuffle_hash"), [*keys])
 
-    both = round_box.join(counts, [*keys]).join(fitted(edge, "all"), [*keys]).join(fitted(edge.filter("not gap_edge"), "out"), [*keys], "left")
+    both = round_box.join(counts.hint("shuffle_hash"), [*keys]).join(fitted(edge, "all").hint("shuffle_hash"), [*keys]).join(fitted(edge.filter("not gap_edge"), "out").hint("shuffle_hash"), [*keys], "left")
     again = (F.col("all_free.residual") > DISC_RESIDUAL) & (F.col("gap_area") > 0) & (F.col("n_outer") >= 8) & (F.col("n_outer") >= DISC_SHARE * F.col("n_edge"))
     both = both.withColumn("refitted", F.coalesce(again, F.lit(False)))
     both = both.withColumns({n: F.when(F.col("refitted"), F.col(f"out_{n}")).otherwise(F.col(f"all_{n}")) for n in ("free", "box")})
@@ -164,7 +182,7 @@ def circle_fits(pixels: DataFrame, *keys: str) -> DataFrame:
     both = both.withColumn("c", F.when(of_box, F.col("box")).otherwise(F.col("free")))
     even = (F.col("diameter") < 12) | ((F.col("c.residual") <= DISC_RESIDUAL) & (F.col("c.spread") <= DISC_SPREAD))
     found = both.filter(balanced & even).select(*keys, "refitted", "c.*", "gap_area", (F.col("area_error") + F.col("aspect_error") + F.col("c.residual")).alias("raster_error"))
-    return box.select(*keys).join(found, [*keys], "left").select(*keys, F.col("r").isNotNull().alias("fits"), F.coalesce("refitted", F.lit(False)).alias("refitted"), "cx", "cy", "r", "residual", "spread", "gap_area", "raster_error")
+    return box.select(*keys).join(found.hint("shuffle_hash"), [*keys], "left").select(*keys, F.col("r").isNotNull().alias("fits"), F.coalesce("refitted", F.lit(False)).alias("refitted"), "cx", "cy", "r", "residual", "spread", "gap_area", "raster_error")
 
 
 def quad_fill_error(pixels: DataFrame, quads: DataFrame, *keys: str) -> DataFrame:
@@ -181,12 +199,14 @@ def quad_fill_error(pixels: DataFrame, quads: DataFrame, *keys: str) -> DataFram
     at = F.col("ax") + (F.col("bx") - F.col("ax")) * F.try_divide(F.col("y") - F.col("ay"), F.col("by") - F.col("ay"))
     least, most = F.when(level, F.least("ax", "bx")).otherwise(at), F.when(level, F.greatest("ax", "bx")).otherwise(at)
     rows = crossed.groupBy(*keys, "y").agg(F.bround(F.min(least), 0).cast("int").alias("left"), F.bround(F.max(most), 0).cast("int").alias("right"))
-    tall = rows.groupBy(*keys).agg((F.max("y") > F.min("y")).alias("tall"))
-    inside = F.col("x").between(F.col("left"), F.col("right"))
-    met = rows.join(pixels.select(*keys, "x", "y"), [*keys, "y"], "left").groupBy(*keys, "y").agg((F.first("right") - F.first("left") + 1).alias("wide"), F.count_if(inside).alias("hit"), F.count_if(F.col("x").isNotNull() & ~inside).alias("extra"))
-    sums = met.groupBy(*keys).agg(F.sum("wide").alias("expected"), (F.sum("wide") - F.sum("hit")).alias("missing"), F.sum("extra").alias("extra")).join(tall, [*keys])
+    # a quad's rows have no holes, so a pixel finds its own by position, and pixels are joined by component alone
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "left", "right"))).alias("rows"), F.sum(F.col("right") - F.col("left") + 1).alias("expected"), F.min("y").alias("top"), (F.max("y") > F.min("y")).alias("tall"))
+    row = F.when(F.col("y") >= F.col("top"), F.get("rows", (F.col("y") - F.col("top")).cast("int")))
+    met = pixels.select(*keys, "x", "y").join(listed.select(*keys, "rows", "top").hint("shuffle_hash"), [*keys]).select(*keys, F.col("x").between(row["left"], row["right"]).alias("inside"))
+    hits = met.groupBy(*keys).agg(F.count_if("inside").alias("hit"), F.count_if(~F.col("inside")).alias("extra"))
+    sums = listed.join(hits.hint("shuffle_hash"), [*keys], "left").select(*keys, "tall", "expected", (F.col("expected") - F.coalesce("hit", F.lit(0))).alias("missing"), F.coalesce("extra", F.lit(0)).alias("extra"))
     error = F.when(F.col("tall"), F.try_divide(F.col("missing") + F.col("extra"), F.col("expected")))
-    return quads.select(*keys).join(sums, [*keys], "left").select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("expected", "missing", "extra")), F.coalesce(error, F.lit(1.0)).alias("fill_error"))
+    return quads.select(*keys).join(sums.hint("shuffle_hash"), [*keys], "left").select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("expected", "missing", "extra")), F.coalesce(error, F.lit(1.0)).alias("fill_error"))
 
 
 #: Of strokes the least columns, columns of a fold, least length, densest box, length over width, bow over chord and variation of the width.
@@ -200,7 +220,7 @@ def centerlines(pixels: DataFrame, *keys: str) -> DataFrame:
     box = _box(pixels, *keys).select(*keys, "w", "h", "area")
     wide = F.col("w") >= F.col("h")
     at, other = F.when(wide, F.col("x")).otherwise(F.col("y")), F.when(wide, F.col("y")).otherwise(F.col("x"))
-    columns = pixels.select(*keys, "x", "y").join(box, [*keys]).groupBy(*keys, "w", "h", "area", at.alias("k")).agg(F.avg(other).alias("v"), (F.max(other) - F.min(other) + 1).alias("span"), F.count("*").alias("n"))
+    columns = pixels.select(*keys, "x", "y").join(box.hint("shuffle_hash"), [*keys]).groupBy(*keys, "w", "h", "area", at.alias("k")).agg(F.avg(other).alias("v"), (F.max(other) - F.min(other) + 1).alias("span"), F.count("*").alias("n"))
     near = Window.partitionBy(*keys).orderBy("k").rowsBetween(-1, 1)
     columns = columns.withColumn("v", F.avg("v").over(near))
     point = F.struct("k", F.when(wide, F.col("k").cast("double")).otherwise(F.col("v")).alias("x"), F.when(wide, F.col("v")).otherwise(F.col("k").cast("double")).alias("y"), "n")
@@ -279,7 +299,7 @@ def cutout_strokes(pixels: DataFrame, *keys: str, least_length: float = STROKE_L
     of the host's shorter side, within 3 and 8. Other gaps, such as the inside of a ring, and open ones are no strokes.
     """
     host = _box(pixels, *keys).select(*keys, F.greatest(F.lit(3.0), F.least(F.lit(8.0), F.bround(F.least("w", "h") * 0.05, 0))).alias("host_width"), (F.col("max_x") - F.col("min_x")).alias("dx"), (F.col("max_y") - F.col("min_y")).alias("dy"))
-    lines = centerlines(sealed_gaps(pixels, *keys, least=int(least_length)), *keys, "gap_id").filter("functional").join(host.filter((F.col("dx") >= least_length) & (F.col("dy") >= 3)), [*keys])
+    lines = centerlines(sealed_gaps(pixels, *keys, least=int(least_length)), *keys, "gap_id").filter("functional").join(host.filter((F.col("dx") >= least_length) & (F.col("dy") >= 3)).hint("shuffle_hash"), [*keys])
     df = lines.withColumn("path_length", F.greatest(_length(F.col("line")), F.size("line").cast("double"))).withColumn("stroke_width", F.greatest(F.col("area") / F.col("path_length"), F.lit(1.0)))
     limit = F.col("host_width") if most_width is None else F.lit(float(most_width))
     df = df.filter((F.col("path_length") >= least_length) & (F.col("stroke_width") <= limit))
@@ -326,51 +346,51 @@ def arc_candidates(pixels: DataFrame, *keys: str) -> DataFrame:
     """
     box = _box(pixels, *keys).select(*keys, "w", "h", "area")
     may = (F.greatest("w", "h") - 1 >= STROKE_LENGTH) & (F.least("w", "h") >= 3) & (F.col("area") <= ARC_DENSITY * F.col("w") * F.col("h")) & (F.col("area") >= 8)
-    first = fit.kasa_circle(pixels, *keys).drop("n").join(box.filter(may), [*keys]).filter((F.col("r") >= 2) & (F.col("r") <= 4 * F.greatest("w", "h")))
+    first = fit.kasa_circle(pixels, *keys).drop("n").join(box.filter(may).hint("shuffle_hash"), [*keys]).filter((F.col("r") >= 2) & (F.col("r") <= 4 * F.greatest("w", "h")))
+
+    each = Window.partitionBy(*keys)
 
-    def around(circles: DataFrame) -> DataFrame:
+    def around(cells: DataFrame) -> DataFrame:
         """Pixels with their distance d and angle a from the circle's centre, a against the mean angle."""
-        at = pixels.select(*keys, "x", "y").join(circles, [*keys])
-        at = at.withColumns({"d": F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), "t": F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))})
-        mean = at.groupBy(*keys).agg(F.atan2(F.sum(F.sin("t")), F.sum(F.cos("t"))).alias("mean"))
-        return raster._settled(at.join(mean, [*keys]).withColumn("a", _turned(F.col("t") - F.col("mean"))))
-
-    # each step is read several times below
-    pixels, first = raster._settled(pixels.select(*keys, "x", "y")), raster._settled(first)
-    at = around(first)
-    gap = F.col("a") - F.lag("a").over(Window.partitionBy(*keys).orderBy("a"))
-    lim = at.withColumn("gap", gap).groupBy(*keys).agg(F.min("d").alias("inner"), F.max("d").alias("outer"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"))
-    at = at.join(lim.drop("gap"), [*keys])
-    off = at.groupBy(*keys).agg(F.avg(F.abs(F.col("d") - (F.col("inner") + F.col("outer")) / 2)).alias("band_residual"))
+        at = cells.withColumns({"d": F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), "t": F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))})
+        mean = F.atan2(F.sum(F.sin("t")).over(each), F.sum(F.cos("t")).over(each))
+        return at.withColumn("mean", mean).withColumn("a", _turned(F.col("t") - F.col("mean"))).drop("t", "mean")
+
+    # a component's pixels are in one task, so its sums are windows: no step is joined back
+    first = raster._settled(first)
+    at = around(pixels.select(*keys, "x", "y").join(first.hint("shuffle_hash"), [*keys])).withColumn("gap", F.col("a") - F.lag("a").over(each.orderBy("a")))
+    at = at.withColumns({"inner": F.min("d").over(each), "outer": F.max("d").over(each), "a0": F.min("a").over(each), "a1": F.max("a").over(each), "gap": F.coalesce(F.max("gap").over(each), F.lit(0.0))})
+    at = at.withColumn("band_residual", F.avg(F.abs(F.col("d") - (F.col("inner") + F.col("outer")) / 2)).over(each))
     band, span = F.greatest(F.col("outer") - F.col("inner"), F.lit(1.0)), F.col("a1") - F.col("a0")
-    held = first.join(lim, [*keys]).join(off, [*keys]).withColumn("band", band)
-    held = held.filter((F.col("band") <= ARC_BAND * F.col("r")) & (F.col("band_residual") <= F.col("band") * 0.5 + 0.5) & span.between(*ARC_SPAN) & (F.col("gap") <= F.greatest(F.lit(0.35), span * 0.2)))
-    held = raster._settled(held)
+    at = at.withColumn("band", band)
+    at = at.filter((F.col("band") <= ARC_BAND * F.col("r")) & (F.col("band_residual") <= F.col("band") * 0.5 + 0.5) & span.between(*ARC_SPAN) & (F.col("gap") <= F.greatest(F.lit(0.35), span * 0.2)))
     bins = F.greatest(F.lit(8), F.least(F.lit(48), F.floor(F.col("area") / 4)))
-    middles = at.join(held.select(*keys), [*keys], "left_semi").groupBy(*keys, F.floor(F.round((F.col("a") - F.col("a0")) / span * (bins - 1) + 0.5, 9)).alias("bin")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    middles = raster._settled(middles)
+    held = _packed(at.withColumn("bin", F.floor(F.round((F.col("a") - F.col("a0")) / span * (bins - 1) + 0.5, 9)).cast("int")), *keys, scalars=("w", "h", "area", "band", "band_residual"), lists=("x", "y", "bin"))
+    cells = _unpacked(held, "x", "y", "bin")
+    held = held.drop("x", "y", "bin")
+    middles = cells.groupBy(*keys, "bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     second = raster._settled(fit.kasa_circle(middles, *keys).filter((F.col("n") >= 5) & (F.col("r") >= 2)).drop("n"))
-    leaves = middles.join(second, [*keys]).groupBy(*keys).agg(F.avg(F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r"))).alias("midpoint_residual"))
+    leaves = middles.join(second.hint("shuffle_hash"), [*keys]).groupBy(*keys).agg(F.avg(F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r"))).alias("midpoint_residual"))
 
-    at = around(second)
+    at = around(cells.select(*keys, "x", "y").join(second.hint("shuffle_hash"), [*keys]))
     lim = at.groupBy(*keys).agg(F.min("a").alias("a0"), F.max("a").alias("a1"))
-    at = raster._settled(at.join(lim, [*keys]).filter(span > 0))
+    at = at.withColumns({"a0": F.min("a").over(each), "a1": F.max("a").over(each)}).filter(span > 0)
     low, high = _tenths("d")
     spread = _ranked(at, "d", *keys).groupBy(*keys).agg(low.alias("low"), high.alias("high"))
     part = F.least(F.lit(7), F.greatest(F.lit(0), F.floor(F.round((F.col("a") - F.col("a0")) / span * 8, 9))))
     eighths = _ranked(at.withColumn("part", part), "d", *keys, "part").groupBy(*keys, "part").agg(F.first("__n").alias("n"), low.alias("low"), high.alias("high")).filter("n >= 6")
     wide = F.greatest(F.col("high") - F.col("low"), F.lit(0.5))
     taper = eighths.groupBy(*keys).agg(F.when(F.count("*") >= 3, F.max(wide) / F.min(wide)).otherwise(1.0).alias("taper"))
-    df = held.drop("cx", "cy", "r", "a0", "a1").join(second, [*keys]).join(leaves, [*keys]).join(lim, [*keys]).join(spread, [*keys]).join(taper, [*keys], "left").withColumn("taper", F.coalesce("taper", F.lit(1.0)))
+    df = held.join(second.hint("shuffle_hash"), [*keys]).join(leaves.hint("shuffle_hash"), [*keys]).join(lim.hint("shuffle_hash"), [*keys]).join(spread.hint("shuffle_hash"), [*keys]).join(taper.hint("shuffle_hash"), [*keys], "left").withColumn("taper", F.coalesce("taper", F.lit(1.0)))
     long = span.between(*ARC_SPAN)
     df = df.withColumn("stroke_width", F.greatest((F.col("area") / F.greatest(span * F.col("r"), F.lit(1.0)) + (F.col("high") - F.col("low")) / 0.8 + 1) / 2, F.lit(1.0)))
     df = raster._settled(df)
     df = df.withColumn("cap", F.asin(F.least(F.lit(0.95), F.col("stroke_width") / 2 / F.greatest("r", F.lit(1.0)))))
-    ends = at.select(*keys, "a").join(df.select(*keys, "a0", "a1", "cap"), [*keys]).groupBy(*keys).agg(F.count_if(F.col("a") < F.col("a0") + F.col("cap")).alias("at_start"), F.count_if(F.col("a") > F.col("a1") - F.col("cap")).alias("at_end"))
+    ends = at.select(*keys, "a").join(df.select(*keys, "a0", "a1", "cap").hint("shuffle_hash"), [*keys]).groupBy(*keys).agg(F.count_if(F.col("a") < F.col("a0") + F.col("cap")).alias("at_start"), F.count_if(F.col("a") > F.col("a1") - F.col("cap")).alias("at_end"))
     full = F.greatest(F.col("cap") * F.col("r") * F.col("stroke_width"), F.lit(1.0))
     capped = (F.col("cap") > 0.01) & (F.col("stroke_width") >= 4)
     cut = lambda c: F.when(capped & (F.col(c) / full < 0.9), F.col("cap")).otherwise(0.0)
-    df = df.join(ends, [*keys]).withColumn("long", long).withColumns({"a0": F.col("a0") + cut("at_start"), "a1": F.col("a1") - cut("at_end")}).withColumn("span", span)
+    df = df.join(ends.hint("shuffle_hash"), [*keys]).withColumn("long", long).withColumns({"a0": F.col("a0") + cut("at_start"), "a1": F.col("a1") - cut("at_end")}).withColumn("span", span)
     chord = 2 * F.col("r") * F.sin(F.col("span") / 2)
     sagitta = F.col("r") * (1 - F.cos(F.col("span") / 2))
     df = df.withColumns({"chord": chord, "sagitta": sagitta}).withColumn("bow", F.col("sagitta") / F.greatest("chord", F.lit(1.0)))
@@ -378,17 +398,17 @@ def arc_candidates(pixels: DataFrame, *keys: str) -> DataFrame:
     df = df.filter(F.col("long") & (F.col("span") >= ARC_SPAN[0]) & (F.col("midpoint_residual") <= ARC_RESIDUAL) & even & (F.col("chord") >= STROKE_LENGTH) & (F.col("sagitta") >= 1) & (F.col("bow") >= ARC_BOW))
     names = ("cx", "cy", "r", "span", "stroke_width", "midpoint_residual", "taper", "bow")
     df = df.select(*keys, *names, (F.col("band_residual") / F.greatest("band", F.lit(1.0)) * 0.1).alias("raster_error"))
-    return box.select(*keys).join(df, [*keys], "left").select(*keys, F.col("r").isNotNull().alias("fits"), *names, "raster_error")
+    return box.select(*keys).join(df.hint("shuffle_hash"), [*keys], "left").select(*keys, F.col("r").isNotNull().alias("fits"), *names, "raster_error")
 
 
 def primitive_candidates(pixels: DataFrame, *keys: str, paths: DataFrame | None = None) -> DataFrame:
     """(keys, ord, kind, raster_error, node_count, parameter_count): for each component, every primitive that fits it, in a fixed
     order, and the generic path, which always stands.
 
-    The fits' own gates decide; box statistics are left for rectangles and straight strokes. paths: (keys, raster_error, node_count,
+    Every fit reads the pixels, some more than once: those that are dear to compute should be settled before. The fits' own gates decide; box statistics are left for rectangles and straight strokes. paths: (keys, raster_error, node_count,
     parameter_count) of the outlines, as curves.path_candidates() makes them; without it the path has the fixed penalty and nodes.
     """
-    pixels = raster._settled(pixels.select(*keys, "x", "y"))  # every fit reads them
+    pixels = pixels.select(*keys, "x", "y")
     box = fit.rect_fit(pixels, *keys).withColumns({"w": F.col("max_x") - F.col("min_x") + 1, "h": F.col("max_y") - F.col("min_y") + 1})
     longer, shorter, fill = F.greatest("w", "h"), F.least("w", "h"), F.col("fill_error")
     row = lambda place, kind, error, nodes, parameters: F.struct(F.lit(place).alias("ord"), kind.alias("kind"), F.round(error, 9).alias("raster_error"), F.lit(nodes).alias("node_count"), parameters.alias("parameter_count"))
@@ -402,12 +422,12 @@ def primitive_candidates(pixels: DataFrame, *keys: str, paths: DataFrame | None
     rects = box.filter(fill <= fit.RECT_FILL).select(*keys, row(6, F.lit("rect"), fill, 4, F.lit(4)).alias("c"))
     rounded = box.filter((fill > 0) & (fill <= fit.ROUNDED_FILL) & (shorter >= 3)).select(*keys, row(7, F.lit("rounded_rect"), fill, 4, F.lit(5)).alias("c"))
     dense = box.filter((shorter >= 3) & (fill <= 1 - fit.QUAD_FILL)).select(*keys)
-    corners = fit.extreme_quad(pixels.join(dense, [*keys], "left_semi"), *keys).filter("corners is not null")
+    corners = fit.extreme_quad(pixels.join(dense.hint("shuffle_hash"), [*keys], "left_semi"), *keys).filter("corners is not null")
     quads = quad_fill_error(pixels, corners, *keys).filter(F.col("fill_error") <= fit.QUAD_ERROR).select(*keys, row(8, F.lit("quad"), F.col("fill_error"), 4, F.lit(8)).alias("c"))
     spare = box.select(*keys, row(9, F.lit("cubic_path"), F.lit(fit.FALLBACK_PENALTY), fit.FALLBACK_NODES, F.lit(2 * fit.FALLBACK_NODES)).alias("c"))
     if paths is not None:
         own = paths.select(*keys, F.struct(F.lit(9).alias("ord"), F.lit("cubic_path").alias("kind"), F.round("raster_error", 9).alias("raster_error"), F.col("node_count").cast("int").alias("node_count"), F.col("parameter_count").cast("int").alias("parameter_count")).alias("o"))
-        spare = spare.join(own, [*keys], "left").select(*keys, F.coalesce("o", "c").alias("c"))
+        spare = spare.join(own.hint("shuffle_hash"), [*keys], "left").select(*keys, F.coalesce("o", "c").alias("c"))
     out = spare
     for df in (ring, discs, ovals, straight, arcs, smooth, rects, rounded, quads):
         out = out.unionByName(df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions import scalars as S
@@ -147,6 +147,8 @@ DRAWN = """CASE k
 def drawn(spark: SparkSession, d: str) -> DataFrame:
     """The ink of a shape for each customer."""
     ids = table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.expr("cast(c_custkey % 12 AS int)").alias("k"), F.expr("cast(c_custkey div 12 % 5 AS int)").alias("p"))
+    # dealt out before they are drawn: a shape's pixels then are in one task, and steps by image need no shuffle of pixels
+    ids = ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
     cells = ids.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39))))
     return cells.filter(F.expr(DRAWN)).select("image_id", "x", "y")
 
@@ -188,8 +190,8 @@ def arc_candidates(spark: SparkSession, d: str) -> DataFrame:
 def best_primitive(spark: SparkSession, d: str) -> DataFrame:
     """The best of all primitives that fit each drawn shape, by semantic score."""
     scored = fit.with_semantic_score(shapes.primitive_candidates(drawn(spark, d), "image_id"))
-    found = fit.choose_best(scored, "image_id").select("image_id", "kind", "score")
-    return _rounded(found.join(scored.groupBy("image_id").agg(F.count("*").alias("n_candidates")), "image_id"), "score")
+    counted = scored.withColumn("n_candidates", F.count("*").over(Window.partitionBy("image_id")))
+    return _rounded(fit.choose_best(counted, "image_id").select("image_id", "kind", "score", "n_candidates"), "score")
 
 
 QUERIES = {"outline_corners": outline_corners, "bezier_outline": bezier_outline, "path_candidates": path_candidates, "ellipse_fits": ellipse_fits, "circle_fits": circle_fits, "quad_fill_error": quad_fill_error, "smooth_strokes": smooth_strokes, "cutout_strokes": cutout_strokes, "arc_candidates": arc_candidates, "best_primitive": best_primitive}
