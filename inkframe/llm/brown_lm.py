@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,31 +80,64 @@ def count_words(train: DataFrame) -> DataFrame:
     return common.map_batches(train, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], index: _Index, end: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Numbers of the words of many texts, an end before, between and after them, and those words that have none, in order."""
-    row, cold = [end], []
+def numbered(docs: DataFrame, index: _Index) -> DataFrame:
+    """docs with the text, the last column, as ids (its words' numbers as 32-bit integers, -1 for words that have none) and cold (those words,
+    in order), staged: texts are cut into words and looked up once, and all later steps read numbers."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # at most SENT_WORDS
+    carried = docs.columns[:-1]
+
+    def number(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lookup, ids, cold, sizes = sent.value, [], [], [0]
+        for text in common.text_bytes(batch.column(batch.num_columns - 1)):
+            mine = tokens(text)
+            at = [lookup[w] for w in mine]
+            if -1 in at:
+                cold += [w for w, i in zip(mine, at, strict=True) if i < 0]
+            sizes.append(len(cold))
+            ids.append(np.array(at, np.int32).tobytes())
+        words = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(cold, pa.binary()))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(ids, pa.binary()), words], names=[*carried, "ids", "cold"])
+
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    return common.stage(common.map_batches(docs, number, f"{kinds}ids binary, cold array<binary>"), "numbers", "zstd")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all of a batch's words in one array, and how many each text has."""
+    column = batch.column("ids")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.int32, (offsets[-1] - offsets[0]) // 4, offsets[0]) if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.int32)
+    return flat, np.diff(offsets) // 4
+
+
+def _runs(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Of rows of numbered(): numbers of the words of many texts, an end before, between and after them, and those words that have none, in order."""
+    rows, cold, size = [np.array([end], np.int64)], [], 1
     for batch in batches:
-        for part in common.bounded(batch):
-            for text in common.text_bytes(part.column("text")):
-                mine = tokens(text)
-                at = [index[w] for w in mine]
-                if -1 in at:
-                    cold += [w for w, i in zip(mine, at, strict=True) if i < 0]
-                row += at
-                row.append(end)
-                if len(row) > COMBINED:
-                    yield np.array(row, np.int64), cold
-                    row, cold = [end], []
-    if len(row) > 1:
-        yield np.array(row, np.int64), cold
-
-
-def count_pairs(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """A row for each of the own words and the end, which is the last: unit, and the own words that follow it with their counts."""
-    size = len(own) + 1
+        if not batch.num_rows:
+            continue
+        flat, lens = _flat(batch)
+        row = np.full(len(flat) + len(lens), end, np.int64)
+        row[np.arange(len(flat)) + np.repeat(np.arange(len(lens)), lens)] = flat
+        rows.append(row)
+        cold += pc.list_flatten(batch.column("cold")).to_pylist()
+        size += len(row)
+        if size > COMBINED:
+            yield np.concatenate(rows), cold
+            rows, cold, size = [np.array([end], np.int64)], [], 1
+    if size > 1:
+        yield np.concatenate(rows), cold
+
+
+def count_pairs(train: DataFrame, own: int, end: int) -> DataFrame:
+    """train: numbered(), end: the words' number. A row for each of the first `own` words and the end, which is the last: unit, and the
+    own words that follow it with their counts."""
+    size = own + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, _ in _runs(batches, _Index(own), size - 1):
+        for at, _ in _runs(batches, end):
+            at = np.where(at == end, own, np.where(at < own, at, -1))
             both = (at[:-1] >= 0) & (at[1:] >= 0)
             pair, n = np.unique(at[:-1][both] * size + at[1:][both], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
@@ -234,16 +268,16 @@ def _added(word: np.ndarray, k: np.ndarray, n: np.ndarray, classes: np.ndarray)
 CHUNK = 2_000
 
 
-def place_sent(train: DataFrame, index: _Index, own: int, classes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def place_sent(train: DataFrame, own: int, classes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all sent words, those from own on placed anew, and the class bigrams in which those take part, by the
     classes that were known. classes: of the sent words, -1 if not known."""
     spark = train.sparkSession
-    sent = spark.sparkContext.broadcast((index, np.append(classes, [END_CLASS, -1])))  # at most SENT_WORDS
+    sent = spark.sparkContext.broadcast(np.append(classes, [END_CLASS, -1]))  # at most SENT_WORDS
     end, types = len(classes), np.bincount(classes[classes >= 0], minlength=CLASSES)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, known = sent.value
-        for at, _ in _runs(batches, numbers, end):
+        known = sent.value
+        for at, _ in _runs(batches, end):
             path, mid = known[at], np.flatnonzero((at >= own) & (at < end))
             cells = []
             for step, first in ((-1, 0), (1, SIDE)):
@@ -253,7 +287,7 @@ def place_sent(train: DataFrame, index: _Index, own: int, classes: np.ndarray, m
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int32())], names=["cell", "n"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value[1]
+        known = sent.value
         held: dict[int, int] = {}  # word -> row of counts; a task's share of SENT_WORDS
         counts = np.zeros((1024, 2 * SIDE), np.int64)
         for batch in batches:
@@ -286,16 +320,16 @@ def place_sent(train: DataFrame, index: _Index, own: int, classes: np.ndarray, m
     return classes, total
 
 
-def place_rest(train: DataFrame, index: _Index, classes: np.ndarray, matrix: np.ndarray) -> DataFrame:
+def place_rest(train: DataFrame, classes: np.ndarray, matrix: np.ndarray) -> DataFrame:
     """The table of all other words, staged: word, c, class; and rows without a word whose matrices are, in sum, the class
     bigrams of all neighbours but two words of this table. matrix: the class bigrams as far as known, for the choice."""
     spark = train.sparkSession
-    sent, end = spark.sparkContext.broadcast((index, np.append(classes, [END_CLASS, -1]))), len(classes)
+    sent, end = spark.sparkContext.broadcast(np.append(classes, [END_CLASS, -1])), len(classes)
     both, types = SIDE + 1, np.bincount(classes, minlength=CLASSES)  # the last class: not known
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, known = sent.value
-        for at, words in _runs(batches, numbers, end):
+        known = sent.value
+        for at, words in _runs(batches, end):
             path, cold = known[at], np.flatnonzero(at < 0)
             pair = (path[cold - 1] % both) * both + path[cold + 1] % both
             found = Counter(zip(words, pair.tolist(), strict=True))
@@ -378,27 +412,36 @@ def least_sent(counts: DataFrame) -> int:
     return int(c[fits - 1]) if fits else 2**62
 
 
+def sent_words(counts: DataFrame) -> tuple[_Index, np.ndarray]:
+    """The numbers of the sent words, most frequent first, and their counts. counts: (word, c), staged."""
+    top = counts.filter(F.col("c") >= least_sent(counts)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    return _Index((w, i) for i, w in enumerate(top.column("word").to_pylist())), top.column("c").to_numpy().astype(np.float64)
+
+
 def train_model(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     """train: text; counts: (word, c), staged. The model, and the table of the words that are not sent: word, c, class."""
-    top = counts.filter(F.col("c") >= least_sent(counts)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
-    index = _Index((w, i) for i, w in enumerate(words))
-    own = min(OWN_WORDS, len(words))
-    own_classes, matrix = cluster(common.stage(count_pairs(train, dict(list(index.items())[:own])), "pairs"), own)
-    classes = np.append(own_classes[:own], np.full(len(words) - own, -1)).astype(np.int64)
-    if len(words) > own:
+    index, c = sent_words(counts)
+    return fitted(numbered(train.select("text"), index), index, c)
+
+
+def fitted(train: DataFrame, index: _Index, c: np.ndarray) -> tuple[Model, DataFrame]:
+    """train_model() of numbered() texts."""
+    own = min(OWN_WORDS, len(index))
+    own_classes, matrix = cluster(common.stage(count_pairs(train, own, len(index)), "pairs"), own)
+    classes = np.append(own_classes[:own], np.full(len(index) - own, -1)).astype(np.int64)
+    if len(index) > own:
         own_matrix = matrix
         for _ in range(2):
-            classes, added = place_sent(train, index, own, classes, matrix)
+            classes, added = place_sent(train, own, classes, matrix)
             matrix = own_matrix + added
-    rest = place_rest(train, index, classes, matrix)
+    rest = place_rest(train, classes, matrix)
     matrix = np.zeros((SIDE, SIDE))
     for r in rest.filter("word is null").select("matrix").toLocalIterator():  # one per task
         matrix = matrix + np.array(r["matrix"]).reshape(SIDE, SIDE)
     rest = rest.filter("word is not null").select("word", "c", "class")
     sums = rest.groupBy("class").agg(F.count("*").alias("types"), F.sum("c").alias("c")).collect()
     of_class = lambda x: np.bincount(classes, x, CLASSES)[:CLASSES]
-    types, total = of_class(np.ones(len(words))), of_class(c)
+    types, total = of_class(np.ones(len(index))), of_class(c)
     for r in sums:
         types[r["class"]] += r["types"]
         total[r["class"]] += r["c"]
@@ -406,7 +449,7 @@ def train_model(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     n, v = int(total.sum()) + ends, int(types.sum()) + (ends > 0)
     below = np.append(np.log10(total + SMOOTHING * (types + 1)), 0.0)
     transitions = smoothed(matrix, below)
-    return Model(dict(index), c, classes, transitions, below, float(np.log10(n + SMOOTHING * (v + 1))), ends, n), rest
+    return Model(index, c, classes, transitions, below, float(np.log10(n + SMOOTHING * (v + 1))), ends, n), rest
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,37 +459,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     perplexity is 10 ** (-score / n_tokens). Null texts count as empty (the end token alone), a null id as the id ''.
     With no training rows every word has count 0. An empty table gives no rows; other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("doc"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    train = slim.filter(~F.col("held_out")).select("text")
-    model, rest = train_model(train, common.stage(count_words(train), "words"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim = docs.select(F.col(id_col).alias("doc"), held_out(id_col).alias("held_out"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).alias("text"))
+    index, c = sent_words(common.stage(count_words(slim.filter(~F.col("held_out")).select("text")), "words"))
+    numbers = numbered(slim, index)
+    model, rest = fitted(numbers.filter(~F.col("held_out")).select("ids", "cold"), index, c)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, words={}))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        index = _Index(m.words)
-        log_counts, end = np.log10(m.counts + SMOOTHING), np.log10(m.end_count + SMOOTHING)
-        classes = np.append(m.classes, -1)
-        numbers, words, sides, sizes = [], [], [], [0]
-        for text in common.text_bytes(batch.column("text")):
-            row = tokens(text)
-            at = np.array([index[w] for w in row], np.int64)
-            path = np.concatenate(([END_CLASS], classes[at], [END_CLASS]))
-            cold, seen = np.flatnonzero(at < 0), at[at >= 0]
-            both = (path[:-1] >= 0) & (path[1:] >= 0)
-            known = log_counts[seen].sum()
-            score = m.transitions[path[:-1][both], path[1:][both]].sum() + known - m.emission_below[path[path >= 0]].sum()
-            numbers.append((len(row) + 1, len(seen) + (m.end_count > 0), known + end - m.base_below * (len(row) + 1), score))
-            words += [row[i] for i in cold.tolist()]
-            sides.append((path[cold], path[cold + 2]))
-            sizes.append(sizes[-1] + len(cold))
-        columns = [pa.array(x, k) for x, k in zip(zip(*numbers, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        left, right = (pa.array(np.concatenate([x[k] for x in sides]).astype(np.int32)) for k in (0, 1))
-        rare = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), left, right], names=["word", "left", "right"]))
+        log_counts, end = np.append(np.log10(m.counts + SMOOTHING), 0.0), np.log10(m.end_count + SMOOTHING)
+        ids, lens = _flat(batch)
+        # each text with an end before and after it, one after the other
+        size = lens + 2
+        starts = np.append(0, np.cumsum(size)[:-1])
+        place = np.arange(len(ids)) + 1 + 2 * np.repeat(np.arange(len(lens)), lens)
+        path, known, seen = np.full(size.sum(), END_CLASS), np.zeros(size.sum()), np.zeros(size.sum(), np.int64)
+        path[place], known[place], seen[place] = np.append(m.classes, -1)[ids], log_counts[ids], ids >= 0
+        step = np.append(np.where((path[:-1] >= 0) & (path[1:] >= 0), m.transitions[path[:-1], path[1:]], 0.0), 0.0)
+        step[starts + size - 1] = 0.0
+        below = np.where(path >= 0, m.emission_below[path], 0.0)
+        sums = [np.add.reduceat(x, starts) for x in (known, step - below, seen)]
+        cold = place[ids < 0]
+        words = batch.column("cold")
+        offsets = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)))
+        rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pc.list_flatten(words), *(pa.array(path[cold + k].astype(np.int32)) for k in (-1, 1))], names=["word", "left", "right"]))
+        columns = [pa.array(lens + 1, pa.int64()), pa.array(sums[2] + (m.end_count > 0)), pa.array(sums[0] + end - m.base_below * (lens + 1)), pa.array(sums[0] + sums[1])]
         return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("held_out"), batch.column("row_no"), *columns, rare], names=["doc", "held_out", "row_no", "n_tokens", "known", "base", "score", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, held_out boolean, row_no long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,left:int,right:int>>"
-    rows = common.stage(common.map_batches(slim.select("doc", "held_out", F.monotonically_increasing_id().alias("row_no"), "text"), one, schema), "scored")
+    rows = common.stage(common.map_batches(numbers, one, schema), "scored")
     more = _of_rare(rows.select("row_no", F.posexplode("rare").alias("place", "x")).select("row_no", "place", "x.*"), rest, model)
     out = rows.drop("rare").join(more, F.col("row_no") == F.col("of"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
