@@ -429,6 +429,7 @@ def primitive_candidates(pixels: DataFrame, *keys: str, paths: DataFrame | None
         own = paths.select(*keys, F.struct(F.lit(9).alias("ord"), F.lit("cubic_path").alias("kind"), F.round("raster_error", 9).alias("raster_error"), F.col("node_count").cast("int").alias("node_count"), F.col("parameter_count").cast("int").alias("parameter_count")).alias("o"))
         spare = spare.join(own.hint("shuffle_hash"), [*keys], "left").select(*keys, F.coalesce("o", "c").alias("c"))
     out = spare
+    # a settled row per candidate: the driver then plans one fit at a time, and never all of them as one plan
     for df in (ring, discs, ovals, straight, arcs, smooth, rects, rounded, quads):
-        out = out.unionByName(df)
+        out = out.unionByName(raster._settled(df))
     return out.select(*keys, "c.*")

@@ -31,3 +31,12 @@ def test_quad_rows_without_ink_are_missing(spark):
     ink = spark.createDataFrame(rows, "image_id long, x int, y int")
     got = shapes.quad_fill_error(ink, fit.extreme_quad(ink, "image_id"), "image_id").first()
     assert (got["expected"], got["missing"], got["extra"]) == (25, 10, 0)
+
+
+def test_candidates_are_planned_one_fit_at_a_time(spark, tmp_path, monkeypatch):
+    """All fits as one plan would be the driver's largest: its final step reads settled candidates only, and does not draw or fit."""
+    monkeypatch.setattr(raster, "_settled", lambda df: df.localCheckpoint(eager=False))
+    rows = [(1, x, y) for x in range(4) for y in range(6)]
+    ink = spark.createDataFrame(rows, "image_id long, x int, y int")
+    plan = shapes.primitive_candidates(ink, "image_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Generate") == 0 and plan.count("Aggregate") <= 1
