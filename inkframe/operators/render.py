@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkframe.operators import raster
+
 #: Moore neighbours clockwise, from the west.
 _AROUND = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
+#: Which of them a walk looks at, by where it came from.
+_FROM = tuple(tuple((k + back) % 8 for k in range(1, 9)) for back in range(8))
 
 
 def inside(kind: Column, x: Column, y: Column) -> Column:
@@ -35,14 +42,15 @@ def coverage_error(pixels: DataFrame, rendered: DataFrame, *keys: str) -> DataFr
 
 
 def trace_outline(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ord, x, y): the outer boundary of each component as an ordered walk over Moore neighbours, from its first pixel."""
+    """(keys, ord, x, y): the outer boundary of each component as an ordered walk over Moore neighbours, from its first pixel.
+    Components come as rows with lists: many are traced by one call."""
 
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        ink = set(zip(group["x"].astype(int), group["y"].astype(int), strict=True))
+    def walk_of(cells: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        ink = set(cells)
         start = min(ink, key=lambda p: (p[1], p[0]))
         at, back, walk = start, 0, [start]
         for _ in range(4 * len(ink) + 8):
-            step = next(((k + back) % 8 for k in range(1, 9) if (at[0] + _AROUND[(k + back) % 8][0], at[1] + _AROUND[(k + back) % 8][1]) in ink), None)
+            step = next((k for k in _FROM[back] if (at[0] + _AROUND[k][0], at[1] + _AROUND[k][1]) in ink), None)
             if step is None:
                 break
             at = (at[0] + _AROUND[step][0], at[1] + _AROUND[step][1])
@@ -50,14 +58,22 @@ def trace_outline(pixels: DataFrame, *keys: str) -> DataFrame:
             if at == start and len(walk) > 1:
                 break
             walk.append(at)
-        out = pd.DataFrame(walk, columns=["x", "y"])
-        for key in reversed(keys):
-            out.insert(0, key, group[key].iloc[0])
-        out["ord"] = range(len(out))
-        return out
+        return walk
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in raster.masks_of(batches):
+            mask, x, y = raster.pixels_of(part)
+            ends = np.searchsorted(mask, np.arange(len(part) + 1))
+            cells = list(zip(x.tolist(), y.tolist(), strict=True))
+            walks = [walk_of(cells[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            size = np.array([len(w) for w in walks])
+            owner = pa.array(np.repeat(np.arange(len(part)), size))
+            place = np.array([p for w in walks for p in w], np.int32)
+            ord_ = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(owner) for k in keys), pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(ord_.astype(np.int32))], names=[*keys, "x", "y", "ord"])
 
     kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
-    return pixels.select(*keys, "x", "y").groupBy(*keys).applyInPandas(trace, f"{kinds}, x int, y int, ord int")
+    return raster.as_masks(pixels, *keys).mapInArrow(trace, f"{kinds}, x int, y int, ord int")
 
 
 def refine_circles(pixels: DataFrame, circles: DataFrame, *keys: str, rounds: int = 4, step: float = 0.5) -> DataFrame:
