@@ -30,7 +30,9 @@ def render(shapes: DataFrame, *keys: str, width: int, height: int) -> DataFrame:
     lo = lambda c, pad=0.0: F.greatest(F.lit(0), F.floor(c - pad)).cast("int")
     hi = lambda c, most: F.least(F.lit(most - 1), F.ceil(c)).cast("int")
     grown = shapes.withColumns({"__x0": lo(F.col("min_x")), "__x1": hi(F.col("max_x"), width), "__y0": lo(F.col("min_y")), "__y1": hi(F.col("max_y"), height)}).filter("__x0 <= __x1 AND __y0 <= __y1")
-    cells = grown.withColumn("x", F.explode(F.sequence("__x0", "__x1"))).withColumn("y", F.explode(F.sequence("__y0", "__y1")))
+    # dealt out before they become pixels: shapes are small, and Spark would give many of them to one task
+    dealt = grown.repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "anchor_index")
+    cells = dealt.withColumn("x", F.explode(F.sequence("__x0", "__x1"))).withColumn("y", F.explode(F.sequence("__y0", "__y1")))
     hit = cells.filter(inside(F.col("kind"), F.col("x"), F.col("y")))
     return hit.groupBy(*keys, "x", "y").agg(F.max_by("color", "anchor_index").alias("color"))
 

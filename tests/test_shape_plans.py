@@ -2,7 +2,7 @@
 
 import pytest
 
-from inkframe.operators import fit, raster, shapes
+from inkframe.operators import fit, raster, render, shapes
 from inkframe.plans import shape_queries
 
 NAMES = ("arc_candidates", "circle_fits", "cutout_strokes", "ellipse_fits", "quad_fill_error", "smooth_strokes")
@@ -40,3 +40,13 @@ def test_candidates_are_planned_one_fit_at_a_time(spark, tmp_path, monkeypatch):
     ink = spark.createDataFrame(rows, "image_id long, x int, y int")
     plan = shapes.primitive_candidates(ink, "image_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 0 and plan.count("Generate") == 0 and plan.count("Aggregate") <= 1
+
+
+def test_shapes_are_dealt_out_before_they_become_pixels(spark):
+    """Few small rows become many pixels: one task would hold the pixels of all shapes."""
+    rows = [(k, "rect", 0, "#000000", 0.0, 0.0, 1.0, 1.0, 1.0, 0, 0, 7, 7) for k in range(400)]
+    shapes_ = spark.createDataFrame(rows, "image_id long, kind string, anchor_index int, color string, cx double, cy double, rx double, ry double, width double, min_x int, min_y int, max_x int, max_y int").coalesce(1)
+    drawn = render.render(shapes_, "image_id", width=8, height=8)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.rindex("Generate explode") :]
+    assert drawn.count() == 400 * 64
