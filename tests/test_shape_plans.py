@@ -2,7 +2,7 @@
 
 import pytest
 
-from inkframe.operators import fit, raster, render, shapes
+from inkframe.operators import diff, fit, raster, render, shapes
 from inkframe.plans import shape_queries
 
 NAMES = ("arc_candidates", "circle_fits", "cutout_strokes", "ellipse_fits", "quad_fill_error", "smooth_strokes")
@@ -50,3 +50,19 @@ def test_shapes_are_dealt_out_before_they_become_pixels(spark):
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan[plan.rindex("Generate explode") :]
     assert drawn.count() == 400 * 64
+
+
+def test_pairs_are_computed_once(spark, monkeypatch):
+    """The boxes' join is dear: what becomes of the expectations is told from settled pairs."""
+    monkeypatch.setattr(diff, "_settled", lambda df: df.localCheckpoint())
+    pairs = spark.range(60).selectExpr("id % 3 AS g", "id % 5 AS e", "id % 5 AS place", "if(id % 7 = 0, null, id) AS a", "id % 2 AS f", "if(id = 9, double('nan'), id / 60) AS s")
+    out = diff.ordered_matches(pairs, "g", expected="e", order="place", actual="a", failures="f", score="s")
+    assert "Range (" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 15 and out.filter("status = 'matched' and (a is null or s is null or isnan(s))").count() == 0
+
+
+def test_boxes_in_cells_are_not_broadcast(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 90.0, 90.0)], "g int, min_x double, min_y double, max_x double, max_y double")
+    other = boxes.toDF("g", *(f"b_{c}" for c in boxes.columns[1:]))
+    met = diff.box_pairs(boxes, other, "g")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
