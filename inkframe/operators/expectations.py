@@ -42,20 +42,21 @@ def expectation_results(expectations: DataFrame, anchors: DataFrame, groups: Dat
     ident = [*keys, "expectation_id"]
     hits = _shape_counts(expectations, anchors, groups, keys, cell).groupBy(*ident).agg(F.sum("hits").alias("actual_count"))
     values = metrics.select(*keys, F.col("name").alias("metric"), F.col("value").cast("double").alias("actual_value"))
-    is_metric = F.col("metric").isNotNull()
-    box = F.when(_has_area(), F.struct(*BOUNDS))
-    alike = Window.partitionBy(*keys, is_metric, F.array_sort(F.array_distinct("kinds")), F.when(F.col("kinds").isNull(), F.col("group_kind")), box, F.coalesce("min_iou", F.lit(0.0))).orderBy("ord", "expectation_id").rowsBetween(Window.unboundedPreceding, 0)
+    # what the arrays and boxes are needed for is settled before rows are shuffled: callers that do not read them carry neither further
+    told = expectations.withColumns({"__metric": F.col("metric").isNotNull(), "__grouped": F.col("kinds").isNull(), "__kinds": F.array_sort(F.array_distinct("kinds")), "__group": F.when(F.col("kinds").isNull(), F.col("group_kind")), "__box": F.when(_has_area(), F.struct(*BOUNDS)), "__iou": F.coalesce("min_iou", F.lit(0.0))})
+    is_metric = F.col("__metric")
+    alike = Window.partitionBy(*keys, "__metric", "__kinds", "__group", "__box", "__iou").orderBy("ord", "expectation_id").rowsBetween(Window.unboundedPreceding, 0)
     least = F.coalesce("min_count", F.lit(1)).cast("long")
-    out = expectations.withColumn("required", F.when(~is_metric, F.sum(least).over(alike)))
+    out = told.withColumn("required", F.when(~is_metric, F.sum(least).over(alike))).drop("__kinds", "__group", "__box", "__iou")
     out = out.join(hits, ident, "left").join(values, [*keys, "metric"], "left").withColumn("actual_count", F.when(~is_metric, F.coalesce("actual_count", F.lit(0))))
     value, n, needed = F.col("actual_value"), F.col("actual_count"), F.col("required")
     low, high = value < F.col("min_value"), value > F.col("max_value")
     few, many = n < needed, n > F.col("max_count")
     of_metric = F.when(value.isNull(), "missing_metric").when(low, "metric_below_min").when(high, "metric_above_max")
-    too_few = F.when(F.col("kinds").isNull(), "insufficient_groups").when(needed > least, "insufficient_distinct_anchors").otherwise("insufficient_anchors")
+    too_few = F.when(F.col("__grouped"), "insufficient_groups").when(needed > least, "insufficient_distinct_anchors").otherwise("insufficient_anchors")
     too_many = F.when((F.col("max_count") == 0) & (least == 0), "forbidden_matches").otherwise("too_many_matches")
     reason = F.when(is_metric, of_metric).otherwise(F.when(few, too_few).when(many, too_many))
     return out.withColumns({
         "reason": reason, "ok": reason.isNull(), "missing_count": F.when(few, needed - n), "excess_count": F.when(many & ~few, n - F.col("max_count")),
         "shortfall": F.when(low, F.col("min_value") - value), "excess": F.when(high & ~F.coalesce(low, F.lit(False)), value - F.col("max_value")),
-    })
+    }).drop("__metric", "__grouped")

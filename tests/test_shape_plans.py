@@ -3,7 +3,7 @@
 import pytest
 
 from inkframe.operators import diff, fit, raster, render, shapes
-from inkframe.plans import shape_queries
+from inkframe.plans import gate_queries, shape_queries
 
 NAMES = ("arc_candidates", "circle_fits", "cutout_strokes", "ellipse_fits", "quad_fill_error", "smooth_strokes")
 
@@ -66,3 +66,12 @@ def test_boxes_in_cells_are_not_broadcast(spark):
     other = boxes.toDF("g", *(f"b_{c}" for c in boxes.columns[1:]))
     met = diff.box_pairs(boxes, other, "g")
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
+
+
+def test_regions_in_cells_are_not_broadcast_and_kinds_stay_behind(spark, data):
+    plan = gate_queries.QUERIES["expectation_results"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    cells = [line for line in plan.splitlines() if "Join" in line and "cell_x" in line]
+    assert cells and all("SortMergeJoin" in line for line in cells)
+    # rows after the window are shuffled without their arrays of kinds: the operator's last columns need a flag only
+    after = plan[: plan.index("Window ")]
+    assert "kinds#" not in after
