@@ -381,6 +381,24 @@ def place_rest(train: DataFrame, classes: np.ndarray, matrix: np.ndarray) -> Dat
     return common.stage(dealt.mapInArrow(place, "word binary, c long, class int, matrix array<double>"), "rest")
 
 
+def between_rest(train: DataFrame, rest: DataFrame, end: int) -> np.ndarray:
+    """The class bigrams of neighbours that are both words of rest. train: numbered(); rest: word, class."""
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, words in _runs(batches, end):
+            met = np.flatnonzero(np.diff(np.flatnonzero(at < 0)) == 1).tolist()
+            found = Counter((words[k], words[k + 1]) for k in met)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["first", "second", "n"])
+
+    class_of = lambda word: rest.select(F.col("word").alias(word), F.col("class").alias(f"class_{word}")).hint("merge")
+    left = train.mapInArrow(beside, "first binary, second binary, n long").join(class_of("first"), "first")
+    both = left.groupBy("second", "class_first").agg(F.sum("n").alias("n")).join(class_of("second"), "second")
+    total = np.zeros((SIDE, SIDE))
+    for r in both.groupBy("class_first", "class_second").agg(F.sum("n").alias("n")).collect():  # at most CLASSES squared
+        total[r["class_first"], r["class_second"]] = r["n"]
+    return total
+
+
 @dataclass(frozen=True)
 class Model:
     """Of a fixed size but for words, counts and classes, which hold at most SENT_WORDS."""
@@ -418,13 +436,14 @@ def sent_words(counts: DataFrame) -> tuple[_Index, np.ndarray]:
     return _Index((w, i) for i, w in enumerate(top.column("word").to_pylist())), top.column("c").to_numpy().astype(np.float64)
 
 
-def train_model(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """train: text; counts: (word, c), staged. The model, and the table of the words that are not sent: word, c, class."""
+def train_model(train: DataFrame, counts: DataFrame, all_pairs: bool = False) -> tuple[Model, DataFrame]:
+    """train: text; counts: (word, c), staged. The model, and the table of the words that are not sent: word, c, class.
+    The transitions count all neighbours with all_pairs, and otherwise all but two words of that table."""
     index, c = sent_words(counts)
-    return fitted(numbered(train.select("text"), index), index, c)
+    return fitted(numbered(train.select("text"), index), index, c, all_pairs)
 
 
-def fitted(train: DataFrame, index: _Index, c: np.ndarray) -> tuple[Model, DataFrame]:
+def fitted(train: DataFrame, index: _Index, c: np.ndarray, all_pairs: bool = False) -> tuple[Model, DataFrame]:
     """train_model() of numbered() texts."""
     own = min(OWN_WORDS, len(index))
     own_classes, matrix = cluster(common.stage(count_pairs(train, own, len(index)), "pairs"), own)
@@ -440,6 +459,8 @@ def fitted(train: DataFrame, index: _Index, c: np.ndarray) -> tuple[Model, DataF
         matrix = matrix + np.array(r["matrix"]).reshape(SIDE, SIDE)
     rest = rest.filter("word is not null").select("word", "c", "class")
     sums = rest.groupBy("class").agg(F.count("*").alias("types"), F.sum("c").alias("c")).collect()
+    if all_pairs and sums:
+        matrix = matrix + between_rest(train, rest, len(index))
     of_class = lambda x: np.bincount(classes, x, CLASSES)[:CLASSES]
     types, total = of_class(np.ones(len(index))), of_class(c)
     for r in sums:
@@ -452,8 +473,8 @@ def fitted(train: DataFrame, index: _Index, c: np.ndarray) -> tuple[Model, DataF
     return Model(index, c, classes, transitions, below, float(np.log10(n + SMOOTHING * (v + 1))), ends, n), rest
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_pairs: bool = False) -> DataFrame:
+    """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. all_pairs: as in train_model().
 
     Learns from the rows that are not held out. score is the log10 probability of the text with its end token; the
     perplexity is 10 ** (-score / n_tokens). Null texts count as empty (the end token alone), a null id as the id ''.
@@ -462,7 +483,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = docs.select(F.col(id_col).alias("doc"), held_out(id_col).alias("held_out"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).alias("text"))
     index, c = sent_words(common.stage(count_words(slim.filter(~F.col("held_out")).select("text")), "words"))
     numbers = numbered(slim, index)
-    model, rest = fitted(numbers.filter(~F.col("held_out")).select("ids", "cold"), index, c)
+    model, rest = fitted(numbers.filter(~F.col("held_out")).select("ids", "cold"), index, c, all_pairs)
     sent = docs.sparkSession.sparkContext.broadcast(replace(model, words={}))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brown_lm.score_texts(table(spark, sf_dir, "documents"))
+    return brown_lm.score_texts(table(spark, sf_dir, "documents"), all_pairs=True)
 
 
 def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,34 @@ def test_every_word_has_a_class_of_its_own(spark, documents, monkeypatch):
         assert out[i].score == pytest.approx(score, abs=1e-6) and out[i].n_known == sum(c > 0 for c, _ in at) + 1
 
 
+def test_neighbours_beyond_the_sent_words_are_counted(spark, documents, tmp_path, monkeypatch):
+    """The query's transitions are those of all neighbours, against brute force over the model's own classes."""
+    from inkframe.llm import common, queries
+
+    monkeypatch.setattr(brown_lm, "OWN_WORDS", 100)
+    monkeypatch.setattr(brown_lm, "SENT_WORDS", 300)
+    docs = documents.limit(60).select("doc_id", "text")
+    rows = docs.collect()
+    docs = spark.createDataFrame(rows, docs.schema)
+    path = str(tmp_path / "in")
+    docs.write.parquet(f"{path}/documents.parquet")
+    train = docs.filter(~brown_lm.held_out("doc_id")).select("text")
+    model, rest = brown_lm.train_model(train, common.stage(brown_lm.count_words(train), "words"), all_pairs=True)
+    table = {bytes(r.word): (r.c, r["class"]) for r in rest.collect()} | {w: (int(model.counts[k]), int(model.classes[k])) for w, k in model.words.items()}
+    matrix = np.zeros((brown_lm.SIDE, brown_lm.SIDE))
+    for t in train.collect():
+        path_of = [brown_lm.END_CLASS, *[table[w][1] for w in (t.text or "").encode().lower().split()], brown_lm.END_CLASS]
+        np.add.at(matrix, (path_of[:-1], path_of[1:]), 1)
+    want = np.log10((matrix + 0.5) / (matrix.sum(axis=1, keepdims=True) + 0.5 * brown_lm.SIDE))
+    assert np.allclose(want, model.transitions[:-1, :-1])
+    got = {r.doc_id: r.score for r in queries.op2_brown_lm(spark, path).collect()}
+    for r in rows:
+        at = [table.get(w, (0, brown_lm.UNSEEN)) for w in (r.text or "").encode().lower().split()]
+        path_of = [brown_lm.END_CLASS, *[k for _, k in at], brown_lm.END_CLASS]
+        score = sum(model.transitions[a, b] for a, b in zip(path_of[:-1], path_of[1:], strict=True)) + sum(math.log10(c + 0.1) - model.emission_below[k] for c, k in at if c)
+        assert got[r.doc_id] == pytest.approx(score, abs=1e-6)
+
+
 def test_exchange_ends_where_no_word_gains():
     draw = np.random.default_rng(4)
     # four kinds of words, each followed by the next kind
