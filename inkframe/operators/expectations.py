@@ -40,15 +40,18 @@ def expectation_results(expectations: DataFrame, anchors: DataFrame, groups: Dat
     counts so far. A null limit does not hold; a metric that is missing or null fails. Empty tables give no rows or no matches.
     """
     ident = [*keys, "expectation_id"]
-    hits = _shape_counts(expectations, anchors, groups, keys, cell).groupBy(*ident).agg(F.sum("hits").alias("actual_count"))
-    values = metrics.select(*keys, F.col("name").alias("metric"), F.col("value").cast("double").alias("actual_value"))
+    hits = _shape_counts(expectations, anchors, groups, keys, cell).withColumn("actual_value", F.lit(None).cast("double"))
+    # the expectations of metrics find their values by their ids alone, so that whole rows are joined once
+    values = metrics.select(*keys, F.col("name").alias("metric"), F.lit(None).cast("long").alias("hits"), F.col("value").cast("double").alias("actual_value"))
+    measured = expectations.filter("metric is not null").select(*ident, "metric").join(values, [*keys, "metric"]).drop("metric")
+    actual = hits.unionByName(measured).groupBy(*ident).agg(F.sum("hits").alias("actual_count"), F.max("actual_value").alias("actual_value"))
     # what the arrays and boxes are needed for is settled before rows are shuffled: callers that do not read them carry neither further
     told = expectations.withColumns({"__metric": F.col("metric").isNotNull(), "__grouped": F.col("kinds").isNull(), "__kinds": F.array_sort(F.array_distinct("kinds")), "__group": F.when(F.col("kinds").isNull(), F.col("group_kind")), "__box": F.when(_has_area(), F.struct(*BOUNDS)), "__iou": F.coalesce("min_iou", F.lit(0.0))})
     is_metric = F.col("__metric")
     alike = Window.partitionBy(*keys, "__metric", "__kinds", "__group", "__box", "__iou").orderBy("ord", "expectation_id").rowsBetween(Window.unboundedPreceding, 0)
     least = F.coalesce("min_count", F.lit(1)).cast("long")
     out = told.withColumn("required", F.when(~is_metric, F.sum(least).over(alike))).drop("__kinds", "__group", "__box", "__iou")
-    out = out.join(hits, ident, "left").join(values, [*keys, "metric"], "left").withColumn("actual_count", F.when(~is_metric, F.coalesce("actual_count", F.lit(0))))
+    out = out.join(actual, ident, "left").withColumn("actual_count", F.when(~is_metric, F.coalesce("actual_count", F.lit(0))))
     value, n, needed = F.col("actual_value"), F.col("actual_count"), F.col("required")
     low, high = value < F.col("min_value"), value > F.col("max_value")
     few, many = n < needed, n > F.col("max_count")
