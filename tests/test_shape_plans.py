@@ -62,7 +62,7 @@ def test_pairs_are_computed_once(spark, monkeypatch):
 
 
 def test_boxes_in_cells_are_not_broadcast(spark):
-    boxes = spark.createDataFrame([(1, 0.0, 0.0, 90.0, 90.0)], "g int, min_x double, min_y double, max_x double, max_y double")
+    boxes = spark.range(1).selectExpr("id AS g", "0D AS min_x", "0D AS min_y", "90D AS max_x", "90D AS max_y")  # known to be small
     other = boxes.toDF("g", *(f"b_{c}" for c in boxes.columns[1:]))
     met = diff.box_pairs(boxes, other, "g")
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
