@@ -13,6 +13,11 @@ def kasa_circle(points: DataFrame, *keys: str, x: str = "x", y: str = "y") -> Da
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     zz = px * px + py * py
     sums = points.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(px).alias("sx"), F.sum(py).alias("sy"), F.sum(px * px).alias("sxx"), F.sum(py * py).alias("syy"), F.sum(px * py).alias("sxy"), F.sum(px * zz).alias("sxz"), F.sum(py * zz).alias("syz"))
+    return circle_of_sums(sums).select(*keys, "n", "cx", "cy", "r")
+
+
+def circle_of_sums(sums: DataFrame) -> DataFrame:
+    """sums (n, sx, sy, sxx, syy, sxy, sxz, syz) with the least-squares circle: cx, cy, r."""
     n, sx, sy, sxx, syy, sxy, sxz, syz = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "sxz", "syz"))
     sz = sxx + syy
     # moments about the mean make the normal equations 2 x 2
@@ -21,7 +26,7 @@ def kasa_circle(points: DataFrame, *keys: str, x: str = "x", y: str = "y") -> Da
     det = a * c - b * b
     out = sums.withColumn("cx", F.when(F.abs(det) > 1e-9, F.try_divide(d * c - b * e, det))).withColumn("cy", F.when(F.abs(det) > 1e-9, F.try_divide(a * e - b * d, det)))
     cx, cy = F.col("cx"), F.col("cy")
-    return out.withColumn("r", F.sqrt((sz - 2 * cx * sx - 2 * cy * sy) / n + cx * cx + cy * cy)).select(*keys, "n", "cx", "cy", "r")
+    return out.withColumn("r", F.sqrt((sz - 2 * cx * sx - 2 * cy * sy) / n + cx * cx + cy * cy))
 
 
 def circle_residual(points: DataFrame, circles: DataFrame, *keys: str) -> DataFrame:

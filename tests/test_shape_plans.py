@@ -1,5 +1,6 @@
 """Joins of exploded pixels: none may be sent through the driver, however small Spark takes them for."""
 
+import numpy as np
 import pytest
 
 from inkframe.operators import diff, fit, raster, render, shapes
@@ -75,3 +76,38 @@ def test_regions_in_cells_are_not_broadcast_and_kinds_stay_behind(spark, data):
     # rows after the window are shuffled without their arrays of kinds: the operator's last columns need a flag only
     after = plan[: plan.index("Window ")]
     assert "kinds#" not in after
+
+
+def test_pixels_are_read_once(spark):
+    """Pixels are dear to make and many: all fits read the bitmaps that one reading leaves."""
+    cells = [(k, x, y) for k in range(3) for x in range(12) for y in range(9 + k) if k != 1 or (x - 5) ** 2 + (y - 5) ** 2 <= 25]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pixels = spark.createDataFrame(cells, "image_id long, x int, y int").mapInArrow(counted, "image_id long, x int, y int")
+    assert shapes.primitive_candidates(pixels, "image_id").count() > 3
+    assert read.value == len(cells)
+
+
+def test_bitmaps_hold_their_pixels(spark):
+    """Over several words, on both sides of zero: pixels, boundary, gaps, sums and corners as from the pixels themselves."""
+    draw = np.random.default_rng(5)
+    cells = {(k, int(x), int(y)) for k in range(6) for x, y in zip(draw.integers(-70, -70 + 40 * (k + 1), 300 * (k + 1)), draw.integers(-6, 7, 300 * (k + 1)), strict=True)}
+    cells |= {(9, x, y) for x in range(-130, 140) for y in range(5) if not (x % 63 in (1, 2) and y == 2)} | {(8, 63, 1)}
+    df = spark.createDataFrame(sorted(cells), "k int, x int, y int")
+    ink = raster.bitmaps(df, "k")
+    rows = lambda found: sorted(tuple(r) for r in found.select("k", "x", "y").collect())
+    assert rows(raster.bitmap_pixels(ink, "k")) == sorted(cells)
+    assert rows(raster.bitmap_pixels(ink, "k", bits="edges")) == rows(raster.boundary_pixels(df, "k"))
+    assert rows(raster.bitmap_gaps(ink, "k")) == rows(raster.interior_gaps(df, "k"))
+    for r in ink.collect():
+        mine = [(x, y) for k, x, y in cells if k == r.k]
+        ends = {y: (min(x for x, v in mine if v == y), max(x for x, v in mine if v == y)) for _, y in mine}
+        assert (r.area, r.min_x, r.max_y, r.sxy, r.syz) == (len(mine), min(mine)[0], max(y for _, y in mine), sum(x * y for x, y in mine), sum(y * (x * x + y * y) for x, y in mine))
+        assert r.between == sum(b - a + 1 for a, b in ends.values()) - len(mine)
+    corners = lambda found: {r.k: r.corners for r in found.collect()}
+    assert corners(shapes._corners(ink, "k")) == corners(fit.extreme_quad(df, "k"))
