@@ -151,9 +151,14 @@ def boundary_without_gaps(pixels: DataFrame, *keys: str, gaps: DataFrame | None
     """(keys, x, y, gap_edge): boundary pixels, and whether one of the eight cells around is in an enclosed gap."""
     ink = raster.bitmaps(pixels, *keys) if ink is None else ink
     held = sealed_gaps(pixels, *keys, ink=ink) if gaps is None else gaps
-    around = held.select(*keys, F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x"), "y").select(*keys, "x", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y")).distinct()
-    boundary = raster.bitmap_pixels(ink, *keys, bits="edges")
-    return boundary.join(around.withColumn("gap_edge", F.lit(True)).hint("merge"), [*keys, "x", "y"], "left").fillna(False, ["gap_edge"])
+    # the cells around gaps as words: across from each cell, up and down from each word
+    wide = held.select(*keys, "y", F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x"))
+    words = wide.groupBy(*keys, "y", F.shiftright("x", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("near"))
+    words = words.withColumn("y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1))).groupBy(*keys, "y", "word").agg(F.bit_or("near").alias("near"))
+    rows = _unpacked(ink.select(*keys, F.col("ys").alias("y"), F.col("words").alias("word"), F.col("edges").alias("edge")), "y", "word", "edge").filter("edge <> 0")
+    rows = rows.join(words.hint("shuffle_hash"), [*keys, "y", "word"], "left").fillna(0, ["near"])
+    cells = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(raster.WORD - 1)))).filter("shiftrightunsigned(edge, __i) & 1L = 1L")
+    return cells.select(*keys, (F.col("word") * raster.WORD + F.col("__i")).alias("x"), "y", F.expr("shiftrightunsigned(near, __i) & 1L = 1L").alias("gap_edge"))
 
 
 def circle_fits(pixels: DataFrame, *keys: str, ink: DataFrame | None = None) -> DataFrame:
@@ -235,19 +240,29 @@ def quad_fill_error(pixels: DataFrame, quads: DataFrame, *keys: str, ink: DataFr
     below the quad counts for nothing. ink: raster.bitmaps() of the pixels, if at hand.
     """
     ink = raster.bitmaps(pixels, *keys) if ink is None else ink
-    edges = quads.filter("corners is not null").select(*keys, F.explode(F.arrays_zip(F.col("corners").alias("a"), F.concat(F.slice("corners", 2, 3), F.slice("corners", 1, 1)).alias("b"))).alias("e")).select(*keys, *(F.col(f"e.{p}.{c}").cast("double").alias(f"{p}{c}") for p in "ab" for c in "xy"))
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    crossed = edges.withColumn("y", F.explode(F.sequence(F.ceil(low).cast("int"), F.greatest(F.floor(high), F.ceil(low)).cast("int")))).filter(F.col("y").between(low, high))
-    level = F.col("ay") == F.col("by")
-    at = F.col("ax") + (F.col("bx") - F.col("ax")) * F.try_divide(F.col("y") - F.col("ay"), F.col("by") - F.col("ay"))
-    least, most = F.when(level, F.least("ax", "bx")).otherwise(at), F.when(level, F.greatest("ax", "bx")).otherwise(at)
-    rows = crossed.groupBy(*keys, "y").agg(F.bround(F.min(least), 0).cast("int").alias("left"), F.bround(F.max(most), 0).cast("int").alias("right"))
-    # a quad's rows have no holes, so a row of ink finds its own by position, and rows are joined by component alone
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "left", "right"))).alias("rows"), F.sum(F.col("right") - F.col("left") + 1).alias("expected"), F.min("y").alias("top"), (F.max("y") > F.min("y")).alias("tall"))
-    row = F.when(F.col("y") >= F.col("top"), F.get("rows", (F.col("y") - F.col("top")).cast("int")))
-    met = _unpacked(ink.select(*keys, F.col("ys").alias("y"), F.col("words").alias("word"), "bits").join(listed.select(*keys, "rows", "top").hint("shuffle_hash"), [*keys]), "y", "word", "bits")
+    ends = [f"{c}{i}" for i in range(4) for c in "xy"]
+    quad = quads.filter("corners is not null").select(*keys, *(F.col("corners")[int(e[1])][e[0]].cast("double").alias(e) for e in ends))
+
+    def crossings() -> tuple[Column, Column]:
+        """Where row y enters and leaves the quad; null where it does not meet it."""
+        low, high = [], []
+        for i in range(4):
+            ax, ay, bx, by = (F.col(f"{c}{k}") for k in (i, (i + 1) % 4) for c in "xy")
+            at = ax + (bx - ax) * F.try_divide(F.col("y") - ay, by - ay)
+            met = F.col("y").between(F.least(ay, by), F.greatest(ay, by))
+            low.append(F.when(met, F.when(ay == by, F.least(ax, bx)).otherwise(at)))
+            high.append(F.when(met, F.when(ay == by, F.greatest(ax, bx)).otherwise(at)))
+        return F.bround(F.least(*low), 0).cast("int"), F.bround(F.greatest(*high), 0).cast("int")
+
+    left, right = crossings()
+    top, bottom = F.ceil(F.least("y0", "y1", "y2", "y3")).cast("int"), F.floor(F.greatest("y0", "y1", "y2", "y3")).cast("int")
+    rows = quad.withColumn("y", F.explode(F.sequence(top, F.greatest(top, bottom)))).select(*keys, "y", left.alias("left"), right.alias("right")).filter("left is not null")
+    listed = rows.groupBy(*keys).agg(F.sum(F.col("right") - F.col("left") + 1).alias("expected"), (F.max("y") > F.min("y")).alias("tall"))
+    # a row of ink finds its own of the quad by the same crossings, and is joined by component alone
+    met = _unpacked(ink.select(*keys, F.col("ys").alias("y"), F.col("words").alias("word"), "bits").join(quad.hint("shuffle_hash"), [*keys]), "y", "word", "bits")
     start = F.col("word") * raster.WORD
-    met = met.withColumn("row", row).filter("row is not null").select(*keys, "bits", F.greatest(F.col("row.left") - start, F.lit(0)).cast("int").alias("low"), F.least(F.col("row.right") - start, F.lit(raster.WORD - 1)).cast("int").alias("high"))
+    met = met.select(*keys, "bits", "word", left.alias("left"), right.alias("right")).filter("left is not null")
+    met = met.select(*keys, "bits", F.greatest(F.col("left") - start, F.lit(0)).cast("int").alias("low"), F.least(F.col("right") - start, F.lit(raster.WORD - 1)).cast("int").alias("high"))
     inside = F.when(F.col("low") <= F.col("high"), F.expr("bit_count(bits & shiftleft(-1L, low) & shiftrightunsigned(-1L, 63 - high))")).otherwise(0)
     hits = met.groupBy(*keys).agg(F.sum(inside).alias("hit"), F.sum(F.bit_count("bits") - inside).alias("extra"))
     sums = listed.join(hits.hint("shuffle_hash"), [*keys], "left").select(*keys, "tall", "expected", (F.col("expected") - F.coalesce("hit", F.lit(0))).alias("missing"), F.coalesce("extra", F.lit(0)).alias("extra"))
